@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from groundmesh.llm import mixing, packing, topk, warc
+from groundmesh.llm import fingerprints, licenses, mixing, packing, topk, warc
 from groundmesh.llm.common import read_table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -33,7 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_top_k, op7_warc_round_trip, op8_mix_sources, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op10_best_fit_packing)}
 
 
 ORACLE_SQL = {
