@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from groundmesh.llm import fingerprints, licenses, mixing, packing, topk, warc
+from groundmesh.llm import fingerprints, licenses, mixing, packing, quality, topk, toxicity, warc
 from groundmesh.llm.common import read_table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,12 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op5_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "evidence", "n_passages")
+
+
 def op6_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
 
@@ -36,12 +42,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", *(F.col(f"mix_{c}").alias(c) for c in ("phase", "block", "slot", "release", "deadline", "position")))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER_PATH)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op5_toxicity_segments, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op9_quality_classifier, op10_best_fit_packing)}
 
 
 ORACLE_SQL = {
