@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from groundmesh.llm import fingerprints, licenses, mixing, neardup, packing, quality, topk, toxicity, warc
+from groundmesh.llm import fingerprints, licenses, mixing, neardup, packing, quality, suffixtree, topk, toxicity, warc
 from groundmesh.llm.common import read_table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -55,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_minhash_near_dedup, op5_toxicity_segments, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op9_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_minhash_near_dedup, op4_suffix_tree_scores, op5_toxicity_segments, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op9_quality_classifier, op10_best_fit_packing)}
 
 
 ORACLE_SQL = {
