@@ -43,7 +43,7 @@ def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Co
 
     Rows of a key fall into buckets by the hash of ``spread``; they are numbered inside (key, bucket), and the
     bucket's offset (running sum over the few bucket counts of the key) is added. Numbers are gapless; equal rows
-    get neighbouring numbers in no fixed order.
+    get neighbouring numbers in no fixed order. Keys must not be null: the join then uses the window's own partitioning.
     """
     buckets = max(1, -(-total_rows // NUMBERING_CELL_ROWS)) * 4
     cell = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)))
@@ -51,9 +51,4 @@ def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Co
     numbered = cell.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = cell.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    same = [numbered[k].eqNullSafe(offsets[k]) for k in by]
-    on = same[0]
-    for extra in same[1:]:
-        on = on & extra
-    kept = [numbered[c] for c in df.columns]
-    return numbered.join(offsets, on).select(*kept, (numbered["_n"] + offsets["_offset"]).cast("long").alias(name))
+    return numbered.join(offsets, by).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))

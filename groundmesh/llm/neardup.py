@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmesh.llm.common import materialize
@@ -287,6 +288,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, of one document per component; rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs, all columns kept, of one document per component; rows with a null doc_id stay.
+
+    Of rows that repeat a doc_id, the one with the smallest text stays.
+    """
+    gone = materialize(near_duplicates(docs).select("doc_id", "kept"), "decided")
+    dropped = gone.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(dropped, docs["doc_id"].cast("long") == dropped["_gone"], "left_anti")
+    repeated = gone.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    if not repeated.limit(1).count():
+        return kept
+    same = kept["doc_id"].cast("long") == repeated["_again"]
+    rows = kept.join(repeated, same, "left_semi").select(F.struct(*kept.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("text"))).where("n = 1").select(*(F.col("row")[c].alias(c) for c in kept.columns))
+    return kept.join(repeated, same, "left_anti").unionByName(first)

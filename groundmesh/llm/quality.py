@@ -182,6 +182,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
 def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs, all columns kept, that the classifier keeps."""
     model = fit(docs, labels)
-    at_path = F.concat_ws("/", F.col(host), F.col(path))
-    sites = materialize(site_posteriors(site_sums(with_evidence(docs.select(host, path, "text"), model, keep_text=False), F.col(host), at_path)), "sites")
-    return decide(with_evidence(docs, model, keep_text=True), sites, F.col(host), at_path).where("keep").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"), F.col("text").cast("string").alias("text"))
+    sites = materialize(site_posteriors(site_sums(with_evidence(rows.drop("row"), model, keep_text=False), F.col("host"), F.col("path"))), "sites")
+    kept = decide(with_evidence(rows, model, keep_text=False), sites, F.col("host"), F.col("path")).where("keep")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
