@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import shuffle_partitions
+from groundmesh.llm.common import shuffle_partitions, small_batches
 
 K = 8
 HASHES = 32
@@ -155,7 +155,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    return dealt.select("bucket", "doc_id", "text", "tail").mapInArrow(compare, NEIGHBOURS)
+    return small_batches(dealt).select("bucket", "doc_id", "text", "tail").mapInArrow(compare, NEIGHBOURS)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

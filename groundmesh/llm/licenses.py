@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundmesh.llm.common import small_batches
+
 #: Base phrases and their labels. They count wherever their words stand consecutively.
 BASE_PHRASES = {
     "gpl": "gnu general public license",
@@ -154,7 +156,7 @@ class RareTokenIndex:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: counts and places of base phrases, labels, best score and the method's spans."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = frozenset(w for t in templates() for w in t.words)
     counts, total = word_frequencies(docs, vocabulary)
     idf = {w: math.log((total + 1) / (n + 1)) + 1e-3 for w, n in counts.items()}

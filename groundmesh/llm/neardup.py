@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize
+from groundmesh.llm.common import materialize, shuffle_partitions, small_batches
 from groundmesh.llm.graph import components
 
 WORDS = 5
@@ -99,7 +99,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     signed.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def least_matches(threshold: float = SIMILARITY[0] / SIMILARITY[1], miss: float = MISS) -> dict[int, int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize
+from groundmesh.llm.common import materialize, small_batches
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 BROADCAST_SITES = 100_000
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
             values = [list(features(t)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch["_label"]], names=["x", "label"])
 
-    got = sample.select("text", "_label").mapInArrow(measure, "x array<double>, label int").collect()
+    got = small_batches(sample).select("text", "_label").mapInArrow(measure, "x array<double>, label int").collect()
     y = np.array([r["label"] for r in got], dtype=float)
     k = len(FEATURES)
     if not len(y) or y.min() == y.max():
@@ -122,7 +122,7 @@ def with_evidence(docs: DataFrame, model: QualityModel, keep_text: bool) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(odds, pa.float64())], names=[*names, "_evidence"])
 
     schema = docs.select(*names).withColumn("_evidence", F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def site_sums(evidence: DataFrame, host: Column, path: Column) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundmesh.llm.common import small_batches
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 PREFIXES = range(3, 9)
@@ -133,7 +134,7 @@ def node_counts(sample: DataFrame) -> DataFrame:
                 part = names[at : at + 50_000]
                 yield pa.RecordBatch.from_pydict({"node": part, "toxic": [held[n][1] for n in part], "clean": [held[n][0] for n in part]})
 
-    rows = sample.select("text", "_label").mapInArrow(count, "node string, toxic long, clean long")
+    rows = small_batches(sample).select("text", "_label").mapInArrow(count, "node string, toxic long, clean long")
     return rows.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -222,7 +223,7 @@ def score(docs: DataFrame, model: ToxicityModel, held_out_mod: int = HELD_OUT_MO
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "held_out", "score", "predicted", "evidence", "n_passages", "passages"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % held_out_mod == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
 
 
 def clean_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -236,4 +237,4 @@ def clean_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             keep = [model.probability(model.evidence(*model.passages(t))) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
