@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     sample = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "toxic", held_out_mod, rows)
     sizes = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    share = (toxic + 0.5) / (toxic + clean + 1)
+    share = (toxic + 0.5) / (toxic + clean + 2)  # below a half without labels
     nothing = ToxicityModel({}, LEAST_BACKGROUND, 1.0, 1.0, (math.log(share / (1 - share)), 0.0))
     if not toxic or not clean:
         return nothing
