@@ -5,14 +5,14 @@
 2. Representatives that agree in one of BANDS bands of ROWS values share a bucket. A pair at the threshold shares none
    with chance (1 - 0.75**ROWS)**BANDS, about 6e-5.
 3. Every bucket has a leader, a different one in every bucket, and each member is a candidate with its leader: linear
-   in the bucket. Candidates are compared in batches of signature values; after n values with m matches, the posterior
+   in the bucket. The first FIRST_BANDS bands come first, then all bands with one member per component and bucket. Candidates are compared in batches of signature values; after n values with m matches, the posterior
    of the similarity under a uniform prior is Beta(m + 1, n - m + 1), and a pair goes as soon as the chance of
    reaching the threshold is below MISS.
-4. Survivors are verified on their full sets, the best candidate of each member first, then those between the
-   components still apart. Pairs inside a component need no verification.
-5. Buckets that still hold several components are compared member by member across components, in blocks, inside tasks;
-   only pairs that pass the Bayesian bound leave a task, the best few of a document and component first, until
-   no such pair is left. So no pair of a bucket is dropped, and none is emitted for its own sake.
+4. Survivors are verified on their full sets, the best candidate of each node first. Pairs inside a component need no
+   verification.
+5. Buckets that still hold several components are compared member by member across components, in blocks, inside tasks:
+   first on signatures, then on the full sets of the documents that a pair within the bound has left. A task gives one link
+   for each two components it joins. So no pair of a bucket is dropped, and none is emitted for its own sake.
 
 Links, classes and components stay distributed. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than five
 words the whole sequence is the one shingle.
@@ -25,10 +25,9 @@ of the graph; an empty table gives an empty result; extra columns are not read b
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,10 +41,12 @@ WORDS = 5
 ROWS = 5
 BANDS = 36
 HASHES = ROWS * BANDS
+FIRST_BANDS = 4
 BATCH = 30
 SIMILARITY = (75, 100)  # intersection over union, as a fraction
-MISS = 1e-6
+MISS = 1e-4
 BLOCK = 1024
+STEP = 64
 BROADCAST_IDS = 1_000_000
 SIGNED = "doc_id long, n_shingles long, hi long, lo long, signature binary"
 
@@ -117,20 +118,20 @@ def least_matches(threshold: float = SIMILARITY[0] / SIMILARITY[1], miss: float
     return table
 
 
-def compare(a: np.ndarray, b: np.ndarray, table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two signature matrices, batch by batch: which survive, and their matches."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int32)
+def compare(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of signatures a against rows j of b, batch by batch: which pairs survive, and the matches of all."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), dtype=np.int32)
     for n in range(BATCH, HASHES + 1, BATCH):
         part = slice(n - BATCH, n)
-        matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1, dtype=np.int32)
+        matches[alive] += (a[:, part][i[alive]] == b[:, part][j[alive]]).sum(axis=1, dtype=np.int32)
         alive = alive[matches[alive] >= table[n]]
         if not len(alive):
             break
     return alive, matches
 
 
-def matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), dtype="<u2").reshape(-1, HASHES)
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, HASHES)
 
 
 def bayes(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -140,7 +141,8 @@ def bayes(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                alive, matches = compare(matrix(batch["su"]), matrix(batch["sv"]), table)
+                every = np.arange(batch.num_rows)
+                alive, matches = compare(matrix(batch["su"]), every, matrix(batch["sv"]), every, table)
                 yield pa.RecordBatch.from_arrays([batch["u"].take(pa.array(alive)), batch["v"].take(pa.array(alive)), pa.array(matches[alive])], names=["u", "v", "matches"])
 
     left = signatures.select(F.col("doc_id").alias("u"), F.col("signature").alias("su"))
@@ -148,10 +150,9 @@ def bayes(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, matches int")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (u, v) whose full shingle sets reach the similarity. Only texts named in a pair are shuffled."""
-    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
-    ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "ids")
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, found: the full shingle sets of the documents named. Only their texts are shuffled, and none while ids are few."""
+    ids = materialize(ids, "ids")
     named = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +160,14 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMI
             sets = [shingles(t.as_py()).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "found"])
 
+    return materialize(small_batches(named).select("doc_id", "text").mapInArrow(gather, "doc_id long, found binary"), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Pairs (u, v) whose full shingle sets reach the similarity."""
+    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
+    sets = full_sets(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), docs)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above, below = similarity
         for batch in batches:
@@ -169,118 +178,149 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMI
                 keep.append(below * common >= above * (len(x) + len(y) - common) > 0)
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = materialize(named.select("doc_id", "text").mapInArrow(gather, "doc_id long, found binary"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("found").alias("fu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("found").alias("fv")), "v")
     return both.select("u", "v", "fu", "fv").mapInArrow(check, "u long, v long")
 
 
-def with_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs plus the components cu and cv of their ends; a node without link is its own."""
-    cu, cv = nodes.select(F.col("node").alias("u"), F.col("component").alias("cu")), nodes.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    joined = pairs.join(cu, "u", "left").join(cv, "v", "left")
-    return joined.withColumn("cu", F.coalesce("cu", "u")).withColumn("cv", F.coalesce("cv", "v")).where("cu <> cv")
+def band_keys(signatures: DataFrame, bands: range) -> DataFrame:
+    """doc_id, key: one row per band."""
+    width = ROWS * 2
+    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in bands))
+    return signatures.select("doc_id", F.explode(keys).alias("key"))
 
 
-def across(members: DataFrame, signatures: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
-    """Buckets with several components: per document and other component, the ``top`` best pairs that pass the bound.
+def stars(rows: DataFrame, node: str) -> DataFrame:
+    """Pairs (u, v) of every bucket's leader with its other members: the smallest node in an order of the bucket's own."""
+    mask = F.xxhash64("key", F.lit(17))
+    leaders = rows.groupBy("key").agg(F.min(F.col(node).bitwiseXOR(mask)).alias("a"), F.max(F.col(node).bitwiseXOR(mask)).alias("b")).where("a <> b")
+    members = rows.join(leaders.select("key", F.col("a").bitwiseXOR(mask).alias("leader")), "key").where(F.col(node) != F.col("leader"))
+    return members.select(F.least(node, "leader").alias("u"), F.greatest(node, "leader").alias("v")).distinct()
+
+
+def labelled(signatures: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, key, component of every band; a representative without link is its own component."""
+    own = nodes.select(F.col("node").alias("doc_id"), "component")
+    known = signatures.join(own, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return band_keys(known, range(BANDS)).join(known.select("doc_id", "component"), "doc_id")
+
 
-    (u, v, matches, more): more says that a pair was left for a later call. Members of a bucket are dealt into blocks,
-    and each pair of blocks is one group, so a group holds at most about 2 * BLOCK signatures.
+def grouped(rows: DataFrame, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply ``run`` to whole (key, first, second) groups, a few at a time: rows are dealt and sorted by group, and a batch's
+    last group waits for the next batch."""
+    order = ["key", "first", "second"]
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        keys = np.column_stack([table[c].to_numpy() for c in order])
+        return np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            at = [0, *cuts(held).tolist()]
+            for x, y in zip(at, at[1:], strict=False):
+                yield from run(held.slice(x, y - x).combine_chunks())
+            held = held.slice(at[-1])
+        if held is not None and held.num_rows:
+            yield from run(held.combine_chunks())
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    return small_batches(dealt).mapInArrow(stream, schema)
+
+
+def across(signatures: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Links (u, v) between components that share a bucket: every such pair of documents is compared, inside tasks.
+
+    Members of a bucket are dealt into blocks, and each pair of blocks is one group. First the groups are run on
+    signatures: documents without a pair that passes the Bayesian bound leave. Then the others' full sets are compared; of
+    the links found, a group gives one per pair of components it joins, so no pair is emitted for its own sake.
     """
-    labelled = members.select("key", "doc_id").join(nodes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-    rows = labelled.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(signatures.select("doc_id", "signature"), "doc_id")
+    rows = labelled(signatures, nodes)
+    mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    rows = rows.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(signatures.select("doc_id", "signature"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).alias("side"), "doc_id", "component", "signature")
-    table = least_matches()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        values, ids, label = matrix(group["signature"]), group["doc_id"].to_numpy(), group["component"].to_numpy()
-        crossing = group["first"].iloc[0] != group["second"].iloc[0]
-        side = group["side"].to_numpy()
+    table, (above, below) = least_matches(), similarity
+    kept = ["key", "first", "second", "side", "doc_id", "component"]
+
+    def bounded(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, label, side = (group[c].to_numpy() for c in ("doc_id", "component", "side"))
+        if len(ids) < 2 or (label == label[0]).all():
+            return
+        crossing = group["first"][0].as_py() != group["second"][0].as_py()
+        values, some = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype="<u2").reshape(-1, HASHES), np.zeros(len(ids), dtype=bool)
+        for at in range(0, len(ids), STEP):
+            i, j = np.meshgrid(np.arange(at, min(at + STEP, len(ids))), np.arange(len(ids)), indexing="ij")
+            wanted = (label[i] != label[j]) & (~side[i] & side[j] if crossing else ids[i] < ids[j])
+            i, j = i[wanted], j[wanted]
+            alive, _ = compare(values, i, values, j, table)
+            some[i[alive]] = some[j[alive]] = True
+        if some.any():
+            yield from group.select(kept).filter(pa.array(some)).to_batches()
+
+    def exact(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, label, side = group["doc_id"].to_numpy(), group["component"].to_numpy().copy(), group["side"].to_numpy()
+        crossing = group["first"][0].as_py() != group["second"][0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["found"]]
+        sizes = np.array([len(x) for x in sets])
+        every, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out = []
         for i in range(len(ids)):
-            others = np.flatnonzero((label != label[i]) & ((side != side[i]) if crossing else (ids > ids[i])))
-            others = others[ids[others] > ids[i]] if not crossing else others[~side[i] & side[others]]
+            others = np.flatnonzero((label != label[i]) & (~side[i] & side if crossing else ids > ids[i]))
             if not len(others):
                 continue
-            alive, matches = compare(values[others], np.broadcast_to(values[i], (len(others), HASHES)), table)
-            if len(alive):
-                out.append(pd.DataFrame({"u": ids[i], "v": ids[others[alive]], "cu": label[i], "cv": label[others[alive]], "matches": matches[alive]}))
-        if not out:
-            return pd.DataFrame({"u": [], "v": [], "matches": [], "more": []}).astype({"u": "int64", "v": "int64", "matches": "int32", "more": "bool"})
-        found = pd.concat(out).sort_values(["matches", "u", "v"], ascending=[False, True, True])
-        rank = np.minimum(found.groupby(["u", "cv"]).cumcount(), found.groupby(["v", "cu"]).cumcount())
-        found["more"] = len(found) > (rank < top).sum()
-        return found.loc[rank < top, ["u", "v", "matches", "more"]]
+            at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
+            common = np.add.reduceat((sets[i][at] == every).astype(np.int64), begin)[others]
+            for j in others[below * common >= above * (sizes[i] + sizes[others] - common)]:
+                if label[j] != label[i]:  # one link for each component that is met
+                    out.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
-    return rows.groupBy("key", "first", "second").applyInPandas(run, "u long, v long, matches int, more boolean")
+    passed = materialize(grouped(rows, bounded, "key long, first int, second int, side boolean, doc_id long, component long"), "across")
+    sets = full_sets(passed.select("doc_id").distinct(), docs)
+    return grouped(passed.join(sets, "doc_id").select(*kept, "found"), exact, "u long, v long")
 
 
 def link(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, nodes): hi, lo, n_shingles -> representative; representative -> component, where it has links."""
     real = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(real.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
+    classes = materialize(real.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     same = (real["doc_id"] == classes["rep"]) & (real["hi"] == classes["hi"]) & (real["lo"] == classes["lo"])
     signatures = materialize(real.join(classes, same).select(real["doc_id"], real["hi"], "signature").dropDuplicates(["doc_id", "hi"]).drop("hi"), "signatures")
-    width = ROWS * 2
-    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)))
-    banded = signatures.select("doc_id", F.explode(keys).alias("key"))
-    # the leader is the smallest doc_id in an order that differs from bucket to bucket
-    mask = F.xxhash64("key", F.lit(17))
-    leaders = banded.groupBy("key").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("a"), F.max(F.col("doc_id").bitwiseXOR(mask)).alias("b")).where("a <> b")
-    members = materialize(banded.join(leaders.select("key", F.col("a").bitwiseXOR(mask).alias("leader")), "key"), "members")
-    stars = members.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v"), "doc_id").distinct()
-    pairs = materialize(stars.select("u", "v").distinct(), "candidates")
+
+    # a few bands give every node its first candidates; the best of each is verified first
+    pairs = materialize(stars(band_keys(signatures, range(FIRST_BANDS)), "doc_id"), "candidates")
     passed = materialize(bayes(pairs, signatures), "passed")
+    mark = lambda *by: F.col("matches").cast("long") * (1 << 20) + F.pmod(F.xxhash64(*by), F.lit(1 << 20))
+    ends = passed.select(F.col("u").alias("node"), F.col("v").alias("to"), "matches").union(passed.select("v", "u", "matches")).withColumn("mark", mark("to"))
+    first = ends.join(ends.groupBy("node").agg(F.max("mark").alias("mark")), ["node", "mark"]).select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v"))
+    tested = materialize(first.distinct(), "tested")
+    links = materialize(verify(tested, docs), "links")
+    nodes = components(links)
 
-    # the best candidate of every node first
-    ends = passed.select(F.col("u").alias("node"), F.col("v").alias("to"), "matches").union(passed.select("v", "u", "matches"))
-    best = ends.groupBy("node").agg(F.max(F.col("matches").cast("long") * (1 << 20) + F.pmod(F.xxhash64("to"), F.lit(1 << 20))).alias("mark"))
-    marked = ends.withColumn("mark", F.col("matches").cast("long") * (1 << 20) + F.pmod(F.xxhash64("to"), F.lit(1 << 20)))
-    first = marked.join(best, ["node", "mark"]).select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v"))
-    links = materialize(verify(first, docs), "links")
-    tested = first.select("u", "v")
+    # all bands, one member of each component in a bucket
+    mask = F.xxhash64("key", F.lit(17))
+    members = labelled(signatures, nodes).groupBy("key", "component").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("m")).select("key", F.col("m").bitwiseXOR(mask).alias("doc_id"))
+    fresh = materialize(stars(members, "doc_id").join(tested, ["u", "v"], "left_anti"), "candidates")
+    fresh = materialize(bayes(fresh, signatures).select("u", "v"), "passed")
+    tested = materialize(tested.union(fresh), "tested")
+    links = materialize(links.union(verify(fresh, docs)), "links")
     nodes = components(links)
-    # then the best between components still apart, then the others between components
-    apart = with_components(passed, nodes).select("u", "v", "matches", F.least("cu", "cv").alias("ca"), F.greatest("cu", "cv").alias("cb"))
-    apart = materialize(apart.join(materialize(tested.distinct(), "tested"), ["u", "v"], "left_anti"), "apart")
-    if apart.limit(1).count():
-        mark = F.col("matches").cast("long") * (1 << 20) + F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20))
-        top = apart.groupBy("ca", "cb").agg(F.max(mark).alias("mark"))
-        second = materialize(apart.withColumn("mark", mark).join(top, ["ca", "cb", "mark"]).select("u", "v"), "second")
-        links = materialize(links.union(verify(second, docs)), "links")
-        nodes = components(links)
-        rest = with_components(apart.join(second, ["u", "v"], "left_anti").select("u", "v"), nodes).select("u", "v")
-        rest = materialize(rest, "rest")
-        if rest.limit(1).count():
-            links = materialize(links.union(verify(rest, docs)), "links")
-            nodes = components(links)
+
     # last, members of a bucket that were not compared with each other
-    done = passed.select("u", "v")
-    top = 4
-    while True:
-        found = materialize(across(members, signatures, nodes, top).withColumn("lo", F.least("u", "v")).withColumn("hi", F.greatest("u", "v")).select(F.col("lo").alias("u"), F.col("hi").alias("v"), "more"), "across")
-        fresh = materialize(found.select("u", "v").distinct().join(done.distinct(), ["u", "v"], "left_anti"), "fresh")
-        more = found.where("more").limit(1).count()
-        if fresh.limit(1).count():
-            links = materialize(links.union(verify(fresh, docs)), "links")
-            nodes = components(links)
-            done = materialize(done.union(fresh), "done")
-        elif not more:
-            break
-        if not more:
-            break
-        top *= 8
-    return classes, nodes
+    links = materialize(links.union(across(signatures, nodes, docs)), "links")
+    return classes, components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(sign(rows), "signed")
-    classes, nodes = link(signed.drop("row"), rows)
+    classes, nodes = link(signed, rows)
     of_class = classes.join(nodes, classes["rep"] == nodes["node"], "left").select("n_shingles", "hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     joined = signed.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["n_shingles", "hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
