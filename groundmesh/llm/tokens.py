@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 500_000
 JOINED_WORDS = 2000
 #: White space to str.split() but not to the tokenizer: texts with them go through the tokenizer as they are.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -66,7 +66,16 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         words: dict[str, int] = {}
         pieces = []
         for chunk in chunks:
-            found = parts.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+            if not chunk.isascii():
+                chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+            # letters alone, or with one stop at their end, need no splitter
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                found = [chunk]
+            elif chunk[-1] in ".," and chunk[:-1].isalpha():
+                found = [chunk[:-1], chunk[-1]]
+            else:
+                found = parts.findall(chunk)
             pieces.append([words.setdefault(w, len(words)) for w in found])
         plain = [w.encode("utf-8").decode("latin-1").translate(letters) for w in words]
         joined = [" ".join(plain[i : i + JOINED_WORDS]) for i in range(0, len(plain), JOINED_WORDS)]
@@ -87,11 +96,10 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         cache.update((c, at + i) for i, c in enumerate(chunks))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
+        room = len(cache) < CACHED_CHUNKS
         odd = {i for i, t in enumerate(texts) if SEPARATORS.search(t)}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        fresh = list(dict.fromkeys(c for chunks in split for c in chunks if c not in cache))
+        fresh = list(set().union(*split).difference(cache))
         if fresh:
             learn(fresh)
         flat, starts, out = store["flat"], store["starts"], []
@@ -101,6 +109,9 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
                 continue
             places = np.fromiter(map(cache.__getitem__, chunks), dtype=np.int64, count=len(chunks))
             out.append(gather(flat, starts[places], starts[places + 1] - starts[places]))
+        if not room:  # the cache is full: what was new stays for this call only
+            for chunk in fresh:
+                del cache[chunk]
         return out
 
     return encode
