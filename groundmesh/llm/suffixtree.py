@@ -2,17 +2,18 @@
 
 Symbols are the distinct training words, the text's end, and one symbol for every unknown word. The root
 distribution discounts every count by a Good-Turing estimate D = n1 / (n1 + 2 n2) and leaves the discounted mass to the
-unknown word. A state is a context of one word, or of two where the nearer word is among the HOT_WORDS most frequent,
-which tell little alone. A context is retained when its next-symbol distribution, each training token left out in turn,
-diverges from the root's by at least DIVERGENCE nats in sum. Its next symbols have discounted counts, the rest of the
-mass going to the root's distribution; a token is scored in the longest retained state that is a suffix of what
-comes before it, else at the root.
+unknown word. Every kept word is a candidate state, and so is every pair of them under its nearer word. A state is
+retained when its next-symbol distribution, each training token left out in turn, diverges from that of its longest
+retained suffix (the root if there is none) by at least DIVERGENCE nats in sum. Its next symbols have discounted counts,
+the rest of the mass going to the suffix's distribution; a token is scored in the longest retained state that is a
+suffix of what comes before it, else at the root.
 
 Counting and scoring cover all documents. Words are counted in hash-partitioned blocks. At most KEPT_WORDS of the words seen
 twice or more (the most frequent ones) are broadcast as two number arrays; all other words form one class of next symbols
-whose members keep their root probabilities, found in a shuffle of their occurrences. Tokens in a candidate context are
-dealt by context, so that a task finds counts, the test and the scores of its contexts together, and sends back sums
-per document only.
+whose members keep their root probabilities, found in a shuffle of their occurrences. Tokens are dealt by the word
+before them, so that a task finds counts, tests and scores of its contexts together, and sends back sums per document
+only. A word that would fill a slice (at most HOT_WORDS of them) is dealt over several, by the word before it; its own
+next symbols reach each of these as partial counts. Where tokens are dealt to does not change a score.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, known by 64-bit hashes. The base model's probability of a token is
 (c + 1) / (N + V + 1).
@@ -233,11 +234,26 @@ def vocabulary(counted: DataFrame, kept_words: int = KEPT_WORDS, hot_words: int
     return Vocabulary(words, counts, hot, tokens, distinct, discount)
 
 
-WORD_BITS, HOT_BITS = 22, 14
+WORD_BITS = 21
+WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 
 
-def entries(found: list[np.ndarray], held: list[bool], first: int, v: Vocabulary) -> tuple:
-    """Sums per document over kept words; (hash, row) of all other tokens; (context and next, row) of tokens in a candidate context."""
+def parts_of(v: Vocabulary, bits: int) -> np.ndarray:
+    """Slices that the tokens after each kept word are dealt over, by 1 + its place; more than one for hot words only."""
+    share = v.counts * (1 << bits) // max(1, v.tokens)
+    return np.concatenate([[1], np.where(v.hot > 0, 1 + share, 1)]).astype(np.uint64)
+
+
+def slice_hash(word: np.ndarray, part: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return scramble(word << np.uint64(WORD_BITS) | part)
+
+
+def entries(found: list[np.ndarray], held: list[bool], first: int, v: Vocabulary, parts: np.ndarray) -> tuple:
+    """Sums per document over kept words; (hash, row) of all other tokens; (words, row, slice) of tokens after a kept word; pairs of training tokens after words of several slices.
+
+    Words are the nearer one, the one before it (0: none, or not kept) and the token.
+    """
     h = np.concatenate(found)
     sizes = np.array([len(f) for f in found])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -250,25 +266,39 @@ def entries(found: list[np.ndarray], held: list[bool], first: int, v: Vocabulary
     known = at > 0
     sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), np.where(known, v.base(c), 0.0), np.where(known, v.root(c), 0.0))]
     rare = np.flatnonzero(~known)
-    hot = np.where(known, v.hot[np.maximum(at, 1) - 1] if len(v.hot) else 0, 0)
-    one, two = np.roll(at, 1), np.roll(at, 2)
-    hot_one, hot_two = np.roll(hot, 1), np.roll(hot, 2)
-    short = (nth >= 1) & (one > 0) & (hot_one == 0)
-    long = (nth >= 2) & (hot_one > 0) & (two > 0) & (hot_two == 0)
-    context = np.where(short, one << HOT_BITS, np.where(long, two << HOT_BITS | hot_one, 0))
-    inside = np.flatnonzero(context)
-    keys = (context[inside] << WORD_BITS | at[inside]).astype(np.uint64)
-    return sizes, sums, (h[rare], mark[rare]), (keys, mark[inside])
-
-
-def score_contexts(keys: np.ndarray, train: np.ndarray, v: Vocabulary, divergence: float) -> np.ndarray:
-    """log10 of P(next | context) / P(next | root) for entries sorted by key; 0 where the context is not retained."""
-    symbol, context = (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), keys >> np.uint64(WORD_BITS)
+    inside = np.flatnonzero((nth >= 1) & (np.roll(at, 1) > 0))
+    word, nearer = at[inside].astype(np.uint64), at[inside - 1].astype(np.uint64)
+    farther = np.where(nth[inside] >= 2, np.roll(at, 2)[inside], 0).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        part = scramble(np.where(farther > 0, farther, word)) % parts[nearer]
+    shift = np.uint64(WORD_BITS)
+    keys = (nearer << shift | farther) << shift | word
+    several = (parts[nearer] > 1) & train[row[inside]]
+    return sizes, sums, (h[rare], mark[rare]), (keys, mark[inside], slice_hash(nearer, part)), (nearer << shift | word)[several]
+
+
+def dealt_pairs(pairs: list[np.ndarray], bits: int, parts: np.ndarray) -> Iterator[tuple]:
+    """Blocks (kind 4) of partial counts of (word, next), to every slice that the word is dealt over."""
+    keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    many = parts[keys >> np.uint64(WORD_BITS)].astype(np.int64)
+    part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    keys, counts = np.repeat(keys, many), np.repeat(counts.astype(np.uint32), many)
+    yield from dealt(4, 0, slice_hash(keys >> np.uint64(WORD_BITS), part.astype(np.uint64)), bits, keys, counts)
+
+
+def score_contexts(keys: np.ndarray, train: np.ndarray, v: Vocabulary, divergence: float, suffix: np.ndarray | None = None) -> np.ndarray:
+    """log10 of P(next | longest retained state) / P(next | root) for entries sorted by key.
+
+    train: how many training tokens an entry stands for. suffix: the same figure of the context's suffix, by entry; None: the root.
+    """
+    symbol, context = (keys & WORD_MASK).astype(np.int64), keys >> np.uint64(WORD_BITS)
     rest = max(1e-12, 1 - float((v.counts - v.discount).sum()) / max(1, v.tokens))
-    root = np.where(symbol > 0, (v.counts[np.maximum(symbol, 1) - 1] - v.discount) / max(1, v.tokens), rest)
     pair = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     c = np.add.reduceat(train.astype(np.int64), pair)
-    of_pair, p = context[pair], root[pair]
+    of_pair, symbol = context[pair], symbol[pair]
+    root = np.where(symbol > 0, (v.counts[np.maximum(symbol, 1) - 1] - v.discount) / max(1, v.tokens), rest)
+    back = np.zeros(len(pair)) if suffix is None else suffix[pair]
+    p = root * 10**back
     begin = np.flatnonzero(np.concatenate([[True], of_pair[1:] != of_pair[:-1]]))
     group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(pair)]])))
     total, kinds = np.add.reduceat(c, begin)[group], np.add.reduceat((c > 0).astype(np.int64), begin)[group]
@@ -277,10 +307,28 @@ def score_contexts(keys: np.ndarray, train: np.ndarray, v: Vocabulary, divergenc
         without = (np.maximum(c - 1 - d, 0) + d * (kinds - (c == 1)) * p) / (total - 1)
         parts = np.where((c > 0) & (total > 1), c * np.log(np.maximum(without, 1e-300) / p), 0.0)
         kept = (np.add.reduceat(parts, begin) >= divergence)[group] & (total > 1)
-        gain = np.where(kept, np.log10((np.maximum(c - d, 0) + d * kinds * p) / total / p), 0.0)
+        gain = np.where(kept, np.log10((np.maximum(c - d, 0) + d * kinds * p) / total / root), back)
     return np.repeat(gain, np.diff(np.concatenate([pair, [len(keys)]])))
 
 
+def score_tokens(keys: np.ndarray, train: np.ndarray, pairs: np.ndarray, counts: np.ndarray, v: Vocabulary, parts: np.ndarray, divergence: float) -> np.ndarray:
+    """The gain over the root of tokens sorted by key (nearer, farther, next); pairs: partial counts after words of several slices."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    unique, many = keys[first], np.add.reduceat(train.astype(np.int64), first)
+    shift = np.uint64(WORD_BITS)
+    nearer = unique >> shift + shift
+    short = np.concatenate([nearer << shift | unique & WORD_MASK, pairs])
+    seen = np.concatenate([np.where(parts[nearer] > 1, 0, many), counts])
+    order = np.argsort(short, kind="stable")
+    one = np.empty(len(short))
+    one[order] = score_contexts(short[order], seen[order], v, divergence)
+    gain = one[: len(unique)]
+    two = np.flatnonzero(unique >> shift & WORD_MASK)
+    if len(two):
+        gain[two] = score_contexts(unique[two], many[two], v, divergence, gain[two])
+    return np.repeat(gain, np.diff(np.concatenate([first, [len(keys)]])))
+
+
 def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, kept_words: int = KEPT_WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -293,16 +341,23 @@ def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, kept_words:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, base, done = shared.value, TaskContext.get().partitionId() << 31, 0
+        parts = parts_of(v, bits)
+        waiting: list[np.ndarray] = []
         for ids, out, found in steps(batches):
-            sizes, sums, (h, h_row), (keys, k_row) = entries(found, out, done, v)
+            sizes, sums, (h, h_row), (keys, k_row, where), pairs = entries(found, out, done, v, parts)
             rows = list(dealt(1, base, h, bits, h, h_row))
-            with np.errstate(over="ignore"):
-                rows += dealt(2, base, scramble(keys >> np.uint64(WORD_BITS)), bits, keys, k_row)
+            rows += dealt(2, base, where, bits, keys, k_row)
+            waiting.append(pairs)
+            if sum(map(len, waiting)) >= 10 * STEP_TOKENS:
+                rows += dealt_pairs(waiting, bits, parts)
+                waiting = []
             numbers = np.arange(base + done, base + done + len(ids))
             whole = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(ids, pa.int64()), pa.array(out), pa.array(sizes), *(pa.array(s) for s in sums), pa.array(np.zeros(len(ids)))], schema=SUM_SCHEMA)
             rows.append(((base >> 31) + done & (1 << bits) - 1, 0, base, packed(pa.Table.from_batches([whole])), b""))
             done += len(ids)
             yield batch_of(rows, BLOCK_SCHEMA)
+        if waiting:
+            yield batch_of(list(dealt_pairs(waiting, bits, parts)), BLOCK_SCHEMA)
 
     def to_documents(base: int, uid: np.ndarray, sums: np.ndarray) -> Iterator[tuple]:
         """Blocks (kind 3) of partial sums by row, dealt by row: few blocks however many rows."""
@@ -311,6 +366,7 @@ def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, kept_words:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        parts = parts_of(v, bits)
         for _, rows in by_slice(batches):
             out: list[tuple] = []
             for _, base, keys, _ in (r for r in rows if r[0] == 0):
@@ -334,7 +390,9 @@ def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, kept_words:
                     c = np.repeat(np.add.reduceat(train.astype(np.int64), first), np.diff(np.concatenate([first, [len(keys)]])))
                     values[:, 0], values[:, 1], values[:, 2] = c > 0, v.base(c), v.root(c)
                 else:
-                    values[:, 3] = score_contexts(keys, train, v, divergence)
+                    seen = [r for r in rows if r[0] == 4]
+                    pairs, counts = np.frombuffer(b"".join(r[2] for r in seen), np.uint64), np.frombuffer(b"".join(r[3] for r in seen), np.uint32)
+                    values[:, 3] = score_tokens(keys, train, pairs, counts, v, parts, divergence)
                     uid, values = uid[values[:, 3] != 0], values[values[:, 3] != 0]
                 if len(uid):
                     out += to_documents(0, *summed(uid, values))

@@ -155,6 +155,48 @@ def test_suffix_tree_distributions_sum_to_one():
     assert sum(root[k] * 10 ** by[s] for k, s in enumerate(symbols)) == pytest.approx(1.0)
 
 
+def test_suffix_tree_backs_off_to_the_longest_retained_suffix(spark):
+    rng = random.Random(3)
+    common = ["the", "of", "and", "to"]
+    texts = []
+    for i in range(80):
+        words = rng.choices([*common, *(f"w{k}" for k in range(25))], k=30)
+        for _ in range(6):
+            words += rng.choice([["of", "the", "sea"], ["the", "land"], ["w1", "w2", "w3"], ["to", "w2", "w4"]])
+        texts.append((i, " ".join(words)))
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    runs = {i: [*t.split(), "\0"] for i, t in texts}
+    after = defaultdict(Counter)
+    for i, w in runs.items():
+        if not out(i):
+            for k in range(len(w)):
+                for n in range(min(k, 2) + 1):
+                    after[tuple(w[k - n : k])][w[k]] += 1
+    c, n = after[()], sum(after[()].values())
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
+    assert min(c.values()) >= 2
+    rest, memo = 1 - sum(x - d for x in c.values()) / n, {}
+
+    def chance(state, w):
+        """P(w | state), and whether the state itself is retained."""
+        if not state:
+            return ((c[w] - d) / n if c[w] else rest), True
+        seen = after[state]
+        total, kinds = sum(seen.values()), len(seen)
+        if state not in memo:
+            lower = {x: chance(state[1:], x)[0] for x in seen}
+            memo[state] = total > 1 and sum(m * np.log(max((max(m - 1 - d, 0) + d * (kinds - (m == 1)) * lower[x]) / (total - 1), 1e-300) / lower[x]) for x, m in seen.items()) >= suffixtree.DIVERGENCE
+        p = chance(state[1:], w)[0]
+        return ((max(seen[w] - d, 0) + d * kinds * p) / total, True) if memo[state] else (p, False)
+
+    want = {i: sum(np.log10(chance(tuple(w[max(0, k - 2) : k]), w[k])[0]) for k in range(len(w))) for i, w in runs.items()}
+    assert memo["of", "the"] and memo["the",] and memo["w2",] and not all(memo.values())
+    for hot in (0, 3, 8000):  # spreading hot words must not change a score
+        got = {r.doc_id: r.score for r in suffixtree.score_documents(documents(spark, texts), hot_words=hot).collect()}
+        assert got == pytest.approx(want)
+
+
 def labelled_corpus():
     rng = random.Random(8)
     rows, labels = [], []
