@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of at most 2,048 tokens."""
-    return packing.pack_documents(docs, TOKENIZER_PATH)
+    """Pieces of all documents with their place in sequences of at most 2,048 tokens, which follow the mix as it was written."""
+    return packing.pack_documents(docs, TOKENIZER_PATH, in_order=True)
 
 
 STAGES = [

@@ -62,3 +62,17 @@ def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Co
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = cell.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     return numbered.join(offsets, by).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))
+
+
+def number_in_order(df: DataFrame, keys: list[str], cell: Column, order: list[Column], name: str) -> DataFrame:
+    """Add ``name``: 0-based place of each row among the rows of its key, by ``cell``, then by ``order`` inside the cell.
+
+    As number_within, but cells keep the order: rows are numbered inside (key, cell), and the rows of the key's earlier
+    cells are added. Neither a key nor all rows are in one task.
+    """
+    rows = df.withColumn("_cell", cell)
+    by = [*keys, "_cell"]
+    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    return numbered.join(offsets, by).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))

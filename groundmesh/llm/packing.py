@@ -6,6 +6,10 @@ available finds the fullest combination with the largest one; it is removed as o
 is a table of rank intervals per length; its size is bounded by the capacity, not by the corpus. Spark numbers the
 pieces of every length (salted, no length in one task) and looks each number up in the plan.
 
+In order (``in_order``), sequences follow the rows of the Parquet files that docs were read from: the n-th of a plan
+row's T bins is meant for (n + 1/2) / T of the input, pieces of a length take the places of that length in the order of
+the input, and sequences are numbered by the mean place of their tokens in it. How full they are does not change.
+
 Defined cases: a null text is an empty one, and an empty document is the end token alone; a repeated row is packed
 again; a null doc_id is carried; an empty table gives an empty result; extra columns are not read.
 """
@@ -20,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize, number_within, small_batches
+from groundmesh.llm.common import NUMBERING_CELL_ROWS, materialize, number_in_order, number_within, small_batches
 from groundmesh.llm.tokens import load_encoder
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACE = "_file string, _row long"
 
 
 def fullest(available: dict[int, int], room: int) -> dict[int, int]:
@@ -88,8 +93,11 @@ def plan_table(bins: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
     return {k: table[:, i] for i, k in enumerate(("length", "first", "base", "many", "offset"))}
 
 
-def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Token ids and the end id per document, cut only where longer than the capacity; one pass, whole texts."""
+def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], capacity: int = CAPACITY, end_id: int = 0, in_order: bool = False) -> DataFrame:
+    """Token ids and the end id per document, cut only where longer than the capacity; one pass, whole texts.
+
+    in_order: add the file and row that docs, as read from Parquet, have each document from.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
@@ -97,14 +105,20 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, texts = part["doc_id"].to_pylist(), [x or "" for x in part["text"].to_pylist()]
+                places = zip(part["_file"].to_pylist(), part["_row"].to_pylist(), strict=True) if in_order else [()] * len(ids)
                 rows = []
-                for doc_id, tokens in zip(ids, encode(texts), strict=True):
+                for doc_id, place, tokens in zip(ids, places, encode(texts), strict=True):
                     stream = np.append(tokens, end_id).astype("<u4")
-                    rows += [(doc_id, n, s, min(capacity, len(stream) - s), zlib.crc32(stream[s : s + capacity].tobytes())) for n, s in enumerate(range(0, len(stream), capacity))]
+                    rows += [(doc_id, n, s, min(capacity, len(stream) - s), zlib.crc32(stream[s : s + capacity].tobytes()), *place) for n, s in enumerate(range(0, len(stream), capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if in_order:
+        schema = schema.append(pa.field("_file", pa.string())).append(pa.field("_row", pa.int64()))
+        read = docs.metadataColumn("_metadata")
+        columns += [read["file_name"].alias("_file"), read["row_index"].alias("_row")]
+    return small_batches(docs).select(*columns).mapInArrow(cut, f"{PIECES}, {PLACE}" if in_order else PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -131,6 +145,46 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(place, f"{spec}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pack the whole texts of documents into sequences of at most ``capacity`` tokens."""
+def pack_in_order(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to pieces with _file and _row, which go: sequences in the order of files and rows."""
+    spark = pieces.sparkSession
+    columns = [c for c in pieces.columns if c not in ("_file", "_row")]
+    pieces = materialize(pieces, "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    rows, base = [], 0
+    for times, chosen in minimum_bin_slack(histogram, capacity):
+        steps = [(length, many) for length, many in sorted(chosen.items(), reverse=True)]
+        rows += [(base + at, at, min(times, at + NUMBERING_CELL_ROWS), times, steps) for at in range(0, times, NUMBERING_CELL_ROWS)]
+        base += times
+    plan = spark.createDataFrame(rows, "base long, from_ long, to_ long, times long, steps array<struct<length:long,many:long>>")
+    nth = F.explode(F.sequence("from_", F.col("to_") - 1))
+    bins = plan.repartition("base").select("base", "from_", "times", "steps", nth.alias("nth"))
+    bins = bins.select((F.col("base") + F.col("nth") - F.col("from_")).alias("bin"), ((F.col("nth") + 0.5) / F.col("times")).alias("at"), "steps")
+
+    # places of all pieces, as many as pieces, numbered inside each length
+    before = F.aggregate(F.slice("steps", 1, F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x["length"] * x["many"])
+    steps = bins.select("bin", "at", "steps", F.posexplode("steps").alias("step", "one")).withColumn("begin", before)
+    places = steps.select("bin", "at", "begin", F.col("one.length").alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("one.many") - 1)).alias("turn"))
+    places = places.select("length", "bin", "at", (F.col("begin") + F.col("turn") * F.col("length")).alias("offset"))
+    parts = max(1, sum(histogram.values()) // NUMBERING_CELL_ROWS * 4)
+    places = number_in_order(places, ["length"], F.floor(F.col("at") * parts), [F.col("at"), F.col("bin"), F.col("offset")], "_rank").drop("at")
+
+    file = F.struct(F.length("_file").alias("n"), F.col("_file").alias("name"))  # part-100000 comes after part-99999
+    cell = F.struct(file.alias("file"), F.floor(F.col("_row") / NUMBERING_CELL_ROWS).alias("rows"))
+    all_ = F.lit(0).alias("_all")
+    numbered = number_in_order(pieces.select("*", all_), ["_all"], cell, [F.col("_row"), F.col("piece")], "_position")
+    numbered = number_in_order(materialize(numbered, "positions"), ["length"], F.floor(F.col("_position") / NUMBERING_CELL_ROWS), [F.col("_position")], "_rank")
+    placed = materialize(numbered.join(places, ["length", "_rank"]), "placed")
+    mean = placed.groupBy("bin").agg((F.sum(F.col("_position") * F.col("length")) / F.sum("length")).alias("mean"))
+    sequences = number_in_order(mean.select("*", all_), ["_all"], F.floor(F.col("mean") / NUMBERING_CELL_ROWS), [F.col("mean"), F.col("bin")], "sequence_id")
+    return placed.join(sequences.select("bin", "sequence_id"), "bin").select(*columns, "sequence_id", "offset")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, in_order: bool = False) -> DataFrame:
+    """Pack the whole texts of documents into sequences of at most ``capacity`` tokens.
+
+    in_order: docs must be as read from Parquet; sequences follow the order of their files and rows.
+    """
+    if in_order:
+        return pack_in_order(token_pieces(docs, load_encoder(tokenizer_path), capacity, end_id, True), capacity)
     return pack(token_pieces(docs, load_encoder(tokenizer_path), capacity, end_id), capacity)

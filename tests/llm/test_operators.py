@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from groundmesh.llm import fingerprints, licenses, mixing, neardup, packing, quality, suffixtree, tokens, topk, toxicity, warc
+from groundmesh.llm.common import materialize
 from groundmesh.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep string, _evidence string"
@@ -345,6 +347,31 @@ def test_packing(spark, prose):
     assert packing.pack_documents(documents(spark, prose).limit(0), TOKENIZER).count() == 0
 
 
+def test_packed_sequences_follow_the_mix(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, "word " * rng.choice([60, 150, 400, 650])) for i in range(600)]
+    docs = documents(spark, texts)
+    stages, got = dict(corpus_pipeline.STAGES), {}
+    for cell_rows in (7, 20_000):
+        monkeypatch.setattr(packing, "NUMBERING_CELL_ROWS", cell_rows)
+        for first in ("s0", "s1"):
+            weights = {"s0": 1.0, "s1": 1.0, "s2": 1.0} | {first: 50.0}
+            mixed = materialize(mixing.mixed_documents(docs, weights), "mixed")
+            rows = stages["packing"](spark, mixed, "").collect()
+            assert "_file" not in rows[0].asDict() and sorted((r.doc_id, r.piece) for r in rows) == sorted((i, 0) for i, _ in texts)
+            bins = defaultdict(list)
+            for r in rows:
+                bins[r.sequence_id].append((r.offset, r.length))
+            assert sorted(bins) == list(range(len(bins))) and len(bins) == len({r.sequence_id for r in packing.pack_documents(docs, TOKENIZER).collect()})
+            for pieces in bins.values():
+                pieces.sort()
+                assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+            place = lambda s: np.mean([r.sequence_id for r in rows if r.doc_id % 3 == s and r.doc_id != 5]) / len(bins)
+            assert place(int(first[1])) < 0.3 < 0.5 < place(2)
+            got[cell_rows, first] = sorted(map(tuple, rows), key=str)
+    assert got[7, "s0"] == got[20_000, "s0"] and got[7, "s0"] != got[7, "s1"]
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(6)
     for _ in range(100):
