@@ -119,6 +119,10 @@ ORACLE_SQL = {
                '[' || coalesce(nullif(title, ''), 'Untitled') || ', concept: ' || concept_id || ']' AS citation FROM a""",
     "sheet_rows": f"SELECT CAST(row_number() OVER (ORDER BY o) + 1 AS INTEGER) AS row_number, {clean('v1')} AS skill, {clean('v2')} AS task FROM ({SHEET_SQL['Tasks']})",
     "relation_edges": f"WITH {edges()} SELECT relation_id, source_id, target_id, relation_type, description, sheet_name, CAST(row_number AS INTEGER) AS row_number, evidence FROM e",
+    "control_point_edges": f"""
+        WITH c AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) + 1 AS row_number, 'order ' || l_orderkey AS task, 'order ' || l_orderkey || ' line ' || l_linenumber AS point FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT {stable("'star.xlsx'", "'Control Point'", "CAST(row_number AS VARCHAR)", "task", "point", "'has_control_point'")} AS relation_id, {slug("task")} AS source_id, {slug("point")} AS target_id, 'has_control_point' AS relation_type,
+               task || ' has control point ' || point || '.' AS description, 'Control Point' AS sheet_name, CAST(row_number AS INTEGER) AS row_number, 'Task: ' || task || ' | Control Point: ' || point AS evidence FROM c""",
     "graph_adjacency": f"WITH {edges()} SELECT source_id AS concept_id, target_id AS neighbor_id, 'out' AS direction, relation_id, relation_type FROM e UNION ALL SELECT target_id, source_id, 'in', relation_id, relation_type FROM e",
     "concept_node_table": f"""
         WITH {DOCS}, {IMAGES}, {edges()},

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundmesh.functions import text as t
 from groundmesh.operators import answers, elements, embeddings, evidence, graph, retrieval, sections, validation
 from groundmesh.operators.concepts import concept_nodes
-from groundmesh.operators.relations import edges_from_sheet, relation_chunks
+from groundmesh.operators.relations import edges_from_sheet, relation_chunks, workbook_relations
 from groundmesh.operators.vectors import vector_topk
 from groundmesh.plans import tables
 from groundmesh.plans.tables import SYNTHETIC as CFG
@@ -107,11 +107,19 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of all sheets."""
+    """Edges of the sheets but Control Point."""
     m = F.col("metadata")
     return star_relations(spark, sf_dir).select("relation_id", "source_id", "target_id", "relation_type", "description", m["sheet_name"].alias("sheet_name"), m["row_number"].alias("row_number"), m["evidence"].alias("evidence"))
 
 
+@register
+def control_point_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the Control Point sheet, as relation_edges gives those of the others."""
+    m = F.col("metadata")
+    edges = workbook_relations({"Control Point": tables.control_point_sheet(spark, sf_dir)}, tables.WORKBOOK)
+    return edges.select("relation_id", "source_id", "target_id", "relation_type", "description", m["sheet_name"].alias("sheet_name"), m["row_number"].alias("row_number"), m["evidence"].alias("evidence"))
+
+
 def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in diagram chunks: one per page, its concept the second part of the address."""
     name = F.concat(F.lit("page "), F.col("page_id") % 50)

@@ -44,7 +44,7 @@ def page_sources(spark: SparkSession, sf_dir: str, with_figures: bool = False) -
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five relation sheets out of the star schema, rows numbered as in a workbook."""
+    """Four relation sheets out of the star schema, rows numbered as in a workbook; control_point_sheet is the fifth."""
     t = lambda name: table(spark, sf_dir, name)
     region, nation, supplier = t("region"), t("nation"), t("supplier")
     pwo = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -59,6 +59,14 @@ def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: read_sheet(df, F.col("o"), ("o",)) for name, df in raw.items()}
 
 
+def control_point_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Control Point sheet, a row per line of an order: the largest sheet."""
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")  # an order has seven lines at most
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(order.alias("o"), F.concat(F.lit("order "), F.col("l_orderkey")).alias("Task"), F.concat(F.lit("order "), F.col("l_orderkey"), F.lit(" line "), F.col("l_linenumber")).alias("Control Point"))
+    return read_sheet(rows, F.col("o"), ("o",))
+
+
 def star_relations(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("FG & PWO", "SWO", "Skills", "Tasks")) -> DataFrame:
     made = sheets(spark, sf_dir)
     return workbook_relations({n: made[n] for n in names}, WORKBOOK)

@@ -97,3 +97,16 @@ def test_upsert_is_idempotent(spark):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     once = upsert(old, new, "k")
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, upsert(once, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_control_point_edges_equal_their_sql(spark):
+    import duckdb
+
+    import __spark_entry__
+
+    folder, db = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("lineitem", "orders"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = sorted(db.sql(__spark_entry__.oracle_sql()["control_point_edges"]).fetchall())
+    got = sorted(map(tuple, __spark_entry__.queries()["control_point_edges"](spark, folder).collect()))
+    assert got == want and len(got) == db.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
