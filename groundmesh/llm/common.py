@@ -16,9 +16,11 @@ TEXT_BATCH_ROWS = 1000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where the setting is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='groundmesh-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,6 +34,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = path(file)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

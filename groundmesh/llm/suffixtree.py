@@ -1,26 +1,26 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Symbols are the distinct training words, the text's end, and one symbol for every unknown word. The root
-distribution discounts every count by a Good-Turing estimate D = n1 / (n1 + 2 n2) and leaves the discounted mass to the
-unknown word. Every kept word is a candidate state, and so is every pair of them under its nearer word. A state is
-retained when its next-symbol distribution, each training token left out in turn, diverges from that of its longest
-retained suffix (the root if there is none) by at least DIVERGENCE nats in sum. Its next symbols have discounted counts,
-the rest of the mass going to the suffix's distribution; a token is scored in the longest retained state that is a
-suffix of what comes before it, else at the root.
-
-Counting and scoring cover all documents. Words are counted in hash-partitioned blocks. At most KEPT_WORDS of the words seen
-twice or more (the most frequent ones) are broadcast as two number arrays; all other words form one class of next symbols
-whose members keep their root probabilities, found in a shuffle of their occurrences. Tokens are dealt by the word
-before them, so that a task finds counts, tests and scores of its contexts together, and sends back sums per document
-only. A word that would fill a slice (at most HOT_WORDS of them) is dealt over several, by the word before it; its own
-next symbols reach each of these as partial counts. Where tokens are dealt to does not change a score.
+Symbols are the distinct training words, the text's end, and one symbol for every unknown word. Contexts are the last
+1 to DEPTH words before a token, the text's begin among them (nothing lies before it). The root discounts every count by a
+Good-Turing estimate D = n1 / (n1 + 2 n2) and leaves the discounted mass to the unknown word. A context of any words is a
+state when its next-symbol distribution, each training token left out in turn, diverges from that of its longest retained
+suffix (its parent; the root if there is none) by at least DIVERGENCE nats in sum. A state's next symbols have counts
+discounted by DISCOUNT, the rest of the mass going to the parent's distribution; a token is scored in the longest state
+that is a suffix of what comes before it, else at the root.
+
+No word and no context is left out by a limit. Texts are coded once, in blocks, by the places of their words in the block's
+own list; the lists are counted and numbered in Spark, by falling count, so a word's number tells its count (broadcast: one
+row per distinct count, at most the root of twice the tokens). Tokens are then dealt by the word before them into slices of
+about SLICE_TOKENS, so that a task finds all contexts that end in a word together. A context that alone would fill half a
+slice is hot: its tokens are dealt on by the word before, and again, a hot context of DEPTH words by document; the counts
+of its next symbols are added up in Spark and sent to each of its slices. Where tokens are dealt to does not change a score.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, known by 64-bit hashes. The base model's probability of a token is
 (c + 1) / (N + V + 1).
 
 Defined cases: null and empty texts are the end alone; a null doc_id counts as a training row; repeated rows count and
 are scored again; without training rows every token is the unknown word with probability 1 (score 0); an empty table
-gives an empty result; extra columns are not read.
+gives an empty result; extra columns are not read; very long texts are coded whole.
 """
 
 from __future__ import annotations
@@ -31,26 +31,54 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize, shuffle_partitions, small_batches
+from groundmesh.llm.common import discard, materialize, number_within, shuffle_partitions
 
-KEPT_WORDS = 2_000_000
-HOT_WORDS = 8_000
+DEPTH = 3
 DIVERGENCE = 3.0
+DISCOUNT = 0.75
 HELD_OUT = (7, 2)
-STEP_TOKENS = 400_000
-END = np.uint64(xxhash.xxh64_intdigest(b"\x00end of text"))
-BLOCKS = "slice int, kind int, base long, keys binary, extra binary"
-SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, root double, gain double"
+BLOCK_TOKENS = 3_000_000
+ROW_BITS = 20
+SLICE_TOKENS = 1_000_000
+#: Sums per document that a task gathers before it sends them on.
+SENT_SUMS = 2_000_000
+END = np.int64(xxhash.xxh64_intdigest(b"\x00end of text") - (1 << 63))
+MIX = np.uint64(0x9E3779B97F4A7C15)
+CODED = "block long, tokens binary, sizes array<int>, ids array<long>, held array<boolean>"
+PARTS = "slice int, level int, block long, symbols binary, rows binary, c1 long, c2 long, c3 long, word long, n long"
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def chained(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The key of a context one symbol longer (or of a context and its next symbol)."""
+    with np.errstate(over="ignore"):
+        return scramble(key * MIX + symbol.astype(np.uint64) + np.uint64(1))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:, :width].T).tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -58,362 +86,392 @@ def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     out = np.empty(len(words) + 1, dtype=np.uint64)
     out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    out = (out ^ np.uint64(1 << 63)).view(np.int64)
     out[-1] = END
     return out
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[np.ndarray]]]:
-    """(doc ids, held-out flags, hashes) of about STEP_TOKENS tokens at a time."""
-    ids, held, found, size = [], [], [], 0
-    for batch in batches:
-        for doc_id, out, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-            ids.append(doc_id.as_py())
-            held.append(out.as_py())
-            found.append(word_hashes(text.as_py()))
-            size += len(found[-1])
-            if size >= STEP_TOKENS:
-                yield ids, held, found
-                ids, held, found, size = [], [], [], 0
-    if ids:
-        yield ids, held, found
-
-
-def slice_bits(df: DataFrame) -> int:
-    """Blocks are dealt into 2**bits slices, at least one per shuffle partition."""
-    return max(1, (shuffle_partitions(df.sparkSession) - 1).bit_length())
-
-
-def dealt(kind: int, base: int, where: np.ndarray, bits: int, keys: np.ndarray, extra: np.ndarray) -> Iterator[tuple]:
-    """Rows of BLOCKS: entries by the slice that ``where`` (a scrambled hash) falls into."""
-    place = (where >> np.uint64(64 - bits)).astype(np.uint32)
-    order = np.argsort(place.astype(np.uint16) if bits <= 16 else place, kind="stable")
-    place = place[order]
-    cuts = np.flatnonzero(np.diff(place)) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield (int(where[part[0]] >> np.uint64(64 - bits)), kind, base, keys[part].tobytes(), extra[part].tobytes())
-
-
-def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-BLOCK_SCHEMA = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
-SUM_SCHEMA = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("root", pa.float64()), ("gain", pa.float64())])
-
-
-def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of one slice after the other, from batches sorted by slice."""
-    now, rows = None, []
-    for batch in batches:
-        for place, kind, base, keys, extra in zip(*(batch[c] for c in ("slice", "kind", "base", "keys", "extra")), strict=True):
-            place = place.as_py()
-            if place != now and rows:
-                yield now, rows
-                rows = []
-            now = place
-            rows.append((kind.as_py(), base.as_py(), keys.as_py(), extra.as_py()))
-    if rows:
-        yield now, rows
-
-
-def packed(rows: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as writer:
-        writer.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
-
-def summed(uid: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal uid added up, by uid."""
-    order = np.argsort(uid, kind="stable")
-    uid, values = uid[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
-    return uid[first], np.add.reduceat(values, first, axis=0)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """slice, words, counts: the counts of all training words in hash-partitioned blocks, as packed arrays."""
-    bits = slice_bits(docs)
+def code_texts(docs: DataFrame) -> DataFrame:
+    """block, words and their training counts, tokens as places in words, and the documents of the block."""
+    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("tokens", pa.binary()), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        ids: list = []
+        held: list[bool] = []
+        found: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            words, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            return batch_of(list(dealt(0, 0, words, bits, words, counts.astype(np.int64))), BLOCK_SCHEMA)
-
-        for _, _, found in steps(batches):
-            waiting += found
-            if sum(map(len, waiting)) >= 10 * STEP_TOKENS:
-                yield flush()
-                waiting = []
-        if waiting:
+            sizes = np.array([len(f) for f in found])
+            words, places = np.unique(np.concatenate(found), return_inverse=True)
+            train = np.repeat(~np.array(held, dtype=bool), sizes)
+            counts = np.bincount(places[train], minlength=len(words))
+            row = (block, words, counts, squeezed(places), sizes, ids, held)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
+
+        size = 0
+        for batch in batches:
+            for doc_id, out, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
+                ids.append(doc_id.as_py())
+                held.append(out.as_py())
+                found.append(word_hashes(text.as_py()))
+                size += len(found[-1])
+                if size >= BLOCK_TOKENS or len(ids) == 1 << ROW_BITS:
+                    yield flush()
+                    ids, held, found, size = [], [], [], 0
+                    block += 1
+        if ids:
             yield flush()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, rows in by_slice(batches):
-            words, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((2, np.uint64), (3, np.int64)))
-            order = np.argsort(words)
-            words, counts = words[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            yield batch_of([(place, 0, 0, words[first].tobytes(), np.add.reduceat(counts, first).tobytes())], BLOCK_SCHEMA)
-
-    train = docs.where("not held_out")
-    blocks = train.mapInArrow(local, BLOCKS).repartition(shuffle_partitions(docs.sparkSession), "slice").sortWithinPartitions("slice")
-    return blocks.mapInArrow(merge, BLOCKS)
+    spec = "block long, words array<long>, counts array<long>, tokens binary, sizes array<int>, ids array<long>, held array<boolean>"
+    return docs.mapInArrow(run, spec)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Kept words by hash with their counts, and the figures of all training tokens."""
+    """Words are numbered by falling count: ``first`` number and ``count`` of each run of equal counts."""
 
-    words: np.ndarray
-    counts: np.ndarray
-    hot: np.ndarray  # 1 + place among the hot words, or 0
+    first: np.ndarray
+    count: np.ndarray
     tokens: int
     distinct: int
     discount: float
 
+    @property
+    def begin(self) -> int:
+        return self.distinct
+
+    @property
+    def unknown(self) -> int:
+        return self.distinct + 1
+
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        """Training counts; 0 for the unknown word."""
+        if not len(self.first):
+            return np.zeros(len(word), dtype=np.int64)
+        return np.where(word < self.distinct, self.count[np.searchsorted(self.first, word, side="right") - 1], 0)
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.tokens + self.distinct + 1))
 
     def root(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the root probability of a word seen c times; 0 times: the unknown word."""
+        """Root probability of a word seen c times; 0 times: the unknown word."""
         n = max(1, self.tokens)
         unknown = self.discount * self.distinct / n if self.tokens else 1.0
-        return np.log10(np.where(c > 0, np.maximum(c - self.discount, 1e-9) / n, unknown))
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """1 + place among the kept words, or 0."""
-        if not len(self.words):
-            return np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at + 1, 0)
+        return np.where(c > 0, (c - self.discount) / n, unknown)
+
+
+def number_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """(coded blocks, vocabulary): tokens as word numbers."""
+    spark = blocks.sparkSession
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    totals = materialize(rows.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    known = totals.where("c > 0")
+    runs = sorted(((r["c"], r["n"]) for r in known.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # one row per distinct count
+    count, words = (np.array([r[i] for r in runs], dtype=np.int64) for i in (0, 1))
+    first, distinct = np.cumsum(words) - words, int(words.sum())
+    n1, n2 = (int(words[count == k].sum()) for k in (1, 2))
+    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.05
+    v = Vocabulary(first, count, int((count * words).sum()), distinct, discount)
+    bases = F.broadcast(spark.createDataFrame([(int(c), int(f)) for c, f in zip(count, first, strict=True)], "c long, first long"))
+    numbered = number_within(known, ["c"], F.col("word"), [F.col("word")], distinct, "nth").join(bases, "c").select("word", (F.col("first") + F.col("nth")).alias("number"))
+    numbers = rows.select("block", "place", "word").join(numbered, "word", "left").select("block", F.struct("place", F.coalesce("number", F.lit(v.unknown)).alias("number")).alias("w"))
+    of_block = numbers.groupBy("block").agg(F.collect_list("w").alias("w")).select("block", F.col("w.place").alias("places"), F.col("w.number").alias("numbers"))  # as many as the block has words
 
+    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = []
+            for data, places, numbers in zip(batch["tokens"], batch["places"], batch["numbers"], strict=True):
+                table = np.empty(len(places), dtype=np.int64)
+                table[places.values.to_numpy()] = numbers.values.to_numpy()
+                tokens.append(squeezed(table[unsqueezed(data.as_py())]))
+            kept = ("sizes", "ids", "held")
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(tokens, pa.binary()), *(batch[c] for c in kept)], names=["block", "tokens", *kept])
 
-def vocabulary(counted: DataFrame, kept_words: int = KEPT_WORDS, hot_words: int = HOT_WORDS) -> Vocabulary:
-    """Figures over all words, and the kept ones (two arrays of at most kept_words numbers)."""
+    coded = blocks.drop("words", "counts").join(of_block, "block").mapInArrow(recode, CODED)
+    coded = materialize(coded, "coded")
+    discard(totals)
+    return coded, v
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for extra in batch["extra"]:
-                counts = np.frombuffer(extra.as_py(), np.int64)
-                values, n = np.unique(np.minimum(counts, 1 << 16), return_counts=True)
-                total = [int(counts[np.minimum(counts, 1 << 16) == v].sum()) for v in values]
-                yield pa.RecordBatch.from_pydict({"c": values, "words": n.astype(np.int64), "tokens": pa.array(total, pa.int64())})
-
-    rows = counted.mapInArrow(spread, "c long, words long, tokens long").groupBy("c").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()  # 65,536 rows at most
-    words_at = {r["c"]: r["words"] for r in rows}
-    tokens, distinct = sum(r["tokens"] for r in rows), sum(words_at.values())
-    n1, n2 = words_at.get(1, 0), words_at.get(2, 0)
-    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.05
-    least, sofar = 1 << 16, 0
-    for c in sorted(words_at, reverse=True):
-        if c < 2 or sofar + words_at[c] > kept_words:
-            break
-        least, sofar = c, sofar + words_at[c]
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for keys, extra in zip(batch["keys"], batch["extra"], strict=True):
-                words, counts = np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(extra.as_py(), np.int64)
-                rows.append((0, 0, 0, words[counts >= least].tobytes(), counts[counts >= least].tobytes()))
-            yield batch_of(rows, BLOCK_SCHEMA)
+@dataclass(frozen=True)
+class Block:
+    """Tokens of a coded block with the words before them, nearest first."""
 
-    kept = counted.mapInArrow(keep, BLOCKS).select("keys", "extra").collect() if sofar else []
-    words = np.frombuffer(b"".join(r["keys"] for r in kept), np.uint64)
-    counts = np.frombuffer(b"".join(r["extra"] for r in kept), np.int64)
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    hot = np.zeros(len(words), dtype=np.int64)
-    top = np.lexsort((words, -counts))[:hot_words]
-    hot[top] = np.arange(1, len(top) + 1)
-    return Vocabulary(words, counts, hot, tokens, distinct, discount)
+    number: int
+    word: np.ndarray
+    before: list[np.ndarray]
+    row: np.ndarray
+    train: np.ndarray
 
+    def keys(self, at: np.ndarray | slice = slice(None)) -> Iterator[np.ndarray]:
+        """Keys of the contexts of 1, 2, ... words."""
+        key = np.zeros(len(self.word[at]), dtype=np.uint64)
+        for symbols in self.before:
+            key = chained(key, symbols[at])
+            yield key
 
-WORD_BITS = 21
-WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 
+def coded_blocks(batches: Iterator[pa.RecordBatch], v: Vocabulary, depth: int) -> Iterator[Block]:
+    for batch in batches:
+        for number, data, sizes, held in zip(batch["block"], batch["tokens"], batch["sizes"], batch["held"], strict=True):
+            word, sizes, held = unsqueezed(data.as_py()), sizes.values.to_numpy(), np.array(held.as_py(), dtype=bool)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            nth = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            before = []
+            for k in range(1, depth + 1):
+                symbols = np.full(len(word), v.begin)
+                symbols[k:] = np.where(nth[k:] >= k, word[:-k], v.begin)
+                before.append(symbols)
+            yield Block(number.as_py(), word, before, row, ~held[row])
 
-def parts_of(v: Vocabulary, bits: int) -> np.ndarray:
-    """Slices that the tokens after each kept word are dealt over, by 1 + its place; more than one for hot words only."""
-    share = v.counts * (1 << bits) // max(1, v.tokens)
-    return np.concatenate([[1], np.where(v.hot > 0, 1 + share, 1)]).astype(np.uint64)
 
+@dataclass(frozen=True)
+class Hot:
+    """Contexts that fill half a slice or more: by length, sorted keys and over how many slices their tokens are dealt."""
+
+    slices: int
+    keys: list[np.ndarray]
+    parts: list[np.ndarray]
+
+    def find(self, level: int, key: np.ndarray) -> np.ndarray:
+        """1 + place among the hot contexts of this length, or 0."""
+        if not len(self.keys[level]):
+            return np.zeros(len(key), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys[level], key), len(self.keys[level]) - 1)
+        return np.where(self.keys[level][at] == key, at + 1, 0)
+
+    def slice_of(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (chained(key, part) % np.uint64(self.slices)).astype(np.int64)
+
+    def deal(self, block: Block) -> np.ndarray:
+        """The slice of every token."""
+        left, out = np.arange(len(block.word)), None
+        for level, whole in enumerate(block.keys()):
+            key = whole[left]
+            if out is None:
+                out = self.slice_of(key, np.zeros(len(key), dtype=np.int64))
+            hot = self.find(level, key)
+            left, key, many = left[hot > 0], key[hot > 0], self.parts[level][hot[hot > 0] - 1] if len(self.parts[level]) else hot[:0]
+            if not len(left):
+                break
+            deeper = block.before[level + 1][left].astype(np.uint64) if level + 1 < len(block.before) else block.row[left].astype(np.uint64) + np.uint64(block.number)
+            out[left] = self.slice_of(key, 1 + (scramble(deeper + np.uint64(1)) % many.astype(np.uint64)).astype(np.int64))
+        return out
+
+
+def hot_contexts(coded: DataFrame, v: Vocabulary, depth: int, slices: int) -> tuple[Hot, list[tuple]]:
+    """Hot contexts, and (level, context words, slices that need the counts of its next symbols) of each: a few times ``slices`` in all."""
+    names = ["c1", "c2", "c3"][:depth]
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in coded_blocks(batches, v, depth):
+            at, least = np.arange(len(block.word)), max(2, len(block.word) // (4 * slices))
+            for level in range(depth):
+                key = list(block.keys(at))[level]
+                _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                big = np.flatnonzero(n >= least)
+                words = [block.before[k][at[first[big]]] if k <= level else np.full(len(big), -1) for k in range(depth)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(big), level, dtype=np.int32)), *map(pa.array, words), pa.array(n[big])], names=["level", *names, "n"])
+                at = at[(n >= least)[inverse]]
+                if not len(at):
+                    break
+
+    total = max(1, v.tokens)
+    rows = coded.mapInArrow(heavy, f"level int, {', '.join(f'{c} long' for c in names)}, n long").groupBy("level", *names).agg(F.sum("n").alias("n"))
+    found = rows.where(F.col("n") >= -(-total // (2 * slices))).collect()  # at most about 2 * depth * slices rows
+    of_level: list[dict[int, tuple]] = [{} for _ in range(depth)]
+    for r in found:
+        words = [r[c] for c in names[: r["level"] + 1]]
+        key = np.zeros(1, dtype=np.uint64)
+        for w in words:
+            key = chained(key, np.array([w]))
+        of_level[r["level"]][int(key[0])] = (words, 1 + 2 * r["n"] * slices // total)
+    order = [sorted(x) for x in of_level]
+    hot = Hot(slices, [np.array(o, dtype=np.uint64) for o in order], [np.array([x[k][1] for k in o], dtype=np.int64) for o, x in zip(order, of_level, strict=True)])
+    own: dict[tuple, set[int]] = {}
+    for level, o in enumerate(order):
+        for key in o:
+            words, many = of_level[level][key]
+            places = hot.slice_of(np.full(many, key, dtype=np.uint64), 1 + np.arange(many)).tolist()
+            for k in range(level + 1):  # a context's counts are needed where its longer hot ones are dealt to, too
+                own.setdefault(tuple(words[: k + 1]), set()).update(places)
+    return hot, [(len(words) - 1, *words, *[-1] * (3 - len(words)), sorted(places)) for words, places in own.items()]
+
+
+def hot_counts(coded: DataFrame, v: Vocabulary, hot: Hot, targets: list[tuple]) -> DataFrame:
+    """PARTS rows of the next symbols of hot contexts and their training counts, for every slice that needs them."""
+    spark, names = coded.sparkSession, ["c1", "c2", "c3"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in coded_blocks(batches, v, len(hot.keys)):
+            at = np.flatnonzero(block.train)
+            for level in range(len(hot.keys)):
+                key = list(block.keys(at))[level]
+                inside = hot.find(level, key) > 0
+                at, key = at[inside], key[inside]
+                if not len(at):
+                    break
+                _, first, n = np.unique(chained(key, block.word[at]), return_index=True, return_counts=True)
+                words = [block.before[k][at[first]] if k <= level else np.full(len(first), -1) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(block.word[at[first]]), pa.array(n)], names=[*names, "word", "n"])
+
+    counts = coded.mapInArrow(count, "c1 long, c2 long, c3 long, word long, n long").groupBy(*names, "word").agg(F.sum("n").alias("n"))
+    places = spark.createDataFrame(targets, "level int, c1 long, c2 long, c3 long, slices array<long>")
+    sent = counts.join(F.broadcast(places), names).withColumn("slice", F.explode("slices"))
+    return sent.select(F.col("slice").cast("int").alias("slice"), "level", F.lit(0).cast("long").alias("block"), F.lit(None).cast("binary").alias("symbols"), F.lit(None).cast("binary").alias("rows"), *names, "word", "n")
+
+
+def deal_tokens(coded: DataFrame, v: Vocabulary, depth: int, hot: Hot) -> DataFrame:
+    """PARTS rows of the tokens of every block and slice: context words and word as planes, rows as 2 * row + train."""
+    schema = pa.schema([("slice", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("symbols", pa.binary()), ("rows", pa.binary()), *((c, pa.int64()) for c in ("c1", "c2", "c3", "word", "n"))])
+    shared = coded.sparkSession.sparkContext.broadcast((v, hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, hot = shared.value
+        for block in coded_blocks(batches, v, depth):
+            where = hot.deal(block)
+            order = np.argsort(where * np.int64(v.unknown + 1) + block.before[0], kind="stable")  # equal words side by side compress
+            cuts = np.flatnonzero(np.diff(where[order])) + 1
+            rows = []
+            for part in np.split(order, cuts):
+                symbols = np.concatenate([*(b[part] for b in block.before), block.word[part]])
+                rows.append((int(where[part[0]]), -1, block.number, squeezed(symbols), squeezed(block.row[part] * 2 + block.train[part]), None, None, None, None, None))
+                if len(rows) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-def slice_hash(word: np.ndarray, part: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return scramble(word << np.uint64(WORD_BITS) | part)
+    return coded.mapInArrow(run, PARTS)
 
 
-def entries(found: list[np.ndarray], held: list[bool], first: int, v: Vocabulary, parts: np.ndarray) -> tuple:
-    """Sums per document over kept words; (hash, row) of all other tokens; (words, row, slice) of tokens after a kept word; pairs of training tokens after words of several slices.
+def score_slice(before: list[np.ndarray], word: np.ndarray, train: np.ndarray, level: np.ndarray, n: np.ndarray, v: Vocabulary, divergence: float) -> np.ndarray:
+    """log10 of P(word | longest retained state) / P(word | root) of a slice's tokens.
 
-    Words are the nearer one, the one before it (0: none, or not kept) and the token.
+    level -1: a token, counted once if it is a training one; else a row of the counts n of a hot context of level + 1 words, which
+    stand for all its tokens wherever they are.
     """
-    h = np.concatenate(found)
-    sizes = np.array([len(f) for f in found])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    row = np.repeat(np.arange(len(found)), sizes)
-    nth = np.arange(len(h)) - begin[row]
-    train = ~np.array(held, dtype=bool)
-    mark = (np.uint32(first) + row.astype(np.uint32)) | (train[row].astype(np.uint32) << np.uint32(31))
-    at = v.place(h)
-    c = np.where(at > 0, v.counts[np.maximum(at, 1) - 1] if len(v.counts) else 0, 0)
-    known = at > 0
-    sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), np.where(known, v.base(c), 0.0), np.where(known, v.root(c), 0.0))]
-    rare = np.flatnonzero(~known)
-    inside = np.flatnonzero((nth >= 1) & (np.roll(at, 1) > 0))
-    word, nearer = at[inside].astype(np.uint64), at[inside - 1].astype(np.uint64)
-    farther = np.where(nth[inside] >= 2, np.roll(at, 2)[inside], 0).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        part = scramble(np.where(farther > 0, farther, word)) % parts[nearer]
-    shift = np.uint64(WORD_BITS)
-    keys = (nearer << shift | farther) << shift | word
-    several = (parts[nearer] > 1) & train[row[inside]]
-    return sizes, sums, (h[rare], mark[rare]), (keys, mark[inside], slice_hash(nearer, part)), (nearer << shift | word)[several]
-
+    root = v.root(v.counts(word))
+    p = root.copy()
+    key = np.zeros(len(word), dtype=np.uint64)
+    inside = np.ones(len(word), dtype=bool)
+    for k, symbols in enumerate(before):
+        key = chained(key, symbols)
+        inside &= (level < 0) | (level >= k)
+        if k:
+            inside &= ~((before[k - 1] == v.begin) & (symbols == v.begin))  # nothing lies before the begin
+        contexts, context = np.unique(key, return_inverse=True)
+        hot = np.zeros(len(contexts), dtype=bool)
+        hot[context[level == k]] = True
+        weight = np.where(level == k, n, np.where((level < 0) & train & ~hot[context], 1, 0)) * inside
+        total = np.bincount(context, weights=weight, minlength=len(contexts))
+        some = np.flatnonzero(inside & (total[context] > 1))
+        if not len(some):
+            break
+        _, first, pair = np.unique(chained(key[some], word[some]), return_index=True, return_inverse=True)
+        c = np.bincount(pair, weights=weight[some])
+        of, parent = context[some[first]], p[some[first]]
+        kinds = np.bincount(of, weights=c > 0, minlength=len(contexts))[of]
+        t = total[of]
+        without = (np.maximum(c - 1 - DISCOUNT, 0) + DISCOUNT * (kinds - (c == 1)) * parent) / (t - 1)
+        gain = np.where(c > 0, c * np.log(np.maximum(without, 1e-300) / parent), 0.0)
+        kept = np.bincount(of, weights=gain, minlength=len(contexts))[of] >= divergence
+        own = np.where(kept, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * parent) / t, parent)
+        p[some] = own[pair]
+    return np.log10(p / root)
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple]:
+    """before, word, train, level, n, uid of one slice after the other, from batches sorted by slice."""
+    now, held = None, []
+
+    def joined() -> tuple:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-def dealt_pairs(pairs: list[np.ndarray], bits: int, parts: np.ndarray) -> Iterator[tuple]:
-    """Blocks (kind 4) of partial counts of (word, next), to every slice that the word is dealt over."""
-    keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
-    many = parts[keys >> np.uint64(WORD_BITS)].astype(np.int64)
-    part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    keys, counts = np.repeat(keys, many), np.repeat(counts.astype(np.uint32), many)
-    yield from dealt(4, 0, slice_hash(keys >> np.uint64(WORD_BITS), part.astype(np.uint64)), bits, keys, counts)
+    for batch in batches:
+        slices, level = batch["slice"].to_numpy(), batch["level"].to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(slices) != 0) | (np.diff(np.minimum(level, 0)) != 0)) + 1).tolist(), len(slices)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x == y:
+                continue
+            if slices[x] != now:
+                if held:
+                    yield joined()
+                now, held = slices[x], []
+            part = batch.slice(x, y - x)
+            if level[x] >= 0:
+                numbers = [part[c].to_numpy() for c in ("c1", "c2", "c3")[:depth]]
+                held.append((*numbers, part["word"].to_numpy(), np.zeros(y - x, dtype=bool), level[x:y], part["n"].to_numpy(), np.zeros(y - x, dtype=np.int64)))
+                continue
+            for block, symbols, rows in zip(part["block"], part["symbols"], part["rows"], strict=True):
+                row = unsqueezed(rows.as_py())
+                numbers = unsqueezed(symbols.as_py()).reshape(depth + 1, -1)
+                size = len(row)
+                held.append((*numbers, (row & 1).astype(bool), np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int64), (row >> 1) + (block.as_py() << ROW_BITS)))
+    if held:
+        yield joined()
+
+
+def token_gains(parts: DataFrame, v: Vocabulary, depth: int, divergence: float) -> DataFrame:
+    """uid, gain: sums of what contexts add to the root's log10 probability, several rows a document."""
+    shared = parts.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids: list[np.ndarray] = []
+        gains: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            uid, place = np.unique(np.concatenate(uids), return_inverse=True)
+            gain = np.bincount(place, weights=np.concatenate(gains))
+            for at in range(0, len(uid), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(uid[at : at + 100_000]), pa.array(gain[at : at + 100_000])], names=["uid", "gain"])
+
+        for *before, word, train, level, n, uid in slices_of(batches, depth):
+            gain = score_slice(before, word, train, level, n, shared.value, divergence)
+            some = (level < 0) & (gain != 0)
+            found, place = np.unique(uid[some], return_inverse=True)
+            uids.append(found)
+            gains.append(np.bincount(place, weights=gain[some], minlength=len(found)))
+            if sum(map(len, uids)) >= SENT_SUMS:
+                yield from flush()
+                uids, gains = [], []
+        if uids:
+            yield from flush()
+
+    return parts.mapInArrow(run, "uid long, gain double")
+
+
+def document_sums(coded: DataFrame, v: Vocabulary) -> DataFrame:
+    """uid, doc_id, held_out, n_tokens, n_known, base and root score of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data, sizes, ids, held in zip(*(batch[c] for c in ("block", "tokens", "sizes", "ids", "held")), strict=True):
+                c, sizes = v.counts(unsqueezed(data.as_py())), sizes.values.to_numpy()
+                begin = np.cumsum(sizes) - sizes
+                known, base, root = (np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), v.base(c), np.log10(v.root(c))))
+                uid = np.arange(len(sizes)) + (number.as_py() << ROW_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(uid), ids.values, held.values, pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(root)], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "root"])
 
+    return coded.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, root double")
 
-def score_contexts(keys: np.ndarray, train: np.ndarray, v: Vocabulary, divergence: float, suffix: np.ndarray | None = None) -> np.ndarray:
-    """log10 of P(next | longest retained state) / P(next | root) for entries sorted by key.
 
-    train: how many training tokens an entry stands for. suffix: the same figure of the context's suffix, by entry; None: the root.
-    """
-    symbol, context = (keys & WORD_MASK).astype(np.int64), keys >> np.uint64(WORD_BITS)
-    rest = max(1e-12, 1 - float((v.counts - v.discount).sum()) / max(1, v.tokens))
-    pair = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    c = np.add.reduceat(train.astype(np.int64), pair)
-    of_pair, symbol = context[pair], symbol[pair]
-    root = np.where(symbol > 0, (v.counts[np.maximum(symbol, 1) - 1] - v.discount) / max(1, v.tokens), rest)
-    back = np.zeros(len(pair)) if suffix is None else suffix[pair]
-    p = root * 10**back
-    begin = np.flatnonzero(np.concatenate([[True], of_pair[1:] != of_pair[:-1]]))
-    group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(pair)]])))
-    total, kinds = np.add.reduceat(c, begin)[group], np.add.reduceat((c > 0).astype(np.int64), begin)[group]
-    d = v.discount
-    with np.errstate(divide="ignore", invalid="ignore"):
-        without = (np.maximum(c - 1 - d, 0) + d * (kinds - (c == 1)) * p) / (total - 1)
-        parts = np.where((c > 0) & (total > 1), c * np.log(np.maximum(without, 1e-300) / p), 0.0)
-        kept = (np.add.reduceat(parts, begin) >= divergence)[group] & (total > 1)
-        gain = np.where(kept, np.log10((np.maximum(c - d, 0) + d * kinds * p) / total / root), back)
-    return np.repeat(gain, np.diff(np.concatenate([pair, [len(keys)]])))
-
-
-def score_tokens(keys: np.ndarray, train: np.ndarray, pairs: np.ndarray, counts: np.ndarray, v: Vocabulary, parts: np.ndarray, divergence: float) -> np.ndarray:
-    """The gain over the root of tokens sorted by key (nearer, farther, next); pairs: partial counts after words of several slices."""
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    unique, many = keys[first], np.add.reduceat(train.astype(np.int64), first)
-    shift = np.uint64(WORD_BITS)
-    nearer = unique >> shift + shift
-    short = np.concatenate([nearer << shift | unique & WORD_MASK, pairs])
-    seen = np.concatenate([np.where(parts[nearer] > 1, 0, many), counts])
-    order = np.argsort(short, kind="stable")
-    one = np.empty(len(short))
-    one[order] = score_contexts(short[order], seen[order], v, divergence)
-    gain = one[: len(unique)]
-    two = np.flatnonzero(unique >> shift & WORD_MASK)
-    if len(two):
-        gain[two] = score_contexts(unique[two], many[two], v, divergence, gain[two])
-    return np.repeat(gain, np.diff(np.concatenate([first, [len(keys)]])))
-
-
-def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, kept_words: int = KEPT_WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, depth: int = DEPTH, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     modulus, remainder = HELD_OUT
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % modulus == remainder, F.lit(False))
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    v = vocabulary(materialize(count_words(docs), "words"), kept_words, hot_words)
-    shared = spark.sparkContext.broadcast(v)
-    bits = slice_bits(docs)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, base, done = shared.value, TaskContext.get().partitionId() << 31, 0
-        parts = parts_of(v, bits)
-        waiting: list[np.ndarray] = []
-        for ids, out, found in steps(batches):
-            sizes, sums, (h, h_row), (keys, k_row, where), pairs = entries(found, out, done, v, parts)
-            rows = list(dealt(1, base, h, bits, h, h_row))
-            rows += dealt(2, base, where, bits, keys, k_row)
-            waiting.append(pairs)
-            if sum(map(len, waiting)) >= 10 * STEP_TOKENS:
-                rows += dealt_pairs(waiting, bits, parts)
-                waiting = []
-            numbers = np.arange(base + done, base + done + len(ids))
-            whole = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(ids, pa.int64()), pa.array(out), pa.array(sizes), *(pa.array(s) for s in sums), pa.array(np.zeros(len(ids)))], schema=SUM_SCHEMA)
-            rows.append(((base >> 31) + done & (1 << bits) - 1, 0, base, packed(pa.Table.from_batches([whole])), b""))
-            done += len(ids)
-            yield batch_of(rows, BLOCK_SCHEMA)
-        if waiting:
-            yield batch_of(list(dealt_pairs(waiting, bits, parts)), BLOCK_SCHEMA)
-
-    def to_documents(base: int, uid: np.ndarray, sums: np.ndarray) -> Iterator[tuple]:
-        """Blocks (kind 3) of partial sums by row, dealt by row: few blocks however many rows."""
-        with np.errstate(over="ignore"):
-            yield from dealt(3, base, scramble(uid.astype(np.uint64)), bits, uid, sums)
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        parts = parts_of(v, bits)
-        for _, rows in by_slice(batches):
-            out: list[tuple] = []
-            for _, base, keys, _ in (r for r in rows if r[0] == 0):
-                whole = pa.ipc.open_stream(keys).read_all()
-                with np.errstate(over="ignore"):
-                    place = (scramble(whole["uid"].to_numpy().astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-                out += [(int(n), 0, base, packed(whole.filter(pa.array(place == n))), b"") for n in np.unique(place)]
-            for kind in (1, 2):
-                own = [r for r in rows if r[0] == kind]
-                if not own:
-                    continue
-                keys = np.frombuffer(b"".join(r[2] for r in own), np.uint64)
-                marks = [np.frombuffer(r[3], np.uint32) for r in own]
-                uid = np.concatenate([(m & np.uint32((1 << 31) - 1)).astype(np.int64) + r[1] for r, m in zip(own, marks, strict=True)])
-                train = np.concatenate(marks) >> np.uint32(31)
-                order = np.argsort(keys)
-                keys, uid, train = keys[order], uid[order], train[order]
-                values = np.zeros((len(keys), 4))  # known, base, root, gain
-                if kind == 1:
-                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    c = np.repeat(np.add.reduceat(train.astype(np.int64), first), np.diff(np.concatenate([first, [len(keys)]])))
-                    values[:, 0], values[:, 1], values[:, 2] = c > 0, v.base(c), v.root(c)
-                else:
-                    seen = [r for r in rows if r[0] == 4]
-                    pairs, counts = np.frombuffer(b"".join(r[2] for r in seen), np.uint64), np.frombuffer(b"".join(r[3] for r in seen), np.uint32)
-                    values[:, 3] = score_tokens(keys, train, pairs, counts, v, parts, divergence)
-                    uid, values = uid[values[:, 3] != 0], values[values[:, 3] != 0]
-                if len(uid):
-                    out += to_documents(0, *summed(uid, values))
-            yield batch_of(out, BLOCK_SCHEMA)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_slice(batches):
-            whole = pa.concat_tables([pa.ipc.open_stream(r[2]).read_all() for r in rows if r[0] == 0])
-            own = [r for r in rows if r[0] == 3]
-            if own:
-                uid, sums = summed(np.frombuffer(b"".join(r[2] for r in own), np.int64), np.frombuffer(b"".join(r[3] for r in own)).reshape(-1, 4))
-                order = np.argsort(whole["uid"].to_numpy())
-                whole = whole.take(pa.array(order))
-                at = np.searchsorted(whole["uid"].to_numpy(), uid)
-                for n, name in enumerate(("n_known", "base", "root", "gain")):
-                    column = whole[name].to_numpy().copy()
-                    column[at] += sums[:, n].astype(column.dtype)
-                    whole = whole.set_column(whole.schema.get_field_index(name), name, pa.array(column))
-            yield from whole.combine_chunks().to_batches(max_chunksize=10_000)
-
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
+    blocks = materialize(code_texts(docs), "blocks")
+    coded, v = number_words(blocks)
+    discard(blocks)
     partitions = shuffle_partitions(spark)
-    blocks = docs.mapInArrow(deal, BLOCKS).repartition(partitions, "slice").sortWithinPartitions("slice")
-    sums = blocks.mapInArrow(reduce, BLOCKS).repartition(partitions, "slice").sortWithinPartitions("slice").mapInArrow(finish, SUMS)
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("root") + F.col("gain")).alias("score"))
+    slices = max(2 * partitions, -(-v.tokens // slice_tokens))
+    hot, targets = hot_contexts(coded, v, depth, slices)
+    parts = deal_tokens(coded, v, depth, hot).unionByName(hot_counts(coded, v, hot, targets))
+    dealt = parts.repartitionById(partitions, F.col("slice") % partitions).sortWithinPartitions("slice", "level")
+    gains = token_gains(dealt, v, depth, divergence).groupBy("uid").agg(F.sum("gain").alias("gain"))
+    whole = document_sums(coded, v).join(gains, "uid", "left")
+    score = F.col("root") + F.coalesce("gain", F.lit(0.0))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))

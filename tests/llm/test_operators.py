@@ -124,79 +124,85 @@ def test_components_of_a_chain_and_hub(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def brute_suffix_tree(texts, depth):
+    """Score of every text by a tree of dictionaries."""
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    runs = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", lowered(t)), "\0"]) for i, t in texts]
+    contexts = lambda w, k: [("^",) * (n > k) + tuple(w[max(0, k - n) : k]) for n in range(1, min(k + 1, depth) + 1)]
+    after = defaultdict(Counter)
+    for i, w in runs:
+        if not out(i):
+            for k in range(len(w)):
+                for state in [(), *contexts(w, k)]:
+                    after[state][w[k]] += 1
+    c, n = after[()], sum(after[()].values())
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
+    memo, e = {}, suffixtree.DISCOUNT
+
+    def chance(state, w):
+        """P(w | longest retained suffix of state)."""
+        if not state:
+            return (c[w] - d) / n if c[w] else d * len(c) / n
+        seen = after.get(state, {})
+        total, kinds = sum(seen.values()), len(seen)
+        if state not in memo:
+            lower = {x: chance(state[1:], x) for x in seen}
+            memo[state] = total > 1 and sum(m * np.log(max((max(m - 1 - e, 0) + e * (kinds - (m == 1)) * lower[x]) / (total - 1), 1e-300) / lower[x]) for x, m in seen.items()) >= suffixtree.DIVERGENCE
+        p = chance(state[1:], w)
+        return (max(seen.get(w, 0) - e, 0) + e * kinds * p) / total if memo[state] else p
+
+    scores = [(i, sum(np.log10(chance(contexts(w, k)[-1], w[k])) for k in range(len(w)))) for i, w in runs]
+    return scores, memo
+
+
 def test_suffix_tree(spark, prose):
     rng = random.Random(1)
     phrase = "alpha beta gamma delta epsilon zeta"
-    texts = [*prose, *((200 + i, f"{phrase} {rng.random()} {phrase}") for i in range(60)), (None, "the of")]
-    rows = suffixtree.score_documents(documents(spark, texts), hot_words=5).collect()
+    texts = [*prose, *((200 + i, f"{phrase} {rng.random()} {phrase}") for i in range(60)), (None, "the of"), (300, "long text of many words " * 20_000)]
+    rows = suffixtree.score_documents(documents(spark, texts)).collect()
     assert len(rows) == len(texts)
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lowered(t)), "\0"]
     c = Counter(w for i, t in texts if not out(i) for w in words(t))
     n, v = sum(c.values()), len(c)
-    want = Counter((i, out(i), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t in texts)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score <= 1e-9 for r in rows)
+    want = Counter((i, out(i), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 3)) for i, t in texts)
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in rows) == want
+    scores, memo = brute_suffix_tree(texts, suffixtree.DEPTH)
+    assert sorted((r.doc_id or -1, r.score) for r in rows) == [(i, pytest.approx(s)) for i, s in sorted((i or -1, s) for i, s in scores)]
+    assert any(memo.values()) and not all(memo.values())
     assert suffixtree.score_documents(documents(spark, prose).limit(0)).count() == 0
-    only = suffixtree.score_documents(documents(spark, [(7, "a b")]).where(F.lit(True)).withColumn("doc_id", F.lit(next(i for i in range(99) if out(i))))).first()
+    only = suffixtree.score_documents(documents(spark, [(7, "a b")]).withColumn("doc_id", F.lit(next(i for i in range(99) if out(i))))).first()
     assert (only.train_tokens, only.base_score, only.score) == (0, 0.0, 0.0)
 
 
-def test_suffix_tree_distributions_sum_to_one():
-    counts = np.array([50, 30, 9, 4, 3])
-    v = suffixtree.Vocabulary(np.arange(5, dtype=np.uint64), counts, np.zeros(5, dtype=np.int64), 100, 9, 0.5)
-    rare = 1 - (counts - 0.5).sum() / 100
-    root = np.append((counts - 0.5) / 100, rare)
-    symbols = np.array([1, 2, 3, 4, 5, 0])
-    train = np.array([1] * 12 + [0] * 6)
-    keys = np.concatenate([np.full(9, 4), np.full(3, 5), symbols]).astype(np.uint64) | np.uint64(7 << suffixtree.WORD_BITS)
-    order = np.argsort(keys, kind="stable")
-    gain = suffixtree.score_contexts(keys[order], train[order], v, 3.0)
-    by = dict(zip(keys[order] & np.uint64((1 << suffixtree.WORD_BITS) - 1), gain, strict=True))
-    assert sum(root[k] * 10 ** by[s] for k, s in enumerate(symbols)) == pytest.approx(1.0)
-
-
-def test_suffix_tree_backs_off_to_the_longest_retained_suffix(spark):
+@pytest.mark.parametrize(("depth", "slice_tokens"), [(3, 1_000_000), (3, 150), (2, 20)])
+def test_suffix_tree_with_hot_contexts(spark, depth, slice_tokens):
+    """Many small slices make words, pairs and triples hot; where tokens are dealt to must not change a score."""
     rng = random.Random(3)
-    common = ["the", "of", "and", "to"]
     texts = []
     for i in range(80):
-        words = rng.choices([*common, *(f"w{k}" for k in range(25))], k=30)
+        words = rng.choices(["the", "of", "and", "to", *(f"w{k}" for k in range(25))], k=30)
         for _ in range(6):
             words += rng.choice([["of", "the", "sea"], ["the", "land"], ["w1", "w2", "w3"], ["to", "w2", "w4"]])
         texts.append((i, " ".join(words)))
-    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    runs = {i: [*t.split(), "\0"] for i, t in texts}
-    after = defaultdict(Counter)
-    for i, w in runs.items():
-        if not out(i):
-            for k in range(len(w)):
-                for n in range(min(k, 2) + 1):
-                    after[tuple(w[k - n : k])][w[k]] += 1
-    c, n = after[()], sum(after[()].values())
-    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
-    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
-    assert min(c.values()) >= 2
-    rest, memo = 1 - sum(x - d for x in c.values()) / n, {}
-
-    def chance(state, w):
-        """P(w | state), and whether the state itself is retained."""
-        if not state:
-            return ((c[w] - d) / n if c[w] else rest), True
-        seen = after[state]
-        total, kinds = sum(seen.values()), len(seen)
-        if state not in memo:
-            lower = {x: chance(state[1:], x)[0] for x in seen}
-            memo[state] = total > 1 and sum(m * np.log(max((max(m - 1 - d, 0) + d * (kinds - (m == 1)) * lower[x]) / (total - 1), 1e-300) / lower[x]) for x, m in seen.items()) >= suffixtree.DIVERGENCE
-        p = chance(state[1:], w)[0]
-        return ((max(seen[w] - d, 0) + d * kinds * p) / total, True) if memo[state] else (p, False)
-
-    want = {i: sum(np.log10(chance(tuple(w[max(0, k - 2) : k]), w[k])[0]) for k in range(len(w))) for i, w in runs.items()}
-    assert memo["of", "the"] and memo["the",] and memo["w2",] and not all(memo.values())
-    for hot in (0, 3, 8000):  # spreading hot words must not change a score
-        got = {r.doc_id: r.score for r in suffixtree.score_documents(documents(spark, texts), hot_words=hot).collect()}
-        assert got == pytest.approx(want)
+    texts += [(i, "a b " * 40) for i in range(100, 120)]
+    scores, memo = brute_suffix_tree(texts, depth)
+    assert memo["of", "the"] and memo["the",] and not all(memo.values())
+    docs = documents(spark, texts).repartition(3)
+    if slice_tokens < 1000:
+        coded, v = suffixtree.number_words(materialize(suffixtree.code_texts(docs.select("doc_id", F.lit(False).alias("held_out"), "text")), "blocks"))
+        hot, _ = suffixtree.hot_contexts(coded, v, depth, v.tokens // slice_tokens)
+        assert all(len(k) for k in hot.keys)
+    got = {r.doc_id: r.score for r in suffixtree.score_documents(docs, depth=depth, slice_tokens=slice_tokens).collect()}
+    assert got == pytest.approx(dict(scores))
+
+
+def test_suffix_tree_planes():
+    rng = np.random.default_rng(0)
+    for top in (1, 200, 70_000, 1 << 40):
+        x = rng.integers(0, top, 1000)
+        assert (suffixtree.unsqueezed(suffixtree.squeezed(x)) == x).all()
 
 
 def labelled_corpus():
