@@ -1,11 +1,14 @@
-"""Licence scan by a positional rare-token index over licence templates.
+"""Licence scan by a positional rare-token index over licence texts.
 
-The templates (phrases below) are indexed by word: word -> (template, place in it). Document frequencies of the
-template words are counted over all documents first. For each file, the template words that occur in it are looked up
-rarest first; a posting of word w at place p of a template, met at position i of the file, votes for the template
-starting at i - p. Starts where enough of a template's IDF mass agrees are verified: every mandatory key phrase of
-the template must stand there word for word. Only then is the template's label given, with the share of the IDF mass
-found as its score.
+The templates (texts, citations and tags of ``license_texts``, or any others given) are indexed by word: word -> (template,
+place in it). Document frequencies of the template words are counted over all documents first. For each file, its licence words are
+looked up from the highest IDF down; each template takes the first ANCHORS of them that it holds. A posting of a word at
+place p, met at position i of the file, puts the template's start at i - p. The postings are intersected by relative position: where at least
+half of the anchors (two at least, if it has two) agree on a start within a slack of a tenth of the template, its region is
+verified: every mandatory key phrase must stand in it word for word, and the words it shares with the template must hold at least LEAST_MASS
+of the template's IDF mass. That share is the score. Of regions that overlap by half, the one with the most mass gives its label.
+
+Base phrases are templates of their own: their rarest word is looked up, and every place where the phrase stands counts.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.
 
@@ -16,14 +19,16 @@ rows are scanned again; a null doc_id is carried; an empty table gives an empty
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import small_batches
+from groundmesh.llm.license_texts import CITATIONS, SPDX, TEXTS
 
 #: Base phrases and their labels. They count wherever their words stand consecutively.
 BASE_PHRASES = {
@@ -32,33 +37,10 @@ BASE_PHRASES = {
     "cc-by": "cc by",
     "mit": "mit license",
 }
-#: Label, template text as licences are commonly cited or opened, and its mandatory key phrases.
-TEMPLATES = [
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
-    ("agpl", "licensed under the gnu affero general public license", ["gnu affero general public license"]),
-    ("gfdl", "under the terms of the gnu free documentation license", ["gnu free documentation license"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
-    ("mit-notice", "released under the mit license", ["mit license"]),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge", "copy of this software"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "distribute this software for any purpose"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license", "2 0"]),
-    ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ["cc by nc sa"]),
-    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ["cc by nc nd"]),
-    ("cc-by-text", "licensed under a creative commons attribution license", ["creative commons attribution"]),
-]
-#: Share of a template's IDF mass that must agree on one start before key phrases are verified.
-LEAST_MASS = 0.4
-#: Rarest template words that anchor the lookup of each template.
-ANCHORS = 3
+#: Share of a template's IDF mass that a region must hold.
+LEAST_MASS = 0.5
+#: A file's rarest words that place a template.
+ANCHORS = 8
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,words:long,score:double>>"
 
 _SEPARATOR = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -78,9 +60,16 @@ class Template:
     keys: tuple[tuple[bytes, ...], ...]
 
 
+def template(label: str, text: str, keys: list[str] | None = None, base: bool = False) -> Template:
+    words = tuple(words_of(text))
+    return Template(label, base, words, tuple(tuple(words_of(k)) for k in keys) if keys else (words,))
+
+
 def templates() -> list[Template]:
-    base = [Template(k, True, tuple(words_of(v)), (tuple(words_of(v)),)) for k, v in BASE_PHRASES.items()]
-    return base + [Template(k, False, tuple(words_of(v)), tuple(tuple(words_of(x)) for x in keys)) for k, v, keys in TEMPLATES]
+    """The base phrases and the default templates."""
+    own = [template(k, text, keys) for k, (text, keys) in TEXTS.items()] + [template(k, v) for k, v in CITATIONS.items()]
+    tags = [template(f"spdx-{k.lower()}", f"SPDX-License-Identifier: {k}") for k in SPDX]
+    return [template(k, v, base=True) for k, v in BASE_PHRASES.items()] + own + tags
 
 
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
@@ -101,68 +90,115 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dic
 
 
 class RareTokenIndex:
-    """Postings of the anchors (rarest words) of every template, and the verification around them."""
-
-    def __init__(self, idf: dict[bytes, float]) -> None:
-        self.templates = templates()
-        self.idf = idf
-        self.mass = [sum(idf[w] for w in t.words) for t in self.templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for n, t in enumerate(self.templates):
-            # any one key word is enough to find a start; the rarest words of each key phrase are the anchors
-            for key in t.keys[:1]:
-                at = next(i for i in range(len(t.words)) if t.words[i : i + len(key)] == key)
-                places = sorted(range(at, at + len(key)), key=lambda p: (-idf[t.words[p]], p))[: 1 if t.base else ANCHORS]
-                for p in places:
-                    self.postings.setdefault(t.words[p], []).append((n, p))
-
-    def starts(self, words: list[bytes]) -> dict[tuple[int, int], int]:
-        """(template, start) -> anchors that agree, looking up the file's rarest template words."""
-        found: dict[tuple[int, int], int] = {}
-        postings = self.postings
-        if not postings.keys() & set(words):
-            return found
-        for i, w in enumerate(words):
-            if w in postings:
-                for n, p in postings[w]:
-                    found[n, i - p] = found.get((n, i - p), 0) + 1
+    """Postings of template words, the lookup from a file's rarest words down, and the verification of regions."""
+
+    def __init__(self, found: list[Template], idf: dict[bytes, float]) -> None:
+        self.templates, self.idf = found, idf
+        self.counts = [Counter(t.words) for t in found]
+        self.mass = [sum(idf[w] for w in t.words) for t in found]
+        self.slack = [0 if t.keys == (t.words,) else max(2, len(t.words) // 10) for t in found]
+        self.keys = [frozenset(w for key in t.keys for w in key) for t in found]
+        self.needed = frozenset(max(t.words, key=lambda w: (idf[w], w)) if t.base else max(k, key=lambda w: (idf[w], w)) for t, k in zip(found, self.keys, strict=True))
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
+        for n, t in enumerate(found):
+            for p, w in enumerate(t.words):
+                self.postings.setdefault(w, {}).setdefault(n, []).append(p)
+        self.vocabulary = frozenset(self.postings)
+
+    def anchors(self, present: frozenset[bytes]) -> dict[int, list[bytes]]:
+        """For every template whose key words are all there: the file's rarest words that it holds, highest IDF first."""
+        found: dict[int, list[bytes]] = {}
+        for w in sorted(present, key=lambda w: (-self.idf[w], w)):
+            for n in self.postings[w]:
+                if self.keys[n] <= present:
+                    held = found.setdefault(n, [])
+                    if len(held) < (1 if self.templates[n].base else ANCHORS):
+                        held.append(w)
         return found
 
+    def regions(self, n: int, words: list[bytes], anchors: list[bytes], at: dict[bytes, np.ndarray]) -> list[tuple[int, int]]:
+        """(begin, end) in the file where enough anchors agree on the template's start within the slack."""
+        starts = [(at[w][:, None] - np.array(self.postings[w][n])).ravel() for w in anchors]
+        which = np.repeat(np.arange(len(anchors)), [len(x) for x in starts])
+        start = np.concatenate(starts)
+        order = np.argsort(start, kind="stable")
+        start, which = start[order], which[order]
+        slack, least = self.slack[n], min(len(anchors), max(2, -(-len(anchors) // 2)))
+        out: list[list[int]] = []
+        seen, low = Counter(), 0
+        for high in range(len(start)):
+            seen[which[high]] += 1
+            while start[high] - start[low] > slack:
+                seen[which[low]] -= 1
+                if not seen[which[low]]:
+                    del seen[which[low]]
+                low += 1
+            if len(seen) >= least:
+                begin, end = int(start[low]), int(start[high]) + len(self.templates[n].words) + slack
+                if out and begin <= out[-1][1] - len(self.templates[n].words):
+                    out[-1][1] = end
+                else:
+                    out.append([begin, end])
+        return [(max(0, b - slack), min(e, len(words))) for b, e in out]
+
+    def verify(self, n: int, words: list[bytes], begin: int, end: int) -> tuple[int, int, float] | None:
+        """First and last word that the region shares with the template, and the share of its mass, if its key phrases stand there."""
+        part = words[begin:end]
+        if not all(has_phrase(part, key) for key in self.templates[n].keys):
+            return None
+        shared = self.counts[n] & Counter(part)
+        share = sum(self.idf[w] * m for w, m in shared.items()) / self.mass[n]
+        if share < LEAST_MASS:
+            return None
+        inside = [i for i, w in enumerate(part, begin) if w in self.counts[n]]
+        return inside[0], inside[-1] + 1, min(1.0, share)
+
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float, list[tuple[str, int, int, float]]]:
         """Starts of base phrases, base labels, all labels, best score and the spans of the method's own templates."""
-        base_at, base, labels, best, spans = [], set(), set(), 0.0, []
-        for (n, start), _ in sorted(self.starts(words).items(), key=lambda x: (x[0][1], x[0][0])):
+        base_at, base, found = [], set(), []
+        present = self.vocabulary.intersection(words)
+        if present.isdisjoint(self.needed):
+            return [], set(), set(), 0.0, []
+        anchors = self.anchors(present)
+        wanted = {w for held in anchors.values() for w in held}
+        places: dict[bytes, list[int]] = {w: [] for w in wanted}
+        for i, w in enumerate(words):
+            if w in wanted:
+                places[w].append(i)
+        at = {w: np.array(p) for w, p in places.items()}
+        for n, held in anchors.items():
             t = self.templates[n]
             if t.base:
-                if start >= 0 and tuple(words[start : start + len(t.words)]) == t.words:
-                    base_at.append(start)
-                    base.add(t.label)
+                starts = [i - p for i in places[held[0]] for p in self.postings[held[0]][n] if i >= p and tuple(words[i - p : i - p + len(t.words)]) == t.words]
+                base_at += starts
+                base |= {t.label} if starts else set()
                 continue
-            low, high = max(start, 0), min(start + len(t.words), len(words))
-            agreed = sum(self.idf[t.words[i - start]] for i in range(low, high) if words[i] == t.words[i - start])
-            score = agreed / self.mass[n]
-            if score >= LEAST_MASS and all(self.has_key(words, low, high, key) for key in t.keys):
-                labels.add(t.label)
-                spans.append((t.label, low, high - low, score))
-                best = max(best, score)
-        if base:
-            best = 1.0
-        return base_at, base, labels | base, best, spans
-
-    @staticmethod
-    def has_key(words: list[bytes], low: int, high: int, key: tuple[bytes, ...]) -> bool:
-        return any(tuple(words[i : i + len(key)]) == key for i in range(low, high - len(key) + 1))
-
-
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per document: counts and places of base phrases, labels, best score and the method's spans."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocabulary = frozenset(w for t in templates() for w in t.words)
+            for begin, end in self.regions(n, words, held, at):
+                if got := self.verify(n, words, begin, end):
+                    found.append((got[2] * self.mass[n], t.label, *got))
+        spans: list[tuple[str, int, int, float]] = []
+        for _, label, begin, end, share in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            if all(2 * (min(end, b + size) - max(begin, b)) <= min(end - begin, size) for _, b, size, _ in spans):
+                spans.append((label, begin, end - begin, share))
+        best = 1.0 if base else max((s[3] for s in spans), default=0.0)
+        return base_at, base, {s[0] for s in spans} | base, best, sorted(spans, key=lambda s: (s[1], s[0]))
+
+
+def has_phrase(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
+    size, first = len(phrase), phrase[0]
+    return any(words[i] == first and tuple(words[i : i + size]) == phrase for i in range(len(words) - size + 1))
+
+
+def scan_licenses(docs: DataFrame, found: list[Template] | None = None) -> DataFrame:
+    """One row per document: counts and places of base phrases, labels, best score and the method's spans (by ``templates()`` unless others are given)."""
+    found = found or templates()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    vocabulary = frozenset(w for t in found for w in t.words)
     counts, total = word_frequencies(docs, vocabulary)
     idf = {w: math.log((total + 1) / (n + 1)) + 1e-3 for w, n in counts.items()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RareTokenIndex(idf)
+        index = RareTokenIndex(found, idf)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
