@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of one (key, bucket) cell when rows are numbered: what one window group holds at most, about.
-NUMBERING_CELL_ROWS = 20_000
+NUMBERING_CELL_ROWS = 2_000
+#: Cells of a key whose counts are added up in one task.
+NUMBERING_RUN = 4096
 #: Rows of an Arrow batch that carries whole texts.
 TEXT_BATCH_ROWS = 1000
 
@@ -62,15 +64,18 @@ def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Co
     """Add ``name``: 0-based number of each row among the rows of its key, without gathering a key in one task.
 
     Rows of a key fall into buckets by the hash of ``spread``; they are numbered inside (key, bucket), and the
-    bucket's offset (running sum over the few bucket counts of the key) is added. Numbers are gapless; equal rows
+    bucket's offset (running sums over runs of bucket counts, and over the runs) is added. Numbers are gapless; equal rows
     get neighbouring numbers in no fixed order. Keys must not be null: the join then uses the window's own partitioning.
     """
     buckets = max(1, -(-total_rows // NUMBERING_CELL_ROWS)) * 4
     cell = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)))
     by = [*keys, "_bucket"]
     numbered = cell.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cell.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    runs = [*keys, "_run"]
+    before = lambda group, order: F.coalesce(F.sum("_rows").over(W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cell.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_run", F.floor(F.col("_bucket") / NUMBERING_RUN))
+    of_run = cells.groupBy(*runs).agg(F.sum("_rows").alias("_rows")).withColumn("_base", before(keys, "_run")).drop("_rows")
+    offsets = cells.withColumn("_inside", before(runs, "_bucket")).join(of_run, runs).select(*by, (F.col("_base") + F.col("_inside")).alias("_offset"))
     return numbered.join(offsets, by).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))
 
 

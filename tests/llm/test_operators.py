@@ -1,10 +1,12 @@
 """Each operator against brute force on small tables, with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
@@ -311,22 +313,59 @@ def test_warc(spark, tmp_path):
             list(warc.iterate_archive(bytes(broken)))
 
 
+def brute_schedule(blocks, weights):
+    """Slot by slot over fractions: among the released blocks, the earliest deadline (then the smaller source)."""
+    left, used, order = {k: n for k, n in blocks.items() if n}, Counter(), []
+    while left:
+        share = {k: Fraction(weights[k]) / sum(Fraction(weights[x]) for x in left) for k in left}
+        base, done = len(order), Counter()
+        while True:
+            released = [k for k in left if math.floor(done[k] / share[k]) <= len(order) - base]
+            k = min(released, key=lambda x: (math.ceil((done[x] + 1) / share[x]), x))
+            order.append((k, used[k]))
+            done[k] += 1
+            used[k] += 1
+            for x in left:
+                assert abs(done[x] - share[x] * (len(order) - base)) < 1
+            if used[k] == blocks[k]:
+                del left[k]
+                break
+    return order
+
+
 def test_mixing(spark, prose):
     docs = documents(spark, prose)
-    rows = mixing.mix(docs, block_docs=2, period=20).collect()
-    assert sorted(r.mix_position for r in rows) == list(range(len(prose)))
+    for weights in (None, {"s0": 0.7, "s1": 1 / 3}):
+        rows = mixing.mix(docs, weights, block_docs=2).collect()
+        counts = Counter(r.mix_source for r in rows)
+        chosen = {k: n**0.5 for k, n in counts.items()} if weights is None else weights | dict.fromkeys(set(counts) - set(weights), 1 / 3)
+        place, position = {}, 0
+        for slot, (k, block) in enumerate(brute_schedule({k: -(-n // 2) for k, n in counts.items()}, chosen)):
+            place[k, block] = slot, position
+            position += min(2, counts[k] - 2 * block)
+        assert sorted(r.mix_position for r in rows) == list(range(len(prose)))
+        for r in rows:
+            slot, position = place[r.mix_source, r.mix_block]
+            assert r.mix_slot == slot and r.mix_position in (position, position + 1) and r.mix_release <= slot < r.mix_deadline
+    few = mixing.mix(docs, block_docs=2, max_slots=5).collect()
+    assert sorted(r.mix_position for r in few) == list(range(len(prose))) and max(r.mix_block for r in few) <= 2
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() == len(prose)
-    for shares in ({"a": 3, "b": 5, "c": 12}, {"a": 1, "b": 1}, {"a": 7, "b": 13}):
-        total, done = sum(shares.values()), Counter()
-        for slot, k, j, release, deadline in mixing.pfair_period(shares):
+    assert mixing.mix(docs.limit(0)).count() == 0
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    assert [r.mix_position for r in mixing.mix(many, block_docs=1).select("mix_position").orderBy("mix_position").collect()] == list(range(3000))
+
+
+def test_mix_stays_within_a_block_of_its_weights():
+    for weights in ({"a": 1 / 3, "b": 2 / 3}, {"a": 0.0005, "b": 0.4, "c": 0.5995}, {f"s{i}": 0.5**i for i in range(25)}, {f"s{i}": i**0.5 for i in range(1, 20)}):
+        whole = mixing.whole_weights(weights)
+        total, done = sum(whole.values()), Counter()
+        for slot, (k, j, release, deadline) in zip(range(20_000), mixing.pfair(whole)):
             assert release <= slot < deadline and done[k] == j
             done[k] += 1
-            assert all(abs(done[x] - (slot + 1) * shares[x] / total) < 1 for x in shares)
-        assert done == shares
-    assert sum(mixing.shares({"a": 0.0001, "b": 5, "c": 3}, 10).values()) == 10
-    phases, slots = mixing.plan({"a": 10, "b": 3, "c": 0}, {"a": 1.0, "b": 1.0, "c": 1.0}, 10)
-    assert sum(p[3] for p in phases if p[1] == "a") == 10 and sum(p[3] for p in phases if p[1] == "b") == 3
-    assert mixing.mix(docs.limit(0)).count() == 0
+            if slot % 97 < 3:
+                assert all(abs(done[x] * total - (slot + 1) * whole[x]) < total for x in whole)
+    phases = mixing.plan({"a": 10, "b": 3, "c": 0}, {"a": 1.0, "b": 1.0, "c": 1.0})
+    assert [(k, j) for _, k, j, *_ in phases] == brute_schedule({"a": 10, "b": 3}, {"a": 1.0, "b": 1.0})
 
 
 def test_packing(spark, prose):
