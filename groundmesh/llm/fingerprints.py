@@ -4,8 +4,8 @@ A text's k-mers (k code points) are numbered by occurrence. For each of ``HASHES
 (k-mer, occurrence) pairs are taken, put back into text order, and hashed as a tuple. Equal tuples need equal k-mers
 in equal order, so the share of equal tuples falls with edit distance, not only with the overlap of k-mers.
 
-Defined cases: a null text is the empty one; texts shorter than k are one k-mer; where a text has fewer pairs than the
-tuple, all are taken; two empty texts are alike (1.0), an empty and another text are not (0.0). Rows are ordered by
+Defined cases: a null text is the empty one; for texts shorter than k, k is the largest power of two that fits; where a text has
+fewer pairs than the tuple, all are taken; two empty texts are alike (1.0), an empty and another text are not (0.0). Rows are ordered by
 doc_id, ties by text; null doc_ids come last of all. A single document is its own neighbour. An empty table gives an
 empty result; extra columns are not read.
 """
@@ -13,14 +13,15 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import shuffle_partitions, small_batches
+from groundmesh.llm.common import shuffle_partitions
 
 K = 8
 HASHES = 32
@@ -109,6 +110,18 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def smaller(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below value, by two short lists: runs of cuts, then one run."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts)) + 1
+    runs = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    listed = lambda x: F.array(*(F.lit(c).cast("long") for c in x))
+    below = lambda x: F.size(F.filter(x, lambda c: c < value))
+    run = below(listed([r[0] for r in runs]))
+    return F.when(run == 0, 0).otherwise((run - 1) * size + below(F.element_at(F.array(*map(listed, runs)), run)))
+
+
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and likeness to both that and the next document.
 
@@ -120,10 +133,9 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     buckets = BUCKETS * shuffle_partitions(spark)
     cuts = docs.agg(F.percentile_approx(-F.col("doc_id"), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(10_000)).alias("cuts")).first()["cuts"] or []
-    bounds = F.array(*(F.lit(int(c)).cast("long") for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    last = len(set(cuts)) + 1
+    cuts = sorted({int(c) for c in cuts})
     # a null id comes last, after every bucket
-    bucket = F.when(F.col("doc_id").isNull(), last).otherwise(F.size(F.filter(bounds, lambda c: c < -F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(smaller(-F.col("doc_id"), cuts))
     rows = docs.withColumn("bucket", bucket).withColumn("rank", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)))
     heads = rows.groupBy("bucket").agg(F.min("rank").alias("rank")).collect()  # a row a bucket
     filled = sorted(heads, key=lambda r: r["bucket"])
@@ -155,7 +167,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    return small_batches(dealt).select("bucket", "doc_id", "text", "tail").mapInArrow(compare, NEIGHBOURS)
+    return dealt.select("bucket", "doc_id", "text", "tail").mapInArrow(compare, NEIGHBOURS)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
