@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import NUMBERING_CELL_ROWS, materialize, number_in_order, number_within, small_batches
+from groundmesh.llm.common import NUMBERING_CELL_ROWS, materialize, number_in_order, number_within
 from groundmesh.llm.tokens import load_encoder
 
 CAPACITY = 2048
@@ -118,7 +118,7 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
         schema = schema.append(pa.field("_file", pa.string())).append(pa.field("_row", pa.int64()))
         read = docs.metadataColumn("_metadata")
         columns += [read["file_name"].alias("_file"), read["row_index"].alias("_row")]
-    return small_batches(docs).select(*columns).mapInArrow(cut, f"{PIECES}, {PLACE}" if in_order else PIECES)
+    return docs.select(*columns).mapInArrow(cut, f"{PIECES}, {PLACE}" if in_order else PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

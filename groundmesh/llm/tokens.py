@@ -3,7 +3,8 @@
 The file's normalizer (NFC, white space to blanks, lower case) and splitter never cross white space, so a text's ids
 are those of its white-space chunks one after the other. Each Python worker keeps the ids of chunks it has met (up to
 ``CACHED_CHUNKS``) and hands the others to the BPE model in long strings: words end where an id's token ends in the
-end-of-word suffix. Results equal ``Tokenizer.encode`` on the whole text; files of another shape go through it as is.
+end-of-word suffix. Results equal ``Tokenizer.encode(text, add_special_tokens=False)`` on the whole text: one that holds the text
+of an added token goes through it as is, and so do files of another shape.
 """
 
 from __future__ import annotations
@@ -38,15 +39,15 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         spec = json.load(file)
     kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or spec["model"].get("end_of_word_suffix") != "</w>":
+    added = spec.get("added_tokens") or []
+    if any(x.get("normalized") for x in added) or kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or spec["model"].get("end_of_word_suffix") != "</w>":
         plain_file = Tokenizer.from_file(path)
-        plain_file.encode_special_tokens = True
         return lambda texts: [np.array(x.ids, dtype=np.int64) for x in plain_file.encode_batch_fast(texts, add_special_tokens=False)]
 
     vocab = spec["model"]["vocab"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    odd_parts = regex.compile("|".join([SEPARATORS.pattern, *(regex.escape(x["content"]) for x in added)]))
     model = Tokenizer(models.BPE(vocab=vocab, merges=merges, end_of_word_suffix="</w>", cache_capacity=0))
     model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -97,7 +98,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         room = len(cache) < CACHED_CHUNKS
-        odd = {i for i, t in enumerate(texts) if SEPARATORS.search(t)}
+        odd = {i for i, t in enumerate(texts) if odd_parts.search(t)}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         fresh = list(set().union(*split).difference(cache))
         if fresh:
