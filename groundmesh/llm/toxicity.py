@@ -2,10 +2,11 @@
 
 Nodes are words and their prefixes. For each node, documents of either label that hold it are counted, and its
 log-odds get an informative Dirichlet prior (the pooled rate, at PRIOR times the sample): ratio and standard error as
-in Monroe, Colaresi and Quinn (2008). Nodes whose ratio lies SIGNIFICANT errors above 0 and that more toxic than clean documents
-hold score their log-odds; a token scores its best node, any other token a small negative background. In every text a linear scan
+in Monroe, Colaresi and Quinn (2008). Nodes whose ratio lies SIGNIFICANT errors off 0 are kept, whatever the share of toxic labels. A token scores
+its highest kept node above 0, else its lowest one below 0, else a small negative background. In every text a linear scan
 (Ruzzo and Tompa 1999) finds all maximal scoring segments; those above the extreme-value threshold of Karlin and
-Altschul (1990) count as toxic passages. Their summed score, less the log of the search space, goes through a logistic
+Altschul (1990) count as toxic passages. lambda is solved from the scores of clean training tokens; K is not their infinite
+sum but its first term, the limit for rare hits. The segments' summed score, less the log of the search space, goes through a logistic
 curve fitted on the training rows.
 
 Labels are learnt from at most TRAIN_ROWS rows, so the model is bounded whatever the corpus. Scores use the text only.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import small_batches
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 PREFIXES = range(3, 9)
 PRIOR = 0.1
-SIGNIFICANT = 3.0
+SIGNIFICANT = 4.0
 LEAST_BACKGROUND = 0.05
 HELD_OUT_MOD = 5
 #: Chance of one such segment in a clean text, at most, for a segment to count as a passage.
@@ -91,12 +92,9 @@ class ToxicityModel:
         return self.__dict__ | {"memo": {}}
 
     def token_score(self, word: str) -> float:
-        best = self.nodes.get(word + " ", -math.inf)
-        for n in PREFIXES:
-            if n > len(word):
-                break
-            best = max(best, self.nodes.get(word[:n], -math.inf))
-        return best if best > 0 else -self.background
+        known = [x for n in (word + " ", *(word[:n] for n in PREFIXES if n <= len(word))) if (x := self.nodes.get(n)) is not None]
+        best = max(known, default=0.0)
+        return best if best > 0 else min(-self.background, *known, 0.0)
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Significant segments as (first word, end, score), and the number of words."""
@@ -134,7 +132,7 @@ def node_counts(sample: DataFrame) -> DataFrame:
                 part = names[at : at + 50_000]
                 yield pa.RecordBatch.from_pydict({"node": part, "toxic": [held[n][1] for n in part], "clean": [held[n][0] for n in part]})
 
-    rows = small_batches(sample).select("text", "_label").mapInArrow(count, "node string, toxic long, clean long")
+    rows = sample.select("text", "_label").mapInArrow(count, "node string, toxic long, clean long")
     return rows.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -152,28 +150,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     odds = lambda n, of: F.log((n + pseudo) / (of - n + whole - pseudo + 0.5))
     ratio = odds(F.col("toxic"), toxic) - odds(F.col("clean"), clean)
     error = F.sqrt(1 / (F.col("toxic") + pseudo) + 1 / (F.col("clean") + pseudo))
-    found = node_counts(sample).where(F.col("toxic") >= F.greatest(F.lit(2), F.col("clean"))).withColumn("ratio", ratio).where(F.col("ratio") >= SIGNIFICANT * error)
+    found = node_counts(sample).where(F.col("toxic") + F.col("clean") >= 2).withColumn("ratio", ratio).where(F.abs("ratio") >= SIGNIFICANT * error)
     nodes = {r["node"]: r["ratio"] for r in found.select("node", "ratio").collect()}  # bounded by the sample
-    if not nodes:
+    if not any(x > 0 for x in nodes.values()):
         return nothing
     model = ToxicityModel(nodes, LEAST_BACKGROUND, 1.0, 1.0, (0.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            seen: dict[tuple[int, float], int] = {}
             for text, label in zip(batch["text"].to_pylist(), batch["_label"].to_pylist(), strict=True):
-                scores = [model.token_score(w) for w in words_of(text)]
-                hits = [s for s in scores if s > 0]
-                rows.append((label, len(scores), len(hits), float(sum(hits))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["label", "words", "hits", "mass"])
-
-    seen = sample.select("text", "_label").mapInArrow(measure, "label long, words long, hits long, mass double").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("words", "hits", "mass"))).collect()
-    of = {r["label"]: r for r in seen}
-    chance = lambda k: (of[k]["hits"] + 0.5) / (of[k]["words"] + 1.0) if k in of else 0.5
-    mean = (of[1]["mass"] if 1 in of else 0.0) / max(1, of[1]["hits"] if 1 in of else 0) or max(nodes.values())
-    model.background = max(LEAST_BACKGROUND, -math.log((1 - chance(1)) / (1 - chance(0))))
-    model.rate, model.space = extreme_value_law(chance(0), mean, model.background)
+                for w, n in Counter(words_of(text)).items():
+                    at = label, round(model.token_score(w), 2)
+                    seen[at] = seen.get(at, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["label", "score", "n"])
+
+    seen = sample.select("text", "_label").mapInArrow(measure, "label long, score double, n long").groupBy("label", "score").agg(F.sum("n").alias("n")).collect()  # a row per label and score of two digits
+    hits, words = ({k: sum(r["n"] for r in seen if r["label"] == k and (r["score"] > 0 or every)) for k in (0, 1)} for every in (False, True))
+    chance = {k: (hits[k] + 0.5) / (words[k] + 1.0) for k in (0, 1)}
+    model.background = max(LEAST_BACKGROUND, -math.log((1 - chance[1]) / (1 - chance[0])))
+    clean = {r["score"] if abs(r["score"]) > LEAST_BACKGROUND else -model.background: r["n"] for r in seen if r["label"] == 0}
+    gain = sum(r["score"] * r["n"] for r in seen if r["score"] > 0) / max(1, hits[0] + hits[1]) or max(nodes.values())
+    clean[gain] = clean.get(gain, 0) + 0.5  # a hit is possible even where none was seen
+    model.rate, model.space = extreme_value_law(clean)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,17 +186,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     return model
 
 
-def extreme_value_law(chance: float, gain: float, background: float) -> tuple[float, float]:
-    """lambda and K: lambda solves chance * e^(lambda * gain) + (1 - chance) * e^(-lambda * background) = 1.
+def extreme_value_law(counts: dict[float, float]) -> tuple[float, float]:
+    """lambda and K of clean tokens with the given scores: lambda solves sum of p(s) * e^(lambda * s) = 1 over scores s.
 
-    K is taken at the rare-hit limit, chance * e^(lambda * gain): one hit then has the chance of one hit in the text.
+    K is taken at the rare-hit limit, the sum of p(s) * e^(lambda * s) over hits: one hit then has the chance of one hit in the text.
     """
+    total = sum(counts.values())
+    s, p = np.array(list(counts)), np.array(list(counts.values())) / total
     low, high = 1e-6, 50.0
-    balance = lambda r: chance * math.exp(min(700.0, r * gain)) + (1 - chance) * math.exp(-r * background) - 1
+    balance = lambda r: float((p * np.exp(np.minimum(700.0, r * s))).sum()) - 1
     for _ in range(200):
         middle = (low + high) / 2
         low, high = (middle, high) if balance(middle) < 0 else (low, middle)
-    return low, chance * math.exp(min(700.0, low * gain))
+    return low, float((p * np.exp(np.minimum(700.0, low * s)))[s > 0].sum())
 
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence double, n_passages long, passages array<struct<start:long,end:long,score:double>>"
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: ToxicityModel, held_out_mod: int = HELD_OUT_MO
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "held_out", "score", "predicted", "evidence", "n_passages", "passages"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % held_out_mod == 0, F.lit(False))
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
 
 
 def clean_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -237,4 +238,4 @@ def clean_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             keep = [model.probability(model.evidence(*model.passages(t))) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -6,24 +6,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundmesh.llm.common import materialize
+
 #: Labelled rows that a model is fitted on, at most (about): the bound of every model's size.
 TRAIN_ROWS = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int | None, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs joined with ``label`` (0/1) of at most about ``rows`` labelled ids, chosen by hash.
+    """docs joined with ``label`` (as 0 or 1) of at most about ``rows`` labelled ids, chosen by hash; written once, as fits read it often.
 
-    Rows whose crc32(doc_id as text) is 0 modulo ``held_out_mod`` are never used. The sampled ids are few whatever
+    Any label above 0 counts as 1; of several labels of one id, the largest. Rows whose crc32(doc_id as text) is 0 modulo ``held_out_mod`` are never used. The sampled ids are few whatever
     the corpus, so they are broadcast.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if held_out_mod:
         usable = usable.where(F.crc32(F.col("doc_id").cast("long").cast("string")) % held_out_mod != 0)
-    usable = usable.groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_label"))
     total = usable.count()
     if total > rows:
         usable = usable.where(F.pmod(F.xxhash64("_label_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-    return docs.join(F.broadcast(usable), docs["doc_id"].cast("long") == F.col("_label_id")).drop("_label_id")
+    return materialize(docs.join(F.broadcast(usable), docs["doc_id"].cast("long") == F.col("_label_id")).drop("_label_id"), "sample")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
