@@ -1,7 +1,9 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A document classifier (ridge logistic on shape statistics of the whole text, fitted on at most TRAIN_ROWS labelled rows)
-gives each document its evidence. Sites are two levels: host and path. By grouped aggregation over all documents,
+A document classifier gives each document its evidence: a ridge logistic on shape statistics of the whole text and on the
+mean log-odds of its words and word pairs, fitted on at most TRAIN_ROWS labelled rows. Word log-odds are smoothed counts of
+documents by label; each half of the sample takes its own from the other half, so the logistic weighs them as they
+count on unseen texts. Sites are two levels: host and path. By grouped aggregation over all documents,
 each host's mean quality is shrunk towards the global mean and each path's mean towards its host's, with prior
 strengths estimated from the spread between sites (method of moments). A document's final log-odds are its evidence
 plus what its path, itself left out, says beyond the global mean. Sparse sites thus stay near the global prior.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize, small_batches
+from groundmesh.llm.common import materialize
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 BROADCAST_SITES = 100_000
@@ -33,7 +35,13 @@ BROADCAST_SITES = 100_000
 SITE_WEIGHT = 1.0
 #: Log-odds of one document are cut to this before site sums, so that no document outweighs the others.
 EVIDENCE_CUT = 8.0
-FEATURES = ("repeats", "variety", "symbols", "upper", "bare", "digits", "word_length", "words", "line_repeats", "stops")
+SHAPES = ("repeats", "variety", "symbols", "upper", "bare", "digits", "word_length", "words", "line_repeats", "stops")
+FEATURES = (*SHAPES, "words_odds")
+#: Documents of the sample that hold a word or pair, at least, for it to count, and the weight of the prior beside its counts.
+LEAST_DOCS = 5
+PRIOR_DOCS = 4.0
+#: Labelled rows whose crc32(doc_id as text) is divisible by this may be kept out of a fit, to measure it.
+HELD_OUT_MOD = 5
 
 _LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _UPPER = bytes(range(0x41, 0x5B))
@@ -42,12 +50,12 @@ _PLAIN = _LETTERS + _DIGITS + b" \t\r\n.,;:'\"()-?/@+"
 _STOPS = b".,;:?"
 
 
-def features(text: str | None) -> tuple[float, ...]:
+def shape(text: str | None) -> tuple[float, ...]:
     """Shape statistics of the whole text, each about 0 for plain prose and larger the odder the text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return (0.0,) * len(FEATURES)
+        return (0.0,) * len(SHAPES)
     n, size = len(words), len(raw)
     letters = size - len(raw.translate(None, _LETTERS))
     upper = size - len(raw.translate(None, _UPPER))
@@ -72,37 +80,78 @@ def features(text: str | None) -> tuple[float, ...]:
     )
 
 
+def grams(text: str | None) -> set[str]:
+    """Distinct words (letters lowered, marks and digits as they stand) and pairs of neighbours."""
+    words = (text or "").lower().split()
+    return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
+
+
+def mean_odds(found: set[str], table: dict[str, float]) -> float:
+    known = [table[g] for g in found if g in table]
+    return sum(known) / (len(known) + 5.0)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
+    words: dict[str, float]
     prior: float
 
     def log_odds(self, texts: list[str | None]) -> np.ndarray:
-        x = (np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)) - self.mean) / self.spread
-        x = np.clip(x, -6, 6)
+        x = np.array([(*shape(t), mean_odds(grams(t), self.words)) for t in texts]).reshape(-1, len(FEATURES))
+        x = np.clip((x - self.mean) / self.spread, -6, 6)
         return np.clip(self.weights[0] + np.column_stack([x, x * x]) @ self.weights[1:], -30, 30)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    """Fit the document classifier on at most about ``rows`` labelled documents (statistics only reach the driver)."""
-    sample = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "quality", None, rows)
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """gram, half, good, bad: documents of either half of the sample that hold it, added up inside tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[tuple[str, int], list[int]] = {}
+            for text, label, half in zip(*(batch[c].to_pylist() for c in ("text", "_label", "_half")), strict=True):
+                for g in grams(text):
+                    held.setdefault((g, half), [0, 0])[label] += 1
+            names = list(held)
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.RecordBatch.from_pydict({"gram": [n[0] for n in part], "half": pa.array([n[1] for n in part], pa.int32()), "good": [held[n][1] for n in part], "bad": [held[n][0] for n in part]})
+
+    rows = sample.select("text", "_label", "_half").mapInArrow(count, "gram string, half int, good long, bad long")
+    of = lambda c, h: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}")
+    return rows.groupBy("gram").agg(of("good", 0), of("bad", 0), of("good", 1), of("bad", 1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod: int | None = None) -> QualityModel:
+    """Fit the document classifier on at most about ``rows`` labelled documents (their words and statistics only reach the driver)."""
+    sample = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "quality", held_out_mod, rows)
+    sample = sample.withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int"))
+    sizes = {(r["_half"], r["_label"]): r["n"] for r in sample.groupBy("_half", "_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = lambda halves: (sum(sizes.get((h, 1), 0) for h in halves) + 0.5) / (sum(sizes.get((h, y), 0) for h in halves for y in (0, 1)) + 1)
+    tables: list[dict[str, float]] = [{}, {}, {}]  # for rows of half 0, of half 1, and of no half
+    counted = gram_counts(sample).where(F.col("good0") + F.col("bad0") + F.col("good1") + F.col("bad1") >= LEAST_DOCS).collect()  # bounded by the sample
+    for r in counted:
+        for table, halves in zip(tables, ((1,), (0,), (0, 1)), strict=True):
+            good, bad, p = sum(r[f"good{h}"] for h in halves), sum(r[f"bad{h}"] for h in halves), share(halves)
+            if good + bad:
+                table[r["gram"]] = float(np.log((good + PRIOR_DOCS * p) / (bad + PRIOR_DOCS * (1 - p))) - np.log(p / (1 - p)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [list(features(t)) for t in batch["text"].to_pylist()]
+            values = [[*shape(t), mean_odds(grams(t), tables[h])] for t, h in zip(batch["text"].to_pylist(), batch["_half"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch["_label"]], names=["x", "label"])
 
-    got = small_batches(sample).select("text", "_label").mapInArrow(measure, "x array<double>, label int").collect()
+    got = sample.select("text", "_label", "_half").mapInArrow(measure, "x array<double>, label int").collect()
     y = np.array([r["label"] for r in got], dtype=float)
     k = len(FEATURES)
     if not len(y) or y.min() == y.max():
-        return QualityModel(np.zeros(k), np.ones(k), np.zeros(2 * k + 1), 0.5)
+        return QualityModel(np.zeros(k), np.ones(k), np.zeros(2 * k + 1), {}, 0.5)
     x = np.array([r["x"] for r in got])
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / spread, -6, 6)
-    return QualityModel(mean, spread, logistic_fit(np.column_stack([z, z * z]), y), float((y.sum() + 0.5) / (len(y) + 1)))
+    return QualityModel(mean, spread, logistic_fit(np.column_stack([z, z * z]), y), tables[2], float((y.sum() + 0.5) / (len(y) + 1)))
 
 
 def logit(p: Column) -> Column:
@@ -122,7 +171,7 @@ def with_evidence(docs: DataFrame, model: QualityModel, keep_text: bool) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(odds, pa.float64())], names=[*names, "_evidence"])
 
     schema = docs.select(*names).withColumn("_evidence", F.lit(0.0)).schema
-    return small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def site_sums(evidence: DataFrame, host: Column, path: Column) -> DataFrame:
@@ -171,18 +220,19 @@ def decide(evidence: DataFrame, sites: DataFrame, host: Column, path: Column, we
     return out.withColumn("keep", F.col("score") >= 0.5)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", held_out_mod: int | None = None) -> DataFrame:
     """doc_id, host, path, doc_score, host_mean, path_mean, score, keep of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"), F.col("text").cast("string").alias("text"))
-    rows = materialize(with_evidence(docs, fit(docs, labels), keep_text=False), "evidence")
+    rows = materialize(with_evidence(docs, fit(docs, labels, held_out_mod=held_out_mod), keep_text=False), "evidence")
     sites = materialize(site_posteriors(site_sums(rows, F.col("host"), F.col("path"))), "sites")
     return decide(rows, sites, F.col("host"), F.col("path")).select("doc_id", "host", "path", "doc_score", "host_mean", "path_mean", "score", "keep")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs, all columns kept, that the classifier keeps."""
-    model = fit(docs, labels)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"), F.col("text").cast("string").alias("text"))
-    sites = materialize(site_posteriors(site_sums(with_evidence(rows.drop("row"), model, keep_text=False), F.col("host"), F.col("path"))), "sites")
-    kept = decide(with_evidence(rows, model, keep_text=False), sites, F.col("host"), F.col("path")).where("keep")
+    """The rows of docs, all columns kept, that the classifier keeps. Texts are scanned once and written with their evidence."""
+    row = F.struct(*docs.columns).alias("row")
+    rows = docs.select(row, F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"), F.col("text").cast("string").alias("text"))
+    rows = materialize(with_evidence(rows, fit(docs, labels), keep_text=False), "evidence")
+    sites = materialize(site_posteriors(site_sums(rows, F.col("host"), F.col("path"))), "sites")
+    kept = decide(rows, sites, F.col("host"), F.col("path")).where("keep")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
