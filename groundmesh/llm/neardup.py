@@ -11,8 +11,9 @@
 4. Survivors are verified on their full sets, the best candidate of each node first. Pairs inside a component need no
    verification.
 5. Buckets that still hold several components are compared member by member across components, in blocks, inside tasks:
-   first on signatures, then on the full sets of the documents that a pair within the bound has left. A task gives one link
-   for each two components it joins. So no pair of a bucket is dropped, and none is emitted for its own sake.
+   the bucket's largest component block by block against the others, and the others among themselves. Pairs whose set
+   sizes exclude the similarity go first, then those outside the bound on signatures; the full sets of the documents that are left are
+   compared last. A task gives one link for each two components it joins. So no pair of a bucket is dropped, and none is emitted for its own sake.
 
 Links, classes and components stay distributed. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than five
 words the whole sequence is the one shingle.
@@ -31,10 +32,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize, shuffle_partitions, small_batches
+from groundmesh.llm.common import materialize, shuffle_partitions
 from groundmesh.llm.graph import components
 
 WORDS = 5
@@ -45,7 +45,7 @@ FIRST_BANDS = 4
 BATCH = 30
 SIMILARITY = (75, 100)  # intersection over union, as a fraction
 MISS = 1e-4
-BLOCK = 1024
+BLOCK = 256
 STEP = 64
 BROADCAST_IDS = 1_000_000
 SIGNED = "doc_id long, n_shingles long, hi long, lo long, signature binary"
@@ -100,7 +100,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     signed.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "signature"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def least_matches(threshold: float = SIMILARITY[0] / SIMILARITY[1], miss: float = MISS) -> dict[int, int]:
@@ -160,7 +160,7 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "found"])
 
-    return materialize(small_batches(named).select("doc_id", "text").mapInArrow(gather, "doc_id long, found binary"), "sets")
+    return materialize(named.select("doc_id", "text").mapInArrow(gather, "doc_id long, found binary"), "sets")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -226,27 +226,36 @@ def grouped(rows: DataFrame, run: Callable[[pa.Table], Iterator[pa.RecordBatch]]
             yield from run(held.combine_chunks())
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    return small_batches(dealt).mapInArrow(stream, schema)
+    return dealt.mapInArrow(stream, schema)
 
 
 def across(signatures: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Links (u, v) between components that share a bucket: every such pair of documents is compared, inside tasks.
 
-    Members of a bucket are dealt into blocks, and each pair of blocks is one group. First the groups are run on
-    signatures: documents without a pair that passes the Bayesian bound leave. Then the others' full sets are compared; of
-    the links found, a group gives one per pair of components it joins, so no pair is emitted for its own sake.
+    Members of a bucket's largest component are dealt into blocks, each one group (block, -1) with all other members; these are dealt
+    into blocks too, and each pair of their blocks is one group. First the groups are run on signatures: documents without a pair that passes the
+    Bayesian bound leave. Then the others' full sets are compared; of the links found, a group gives one per pair of components it joins, so no
+    pair is emitted for its own sake.
     """
     rows = labelled(signatures, nodes)
-    mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-    rows = rows.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(signatures.select("doc_id", "signature"), "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).alias("side"), "doc_id", "component", "signature")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    mixed = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
+    rows = rows.join(mixed, "key").join(signatures.select("doc_id", "n_shingles", "signature"), "doc_id")
+    at = lambda n: F.pmod(F.xxhash64("doc_id", "key"), n).cast("int")
+    of = lambda first, second, side: F.struct(first.alias("first"), second.alias("second"), side.alias("side"))
+    is_main, alone = F.col("component") == F.col("main"), F.lit(-1)
+    own = at(F.col("others"))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: of(b, alone, F.lit(True)))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda b: of(F.least(own, b), F.greatest(own, b), own > b))
+    place = F.when(is_main, F.array(of(at(F.col("mains")), alone, F.lit(False)))).otherwise(F.concat(with_main, with_others))
+    rows = rows.select("key", F.explode(place).alias("place"), "doc_id", "component", "n_shingles", "signature").select("key", "place.*", "doc_id", "component", "n_shingles", "signature")
     table, (above, below) = least_matches(), similarity
     kept = ["key", "first", "second", "side", "doc_id", "component"]
 
     def bounded(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, label, side = (group[c].to_numpy() for c in ("doc_id", "component", "side"))
+        ids, label, side, size = (group[c].to_numpy() for c in ("doc_id", "component", "side", "n_shingles"))
         if len(ids) < 2 or (label == label[0]).all():
             return
         crossing = group["first"][0].as_py() != group["second"][0].as_py()
@@ -254,6 +263,7 @@ def across(signatures: DataFrame, nodes: DataFrame, docs: DataFrame, similarity:
         for at in range(0, len(ids), STEP):
             i, j = np.meshgrid(np.arange(at, min(at + STEP, len(ids))), np.arange(len(ids)), indexing="ij")
             wanted = (label[i] != label[j]) & (~side[i] & side[j] if crossing else ids[i] < ids[j])
+            wanted &= below * np.minimum(size[i], size[j]) >= above * np.maximum(size[i], size[j])
             i, j = i[wanted], j[wanted]
             alive, _ = compare(values, i, values, j, table)
             some[i[alive]] = some[j[alive]] = True
@@ -290,7 +300,7 @@ def link(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     real = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(real.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     same = (real["doc_id"] == classes["rep"]) & (real["hi"] == classes["hi"]) & (real["lo"] == classes["lo"])
-    signatures = materialize(real.join(classes, same).select(real["doc_id"], real["hi"], "signature").dropDuplicates(["doc_id", "hi"]).drop("hi"), "signatures")
+    signatures = materialize(real.join(classes, same).select(real["doc_id"], real["hi"], real["n_shingles"], "signature").dropDuplicates(["doc_id", "hi"]).drop("hi"), "signatures")
 
     # a few bands give every node its first candidates; the best of each is verified first
     pairs = materialize(stars(band_keys(signatures, range(FIRST_BANDS)), "doc_id"), "candidates")
@@ -328,17 +338,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, of one document per component; rows with a null doc_id stay.
+    """The rows of docs, all columns kept, of one document per component: that with the smallest doc_id.
 
-    Of rows that repeat a doc_id, the one with the smallest text stays.
+    Rows are compared as rows, whatever their doc_id: those that repeat one go only if their texts are alike, and those
+    without one take part and stay after those with one. Rows without words all stay.
     """
-    gone = materialize(near_duplicates(docs).select("doc_id", "kept"), "decided")
-    dropped = gone.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == dropped["_gone"], "left_anti")
-    repeated = gone.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    if not repeated.limit(1).count():
-        return kept
-    same = kept["doc_id"].cast("long") == repeated["_again"]
-    rows = kept.join(repeated, same, "left_semi").select(F.struct(*kept.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    first = rows.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("text"))).where("n = 1").select(*(F.col("row")[c].alias(c) for c in kept.columns))
-    return kept.join(repeated, same, "left_anti").unionByName(first)
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    found = near_duplicates(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("at"), "component_id")
+    ids = rows.select("at", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").cast("long").alias("id"), "at").alias("order"))
+    decided = materialize(found.join(ids, "at"), "decided")
+    first = decided.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone = decided.join(first, "component_id").where("order <> first").select("at")
+    return rows.join(gone, "at", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
