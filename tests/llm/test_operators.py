@@ -76,6 +76,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_top_k_of_large_numbers(spark, monkeypatch):
+    big = 1152921504606847000
+    rng = np.random.default_rng(7)
+    vectors = [(i, [float(x) for x in rng.integers(-(2**21), 2**21, 8)]) for i in range(60)] + [(None, [1.0] * 8), (big, [5.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [(i, [int(256 * x) for x in v]) for i, v in vectors if i is not None]
+    want = [(i, n + 1, j, -s) for i, q in whole if i % 50 == 0 or i == big for n, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in whole if j != i)[:5])]
+    assert max(abs(w[3]) for w in want) > 2**53
+    for limit in (topk.BROADCAST_BYTES, 1):  # the second: several groups and copies of the queries
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+        got = topk.top_k(df, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") == big), 5, dimension_block=2)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
+    with pytest.raises(Exception, match="beyond 2"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**50]), (1, [2.0**50])], df.schema), F.col("vec_id") == 0, 5).collect()
+
+
 def brute_components(texts, above=75):
     sets = {}
     for i, t in texts:
@@ -113,9 +130,15 @@ def test_near_duplicates(spark, prose):
             assert r.component_id is None and r.kept
         else:
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]} and r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]), r
-    kept = neardup.without_near_duplicates(documents(spark, texts))
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(i for i in want if i == want[i]) and ids.count(None) == 1
+    extra = [(None, "one two"), (None, texts[3][1]), (None, "w1 of its own"), (0, "the same id but another text of some length"), (None, None)]
+    kept = Counter((r.doc_id, r.text) for r in neardup.without_near_duplicates(documents(spark, [*texts, *extra])).collect())
+    by_row = [(n, t) for n, (_, t) in enumerate([*texts, *extra])]
+    groups = defaultdict(list)
+    for n, component in brute_components(by_row)[0].items():
+        groups[component].append(n)
+    row = [*texts, *extra]
+    first = [min(g, key=lambda n: (row[n][0] is None, row[n][0] or 0, n)) for g in groups.values()]
+    assert kept == Counter(row[n] for n in first) and kept[0, extra[3][1]] == 1
     assert neardup.near_duplicates(documents(spark, prose).limit(0)).count() == 0
 
 
@@ -276,6 +299,50 @@ def test_fingerprints(spark, prose):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_on_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKETS", 40)
+    texts = [(3 * i - 100, f"text number {i} " * (i % 7)) for i in range(200)] + [(50, "b"), (50, "a")]
+    own = sorted(((-i, t) for i, t in texts))  # descending id, ties by text
+    rows = Counter((r.doc_id, r.edited_sha256, r.near_edited, r.edited_fingerprint) for r in fingerprints.fingerprint_neighbours(documents(spark, texts).repartition(4)).collect())
+    want = Counter()
+    for (i, t), (_, following) in zip(own, own[1:] + own[:1], strict=True):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + following[:cut]
+        a, b = fingerprints.order_min_hash(t), fingerprints.order_min_hash(edited)
+        want[-i, hashlib.sha256(edited.encode()).hexdigest(), fingerprints.likeness(a, b), b.astype(">u4").tobytes().hex()] += 1
+    assert rows == want
+    for cuts in ([], [4], list(range(0, 40, 3))):
+        got = [r.b for r in spark.range(-2, 45).select(fingerprints.smaller(F.col("id"), cuts).alias("b")).collect()]
+        assert got == [sum(c < x for c in cuts) for x in range(-2, 45)]
+
+
+def brute_order_min_hash(text, k=fingerprints.K):
+    """The smallest pairs by the same hashes, over lists of places instead of arrays."""
+    codes = [ord(c) for c in text]
+    while k > len(codes):
+        k //= 2
+    h = [int(fingerprints.scramble(fingerprints.kmer_hashes(np.array(codes[i : i + k], dtype=np.uint32), k))[0]) for i in range(len(codes) - k + 1)]
+    seen, pairs = Counter(), []
+    for x in h:
+        pairs.append(int(fingerprints.scramble(np.array([(x + seen[x >> 20] * int(fingerprints.MIX)) % (1 << 64)], dtype=np.uint64))[0]) >> 32)
+        seen[x >> 20] += 1
+    out = []
+    for m, a in zip(fingerprints.MULTIPLIERS.tolist(), fingerprints.ADDENDS.tolist(), strict=True):
+        places = sorted(sorted(range(len(h)), key=lambda i: ((pairs[i] * m + a) % (1 << 32), i))[: fingerprints.TUPLE])
+        total = np.zeros(1, dtype=np.uint64)
+        for i in places:
+            total = fingerprints.scramble(total * fingerprints.MIX + np.uint64(h[i] ^ pairs[i]))
+        out.append(int(total[0]) >> 32)
+    return out
+
+
+def test_order_min_hash_by_brute_force(prose):
+    with np.errstate(over="ignore"):
+        for _, text in [*prose[:12], (0, "abc"), (0, "é"), (0, "ab" * 40)]:
+            if text:
+                assert fingerprints.order_min_hash(text).tolist() == brute_order_min_hash(text)
+
+
 def test_occurrences_and_order():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 4, 200).astype(np.uint64) << np.uint64(40)
@@ -283,6 +350,8 @@ def test_occurrences_and_order():
     for value, got in zip(h.tolist(), fingerprints.occurrences(h).tolist(), strict=True):
         assert got == seen[value]
         seen[value] += 1
+    long = rng.integers(0, 5, (1 << 20) + 7).astype(np.uint64) << np.uint64(40)  # very long texts take the other sort
+    assert all((fingerprints.occurrences(long)[long == v] == np.arange((long == v).sum())).all() for v in np.unique(long))
     a = "the quick brown fox jumps over the lazy dog and runs away from home " * 3
     swapped = a[100:] + a[:100]
     alike = fingerprints.likeness(fingerprints.order_min_hash(a), fingerprints.order_min_hash(swapped))
@@ -372,7 +441,7 @@ def test_packing(spark, prose):
     texts = [*prose, (80, "word " * 5000), (81, "a b " * 1024), (82, "b\x1cc it's l'eau ΑΣ 12 <|endoftext|>")]
     rows = packing.pack_documents(documents(spark, texts), TOKENIZER).collect()
     whole = Tokenizer.from_file(TOKENIZER)
-    whole.encode_special_tokens = True
+    assert 49407 in whole.encode(texts[-1][1], add_special_tokens=False).ids
     want = Counter()
     for i, t in texts:
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
