@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 NUMBERING_CELL_ROWS = 2_000
 #: Cells of a key whose counts are added up in one task.
 NUMBERING_RUN = 4096
-#: Rows of an Arrow batch that carries whole texts.
-TEXT_BATCH_ROWS = 1000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -48,14 +46,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of the session held to TEXT_BATCH_ROWS rows: what a Python worker has of whole texts at once."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= TEXT_BATCH_ROWS:
-        conf.set(name, str(TEXT_BATCH_ROWS))
-    return df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
