@@ -40,81 +40,90 @@ def clean(value: str) -> str:
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "start", "stop", "tag")
+    """An element outside noise: its place among all of them, the text pieces and elements that lie in it, and its state."""
+
+    __slots__ = ("attrs", "captions", "children", "depth", "end", "first", "in_head", "in_heading", "last", "level", "parent", "pos", "start", "stop", "tag", "whole")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, start: int) -> None:
         self.tag, self.attrs, self.parent, self.start, self.stop = tag, attrs, parent, start, -1
-        self.children: list[Node | str] = []
+        self.children: list[Node] = []
+        self.captions: dict[int, str] | None = None
+        self.whole: str | None = None
+        self.pos = self.first = self.end = self.last = -1
+        self.depth = parent.depth + 1 if parent else 0
+        self.level = HEADING_TAGS.get(tag) or next((n for c, n in HEADING_CLASSES.items() if c in self.classes), None)
+        self.in_heading = bool(parent) and (parent.in_heading or parent.level is not None)
+        self.in_head = tag == "head" or (bool(parent) and parent.in_head)
 
     @property
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
-    @property
-    def level(self) -> int | None:
-        found = HEADING_TAGS.get(self.tag)
-        return found or next((n for c, n in HEADING_CLASSES.items() if c in self.classes), None)
-
     @property
     def is_caption(self) -> bool:
         return self.tag in CAPTION_TAGS or bool(CAPTION_CLASSES & set(self.classes))
 
-    def strings(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in NOISE_TAGS:
-                yield from child.strings()
-
-    def text(self) -> str:
-        return clean(" ".join(s for s in (x.strip() for x in self.strings()) if s))
-
-    def walk(self) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node) and child.tag not in NOISE_TAGS:
-                yield child
-                yield from child.walk()
-
 
 class Tree(HTMLParser):
-    """Tokens of one page, put together by the rules above."""
+    """Tokens of one page, put together by the rules above. No step goes through the ancestors or siblings of an element.
+
+    ``every`` lists the elements outside noise in document order, ``pieces`` their strings; an element's own are a run of each.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.source = html
         self.line_starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.every: list[Node] = []
+        self.pieces: list[str] = []
+        self.opened: dict[str, list[Node]] = {}  # open elements by tag, outermost first
+        self.noise = 0
         self.root = self.at = Node("#root", {}, None, 0)
         self.feed(html)
         self.close()
+        while self.at is not self.root:
+            self.shut(self.at)
+            self.at = self.at.parent
 
     def place(self) -> int:
         line, column = self.getpos()
         return self.line_starts[line - 1] + column
 
+    def shut(self, node: Node) -> None:
+        node.end, node.last = len(self.every), len(self.pieces)
+        self.opened[node.tag].pop()
+        self.noise -= node.tag in NOISE_TAGS
+
     def up(self, node: Node) -> None:
         while self.at is not node:
             self.at.stop = self.place()
+            self.shut(self.at)
             self.at = self.at.parent
         node.stop = self.place()
+        self.shut(node)
         self.at = node.parent or self.root
 
     def open_one(self, tags: set[str], until: set[str]) -> Node | None:
-        node = self.at
-        while node.parent is not None and node.tag not in until:
-            if node.tag in tags:
-                return node
-            node = node.parent
-        return None
+        """The innermost open element of the tags, if none of ``until`` is open inside it."""
+        found = max((self.opened[t][-1] for t in tags if self.opened.get(t)), key=lambda n: n.depth, default=None)
+        return found if found and all(not self.opened.get(t) or self.opened[t][-1].depth < found.depth for t in until) else None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P and (found := self.open_one({"p"}, {"table", "td", "th", "svg", "button"})):
             self.up(found)
-        if tag in SIBLINGS and (found := self.open_one(SIBLINGS[tag], BOUNDARY[tag])):
+        while tag in SIBLINGS and (found := self.open_one(SIBLINGS[tag], BOUNDARY[tag])):
             self.up(found)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.place())
-        self.at.children.append(node)
+        self.opened.setdefault(tag, []).append(node)
+        self.noise += tag in NOISE_TAGS
+        if not self.noise:
+            node.pos = len(self.every)
+            self.every.append(node)
+            self.at.children.append(node)
+        node.first = len(self.pieces)
         if tag in VOID_TAGS:
             node.stop = self.place() + len(self.get_starttag_text() or "")
+            self.shut(node)
         else:
             self.at = node
 
@@ -133,56 +142,62 @@ class Tree(HTMLParser):
         found.stop = end + 1 if end >= 0 else len(self.source)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def table_text(table: Node) -> str:
-    rows = []
-    for row in (n for n in table.walk() if n.tag == "tr"):
-        cells = [c for c in (n.text() for n in row.walk() if n.tag in ("th", "td")) if c]
-        if cells:
-            rows.append(" | ".join(cells))
-    return clean(" ; ".join(rows))
-
-
-def caption_after(node: Node) -> str:
-    """Text of the first caption among the later siblings, up to the next visual or heading."""
-    if node.parent is None:
-        return ""
-    siblings = [c for c in node.parent.children if isinstance(c, Node) and c.tag not in NOISE_TAGS]
-    for sibling in siblings[siblings.index(node) + 1 :]:
-        if sibling.is_caption:
-            return sibling.text()
-        if sibling.tag in VISUAL_TAGS or sibling.level:
-            break
-    return ""
+        if not self.noise and (bare := data.strip()):
+            self.pieces.append(bare)
+
+    def text(self, node: Node) -> str:
+        if node.whole is None:
+            node.whole = clean(" ".join(self.pieces[node.first : node.last]))
+        return node.whole
+
+    def inside(self, node: Node) -> list[Node]:
+        return self.every[node.pos + 1 : node.end]
+
+    def table_text(self, table: Node) -> str:
+        rows = []
+        for row in (n for n in self.inside(table) if n.tag == "tr"):
+            cells = [c for c in (self.text(n) for n in self.inside(row) if n.tag in ("th", "td")) if c]
+            if cells:
+                rows.append(" | ".join(cells))
+        return clean(" ; ".join(rows))
+
+    def caption_after(self, node: Node) -> str:
+        """Text of the first caption among the later siblings, up to the next visual or heading."""
+        parent = node.parent
+        if parent is None:
+            return ""
+        if parent.captions is None:
+            parent.captions, found = {}, None
+            for child in reversed(parent.children):
+                parent.captions[child.pos] = self.text(found) if found else ""
+                if child.is_caption:
+                    found = child
+                elif child.tag in VISUAL_TAGS or child.level:
+                    found = None
+        return parent.captions.get(node.pos, "")
 
 
 def page_rows(source_file: str, html: str) -> list[dict]:
     """Rows of ELEMENTS for one page; the first, at -1, is the page with its title."""
     tree = Tree(html)
-    every = list(tree.root.walk())
-    title = next((n.text() for n in every if n.tag == "title"), "")
+    title = next((tree.text(n) for n in tree.every if n.tag == "title"), "")
     rows = [{"source_file": source_file, "pos": -1, "tag": "#page", "level": 0, "is_content": False, "is_visual": False, "text": title or source_file, "in_heading": False}]
-    head = {id(n) for h in every if h.tag == "head" for n in (h, *h.walk())}
-    for pos, node in enumerate(every):
-        if id(node) in head or node.tag == "title":
+    for node in tree.every:
+        if node.in_head or node.tag == "title":
             continue
         level = node.level
         content = level is None and (node.tag in CONTENT_TAGS or bool(CONTENT_CLASSES & set(node.classes)))
         visual = node.tag in VISUAL_TAGS
         if level is None and not content and not visual:
             continue
-        parent, inside, above = node.parent, False, node.parent
-        while above is not None and not inside:
-            inside, above = above.level is not None, above.parent
-        row = {"source_file": source_file, "pos": pos, "tag": node.tag, "level": level, "is_content": content, "is_visual": visual, "in_heading": inside}
-        row["text"] = table_text(node) if node.tag == "table" and level is None else node.text()
-        row["parent_tag"] = parent.tag if parent else ""
-        row["parent_text"] = parent.text() if parent and parent.tag in ("li", "td", "th") else None
+        parent = node.parent
+        row = {"source_file": source_file, "pos": node.pos, "tag": node.tag, "level": level, "is_content": content, "is_visual": visual, "in_heading": node.in_heading}
+        row["text"] = tree.table_text(node) if node.tag == "table" and level is None else tree.text(node)
+        row["parent_tag"] = parent.tag
+        row["parent_text"] = tree.text(parent) if parent.tag in ("li", "td", "th") else None
         if visual:
-            row["caption"] = caption_after(node) or (caption_after(parent) if parent else "")
-            labels = (n.text() for n in node.walk() if n.tag == "text") if node.tag == "svg" else ()
+            row["caption"] = tree.caption_after(node) or tree.caption_after(parent)
+            labels = (tree.text(n) for n in tree.inside(node) if n.tag == "text") if node.tag == "svg" else ()
             row["labels"] = list(dict.fromkeys(x for x in labels if x))
             row["view_box"] = node.attrs.get("viewbox", "")
             row["raw"] = html[node.start : node.stop if node.stop >= 0 else len(html)] if node.tag == "svg" else ""

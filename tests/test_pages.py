@@ -1,7 +1,7 @@
 import random
 
 from groundmesh.config import Config
-from groundmesh.operators.elements import page_elements
+from groundmesh.operators.elements import page_elements, page_rows
 from groundmesh.operators.sections import assign_sections, image_chunks, section_tree, svg_assets, text_chunks, visuals
 
 PAGE = """<html><head><title>Course</title></head><body><p>before</p><h1>A</h1><p>one <b>two</b><p>three
@@ -52,6 +52,16 @@ def test_windows_equal_a_stack(spark):
     assert {(r.source_file, r.title): r.breadcrumb for r in tree.where("level > 0").collect()} == expected
 
 
+def test_deep_and_wide_pages():
+    deep = page_rows("d", "<div>" * 100_000 + "<p>low</p>" + "<ul><li>" * 300 + "x")
+    assert [r["text"] for r in deep[1:3]] == ["low", "x"] and len(deep) == 302
+    assert page_rows("d", "<p>a" + "<table><tr><td>" + "<div>" * 100_000 + "</table><p>b")[-1]["text"] == "b"
+    wide = page_rows("w", "<h1>T</h1>" + '<img src="a">' * 50_000 + "<figcaption>last</figcaption>")
+    assert wide[-2]["caption"] == "last" and wide[2]["caption"] == "" and len(wide) == 50_003
+    rows = page_rows("t", "<table><tr><td>a<td>b<tr><td>c</table>")
+    assert rows[1]["text"] == "a | b ; c"
+
+
 def test_empty_and_null_pages(spark):
     _, tree = tree_of(spark, None)
     assert tree.count() == 1
