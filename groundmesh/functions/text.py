@@ -30,13 +30,14 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, f"{WS}+", " "))
 
 
-def slug(c: Column, default: str = "unknown") -> Column:
-    made = F.trim(F.regexp_replace(F.lower(clean_text(c)), "[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(made == "", default).otherwise(made)
+def slug(c: Column, default: str = "unknown", cleaned: bool = False) -> Column:
+    """``cleaned``: c is clean text already."""
+    made = F.trim(F.regexp_replace(F.lower(text(c) if cleaned else clean_text(c)), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.coalesce(F.nullif(made, F.lit("")), F.lit(default))
 
 
-def concept_id(c: Column) -> Column:
-    return slug(c, "unknown")
+def concept_id(c: Column, cleaned: bool = False) -> Column:
+    return slug(c, "unknown", cleaned)
 
 
 def terms(c: Column) -> Column:
@@ -124,10 +125,11 @@ def split_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(text(c), ","), clean_text), lambda p: p != "")
 
 
-def evidence_text(cells: list[tuple[str, Column]]) -> Column:
-    """``key: value`` of the filled cells, joined by bars, the first 1000 characters."""
+def evidence_text(cells: list[tuple[str, Column]], cleaned: bool = False) -> Column:
+    """``key: value`` of the filled cells, joined by bars, the first 1000 characters; ``cleaned``: keys and values are clean text already."""
     parts = [F.when(text(v) != "", F.concat(F.lit(f"{k}: "), text(v))) for k, v in cells]
-    return F.substring(clean_text(F.concat_ws(" | ", *parts)), 1, 1000)
+    whole = F.concat_ws(" | ", *parts)
+    return F.substring(whole if cleaned else clean_text(whole), 1, 1000)
 
 
 def parse_model_json(c: Column, schema: T.DataType | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import clean_text, text
@@ -13,29 +13,36 @@ from groundmesh.functions.text import clean_text, text
 def mentions(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
     """Long table of who names which concept; rank says which label wins (text, image, source, target)."""
     none = F.lit(None).cast("string")
-    row = lambda df, concept, label, key, rank, kind, file, title, relation: df.select(F.col(concept).alias("concept_id"), clean_text(F.col(label)).alias("label"), F.struct(F.lit(rank).alias("rank"), F.col(key).alias("key")).alias("order"), F.lit(kind).alias("kind"), F.col(key).alias("id"), file.alias("source_file"), title.alias("title"), relation.alias("relation_type"))
+
+    def named(concept: str, label: str, key: str, rank: int, kind: str, file: Column = none, title: Column = none, relation: Column = none) -> Column:
+        order = F.struct(F.lit(rank).alias("rank"), F.col(key).alias("key"))
+        return F.struct(F.col(concept).alias("concept_id"), F.col(label).alias("label"), order.alias("order"), F.lit(kind).alias("kind"), F.col(key).alias("id"), file.alias("source_file"), title.alias("title"), relation.alias("relation_type"))
+
+    file, title, kind = F.col("source_file"), F.col("title"), F.col("relation_type")
+    ends = F.array(named("source_id", "metadata.source_label", "relation_id", 2, "source", relation=kind), named("target_id", "metadata.target_label", "relation_id", 3, "target", relation=kind))
     parts = [
-        row(text_chunks, "concept_id", "title", "id", 0, "text", F.col("source_file"), F.col("title"), none),
-        row(images, "concept_id", "title", "image_id", 1, "image", F.col("source_file"), F.col("title"), none),
-        row(relations, "source_id", "metadata.source_label", "relation_id", 2, "source", none, none, F.col("relation_type")),
-        row(relations, "target_id", "metadata.target_label", "relation_id", 3, "target", none, none, F.col("relation_type")),
+        text_chunks.select(named("concept_id", "title", "id", 0, "text", file, title).alias("m")),
+        images.select(named("concept_id", "title", "image_id", 1, "image", file, title).alias("m")),
+        relations.select(F.explode(ends).alias("m")),  # one pass over the edges
     ]
-    return reduce(DataFrame.unionByName, parts).where(text(F.col("concept_id")) != "")
+    return reduce(DataFrame.unionByName, (p.select("m.*") for p in parts)).where(text(F.col("concept_id")) != "")
 
 
 def concept_nodes(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
     """One row per concept with sorted id arrays, label and metadata.
 
-    Duplicates go before the grouping (a distinct on narrow rows, spread by concept and id), so a hub concept
-    reaches its task as bare ids.
+    Names and labels are put together from one narrow grouping, id arrays from another by (concept, kind, id), which spreads the
+    mentions of a hub and drops repeated ones, and one by concept, whose arrays are the result.
     """
     rows = mentions(text_chunks, images, relations)
-    ids = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("id"))))
-    names = lambda c: F.array_sort(F.collect_set(F.when(text(F.col(c)) != "", F.col(c))))
-    grouped = rows.groupBy("concept_id").agg(
+    names = lambda c: F.array_sort(F.collect_set(F.when(text(F.col(c)) != "", F.col(c)))).alias(f"{c}s")
+    distinct = rows.groupBy("concept_id", "kind", "id").agg(F.min_by("label", "order").alias("label"), F.min("order").alias("order"), names("source_file"), names("title"), names("relation_type"))
+    ids = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))))
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    grouped = distinct.groupBy("concept_id").agg(
         F.min_by("label", "order").alias("first_label"), ids("text").alias("text_chunk_ids"), ids("image").alias("image_ids"), ids("source").alias("source_relation_ids"),
-        ids("target").alias("target_relation_ids"), names("source_file").alias("source_files"), names("title").alias("titles"), names("relation_type").alias("relation_types"),
-    )
+        ids("target").alias("target_relation_ids"), merged("source_files"), merged("titles"), merged("relation_types"),
+    ).withColumn("first_label", clean_text(F.col("first_label")))
     evidence = (F.size("text_chunk_ids") > 0) | (F.size("image_ids") > 0)
     return grouped.select(
         "concept_id",

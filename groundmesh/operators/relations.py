@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundmesh.functions.text import clean_text, concept_id, evidence_text, split_list, stable_id, text
+from groundmesh.functions.text import concept_id, evidence_text, split_list, stable_id, text
 
 
 @dataclass(frozen=True)
@@ -35,47 +36,44 @@ SHEETS = {
 
 
 def edges_from_sheet(sheet: DataFrame, sheet_name: str, source_file: str) -> DataFrame:
-    """Edges of one sheet as read by read_sheet (row_number and named cells); a column that is missing is blank."""
+    """Edges of one sheet as read by read_sheet (row_number and named cells, both clean text); a column that is missing is blank.
+
+    An edge's id holds its sheet and row, so only the parts of one cell can repeat; they are made distinct there.
+    """
     cells = [c for c in sheet.columns if c != "row_number"]
-    cell = lambda name: F.col(f"`{name}`") if name in cells else F.lit("")
-    evidence = evidence_text([(c, F.col(f"`{c}`")) for c in cells])
+    cell = lambda name: text(F.col(f"`{name}`")) if name in cells else F.lit("")
+    evidence = evidence_text([(c, F.col(f"`{c}`")) for c in cells], cleaned=True)
     parts = []
-    for order, spec in enumerate(SHEETS.get(sheet_name, ())):
-        target: Column = F.explode(split_list(cell(spec.target))) if spec.listed else clean_text(cell(spec.target))
-        parts.append(sheet.select("row_number", evidence.alias("evidence"), clean_text(cell(spec.source)).alias("source_label"), target.alias("target_label"), F.lit(spec.relation_type).alias("relation_type"), F.lit(order).alias("_spec")))
+    for spec in SHEETS.get(sheet_name, ()):
+        target: Column = F.explode(F.array_distinct(split_list(cell(spec.target)))) if spec.listed else cell(spec.target)
+        parts.append(sheet.select("row_number", evidence.alias("evidence"), cell(spec.source).alias("source_label"), target.alias("target_label"), F.lit(spec.relation_type).alias("relation_type")))
     if not parts:
-        parts = [sheet.select("row_number", F.lit("").alias("evidence"), F.lit("").alias("source_label"), F.lit("").alias("target_label"), F.lit("").alias("relation_type"), F.lit(0).alias("_spec")).limit(0)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        parts = [sheet.select("row_number", *(F.lit("").alias(c) for c in ("evidence", "source_label", "target_label", "relation_type"))).limit(0)]
     name, file = F.lit(sheet_name), F.lit(source_file)
-    label = F.regexp_replace("relation_type", "_", " ")
-    return rows.select(
+    label = F.replace("relation_type", F.lit("_"), F.lit(" "))
+    return reduce(DataFrame.unionByName, parts).select(
         stable_id(file, name, F.col("row_number"), F.col("source_label"), F.col("target_label"), F.col("relation_type")).alias("relation_id"),
-        concept_id(F.col("source_label")).alias("source_id"),
-        concept_id(F.col("target_label")).alias("target_id"),
+        concept_id(F.col("source_label"), cleaned=True).alias("source_id"),
+        concept_id(F.col("target_label"), cleaned=True).alias("target_id"),
         "relation_type",
-        clean_text(F.concat("source_label", F.lit(" "), label, F.lit(" "), "target_label", F.lit("."))).alias("description"),
+        F.trim(F.concat("source_label", F.lit(" "), label, F.lit(" "), "target_label", F.lit("."))).alias("description"),
         F.struct(file.alias("source_file"), name.alias("sheet_name"), "row_number", "source_label", "target_label", "evidence", F.lit(False).alias("placeholder")).alias("metadata"),
     )
 
 
 def relation_chunks(edges: DataFrame, drop_unknown: bool = False) -> DataFrame:
-    """The first row of each relation_id, rows with a blank required field left out."""
-    filled = F.lit(True)
-    for c in ("relation_id", "source_id", "target_id", "relation_type", "description"):
-        filled = filled & (text(F.col(c)) != "")
-    rows = edges.where(filled)
+    """The first row of each relation_id, rows with a blank required field left out.
+
+    Blanks are looked for after the shuffle by id, where the fields are values: pushed below it, each check would compute them again.
+    """
+    blank = reduce(lambda a, b: a | b, (text(F.col(c)) == "" for c in ("source_id", "target_id", "relation_type", "description")))
     if drop_unknown:
-        rows = rows.where("source_id <> 'unknown' AND target_id <> 'unknown'")
-    first = W.partitionBy("relation_id").orderBy("metadata.sheet_name", "metadata.row_number")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        blank = blank | (F.col("source_id") == "unknown") | (F.col("target_id") == "unknown")
+    first = W.partitionBy("relation_id").orderBy(blank, "metadata.sheet_name", "metadata.row_number")
+    rows = edges.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return rows.where(~blank & (text(F.col("relation_id")) != ""))
 
 
 def workbook_relations(sheets: dict[str, DataFrame], source_file: str) -> DataFrame:
-    """All sheets of a workbook, in one table of edges."""
-    parts = [edges_from_sheet(df, name, source_file) for name, df in sheets.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return relation_chunks(rows)
+    """All sheets of a workbook, in one table of edges. Ids are distinct and no required field is blank by how edges are made."""
+    return reduce(DataFrame.unionByName, (edges_from_sheet(df, name, source_file) for name, df in sheets.items()))

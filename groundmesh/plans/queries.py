@@ -138,8 +138,8 @@ def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge from every document's concept to its source (a hub), and from the source to its language."""
     docs = document_chunks(spark, sf_dir)
     langs = table(spark, sf_dir, "documents").select("source", "lang").distinct()
-    skills = docs.select(F.col("section_id").cast("int").alias("row_number"), F.col("title").alias("SWO"), F.concat(F.lit("source "), "source_file").alias("Skill"))
-    tasks = langs.select(F.lit(2).alias("row_number"), F.concat(F.lit("source "), "source").alias("Skill"), F.concat(F.lit("language "), "lang").alias("Task"))
+    skills = docs.select(F.col("section_id").cast("int").alias("row_number"), F.col("title").alias("SWO"), t.clean_text(F.concat(F.lit("source "), "source_file")).alias("Skill"))
+    tasks = langs.select(F.lit(2).alias("row_number"), t.clean_text(F.concat(F.lit("source "), "source")).alias("Skill"), t.clean_text(F.concat(F.lit("language "), "lang")).alias("Task"))
     return relation_chunks(edges_from_sheet(skills, "Skills", "docs").unionByName(edges_from_sheet(tasks, "Tasks", "docs")))
 
 
