@@ -2,8 +2,9 @@
 
 Nodes are words and their prefixes. For each node, documents of either label that hold it are counted, and its
 log-odds get an informative Dirichlet prior (the pooled rate, at PRIOR times the sample): ratio and standard error as
-in Monroe, Colaresi and Quinn (2008). Nodes whose ratio lies SIGNIFICANT errors off 0 are kept, whatever the share of toxic labels. A token scores
-its highest kept node above 0, else its lowest one below 0, else a small negative background. In every text a linear scan
+in Monroe, Colaresi and Quinn (2008). A node counts where its ratio lies SIGNIFICANT errors off 0, whatever the share of toxic labels. A word that
+JUDGED_DOCS documents of the sample hold is judged by itself: it scores its own log-odds if it counts, else a small negative
+background. Any other word scores the highest node above 0 that counts among itself and its prefixes, else the background. In every text a linear scan
 (Ruzzo and Tompa 1999) finds all maximal scoring segments; those above the extreme-value threshold of Karlin and
 Altschul (1990) count as toxic passages. lambda is solved from the scores of clean training tokens; K is not their infinite
 sum but its first term, the limit for rare hits. The segments' summed score, less the log of the search space, goes through a logistic
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundmesh.llm.common import materialize
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 PREFIXES = range(3, 9)
 PRIOR = 0.1
 SIGNIFICANT = 4.0
 LEAST_BACKGROUND = 0.05
+#: Documents of the sample from which on a word is judged by itself.
+JUDGED_DOCS = 20
 HELD_OUT_MOD = 5
 #: Chance of one such segment in a clean text, at most, for a segment to count as a passage.
 PASSAGE_CHANCE = 0.05
@@ -92,9 +96,10 @@ class ToxicityModel:
         return self.__dict__ | {"memo": {}}
 
     def token_score(self, word: str) -> float:
-        known = [x for n in (word + " ", *(word[:n] for n in PREFIXES if n <= len(word))) if (x := self.nodes.get(n)) is not None]
-        best = max(known, default=0.0)
-        return best if best > 0 else min(-self.background, *known, 0.0)
+        best = self.nodes.get(word + " ")
+        if best is None or best > 0:
+            best = max([best or 0.0, *(self.nodes.get(word[:n], 0.0) for n in PREFIXES if n <= len(word))])
+        return best if best > 0 else min(best, -self.background)
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Significant segments as (first word, end, score), and the number of words."""
@@ -138,6 +143,7 @@ def node_counts(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod: int | None = HELD_OUT_MOD) -> ToxicityModel:
     """Learn nodes, background, extreme-value law and curve from at most about ``rows`` labelled documents."""
+    spark = docs.sparkSession
     sample = labelled_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, "toxic", held_out_mod, rows)
     sizes = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -150,8 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     odds = lambda n, of: F.log((n + pseudo) / (of - n + whole - pseudo + 0.5))
     ratio = odds(F.col("toxic"), toxic) - odds(F.col("clean"), clean)
     error = F.sqrt(1 / (F.col("toxic") + pseudo) + 1 / (F.col("clean") + pseudo))
-    found = node_counts(sample).where(F.col("toxic") + F.col("clean") >= 2).withColumn("ratio", ratio).where(F.abs("ratio") >= SIGNIFICANT * error)
-    nodes = {r["node"]: r["ratio"] for r in found.select("node", "ratio").collect()}  # bounded by the sample
+    known = node_counts(sample).where(F.col("toxic") + F.col("clean") >= 2).withColumn("ratio", ratio).withColumn("counts", F.abs("ratio") >= SIGNIFICANT * error)
+    known = materialize(known, "nodes")
+    nodes = {r["node"]: r["ratio"] for r in known.where("counts").select("node", "ratio").collect()}  # bounded by the sample
+    # words judged by themselves that do not count matter where a prefix of theirs counts; they score no more than 0
+    above = spark.createDataFrame([(n,) for n in nodes if not n.endswith(" ")], "above string")
+    begun = F.explode(F.array(*(F.substring("node", 1, n) for n in PREFIXES)))
+    judged = known.where("NOT counts AND endswith(node, ' ')").where(F.col("toxic") + F.col("clean") >= JUDGED_DOCS)
+    nodes |= {r["node"]: 0.0 for r in judged.select("node", begun.alias("above")).join(F.broadcast(above), "above", "left_semi").select("node").distinct().collect()}
     if not any(x > 0 for x in nodes.values()):
         return nothing
     model = ToxicityModel(nodes, LEAST_BACKGROUND, 1.0, 1.0, (0.0, 0.0))

@@ -15,7 +15,7 @@ TRAIN_ROWS = 20_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out_mod: int | None, rows: int = TRAIN_ROWS) -> DataFrame:
     """docs joined with ``label`` (as 0 or 1) of at most about ``rows`` labelled ids, chosen by hash; written once, as fits read it often.
 
-    Any label above 0 counts as 1; of several labels of one id, the largest. Rows whose crc32(doc_id as text) is 0 modulo ``held_out_mod`` are never used. The sampled ids are few whatever
+    Any label above 0 counts as 1; of several labels of one id, the largest. Copies of a text with one label count once. Rows whose crc32(doc_id as text) is 0 modulo ``held_out_mod`` are never used. The sampled ids are few whatever
     the corpus, so they are broadcast.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -25,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out_mod
     total = usable.count()
     if total > rows:
         usable = usable.where(F.pmod(F.xxhash64("_label_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-    return materialize(docs.join(F.broadcast(usable), docs["doc_id"].cast("long") == F.col("_label_id")).drop("_label_id"), "sample")
+    joined = docs.join(F.broadcast(usable), docs["doc_id"].cast("long") == F.col("_label_id")).drop("_label_id")
+    return materialize(joined.withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "_label"]).drop("_copy"), "sample")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
