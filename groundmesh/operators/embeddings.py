@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,10 +108,15 @@ def relation_only_text(concepts: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.join(listed, "concept_id", "left").select("concept_id", F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " ")).alias("text"))
 
 
-def embed_concepts(concepts: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, relations: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder) -> DataFrame:
-    """Concepts with ``vector`` and metadata.embedding_source: from evidence, else from relations and label, else missing."""
+def embed_concepts(concepts: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, relations: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder, relation_vectors: DataFrame | None = None) -> DataFrame:
+    """Concepts with ``vector`` and metadata.embedding_source: from evidence, else from relations and label, else missing.
+
+    relation_vectors (concept_id, vector): ready vectors of relation-only nodes, in place of encoding their texts.
+    """
     from_evidence = evidence_vectors(text_vectors, image_vectors).withColumnRenamed("vector", "_evidence")
-    from_relations = embed(relation_only_text(concepts, relations), "text", make_encoder).select("concept_id", F.col("vector").alias("_relations"))
+    if relation_vectors is None:
+        relation_vectors = embed(relation_only_text(concepts, relations), "text", make_encoder)
+    from_relations = relation_vectors.select("concept_id", F.col("vector").alias("_relations"))
     joined = concepts.join(from_evidence, "concept_id", "left").join(from_relations, "concept_id", "left")
     source = F.when(F.col("_evidence").isNotNull(), "linked_text_image_vectors").when(F.col("_relations").isNotNull(), "relation_label_text").otherwise("missing")
     vector = F.coalesce(F.col("_evidence").cast("array<float>"), "_relations")
@@ -122,6 +128,6 @@ def embedding_summary(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy(F.col("metadata.embedding_source").alias("embedding_source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def skipped(df: DataFrame, key: str) -> DataFrame:
-    """Keys of rows without a vector."""
-    return df.where("vector IS NULL").select(key)
+def skipped(collections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """collection, id of the rows without a vector; collections: name -> (rows, key)."""
+    return reduce(DataFrame.unionByName, (df.where("vector IS NULL").select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("id")) for name, (df, key) in collections.items()))

@@ -40,6 +40,7 @@ class Retrieval:
     marked: DataFrame
     context: DataFrame
     relation_blocks: DataFrame
+    expanded_nodes: DataFrame
 
 
 def retrieve(queries: DataFrame, store: Store, cfg: Config) -> Retrieval:
@@ -68,7 +69,7 @@ def retrieve(queries: DataFrame, store: Store, cfg: Config) -> Retrieval:
     ranked_relations = relations.withColumn("relation_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("graph_relevance_score"), "seq")))
     if not cfg.debug_full_context:
         ranked_relations = ranked_relations.where(F.col("relation_rank") <= cfg.max_context_relations)
-    return Retrieval(queries, hits, nodes, extra, seeds, expansion["trace"], expansion["visited"], expansion["dropped"], marked, ev.context_items(marked, cfg), ranked_relations)
+    return Retrieval(queries, hits, nodes, extra, seeds, expansion["trace"], expansion["visited"], expansion["dropped"], marked, ev.context_items(marked, cfg), ranked_relations, graph.expanded_nodes(expansion["visited"], store.concepts))
 
 
 def diagnostics(found: Retrieval) -> DataFrame:
@@ -84,6 +85,13 @@ def diagnostics(found: Retrieval) -> DataFrame:
     return out.na.fill(0).withColumn("source_references", F.col("text_blocks") + F.col("image_blocks"))
 
 
+def dropped_items(found: Retrieval) -> DataFrame:
+    """query_id, collection, id, verdict, score: evidence left out as generic or duplicate, and the first low-scored edges."""
+    evidence = found.marked.where("verdict <> 'kept'").select("query_id", "collection", "id", "verdict", F.col("rerank_score").alias("score"))
+    edges = found.dropped.select("query_id", F.lit("relation").alias("collection"), F.col("relation_id").alias("id"), F.lit("low_score").alias("verdict"), "score")
+    return evidence.unionByName(edges)
+
+
 def contexts(found: Retrieval) -> DataFrame:
     """One row per query: text, image and relation blocks, seed nodes, source references and trace as ordered arrays."""
     in_order = lambda at, fields: F.transform(F.sort_array(F.collect_list(F.struct(F.col(at).alias("_at"), F.struct(*fields).alias("row")))), lambda x: x["row"])

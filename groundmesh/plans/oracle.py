@@ -1,7 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express, over the same tables.
 
-Pages go through an HTML parser and the retrieval store through the hashing encoder; those queries have no SQL here
-and are tested against brute force.
+Pages go through an HTML parser; their queries have no SQL here and are tested against brute force, as are answer sizes in JSON.
 """
 
 from __future__ import annotations
@@ -102,6 +101,113 @@ scored AS (SELECT *, round(least(0.98::DOUBLE, 0.45::DOUBLE + least(0.25::DOUBLE
 lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= {CFG.lexical_limit})"""
 BONUS = "least(0.16::DOUBLE, 0.025::DOUBLE * n) + least(0.18::DOUBLE, 0.06::DOUBLE * nt) + least(0.12::DOUBLE, 0.04::DOUBLE * op)" + "".join(f" + CASE WHEN p{k} = {len(p.terms)} THEN {p.boost}::DOUBLE ELSE 0.0::DOUBLE END" for k, p in enumerate(CFG.phrases))
 
+
+def top(what: str, partition: str, order: str, name: str = "rank") -> str:
+    return f"{what}, CAST(row_number() OVER (PARTITION BY {partition} ORDER BY {order}) AS INTEGER) AS {name}"
+
+
+def round9(x: str) -> str:
+    return f"round({x}, 9)"
+
+
+KIND = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in CFG.relation_weights.items()) + " ELSE 0.5::DOUBLE END"
+PHRASE_COUNTS = ", ".join(f"len(list_filter(o, lambda t: t IN ({', '.join(repr(t) for t in p.terms)}))) AS p{k}" for k, p in enumerate(CFG.phrases))
+OPERATIONAL = f"len(list_filter(o, lambda t: t IN ({', '.join(repr(t) for t in CFG.operational_terms)}))) AS op"
+
+
+def hop(number: int, frontier: str, room: str) -> str:
+    """CTEs of one round: e (scored edges), k (kept), s (looked at), r (neighbours reached first)."""
+    decay, least = (1.0, 0.28) if number == 1 else (0.65, 0.42)
+    fresh = "TRUE" if number == 1 else "NOT EXISTS (SELECT 1 FROM k1 WHERE k1.query_id = s.query_id AND k1.relation_id = s.relation_id)"
+    score = round9(f"(0.35::DOUBLE * coalesce(seed_score, 0.5::DOUBLE) + 0.25::DOUBLE * {KIND} + CASE WHEN coalesce(c.has_evidence, FALSE) THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + least(0.25::DOUBLE, 0.04::DOUBLE * len(list_intersect(qt, rt)))) * {decay}::DOUBLE")
+    n = number
+    return f"""
+s{n}_ AS (SELECT f.query_id, f.concept_id, a.neighbor_id, direction, relation_id, relation_type, ordinal, {score} AS edge_score
+          FROM {frontier} f JOIN adj a ON f.concept_id = a.concept_id JOIN q ON q.query_id = f.query_id LEFT JOIN c ON c.concept_id = a.neighbor_id),
+e{n} AS (SELECT *, {n} AS hop, edge_score >= {least} AS accepted, {fresh} AS fresh, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, edge_score DESC, relation_id, direction) AS pos FROM s{n}_ s),
+f{n} AS (SELECT * FROM e{n} WHERE accepted AND fresh QUALIFY row_number() OVER (PARTITION BY query_id, relation_id ORDER BY pos) = 1),
+k{n} AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS seq_ FROM f{n}) f JOIN {room} r ON f.query_id = r.query_id WHERE seq_ <= room),
+l{n} AS (SELECT r.query_id, CASE WHEN room <= 0 THEN 0 WHEN coalesce(n, 0) >= room THEN last_ ELSE 1000000000 END AS last_ FROM {room} r LEFT JOIN (SELECT query_id, count(*) AS n, max(pos) AS last_ FROM k{n} GROUP BY 1) USING (query_id)),
+seen{n} AS (SELECT e.* FROM e{n} e JOIN l{n} USING (query_id) WHERE pos <= last_),
+r{n} AS (SELECT * FROM seen{n} s WHERE accepted AND NOT EXISTS (SELECT 1 FROM seeds x WHERE x.query_id = s.query_id AND x.concept_id = s.neighbor_id) QUALIFY row_number() OVER (PARTITION BY query_id, neighbor_id ORDER BY pos) = 1)"""
+
+
+TABLE_VECTORS = "nv AS (SELECT count(*) AS nv FROM embeddings), vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
+STORE = f"""{DOCS}, {IMAGES}, {TABLE_VECTORS},
+dv AS (SELECT d.*, e FROM d, nv, vec WHERE vec_id = CAST(section_id AS BIGINT) % nv), iv AS (SELECT i.*, e FROM i, nv, vec WHERE vec_id = (CAST(section_id AS BIGINT) * 7 + 3) % nv),
+y0 AS (SELECT 'Skills' AS sheet_name, CAST(section_id AS INTEGER) AS row_number, title AS source_label, {clean("'source ' || source_file")} AS target_label, 'has_skill' AS relation_type, 'SWO' AS k1, 'Skill' AS k2 FROM d
+       UNION ALL SELECT DISTINCT 'Tasks', 2, {clean("'source ' || source")}, {clean("'language ' || lang")}, 'has_task', 'Skill', 'Task' FROM documents),
+y AS (SELECT DISTINCT {stable("'docs'", "sheet_name", "CAST(row_number AS VARCHAR)", "source_label", "target_label", "relation_type")} AS relation_id, {slug("source_label")} AS source_id, {slug("target_label")} AS target_id, relation_type, source_label, target_label,
+      trim(source_label || ' ' || replace(relation_type, '_', ' ') || ' ' || target_label || '.') AS description,
+      substring(concat_ws(' | ', CASE WHEN source_label <> '' THEN k1 || ': ' || source_label END, CASE WHEN target_label <> '' THEN k2 || ': ' || target_label END), 1, 1000) AS evidence FROM y0),
+rt AS (SELECT *, list_distinct({terms("description || ' ' || source_label || ' ' || target_label || ' ' || evidence")}) AS rt FROM y),
+adj AS (SELECT source_id AS concept_id, target_id AS neighbor_id, 'out' AS direction, relation_id, relation_type, rt FROM rt UNION ALL SELECT target_id, source_id, 'in', relation_id, relation_type, rt FROM rt),
+c0 AS (SELECT concept_id, count(DISTINCT key) FILTER (kind = 'text') AS texts, bool_or(kind <> 'edge') AS has_evidence
+       FROM (SELECT concept_id, id AS key, 'text' AS kind FROM d UNION ALL SELECT concept_id, image_id, 'image' FROM i UNION ALL SELECT source_id, relation_id, 'edge' FROM y UNION ALL SELECT target_id, relation_id, 'edge' FROM y) GROUP BY 1),
+c AS (SELECT *, CASE WHEN has_evidence THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS weight FROM c0),
+pv AS (SELECT concept_id, unnest(e) AS x, unnest(range(len(e))) AS at_, w FROM (SELECT concept_id, e, 1.0::DOUBLE AS w FROM dv UNION ALL SELECT concept_id, e, 0.8::DOUBLE FROM iv)),
+mv AS (SELECT concept_id, at_, sum(x * w) / sum(w) AS x FROM pv GROUP BY ALL), uv AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY concept_id)) AS norm FROM mv),
+cv AS (SELECT concept_id, list_transform(list(CAST(x / norm AS FLOAT) ORDER BY at_), lambda x: CAST(x AS DOUBLE)) AS e FROM uv GROUP BY 1
+       UNION ALL SELECT concept_id, e FROM c, nv, vec WHERE NOT has_evidence AND vec_id = (length(concept_id) * 31 + ascii(right(concept_id, 1)) * 17) % nv),
+q AS (SELECT item_id AS query_id, coalesce(text, '') AS query, {query_terms("coalesce(text, '')")} AS qt, e FROM benchmark, nv, vec WHERE vec_id = (item_id * 13 + 5) % nv)"""
+LONG = "greatest(0.0::DOUBLE, round(list_cosine_similarity(q.e, x.e), 9))"
+RETRIEVED = f"""{STORE},
+items AS (SELECT 'text' AS collection, id, concept_id, title, content AS body, source_file, section_id, list_distinct({terms("whole")}) AS ts, list_distinct({terms("title")}) AS tt, {penalty("whole")} AS penalty, array_to_string(list_slice({terms("whole")}, 1, 80), ' ') AS print FROM d
+          UNION ALL SELECT 'image', image_id, concept_id, title, description, source_file, section_id, list_distinct({terms("w")}), list_distinct({terms("title")}), {penalty("w")}, array_to_string(list_slice({terms("w")}, 1, 80), ' ') FROM (SELECT *, title || '  ' || description AS w FROM i)),
+near_t AS (SELECT {top("query_id, 'text' AS collection, id, " + LONG + " AS score", "query_id", "score DESC, id")} FROM q, dv x QUALIFY rank <= {4 * CFG.text_top_k}),
+near_i AS (SELECT {top("query_id, 'image' AS collection, image_id AS id, " + LONG + " AS score", "query_id", "score DESC, id")} FROM q, iv x QUALIFY rank <= {4 * CFG.image_top_k}),
+near_c AS (SELECT {top("query_id, concept_id, " + LONG + " AS score", "query_id", "score DESC, concept_id", "vector_rank")} FROM q, cv x QUALIFY vector_rank <= {max(5 * CFG.node_top_k, 20)}),
+met AS (SELECT query_id, collection, id, len(o) AS n, nt, penalty, {PHRASE_COUNTS}, {OPERATIONAL} FROM (SELECT query_id, collection, id, penalty, list_intersect(qt, ts) AS o, len(list_intersect(qt, tt)) AS nt FROM q, items)),
+lex AS (SELECT {top("query_id, collection, id, " + round9("least(0.98::DOUBLE, 0.45::DOUBLE + least(0.25::DOUBLE, 0.04::DOUBLE * n) + least(0.25::DOUBLE, 0.08::DOUBLE * nt)" + "".join(f" + CASE WHEN p{k} = {len(p.terms)} THEN {p.boost}::DOUBLE ELSE 0.0::DOUBLE END" for k, p in enumerate(CFG.phrases) if p.lexical) + ")") + " AS score", "query_id, collection", "score DESC, id")} FROM met WHERE n > 0 QUALIFY rank <= {CFG.lexical_limit}),
+both_ AS (SELECT query_id, collection, id, score, 0 AS src FROM near_t UNION ALL SELECT query_id, collection, id, score, 0 FROM near_i UNION ALL SELECT query_id, collection, id, score, 1 FROM lex),
+merged AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, collection, id ORDER BY score DESC, src) = 1),
+bonus AS (SELECT query_id, collection, id, penalty, {BONUS} AS bonus FROM met),
+hits AS (SELECT {top("m.*, " + round9("greatest(0.0::DOUBLE, m.score + bonus - penalty)") + " AS rr", "query_id, collection", "rr DESC, id", "hit_rank")} FROM merged m JOIN bonus USING (query_id, collection, id) QUALIFY hit_rank <= CASE collection WHEN 'text' THEN {CFG.text_top_k} ELSE {CFG.image_top_k} END),
+nodes AS (SELECT {top("n.*, has_evidence, " + round9("score * weight") + " AS rr", "query_id", "rr DESC, vector_rank", "node_rank")} FROM near_c n JOIN c USING (concept_id)),
+extra AS (SELECT * FROM nodes WHERE node_rank > {CFG.node_top_k} AND NOT has_evidence AND score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector_rank) <= {CFG.seed_limit}),
+seeds_ AS (SELECT query_id, concept_id, score, rr FROM hits JOIN items USING (collection, id) UNION ALL SELECT query_id, concept_id, score, rr FROM nodes WHERE node_rank <= {CFG.node_top_k} UNION ALL SELECT query_id, concept_id, score, rr FROM extra),
+seeds AS (SELECT query_id, concept_id, max(CASE WHEN rr <> 0 THEN rr ELSE score END) AS seed_score FROM seeds_ GROUP BY 1, 2),
+start AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY concept_id) AS ordinal FROM seeds), room1 AS (SELECT DISTINCT query_id, {CFG.relation_limit} AS room FROM seeds),{hop(1, "start", "room1")},
+further AS (SELECT query_id, neighbor_id AS concept_id, NULL::DOUBLE AS seed_score, pos AS ordinal FROM r1 WHERE edge_score >= 0.5),
+room2 AS (SELECT r.query_id, room - coalesce(n, 0) AS room FROM room1 r LEFT JOIN (SELECT query_id, count(*) AS n FROM k1 GROUP BY 1) USING (query_id)),{hop(2, "further", "room2")},
+trace AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hop, pos) AS INTEGER) AS seq FROM (SELECT query_id, hop, concept_id, neighbor_id, direction, relation_id, relation_type, edge_score, pos FROM k1 UNION ALL SELECT query_id, hop, concept_id, neighbor_id, direction, relation_id, relation_type, edge_score, pos FROM k2)),
+visited AS (SELECT query_id, concept_id FROM seeds UNION SELECT query_id, neighbor_id FROM r1 UNION SELECT query_id, neighbor_id FROM seen2 WHERE accepted),
+low AS (SELECT query_id, relation_id, edge_score FROM (SELECT query_id, relation_id, edge_score, hop, pos FROM seen1 WHERE NOT accepted UNION ALL SELECT query_id, relation_id, edge_score, hop, pos FROM seen2 WHERE NOT accepted) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, pos) <= 20),
+expanded AS (SELECT v.query_id, t.collection, t.id, {round9("greatest(0.0::DOUBLE, 0.0::DOUBLE + (bonus + 0.2::DOUBLE) - b.penalty)")} AS rr FROM visited v JOIN items t USING (concept_id) JOIN bonus b ON b.query_id = v.query_id AND b.collection = t.collection AND b.id = t.id
+             WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = v.query_id AND h.collection = t.collection AND h.id = t.id)),
+rows0 AS (SELECT query_id, collection, id, rr, 0 AS origin FROM hits UNION ALL SELECT query_id, collection, id, rr, 1 FROM expanded),
+rows1 AS (SELECT r.*, title, concept_id, source_file, section_id, body, print, penalty >= 0.5 AND rr < 0.85 AS generic FROM rows0 r JOIN items USING (collection, id)),
+rows2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection, id, generic ORDER BY origin, rr DESC, id) AS nid FROM rows1),
+rows3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection, print, generic OR nid > 1 ORDER BY origin, rr DESC, id) AS nprint FROM rows2),
+marked AS (SELECT *, CASE WHEN generic THEN 'generic' WHEN nid > 1 OR nprint > 1 THEN 'duplicate' ELSE 'kept' END AS verdict FROM rows3),
+context AS (SELECT {top("*", "query_id, collection", "rr DESC, origin, id")} FROM marked WHERE verdict = 'kept' QUALIFY rank <= CASE collection WHEN 'text' THEN {CFG.max_context_text} ELSE {CFG.max_context_images} END),
+relations AS (SELECT {top("t.query_id, t.edge_score, t.seq, y.*", "query_id", "edge_score DESC, seq")} FROM trace t JOIN y USING (relation_id) QUALIFY rank <= {CFG.max_context_relations})"""
+
+
+def excerpt(x: str) -> str:
+    whole = f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
+    cut = f"substring({whole}, 1, 1000)"
+    at = "greatest(" + ", ".join(f"CASE WHEN contains({cut}, '{m}') THEN length({cut}) - strpos(reverse({cut}), '{m}') ELSE -1 END" for m in (".", ";", "।")) + ")"
+    return f"CASE WHEN length({whole}) <= 1000 THEN {whole} WHEN {at} >= 700 THEN regexp_replace(substring({cut}, 1, {at} + 1), '^{SPACE}|{SPACE}$', '', 'g') ELSE regexp_replace({cut}, '{SPACE}$', '') || '...' END"
+
+
+CITED = "'[' || coalesce(nullif(title, ''), 'Untitled') || ', concept: ' || concept_id || ']'"
+ANSWERED = f"""{RETRIEVED},
+bullets AS (SELECT query_id, collection, count(*) AS n, string_agg('- ' || {excerpt("body")} || ' ' || {CITED}, chr(10) ORDER BY rank) AS lines FROM context WHERE rank <= CASE collection WHEN 'text' THEN {CFG.compact_text} ELSE {CFG.compact_images} END GROUP BY 1, 2),
+arrows AS (SELECT query_id, count(*) AS n, string_agg('- ' || source_id || ' --' || relation_type || '--> ' || target_id || ': ' || description, chr(10) ORDER BY rank) AS lines FROM relations WHERE rank <= {CFG.compact_relations} GROUP BY 1),
+a AS (SELECT q.query_id, query, coalesce(t.n, 0) AS nt, coalesce(i.n, 0) AS ni, coalesce(r.n, 0) AS nr, t.lines AS tl, i.lines AS il, r.lines AS rl
+      FROM q LEFT JOIN bullets t ON t.query_id = q.query_id AND t.collection = 'text' LEFT JOIN bullets i ON i.query_id = q.query_id AND i.collection = 'image' LEFT JOIN arrows r ON r.query_id = q.query_id)"""
+TITLES = f"""{RETRIEVED},
+b AS (SELECT q.query_id, lower(query) AS query, coalesce(t.n, 0) AS nt, coalesce(i.n, 0) AS ni, coalesce(r.n, 0) AS nr, coalesce(x.n, 0) AS nx, coalesce(x.deepest, 0) AS deepest, coalesce(titles, '') AS titles, coalesce(first_, '') AS first_ FROM q
+      LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(lower(title), ' | ' ORDER BY rank) AS titles, first(lower(title) ORDER BY rank) AS first_ FROM context WHERE collection = 'text' GROUP BY 1) t USING (query_id)
+      LEFT JOIN (SELECT query_id, count(*) AS n FROM context WHERE collection = 'image' GROUP BY 1) i USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM relations GROUP BY 1) r USING (query_id)
+      LEFT JOIN (SELECT query_id, count(*) AS n, max(hop) AS deepest FROM trace GROUP BY 1) x USING (query_id)),
+ok AS (SELECT *, contains(titles, coalesce(string_split(query, ' ')[3], '')) AS any_of, substring(query, 1, 2) || ' ' AS begin_ FROM b),
+g AS (SELECT *, concat_ws(',', CASE WHEN NOT any_of THEN 'any_of' END, CASE WHEN contains(first_, begin_) THEN 'first_not' END, CASE WHEN ni < 3 THEN 'min_images' END, CASE WHEN nx < 10 THEN 'min_trace' END, CASE WHEN contains(titles, begin_ || begin_) THEN 'none_of' END) AS failed FROM ok)"""
+PASSED = f"nt + ni > 0 AND deepest <= {CFG.max_hops} AND nt <= {CFG.max_context_text} AND ni <= {CFG.max_context_images} AND nr <= {CFG.max_context_relations}"
+NOTE = "This draft is based mainly on retrieved course text/image evidence; no supporting relation trace was retrieved."
+WEAK = (("nt", "No text evidence was retrieved."), ("ni", "No image or diagram description evidence was retrieved."), ("nr", "No relation trace was retrieved; answer should rely mainly on text/image evidence."))
+
 ORACLE_SQL = {
     "text_functions": f"""
         WITH {DOCS}, u AS (SELECT *, sha1(unhex('{URL}') || encode('chp-textchunk:' || id)) AS h FROM d)
@@ -175,4 +281,30 @@ ORACLE_SQL = {
         r AS (SELECT collection, count(*) AS n, count(*) FILTER (missing) AS n_missing, count(*) = count(DISTINCT key) AS unique_keys FROM k GROUP BY 1), f AS (SELECT *, unique_keys AND n_missing = 0 AS passed FROM r)
         SELECT collection, CAST(n AS BIGINT) AS n, CAST(n_missing AS BIGINT) AS n_missing, unique_keys, passed FROM f UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT), CAST(sum(n_missing) AS BIGINT), bool_and(unique_keys), bool_and(passed) FROM f""",
     "missing_fields": f"WITH {IMAGES} SELECT image_id AS key, 'description' AS missing FROM i WHERE description IS NULL OR NOT contains(description, '?')",
+    "embedding_sources": f"""
+        WITH {DOCS}, {IMAGES}, {DOC_EDGES}, k AS (SELECT concept_id, bool_or(filled) AS filled FROM (SELECT concept_id, trim(content) <> '' AS filled FROM d UNION ALL SELECT concept_id, TRUE FROM i UNION ALL SELECT source_id, FALSE FROM x UNION ALL SELECT target_id, FALSE FROM x) GROUP BY 1)
+        SELECT CASE WHEN filled THEN 'linked_text_image_vectors' ELSE 'relation_label_text' END AS embedding_source, count(*) AS n FROM k GROUP BY 1""",
+    "embedding_skipped": f"""
+        WITH {DOCS}, {IMAGES} SELECT 'text' AS collection, id FROM d WHERE regexp_replace(content, '{SPACE}', '', 'g') = '' UNION ALL SELECT 'image', image_id FROM i WHERE description IS NULL OR NOT contains(description, '?')""",
+    "graph_trace": f"WITH {RETRIEVED} SELECT query_id, seq, hop, concept_id AS from_id, neighbor_id AS to_id, direction, relation_id, relation_type, round(edge_score, 6) AS score FROM trace",
+    "expanded_nodes": f"WITH {RETRIEVED} SELECT query_id, concept_id, has_evidence, weight, CAST(texts AS INTEGER) AS texts FROM visited JOIN c USING (concept_id)",
+    "retrieve_context": f"""
+        WITH {RETRIEVED} SELECT query_id, collection, id, rank, round(rr, 6) AS score FROM context UNION ALL SELECT query_id, 'relation', relation_id, rank, round(edge_score, 6) FROM relations""",
+    "retrieval_dropped": f"""
+        WITH {RETRIEVED} SELECT query_id, collection, id, verdict, round(rr, 6) AS score FROM marked WHERE verdict <> 'kept' UNION ALL SELECT query_id, 'relation', relation_id, 'low_score', round(edge_score, 6) FROM low""",
+    "retrieval_diagnostics": f"""
+        WITH {RETRIEVED}, v AS (SELECT query_id, count(*) FILTER (verdict = 'duplicate') AS du, count(*) FILTER (verdict = 'generic') AS ge FROM marked GROUP BY 1),
+        b AS (SELECT query_id, count(*) FILTER (collection = 'text') AS tb, count(*) FILTER (collection = 'image') AS ib FROM context GROUP BY 1), r AS (SELECT query_id, count(*) AS rb FROM relations GROUP BY 1), w AS (SELECT query_id, count(*) AS de FROM low GROUP BY 1)
+        SELECT query_id, coalesce(du, 0) AS dropped_duplicates, coalesce(ge, 0) AS dropped_generic, coalesce(tb, 0) AS text_blocks, coalesce(ib, 0) AS image_blocks, coalesce(rb, 0) AS relation_blocks, coalesce(de, 0) AS dropped_edges, coalesce(tb, 0) + coalesce(ib, 0) AS source_references
+        FROM (SELECT query_id FROM q) LEFT JOIN v USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN r USING (query_id) LEFT JOIN w USING (query_id)""",
+    "grounded_answers": f"""
+        WITH {ANSWERED} SELECT query_id,
+          regexp_replace('Query: ' || query || chr(10) || CASE WHEN nr = 0 THEN chr(10) || '{NOTE}' || chr(10) ELSE '' END || CASE WHEN nt > 0 THEN chr(10) || 'Key course evidence:' || chr(10) || tl ELSE '' END
+            || CASE WHEN ni > 0 THEN chr(10) || chr(10) || 'Relevant diagram/image evidence:' || chr(10) || il ELSE '' END || CASE WHEN nr > 0 THEN chr(10) || chr(10) || 'Relevant graph relation context:' || chr(10) || rl ELSE '' END, '^\\s+|\\s+$', '', 'g') AS answer,
+          CASE WHEN regexp_matches(query, '[\\x{{0900}}-\\x{{097F}}]') THEN 'hi-en' ELSE 'en' END AS language, 'extractive' AS mode, CAST(ni AS INTEGER) AS image_evidence_count, CAST(nt + ni AS INTEGER) AS citation_count,
+          '{{"has_text_evidence":' || (nt > 0) || ',"has_image_evidence":' || (ni > 0) || ',"has_relation_trace":' || (nr > 0) || ',"weaknesses":[' || concat_ws(',', {", ".join(f"CASE WHEN {n} = 0 THEN chr(34) || '{m}' || chr(34) END" for n, m in WEAK)}) || ']}}' AS coverage_notes FROM a""",
+    "model_contexts": f"""
+        WITH {ANSWERED} SELECT query_id, CASE WHEN query_id % 3 = 2 THEN 'extractive' ELSE 'model' END AS mode, CAST(nt AS INTEGER) AS texts, CAST(nr AS INTEGER) AS relations, CAST(nt + ni AS INTEGER) AS "references" FROM a""",
+    "retrieval_checks": f"""
+        WITH {TITLES} SELECT query_id, CAST(nt AS INTEGER) AS text_blocks, CAST(ni AS INTEGER) AS image_blocks, CAST(nr AS INTEGER) AS relation_blocks, CAST(deepest AS INTEGER) AS max_seen_hop, failed = '' AS quality_ok, {PASSED} AND failed = '' AS passed, failed FROM g""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundmesh.config import Config, Phrase
@@ -78,5 +78,13 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return rows.where("odd = 0").drop("odd"), rows.where("odd = 1").drop("odd")
 
 
+def with_table_vectors(spark: SparkSession, sf_dir: str, df: DataFrame, number: Column) -> DataFrame:
+    """df with ``vector``: row number modulo n of the n embeddings, a stand-in for an encoder's."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    numbered = df.crossJoin(n).withColumn("_at", F.pmod(number.cast("long"), F.col("_n"))).drop("_n")
+    return numbered.join(rows.select(F.col("vec_id").alias("_at"), F.col("embedding").alias("vector")), "_at").drop("_at")
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text(F.col("text")).alias("query"))
