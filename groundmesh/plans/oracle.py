@@ -1,6 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can express, over the same tables.
 
-Pages go through an HTML parser; their queries have no SQL here and are tested against brute force, as are answer sizes in JSON.
+The tables' pages are made to one pattern (title, h1, paragraphs of one article), so SQL can take them apart; that of other markup and
+answer sizes in JSON are tested by hand-built cases.
 """
 
 from __future__ import annotations
@@ -208,6 +209,31 @@ PASSED = f"nt + ni > 0 AND deepest <= {CFG.max_hops} AND nt <= {CFG.max_context_
 NOTE = "This draft is based mainly on retrieved course text/image evidence; no supporting relation trace was retrieved."
 WEAK = (("nt", "No text evidence was retrieved."), ("ni", "No image or diagram description evidence was retrieved."), ("nr", "No relation trace was retrieved; answer should rely mainly on text/image evidence."))
 
+
+def unescaped(x: str) -> str:
+    for entity, mark in (("&quot;", "chr(34)"), ("&#x27;", "chr(39)"), ("&#39;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {mark})"
+    return x
+
+
+def markup_text(x: str) -> str:
+    return clean(unescaped(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"))
+
+
+PAGES = f"""
+p0 AS (SELECT page_id, url, 'page-' || page_id || '.html' AS source_file, coalesce(html, '') AS html, split_part(split_part(coalesce(html, ''), '<article>', 2), '</article>', 1) AS article FROM pages),
+p1 AS (SELECT *, {markup_text("split_part(split_part(html, '<title>', 2), '</title>', 1)")} AS named, {markup_text("split_part(split_part(article, '<h1>', 2), '</h1>', 1)")} AS heading,
+       list_filter(list_transform(list_slice(string_split(article, '<p>'), 2, 1000000), lambda x: {markup_text("split_part(x, '</p>', 1)")}), lambda x: x <> '') AS parts, len(regexp_extract_all(article, '<(p|b|br)>')) AS inner_ FROM p0),
+pg AS (SELECT *, coalesce(nullif(named, ''), source_file) AS title, {clean("array_to_string(parts, chr(10))")} AS body, {clean("url")} AS link FROM p1)"""
+TREE = f"""{PAGES},
+tree AS (SELECT source_file, -1 AS pos, 0 AS level, title, {slug("title", "section")} AS section_id, -2 AS parent_pos, NULL AS parent_title, title AS breadcrumb, CASE WHEN heading = '' THEN 'Map' ELSE heading END AS child_titles, CASE WHEN heading = '' THEN body ELSE '' END AS content FROM pg
+         UNION ALL SELECT source_file, 7, 1, heading, 'page-' || page_id || '-' || {slug("heading", "section")}, -1, title, title || '|' || heading, 'Map', body FROM pg WHERE heading <> ''
+         UNION ALL SELECT source_file, 9 + inner_, 2, 'Map', 'page-' || page_id || '-map' || CASE WHEN {slug("heading", "section")} = 'map' THEN '-2' ELSE '' END, CASE WHEN heading = '' THEN -1 ELSE 7 END, CASE WHEN heading = '' THEN title ELSE heading END,
+                title || CASE WHEN heading = '' THEN '' ELSE '|' || heading END || '|Map', '', {clean("link || ' page Map of ' || page_id")} FROM pg)"""
+DIAGRAMS = f"""{TREE},
+g AS (SELECT pg.*, section_id, parent_title, 'Map of ' || page_id AS caption, array_to_string(list_filter([link, 'page'], lambda x: x <> ''), '|') AS labels, '<svg viewBox="0 0 9 9"><text>' || url || '</text><text>page</text></svg>' AS raw FROM pg JOIN tree USING (source_file) WHERE level = 2),
+gi AS (SELECT *, {stable("source_file", "section_id", "'1'", "'svg'", "labels", "caption")} AS image_id FROM g)"""
+
 ORACLE_SQL = {
     "text_functions": f"""
         WITH {DOCS}, u AS (SELECT *, sha1(unhex('{URL}') || encode('chp-textchunk:' || id)) AS h FROM d)
@@ -307,4 +333,17 @@ ORACLE_SQL = {
         WITH {ANSWERED} SELECT query_id, CASE WHEN query_id % 3 = 2 THEN 'extractive' ELSE 'model' END AS mode, CAST(nt AS INTEGER) AS texts, CAST(nr AS INTEGER) AS relations, CAST(nt + ni AS INTEGER) AS "references" FROM a""",
     "retrieval_checks": f"""
         WITH {TITLES} SELECT query_id, CAST(nt AS INTEGER) AS text_blocks, CAST(ni AS INTEGER) AS image_blocks, CAST(nr AS INTEGER) AS relation_blocks, CAST(deepest AS INTEGER) AS max_seen_hop, failed = '' AS quality_ok, {PASSED} AND failed = '' AS passed, failed FROM g""",
+    "page_section_tree": f"WITH {TREE} SELECT source_file, pos, level, title, section_id, parent_pos, parent_title, breadcrumb, child_titles, content FROM tree",
+    "page_text_chunks": f"""
+        WITH {TREE}, w AS (SELECT *, {clean("title || chr(10) || content")} AS whole FROM tree WHERE level = 1 AND content <> '')
+        SELECT {stable("source_file", "section_id", "title", "whole")} AS id, whole AS content, title, parent_title, {slug("title")} AS concept_id, section_id, source_file, level, length(whole) AS content_length,
+               CASE WHEN {contains_any("lower(title || ' ' || whole)", CFG.risk_terms)} THEN 'risk' WHEN {contains_any("lower(title || ' ' || whole)", CFG.procedure_terms)} THEN 'procedure' ELSE 'concept' END AS type FROM w""",
+    "page_image_chunks": f"""
+        WITH {DIAGRAMS} SELECT image_id, {clean("'Diagram under: Map. Caption: ' || caption || '. Visible labels: ' || replace(labels, '|', '; ') || '. Context: ' || coalesce(nullif(parent_title, ''), 'root') || ' / ' || source_file || '.'")} AS description,
+               'Map' AS title, 'map' AS concept_id, section_id, source_file, 'svg' AS type, caption, labels, substring({clean("raw")}, 1, 500) AS raw FROM gi""",
+    "page_svg_assets": f"WITH {DIAGRAMS} SELECT image_id, raw AS svg, '/images/' || image_id || '.svg' AS asset_url FROM gi",
+    "module_bundle_items": f"""
+        WITH {DOCS}, {IMAGES}, {DOC_EDGES}
+        SELECT source_file, 'text_chunks' AS part, id, title FROM d UNION ALL SELECT source_file, 'image_chunks', image_id, title FROM i
+        UNION ALL SELECT DISTINCT source_file, 'relations', relation_id, '' FROM own JOIN x ON concept_id = source_id OR concept_id = target_id UNION ALL SELECT source_file, 'concepts', concept_id, '' FROM own""",
 }

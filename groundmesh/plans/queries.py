@@ -65,9 +65,9 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def page_section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat section tree of every page."""
+    """The flat section tree of every page; the root's parent is at -2."""
     tree = sections.section_tree(sections.assign_sections(elements.page_elements(page_sources(spark, sf_dir, with_figures=True))))
-    return tree.select("source_file", "pos", "level", "title", "section_id", "parent_pos", "parent_title", joined(F.col("breadcrumb")).alias("breadcrumb"), joined(F.col("child_titles")).alias("child_titles"), "content")
+    return tree.select("source_file", "pos", "level", "title", "section_id", F.coalesce("parent_pos", F.lit(-2)).alias("parent_pos"), "parent_title", joined(F.col("breadcrumb")).alias("breadcrumb"), joined(F.col("child_titles")).alias("child_titles"), "content")
 
 
 @register
@@ -100,7 +100,7 @@ def page_svg_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest sheet as read, rows numbered."""
+    """The Tasks sheet as read, rows numbered."""
     rows = tables.sheets(spark, sf_dir)["Tasks"]
     return rows.select("row_number", F.col("Skill").alias("skill"), F.col("Task").alias("task"))
 
@@ -156,12 +156,22 @@ def module_concept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.module_concepts(docs, images, concept_nodes(docs, images, document_edges(spark, sf_dir)))
 
 
+def module_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, images, edges = document_chunks(spark, sf_dir), document_images(spark, sf_dir), document_edges(spark, sf_dir)
+    return store.module_items(docs, images, edges, concept_nodes(docs, images, edges))
+
+
 @register
 def module_bundle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles per source file, as sizes."""
-    docs, images, edges = document_chunks(spark, sf_dir), document_images(spark, sf_dir), document_edges(spark, sf_dir)
-    bundles = store.module_bundles(docs, images, edges, concept_nodes(docs, images, edges))
-    return bundles.select("source_file", *(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(c) for c in ("text_chunks", "image_chunks", "relations", "concepts")))
+    return store.module_bundle_sizes(module_items(spark, sf_dir))
+
+
+@register
+def module_bundle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundles themselves, opened again: every row of every file's parts."""
+    rows = store.module_bundles(module_items(spark, sf_dir)).select("source_file", "part", F.explode("items").alias("x"))
+    return rows.select("source_file", "part", "x.id", F.coalesce("x.title", F.lit("")).alias("title"))
 
 
 @register

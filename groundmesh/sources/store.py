@@ -3,28 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import store_key
 from groundmesh.schemas import KEYS, STORE_KINDS
 
+#: Rows of one bundle, about.
+BUNDLE_ROWS = 10_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir and read from there: lineage ends, and lost executors lose nothing."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="groundmesh-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groundmesh-"))
     return df.checkpoint()
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", reset: set[str] | None = None) -> None:
-    """Every table to its own folder. ``reset`` names those to overwrite; others must not exist yet. None: all."""
+def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", reset: set[str] | None = None, keys: dict[str, str] | None = None) -> None:
+    """Every table to its own folder. ``reset``: the tables to write anew (None: all); rows of the others are put over the
+    stored ones by their key, through a checkpoint, as the folder is read and written."""
     for name, df in tables.items():
-        mode = "overwrite" if reset is None or name in reset else "errorifexists"
-        df.write.mode(mode).format(fmt).save(f"{folder}/{name}")
+        if reset is not None and name not in reset and (old := stored(df.sparkSession, f"{folder}/{name}", fmt)) is not None:
+            df = checkpointed(upsert(old, df, (keys or KEYS)[name]))
+        df.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
+
+
+def stored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at path, or None if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.format(fmt).load(path) if found else None
 
 
 def with_store_key(df: DataFrame, kind: str) -> DataFrame:
@@ -40,9 +57,12 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_batch")
 
 
-def insert_summary(incoming: DataFrame) -> DataFrame:
-    """attempted, failed: rows written; a Spark write fails as a whole or not at all."""
-    return incoming.agg(F.count(F.lit(1)).alias("attempted")).withColumn("failed", F.lit(0).cast("long"))
+def insert_summary(incoming: DataFrame, written: DataFrame, key: str) -> DataFrame:
+    """attempted, inserted, failed: keys that were to be written, that are in the written table, and that are not; a null key counts as failed."""
+    wanted = incoming.select(F.col(key).alias("k")).distinct()
+    found = written.select(F.col(key).alias("k"), F.lit(1).alias("found")).distinct()
+    out = wanted.join(found, "k", "left").agg(F.count(F.lit(1)).alias("attempted"), F.count("found").alias("inserted"))
+    return out.withColumn("failed", F.col("attempted") - F.col("inserted"))
 
 
 def module_concepts_of(text: DataFrame, images: DataFrame) -> DataFrame:
@@ -62,20 +82,31 @@ def module_concepts(text: DataFrame, images: DataFrame, concepts: DataFrame) ->
     return module_concepts_of(text, images).join(concepts.select("concept_id"), "concept_id").select("source_file", "concept_id").distinct()
 
 
-def module_bundles(text: DataFrame, images: DataFrame, relations: DataFrame, concepts: DataFrame) -> DataFrame:
-    """One row per source file: its chunks and images, and only the relations and concepts that touch it, as arrays."""
-    listed = lambda df, cols, name: df.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
-    files = text.select("source_file").union(images.select("source_file")).distinct()
+def module_items(text: DataFrame, images: DataFrame, relations: DataFrame, concepts: DataFrame) -> DataFrame:
+    """source_file, part, id, title, concept_id: chunks and images of each file, and the relations and concepts that touch it, a row each."""
+    none = F.lit(None).cast("string")
     parts = [
-        listed(text, ["id", "title", "concept_id"], "text_chunks"),
-        listed(images, ["image_id", "title", "concept_id"], "image_chunks"),
-        listed(module_relations(text, images, relations), ["relation_id"], "relations"),
-        listed(module_concepts(text, images, concepts), ["concept_id"], "concepts"),
+        text.select("source_file", F.lit("text_chunks").alias("part"), "id", "title", "concept_id"),
+        images.select("source_file", F.lit("image_chunks").alias("part"), F.col("image_id").alias("id"), "title", "concept_id"),
+        module_relations(text, images, relations).select("source_file", F.lit("relations").alias("part"), F.col("relation_id").alias("id"), none.alias("title"), none.alias("concept_id")),
+        module_concepts(text, images, concepts).select("source_file", F.lit("concepts").alias("part"), F.col("concept_id").alias("id"), none.alias("title"), "concept_id"),
     ]
-    for part in parts:
-        files = files.join(part, "source_file", "left")
-    return files
+    return reduce(DataFrame.unionByName, parts)
+
+
+def module_bundle_sizes(items: DataFrame) -> DataFrame:
+    """A row per source file with the number of rows of each part: partial counts, no arrays."""
+    size = lambda p: F.count(F.when(F.col("part") == p, 1)).cast("int").alias(p)
+    return items.groupBy("source_file").agg(*map(size, ("text_chunks", "image_chunks", "relations", "concepts")))
+
+
+def module_bundles(items: DataFrame, rows: int = BUNDLE_ROWS) -> DataFrame:
+    """Bundles of at most about ``rows`` rows: source_file, part, number, items (array). A large file has many; none is held whole."""
+    sizes = items.groupBy("source_file", "part").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_of"))
+    numbered = items.join(sizes, ["source_file", "part"]).withColumn("number", F.pmod(F.xxhash64("id"), F.col("_of")).cast("int"))
+    return numbered.groupBy("source_file", "part", "number").agg(F.sort_array(F.collect_list(F.struct("id", "title", "concept_id"))).alias("items"))
 
 
 def write_bundles(bundles: DataFrame, folder: str) -> None:
+    """JSON files, a folder per source file."""
     bundles.write.mode("overwrite").partitionBy("source_file").json(folder)
