@@ -1,8 +1,8 @@
 """Cosine top-k of a query table against a whole collection, in blocks.
 
 Vectors are packed into matrices inside tasks. Query blocks are broadcast while they measure at most BROADCAST_BYTES;
-beyond, they are dealt into groups of that size, and the collection's blocks are sent to each group. A task keeps
-the k best per query, so k rows per query and task are shuffled.
+beyond, they are dealt into groups of that size, each in several copies, and a block of the collection is sent to one copy of
+each group. A task keeps the k best per query over all its blocks, so k rows per query and task are shuffled.
 """
 
 from __future__ import annotations
@@ -51,28 +51,40 @@ def pack(df: DataFrame, id_col: str, vector_col: str, rows: int = BLOCK) -> Data
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "vector", corpus_id: str = "id", corpus_vector: str = "vector") -> DataFrame:
     """query_id, id, score, rank: the k nearest by cosine, score max(0, cosine); ranked on nine digits, ties to the smaller id."""
+    spark = queries.sparkSession
     packed = pack(queries, query_id, query_vector, 256).withColumn("block", F.monotonically_increasing_id())
     size = packed.agg(F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("b")).first()["b"]
     groups = max(1, -(-size // BROADCAST_BYTES))
-    side = packed.select("dim", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("grp"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    copies = 1 if groups == 1 else -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    side = packed.select("dim", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("grp"), "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), every(copies).alias("copy"))
     if groups == 1:
         side = F.broadcast(side)
-    blocks = pack(corpus, corpus_id, corpus_vector).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    blocks = pack(corpus, corpus_id, corpus_vector).withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies))).withColumn("grp", every(groups))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[int, list[str]] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["q_data"]).reshape(-1, row["dim"])
-                m = np.frombuffer(row["data"]).reshape(-1, row["dim"])
-                ids = np.array(row["ids"], dtype=object)
+            for dim, ids, data, block, q_ids, q_data in zip(*(batch[c] for c in ("dim", "ids", "data", "block", "q_ids", "q_data")), strict=True):
+                at = block.as_py()
+                if at not in best:
+                    names[at] = q_ids.as_py()
+                    best[at] = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=str)
+                q = np.frombuffer(q_data.as_buffer()).reshape(-1, dim.as_py())
+                m = np.frombuffer(data.as_buffer()).reshape(-1, dim.as_py())
                 scores = np.maximum(0.0, np.round(q @ m.T, 9))
-                out: list[tuple] = []
-                for name, s in zip(row["q_ids"], scores, strict=True):
-                    least = np.partition(s, -k)[-k] if len(s) > k else -1.0
-                    best = sorted((-s[i], ids[i]) for i in np.flatnonzero(s >= least))[:k]
-                    out += [(name, i, -v) for v, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -1.0)
+                row, column = np.nonzero(scores >= least[:, None])
+                new = row, scores[row, column], np.array(ids.as_py(), dtype=str)[column]
+                row, score, name = (np.concatenate(c) for c in zip(best[at], new, strict=True))
+                order = np.lexsort((name, -score, row))
+                row, score, name = row[order], score[order], name[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                best[at] = row[kept], score[kept], name[kept]
+        for at, (row, score, name) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([names[at][r] for r in row.tolist()], pa.string()), pa.array(name.tolist(), pa.string()), pa.array(score)], names=["query_id", "id", "score"])
 
-    hits = blocks.join(side, ["dim", "grp"]).mapInArrow(search, "query_id string, id string, score double")
+    hits = blocks.join(side, ["dim", "grp", "copy"]).select("dim", "ids", "data", "block", "q_ids", "q_data").mapInArrow(search, "query_id string, id string, score double")
     ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.withColumn("query_id", F.col("query_id").cast(queries.schema[query_id].dataType))
