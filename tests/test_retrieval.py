@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundmesh.config import Config
-from groundmesh.operators import answers, evidence, validation
+from groundmesh.operators import answers, evidence, retrieval, validation, vectors
 from groundmesh.operators.embeddings import evidence_vectors, hashing_encoder
 from groundmesh.operators.vectors import vector_topk
 
@@ -86,6 +86,53 @@ def test_concept_vectors_and_encoder(spark):
     assert np.allclose(a[0], a[1]) and np.isclose(np.linalg.norm(a[0]), 1) and not a[2].any()
 
 
+def test_top_k_paths_agree(spark, monkeypatch):
+    """Query terms and vectors beyond the broadcast limits go other ways to the same result."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)] + ["belt", "drift"]
+    texts = spark.createDataFrame([(f"d{i}", " ".join(rng.choice(words, 3)), " ".join(rng.choice(words, 12)), "c", "f", "s", "x") for i in range(120)], "id string, title string, content string, concept_id string, source_file string, section_id string, type string").repartition(3)
+    items = evidence.evidence_items(texts, texts.withColumnsRenamed({"id": "image_id", "content": "description"}), CFG)
+    queries = evidence.with_query_terms(spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(9)] + [(99, "none of these"), (100, None)], "query_id long, query string"), CFG)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    shared = rows(evidence.lexical_topk(queries, items, CFG))
+    assert max(r[4] for r in shared) == CFG.lexical_limit and {r[1] for r in shared} == {"text", "image"}
+    monkeypatch.setattr(evidence, "PAIRS", 20)
+    assert rows(evidence.lexical_topk(queries, items, CFG)) == shared
+    monkeypatch.setattr(evidence, "BROADCAST_TERMS", 0)
+    assert rows(evidence.lexical_topk(queries, items, CFG)) == shared
+    m = rng.normal(size=(150, 6))
+    corpus = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(m)], "id string, vector array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)], "query_id long, vector array<double>")
+    near = rows(vector_topk(asked, corpus, 7))
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    assert rows(vector_topk(asked, corpus, 7)) == near and len(near) == 40 * 7
+
+
+def test_retrieval_switches(spark):
+    texts = spark.createDataFrame([(f"t{i}", f"belt {i}", f"drift of belt {i} observed", f"c{i}", "f", f"s{i}", "risk", [1.0, float(i)]) for i in range(14)], "id string, title string, content string, concept_id string, source_file string, section_id string, type string, vector array<double>")
+    images = spark.createDataFrame([("i1", "belt map", "a map", "c1", "f", "s1", "svg", [1.0, 0.5])], "image_id string, title string, description string, concept_id string, source_file string, section_id string, type string, vector array<double>")
+    relations = spark.createDataFrame([(f"r{i}", f"c{i}", f"c{i + 1}", "has_task", f"belt {i} has task", (f"belt {i}", f"belt {i + 1}", "")) for i in range(13)], "relation_id string, source_id string, target_id string, relation_type string, description string, metadata struct<source_label:string,target_label:string,evidence:string>")
+    from groundmesh.operators.concepts import concept_nodes
+
+    nodes = concept_nodes(texts, images, relations.withColumn("metadata", F.col("metadata").withField("source_file", F.lit("f"))))
+    nodes = nodes.withColumn("vector", F.array(F.lit(1.0), F.substring("concept_id", 2, 9).cast("double")))
+    store = retrieval.Store(texts, images, nodes, relations)
+    queries = spark.createDataFrame([(1, "belt drift", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    run = lambda **x: retrieval.retrieve(queries, store, Config(**x))
+    whole, near, none, full, boosted = run(), run(max_hops=1), run(disable_graph=True), run(debug_full_context=True), run(use_type_boost=True)
+    assert run(max_hops=0).trace.count() == none.trace.count() == 0 and none.visited.count() == none.seeds.count()
+    assert {r.hop for r in near.trace.collect()} == {1} and {r.hop for r in whole.trace.collect()} <= {1, 2}
+    assert whole.context.where("collection = 'text'").count() == 8 and full.context.where("collection = 'text'").count() > 8
+    assert full.relation_blocks.count() == full.trace.count() >= whole.relation_blocks.count()
+    score = lambda found: {r.id: r.rerank_score for r in found.hits.where("collection = 'text'").collect()}
+    assert all(score(boosted)[k] == pytest.approx(v + 0.04) for k, v in score(whole).items())
+    assert {r.concept_id for r in whole.expanded_nodes.collect()} == {r.concept_id for r in whole.visited.collect()}
+    left = whole.marked.where("verdict <> 'kept'").count() + whole.dropped.count()
+    assert retrieval.dropped_items(whole).count() == left and retrieval.diagnostics(whole).count() == 1
+    assert retrieval.contexts(whole).first().trace[0].hop == 1
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("a", "c", "n"), ("a", "", "n"), (None, "x", "n")], "concept_id string, label string, node_type string")
     row = validation.collection_checks("concept", df).first()
