@@ -1,7 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document classifier gives each document its evidence: a ridge logistic on shape statistics of the whole text and on the
-mean log-odds of its words and word pairs, fitted on at most TRAIN_ROWS labelled rows. Word log-odds are smoothed counts of
+mean log-odds of its distinct words (with their case and marks), fitted on at most TRAIN_ROWS labelled rows. Word log-odds are smoothed counts of
 documents by label; each half of the sample takes its own from the other half, so the logistic weighs them as they
 count on unseen texts. Sites are two levels: host and path. By grouped aggregation over all documents,
 each host's mean quality is shrunk towards the global mean and each path's mean towards its host's, with prior
@@ -37,7 +37,7 @@ SITE_WEIGHT = 1.0
 EVIDENCE_CUT = 8.0
 SHAPES = ("repeats", "variety", "symbols", "upper", "bare", "digits", "word_length", "words", "line_repeats", "stops")
 FEATURES = (*SHAPES, "words_odds")
-#: Documents of the sample that hold a word or pair, at least, for it to count, and the weight of the prior beside its counts.
+#: Documents of the sample that hold a word, at least, for it to count, and the weight of the prior beside its counts.
 LEAST_DOCS = 5
 PRIOR_DOCS = 4.0
 #: Labelled rows whose crc32(doc_id as text) is divisible by this may be kept out of a fit, to measure it.
@@ -50,13 +50,13 @@ _PLAIN = _LETTERS + _DIGITS + b" \t\r\n.,;:'\"()-?/@+"
 _STOPS = b".,;:?"
 
 
-def shape(text: str | None) -> tuple[float, ...]:
-    """Shape statistics of the whole text, each about 0 for plain prose and larger the odder the text."""
+def shape(text: str | None) -> tuple[tuple[float, ...], set[bytes]]:
+    """Shape statistics of the whole text, each about 0 for plain prose and larger the odder the text; and its distinct words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return (0.0,) * len(SHAPES)
-    n, size = len(words), len(raw)
+        return (0.0,) * len(SHAPES), set()
+    n, size, distinct = len(words), len(raw), set(words)
     letters = size - len(raw.translate(None, _LETTERS))
     upper = size - len(raw.translate(None, _UPPER))
     digits = size - len(raw.translate(None, _DIGITS))
@@ -68,7 +68,7 @@ def shape(text: str | None) -> tuple[float, ...]:
     scale = lambda x: float(np.log1p(50 * x))
     return (
         scale(repeats / n),
-        max(0.0, 1 - len(set(words)) / n - 0.06 * np.log(n)),
+        max(0.0, 1 - len(distinct) / n - 0.06 * np.log(n)),
         scale(symbols / size),
         scale(upper / (letters + 20)),
         scale(bare / n),
@@ -77,18 +77,14 @@ def shape(text: str | None) -> tuple[float, ...]:
         float(1 / np.sqrt(n)),
         scale(1 - len(set(lines)) / len(lines)),
         scale(stops / size),
-    )
+    ), distinct
 
 
-def grams(text: str | None) -> set[str]:
-    """Distinct words (letters lowered, marks and digits as they stand) and pairs of neighbours."""
-    words = (text or "").lower().split()
-    return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
-
-
-def mean_odds(found: set[str], table: dict[str, float]) -> float:
-    known = [table[g] for g in found if g in table]
-    return sum(known) / (len(known) + 5.0)
+def measured(text: str | None, table: dict[bytes, float]) -> tuple[float, ...]:
+    """FEATURES of the text: its shape, and the mean log-odds of its words that the table knows."""
+    shapes, words = shape(text)
+    known = [table[w] for w in words if w in table]
+    return *shapes, sum(known) / (len(known) + 5.0)
 
 
 @dataclass(frozen=True)
@@ -96,32 +92,32 @@ class QualityModel:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
-    words: dict[str, float]
+    words: dict[bytes, float]
     prior: float
 
     def log_odds(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([(*shape(t), mean_odds(grams(t), self.words)) for t in texts]).reshape(-1, len(FEATURES))
+        x = np.array([measured(t, self.words) for t in texts]).reshape(-1, len(FEATURES))
         x = np.clip((x - self.mean) / self.spread, -6, 6)
         return np.clip(self.weights[0] + np.column_stack([x, x * x]) @ self.weights[1:], -30, 30)
 
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """gram, half, good, bad: documents of either half of the sample that hold it, added up inside tasks first."""
+def word_counts(sample: DataFrame) -> DataFrame:
+    """word and good0, bad0, good1, bad1: documents of either half of the sample that hold it, added up inside tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[str, int], list[int]] = {}
+            held: dict[tuple[bytes, int], list[int]] = {}
             for text, label, half in zip(*(batch[c].to_pylist() for c in ("text", "_label", "_half")), strict=True):
-                for g in grams(text):
-                    held.setdefault((g, half), [0, 0])[label] += 1
+                for w in shape(text)[1]:
+                    held.setdefault((w, half), [0, 0])[label] += 1
             names = list(held)
             for at in range(0, len(names), 50_000):
                 part = names[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"gram": [n[0] for n in part], "half": pa.array([n[1] for n in part], pa.int32()), "good": [held[n][1] for n in part], "bad": [held[n][0] for n in part]})
+                yield pa.RecordBatch.from_pydict({"word": pa.array([n[0] for n in part], pa.binary()), "half": pa.array([n[1] for n in part], pa.int32()), "good": [held[n][1] for n in part], "bad": [held[n][0] for n in part]})
 
-    rows = sample.select("text", "_label", "_half").mapInArrow(count, "gram string, half int, good long, bad long")
+    rows = sample.select("text", "_label", "_half").mapInArrow(count, "word binary, half int, good long, bad long")
     of = lambda c, h: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}")
-    return rows.groupBy("gram").agg(of("good", 0), of("bad", 0), of("good", 1), of("bad", 1))
+    return rows.groupBy("word").agg(of("good", 0), of("bad", 0), of("good", 1), of("bad", 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod: int | None = None) -> QualityModel:
@@ -130,17 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     sample = sample.withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int"))
     sizes = {(r["_half"], r["_label"]): r["n"] for r in sample.groupBy("_half", "_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda halves: (sum(sizes.get((h, 1), 0) for h in halves) + 0.5) / (sum(sizes.get((h, y), 0) for h in halves for y in (0, 1)) + 1)
-    tables: list[dict[str, float]] = [{}, {}, {}]  # for rows of half 0, of half 1, and of no half
-    counted = gram_counts(sample).where(F.col("good0") + F.col("bad0") + F.col("good1") + F.col("bad1") >= LEAST_DOCS).collect()  # bounded by the sample
+    tables: list[dict[bytes, float]] = [{}, {}, {}]  # for rows of half 0, of half 1, and of no half
+    counted = word_counts(sample).where(F.col("good0") + F.col("bad0") + F.col("good1") + F.col("bad1") >= LEAST_DOCS).collect()  # bounded by the sample
     for r in counted:
         for table, halves in zip(tables, ((1,), (0,), (0, 1)), strict=True):
             good, bad, p = sum(r[f"good{h}"] for h in halves), sum(r[f"bad{h}"] for h in halves), share(halves)
             if good + bad:
-                table[r["gram"]] = float(np.log((good + PRIOR_DOCS * p) / (bad + PRIOR_DOCS * (1 - p))) - np.log(p / (1 - p)))
+                table[bytes(r["word"])] = float(np.log((good + PRIOR_DOCS * p) / (bad + PRIOR_DOCS * (1 - p))) - np.log(p / (1 - p)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [[*shape(t), mean_odds(grams(t), tables[h])] for t, h in zip(batch["text"].to_pylist(), batch["_half"].to_pylist(), strict=True)]
+            values = [list(measured(t, tables[h])) for t, h in zip(batch["text"].to_pylist(), batch["_half"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch["_label"]], names=["x", "label"])
 
     got = sample.select("text", "_label", "_half").mapInArrow(measure, "x array<double>, label int").collect()
