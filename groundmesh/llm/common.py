@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of one (key, bucket) cell when rows are numbered: what one window group holds at most, about.
 NUMBERING_CELL_ROWS = 2_000
+#: Rows of whole texts that are worked on at a time; Spark bounds the bytes of an Arrow batch (64 MB).
+TEXT_ROWS = 500
 #: Cells of a key whose counts are added up in one task.
 NUMBERING_RUN = 4096
 
@@ -46,6 +50,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most TEXT_ROWS at a time: what a Python worker makes of whole texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXT_ROWS):
+            yield batch.slice(at, TEXT_ROWS)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import shuffle_partitions
+from groundmesh.llm.common import shuffle_partitions, small
 
 K = 8
 HASHES = 32
@@ -153,7 +153,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
         before = None
         done: tuple[str, np.ndarray] | None = None
         hexed = lambda x: x.astype(">u4").tobytes().hex()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for bucket, doc_id, text, tail in zip(*(batch[c].to_pylist() for c in ("bucket", "doc_id", "text", "tail")), strict=True):
                 if before is not None and before[0] == bucket:
@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every whole text."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             prints = [order_min_hash(x or "").astype(">u4").tobytes().hex() for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundmesh.llm.common import small
 from groundmesh.llm.license_texts import CITATIONS, SPDX, TEXTS
 
 #: Base phrases and their labels. They count wherever their words stand consecutively.
@@ -77,7 +78,7 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dic
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {"": 0}
-        for batch in batches:
+        for batch in small(batches):
             seen[""] += batch.num_rows
             for text in batch["text"]:
                 for w in vocabulary.intersection(words_of(text.as_py())):
@@ -199,7 +200,7 @@ def scan_licenses(docs: DataFrame, found: list[Template] | None = None) -> DataF
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RareTokenIndex(found, idf)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 words = words_of(text.as_py())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize
+from groundmesh.llm.common import materialize, small
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 BROADCAST_SITES = 100_000
@@ -105,7 +105,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
     """word and good0, bad0, good1, bad1: documents of either half of the sample that hold it, added up inside tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             held: dict[tuple[bytes, int], list[int]] = {}
             for text, label, half in zip(*(batch[c].to_pylist() for c in ("text", "_label", "_half")), strict=True):
                 for w in shape(text)[1]:
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
                 table[bytes(r["word"])] = float(np.log((good + PRIOR_DOCS * p) / (bad + PRIOR_DOCS * (1 - p))) - np.log(p / (1 - p)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = [list(measured(t, tables[h])) for t, h in zip(batch["text"].to_pylist(), batch["_half"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch["_label"]], names=["x", "label"])
 
@@ -162,7 +162,7 @@ def with_evidence(docs: DataFrame, model: QualityModel, keep_text: bool) -> Data
     names = [docs.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             odds = shared.value.log_odds(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(odds, pa.float64())], names=[*names, "_evidence"])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize
+from groundmesh.llm.common import materialize, small
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 PREFIXES = range(3, 9)
@@ -127,7 +127,7 @@ def node_counts(sample: DataFrame) -> DataFrame:
     """node, toxic, clean: documents of the sample that hold it, summed inside tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             held: dict[str, list[int]] = {}
             for text, label in zip(batch["text"].to_pylist(), batch["_label"].to_pylist(), strict=True):
                 for node in nodes_of(set(words_of(text))):
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     model = ToxicityModel(nodes, LEAST_BACKGROUND, 1.0, 1.0, (0.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             seen: dict[tuple[int, float], int] = {}
             for text, label in zip(batch["text"].to_pylist(), batch["_label"].to_pylist(), strict=True):
                 for w, n in Counter(words_of(text)).items():
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out_mod
     model.rate, model.space = extreme_value_law(clean)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [model.evidence(*model.passages(t)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch["_label"]], names=["evidence", "label"])
 
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: ToxicityModel, held_out_mod: int = HELD_OUT_MO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch["text"].to_pylist():
                 segments, words = model.passages(text)
@@ -246,7 +246,7 @@ def clean_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             keep = [model.probability(model.evidence(*model.passages(t))) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
