@@ -33,7 +33,8 @@ def test_licence_texts_are_found_where_base_phrases_are_not(spark):
     for n, label in want.items():
         assert label in rows[n].labels.split(","), (label, rows[n].labels)
         span = next(s for s in rows[n].spans if s.label == label)
-        assert abs(span.start - 300) <= max(4, len(text.split()) // 5) and span.score >= licenses.LEAST_MASS  # the slack lets filler words in
+        size = len(licenses.words_of(license_texts.TEXTS[label][0]))  # the slack lets filler words in at both ends
+        assert min(span.start + span.words, 300 + size) - max(span.start, 300) > 0.8 * size and span.words < 1.6 * size + 8 and span.score >= licenses.LEAST_MASS
         assert label not in rows[1000 + n].labels.split(",")
     assert rows[5000].labels == "spdx-bsd-3-clause" and "isc" in rows[5001].labels.split(",") and rows[5001].spans[0].start == 300_000
     assert rows[5002].labels == "" and rows[5002].score == 0
