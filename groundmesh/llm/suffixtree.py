@@ -9,9 +9,9 @@ discounted by DISCOUNT, the rest of the mass going to the parent's distribution;
 that is a suffix of what comes before it, else at the root.
 
 No word and no context is left out by a limit. Texts are coded once, in blocks, by the places of their words in the block's
-own list; the lists are counted and numbered in Spark, by falling count, so a word's number tells its count (broadcast: one
+own list; the lists are counted and numbered in hash ranges, by falling count, so a word's number tells its count (broadcast: one
 row per distinct count, at most the root of twice the tokens). Tokens are then dealt by the word before them into slices of
-about SLICE_TOKENS, so that a task finds all contexts that end in a word together. A context that alone would fill half a
+about SLICE_TOKENS, so that a task finds all contexts that end in a word together. A context that alone would fill a
 slice is hot: its tokens are dealt on by the word before, and again, a hot context of DEPTH words by document; the counts
 of its next symbols are added up in Spark and sent to each of its slices. Where tokens are dealt to does not change a score.
 
@@ -34,23 +34,24 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import discard, materialize, number_within, shuffle_partitions
+from groundmesh.llm.common import discard, materialize, shuffle_partitions
 
 DEPTH = 3
 DIVERGENCE = 3.0
 DISCOUNT = 0.75
 HELD_OUT = (7, 2)
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 ROW_BITS = 20
-SLICE_TOKENS = 1_000_000
+SLICE_TOKENS = 500_000
 #: Sums per document that a task gathers before it sends them on.
-SENT_SUMS = 2_000_000
+SENT_SUMS = 1_000_000
 END = np.int64(xxhash.xxh64_intdigest(b"\x00end of text") - (1 << 63))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CODED = "block long, tokens binary, sizes array<int>, ids array<long>, held array<boolean>"
-PARTS = "slice int, level int, block long, symbols binary, rows binary, c1 long, c2 long, c3 long, word long, n long"
+PARTS = "slice int, level int, block long, symbols binary, rows binary, c1 long, c2 long, c3 long"
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -161,36 +162,113 @@ class Vocabulary:
         return np.where(c > 0, (c - self.discount) / n, unknown)
 
 
+def merge_words(blocks: DataFrame, slices: int) -> DataFrame:
+    """slice, counts of the distinct words of a range of hashes, and for each block where its words of the range stand among them."""
+    width = (1 << 64) // slices + 1
+    bounds = np.array([n * width - (1 << 63) for n in range(1, slices)], dtype=np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+        for batch in batches:
+            for block, words, counts in zip(batch["block"], batch["words"], batch["counts"], strict=True):
+                words, counts = words.values.to_numpy(), counts.values.to_numpy()
+                cuts = np.searchsorted(words, bounds)  # a block's words are in order
+                at = np.concatenate([[0], cuts, [len(words)]])
+                some = np.flatnonzero(np.diff(at))
+                parts = [slice(at[n], at[n + 1]) for n in some]
+                columns = (some, [block.as_py()] * len(some), [words[x].tobytes() for x in parts], [squeezed(counts[x]) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("slice", pa.int32()), ("counts", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+        now, held = None, []
+
+        def merged() -> pa.RecordBatch:
+            words = [np.frombuffer(w, np.int64) for _, w, _ in held]
+            distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([unsqueezed(c) for *_, c in held]), minlength=len(distinct)).astype(np.int64)
+            places = [squeezed(x) for x in np.split(place, np.cumsum([len(w) for w in words])[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, counts, [b for b, *_ in held], places), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for n, *row in zip(*(batch[c].to_pylist() for c in ("slice", "block", "words", "counts")), strict=True):
+                if n != now and held:
+                    yield merged()
+                    held = []
+                now = n
+                held.append(row)
+        if held:
+            yield merged()
+
+    partitions = shuffle_partitions(blocks.sparkSession)
+    sent = blocks.select("block", "words", "counts").mapInArrow(send, "slice int, block long, words binary, counts binary")
+    dealt = sent.repartitionById(partitions, F.col("slice") % partitions).sortWithinPartitions("slice")
+    return dealt.mapInArrow(merge, "slice int, counts array<long>, blocks array<long>, places array<binary>")
+
+
 def number_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """(coded blocks, vocabulary): tokens as word numbers."""
+    """(coded blocks, vocabulary): tokens as word numbers. Words are dealt by hash as packed lists, as many slices as blocks."""
     spark = blocks.sparkSession
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = materialize(rows.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    known = totals.where("c > 0")
-    runs = sorted(((r["c"], r["n"]) for r in known.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # one row per distinct count
+    partitions = shuffle_partitions(spark)
+    merged = materialize(merge_words(blocks, max(2 * partitions, blocks.count())), "words")
+    of_count = merged.select("slice", F.explode("counts").alias("c")).where("c > 0").groupBy("slice", "c").agg(F.count(F.lit(1)).alias("n"))
+    of_count = materialize(of_count, "counts")
+    runs = sorted(((r["c"], r["n"]) for r in of_count.groupBy("c").agg(F.sum("n").alias("n")).collect()), reverse=True)  # a row per distinct count
     count, words = (np.array([r[i] for r in runs], dtype=np.int64) for i in (0, 1))
     first, distinct = np.cumsum(words) - words, int(words.sum())
     n1, n2 = (int(words[count == k].sum()) for k in (1, 2))
     discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.05
     v = Vocabulary(first, count, int((count * words).sum()), distinct, discount)
-    bases = F.broadcast(spark.createDataFrame([(int(c), int(f)) for c, f in zip(count, first, strict=True)], "c long, first long"))
-    numbered = number_within(known, ["c"], F.col("word"), [F.col("word")], distinct, "nth").join(bases, "c").select("word", (F.col("first") + F.col("nth")).alias("number"))
-    numbers = rows.select("block", "place", "word").join(numbered, "word", "left").select("block", F.struct("place", F.coalesce("number", F.lit(v.unknown)).alias("number")).alias("w"))
-    of_block = numbers.groupBy("block").agg(F.collect_list("w").alias("w")).select("block", F.col("w.place").alias("places"), F.col("w.number").alias("numbers"))  # as many as the block has words
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("c").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = of_count.select("slice", F.struct("c", earlier.alias("earlier")).alias("o")).groupBy("slice").agg(F.collect_list("o").alias("o"))  # no more than the slice has words
+    shared = spark.sparkContext.broadcast(v)
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for n, c, blocks_, places, known, earlier in zip(*(batch[x] for x in ("slice", "counts", "blocks", "places", "c", "earlier")), strict=True):
+                c = c.values.to_numpy()
+                number = np.full(len(c), v.unknown)
+                if known.is_valid and len(known):
+                    known, earlier = known.values.to_numpy(), earlier.values.to_numpy()
+                    order = np.argsort(known)
+                    at = np.flatnonzero(c > 0)
+                    turn = np.argsort(c[at], kind="stable")  # words of one count, by hash
+                    new = np.concatenate([[True], np.diff(c[at][turn]) != 0])
+                    nth = np.empty(len(at), dtype=np.int64)
+                    nth[turn] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                    start = v.first[len(v.count) - 1 - np.searchsorted(v.count[::-1], c[at])]
+                    number[at] = start + earlier[order][np.searchsorted(known[order], c[at])] + nth
+                data = [squeezed(number[unsqueezed(p.as_py())]) for p in places]
+                yield pa.RecordBatch.from_arrays([blocks_.values, pa.array([n.as_py()] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["block", "slice", "numbers"])
+
+    sent = merged.join(offsets, "slice", "left").select("slice", "counts", "blocks", "places", "o.c", "o.earlier").mapInArrow(reply, "block long, slice int, numbers binary")
+    numbers = sent.withColumns({c: F.lit(None).cast(t) for c, t in (("tokens", "binary"), ("sizes", "array<int>"), ("ids", "array<long>"), ("held", "array<boolean>"))})
+    both = numbers.unionByName(blocks.select("block", F.lit(-1).alias("slice"), F.lit(None).cast("binary").alias("numbers"), "tokens", "sizes", "ids", "held"))
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        kept = ("sizes", "ids", "held")
+
+        def coded() -> pa.RecordBatch:
+            table = np.concatenate([unsqueezed(x) for x in held])
+            return pa.RecordBatch.from_arrays([now["block"], pa.array([squeezed(table[unsqueezed(now["tokens"][0].as_py())])], pa.binary()), *(now[c] for c in kept)], names=["block", "tokens", *kept])
+
         for batch in batches:
-            tokens = []
-            for data, places, numbers in zip(batch["tokens"], batch["places"], batch["numbers"], strict=True):
-                table = np.empty(len(places), dtype=np.int64)
-                table[places.values.to_numpy()] = numbers.values.to_numpy()
-                tokens.append(squeezed(table[unsqueezed(data.as_py())]))
-            kept = ("sizes", "ids", "held")
-            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(tokens, pa.binary()), *(batch[c] for c in kept)], names=["block", "tokens", *kept])
-
-    coded = blocks.drop("words", "counts").join(of_block, "block").mapInArrow(recode, CODED)
-    coded = materialize(coded, "coded")
-    discard(totals)
+            for n, place in enumerate(batch["slice"].to_pylist()):
+                if place < 0:
+                    if held:
+                        yield coded()
+                    now, held = batch.slice(n, 1), []
+                else:
+                    held.append(batch["numbers"][n].as_py())
+        if held:
+            yield coded()
+
+    dealt = both.repartition(partitions, "block").sortWithinPartitions("block", "slice")
+    coded = materialize(dealt.mapInArrow(recode, CODED), "coded")
+    discard(merged)
+    discard(of_count)
     return coded, v
 
 
@@ -204,12 +282,12 @@ class Block:
     row: np.ndarray
     train: np.ndarray
 
-    def keys(self, at: np.ndarray | slice = slice(None)) -> Iterator[np.ndarray]:
-        """Keys of the contexts of 1, 2, ... words."""
-        key = np.zeros(len(self.word[at]), dtype=np.uint64)
-        for symbols in self.before:
+    def key(self, at: np.ndarray, level: int) -> np.ndarray:
+        """Keys of the contexts of level + 1 words before the tokens at ``at``."""
+        key = np.zeros(len(at), dtype=np.uint64)
+        for symbols in self.before[: level + 1]:
             key = chained(key, symbols[at])
-            yield key
+        return key
 
 
 def coded_blocks(batches: Iterator[pa.RecordBatch], v: Vocabulary, depth: int) -> Iterator[Block]:
@@ -228,7 +306,7 @@ def coded_blocks(batches: Iterator[pa.RecordBatch], v: Vocabulary, depth: int) -
 
 @dataclass(frozen=True)
 class Hot:
-    """Contexts that fill half a slice or more: by length, sorted keys and over how many slices their tokens are dealt."""
+    """Contexts that fill a slice or more: by length, sorted keys and over how many slices their tokens are dealt."""
 
     slices: int
     keys: list[np.ndarray]
@@ -247,8 +325,8 @@ class Hot:
     def deal(self, block: Block) -> np.ndarray:
         """The slice of every token."""
         left, out = np.arange(len(block.word)), None
-        for level, whole in enumerate(block.keys()):
-            key = whole[left]
+        for level in range(len(block.before)):
+            key = block.key(left, level)
             if out is None:
                 out = self.slice_of(key, np.zeros(len(key), dtype=np.int64))
             hot = self.find(level, key)
@@ -260,15 +338,15 @@ class Hot:
         return out
 
 
-def hot_contexts(coded: DataFrame, v: Vocabulary, depth: int, slices: int) -> tuple[Hot, list[tuple]]:
-    """Hot contexts, and (level, context words, slices that need the counts of its next symbols) of each: a few times ``slices`` in all."""
+def hot_contexts(coded: DataFrame, v: Vocabulary, depth: int, slices: int) -> tuple[Hot, dict[int, tuple]]:
+    """Hot contexts, and by key (level, context words, slices that need the counts of its next symbols): a few times ``slices`` in all."""
     names = ["c1", "c2", "c3"][:depth]
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in coded_blocks(batches, v, depth):
             at, least = np.arange(len(block.word)), max(2, len(block.word) // (4 * slices))
             for level in range(depth):
-                key = list(block.keys(at))[level]
+                key = block.key(at, level)
                 _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 big = np.flatnonzero(n >= least)
                 words = [block.before[k][at[first[big]]] if k <= level else np.full(len(big), -1) for k in range(depth)]
@@ -279,52 +357,107 @@ def hot_contexts(coded: DataFrame, v: Vocabulary, depth: int, slices: int) -> tu
 
     total = max(1, v.tokens)
     rows = coded.mapInArrow(heavy, f"level int, {', '.join(f'{c} long' for c in names)}, n long").groupBy("level", *names).agg(F.sum("n").alias("n"))
-    found = rows.where(F.col("n") >= -(-total // (2 * slices))).collect()  # at most about 2 * depth * slices rows
+    found = rows.where(F.col("n") >= -(-total // slices)).collect()  # at most about depth * slices rows
     of_level: list[dict[int, tuple]] = [{} for _ in range(depth)]
     for r in found:
         words = [r[c] for c in names[: r["level"] + 1]]
         key = np.zeros(1, dtype=np.uint64)
         for w in words:
             key = chained(key, np.array([w]))
-        of_level[r["level"]][int(key[0])] = (words, 1 + 2 * r["n"] * slices // total)
+        of_level[r["level"]][int(key[0])] = (words, 1 + r["n"] * slices // total)
     order = [sorted(x) for x in of_level]
     hot = Hot(slices, [np.array(o, dtype=np.uint64) for o in order], [np.array([x[k][1] for k in o], dtype=np.int64) for o, x in zip(order, of_level, strict=True)])
-    own: dict[tuple, set[int]] = {}
+    own: dict[int, tuple] = {}
     for level, o in enumerate(order):
         for key in o:
             words, many = of_level[level][key]
             places = hot.slice_of(np.full(many, key, dtype=np.uint64), 1 + np.arange(many)).tolist()
-            for k in range(level + 1):  # a context's counts are needed where its longer hot ones are dealt to, too
-                own.setdefault(tuple(words[: k + 1]), set()).update(places)
-    return hot, [(len(words) - 1, *words, *[-1] * (3 - len(words)), sorted(places)) for words, places in own.items()]
+            own.setdefault(key, (level, words, set()))[2].update(places)
+            upper = np.zeros(1, dtype=np.uint64)
+            for k in range(level):  # a context's counts are needed where its longer hot ones are dealt to, too
+                upper = chained(upper, np.array([words[k]]))
+                own.setdefault(int(upper[0]), (k, words[: k + 1], set()))[2].update(places)
+    return hot, own
 
 
-def hot_counts(coded: DataFrame, v: Vocabulary, hot: Hot, targets: list[tuple]) -> DataFrame:
-    """PARTS rows of the next symbols of hot contexts and their training counts, for every slice that needs them."""
-    spark, names = coded.sparkSession, ["c1", "c2", "c3"]
+def hot_counts(coded: DataFrame, v: Vocabulary, hot: Hot, targets: dict[int, tuple]) -> DataFrame:
+    """PARTS rows of the next symbols of hot contexts and their training counts, for every slice that needs them.
+
+    Counts are added up inside tasks, then by context and part of its next symbols, as packed lists; a context has as many parts as slices.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast((v, hot, targets))
+    listed = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+
+    def added(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, place = np.unique(word, return_inverse=True)
+        return words, np.bincount(place, weights=n).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, hot, _ = shared.value
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(*at, *added(*map(np.concatenate, zip(*x, strict=True)))) for at, x in held.items()]
+            for at in range(0, len(rows), 256):
+                columns = zip(*((key, part, squeezed(w), squeezed(n)) for key, part, w, n in rows[at : at + 256]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, listed.types, strict=True)], schema=listed)
+
         for block in coded_blocks(batches, v, len(hot.keys)):
             at = np.flatnonzero(block.train)
             for level in range(len(hot.keys)):
-                key = list(block.keys(at))[level]
-                inside = hot.find(level, key) > 0
-                at, key = at[inside], key[inside]
+                key = block.key(at, level)
+                which = hot.find(level, key)
+                at, which = at[which > 0], which[which > 0] - 1
                 if not len(at):
                     break
-                _, first, n = np.unique(chained(key, block.word[at]), return_index=True, return_counts=True)
-                words = [block.before[k][at[first]] if k <= level else np.full(len(first), -1) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(block.word[at[first]]), pa.array(n)], names=[*names, "word", "n"])
+                part = (scramble(block.word[at].astype(np.uint64)) % hot.parts[level][which].astype(np.uint64)).astype(np.int64)
+                group = which << 32 | part
+                order = np.lexsort((block.word[at], group))
+                group, word = group[order], block.word[at][order]
+                new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])]))
+                n, group, word = np.diff(np.append(new, len(group))), group[new], word[new]
+                cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                for x, y in zip(cuts, [*cuts[1:], len(group)], strict=True):
+                    name = int(hot.keys[level][group[x] >> 32].view(np.int64)), int(group[x] & 0xFFFFFFFF)
+                    held.setdefault(name, []).append((word[x:y].copy(), n[x:y].copy()))
+                size += len(group)
+            if size >= SENT_SUMS:
+                yield from flush()
+                held.clear()
+                size = 0
+        yield from flush()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets, now, held = shared.value[2], None, []
+
+        def sent() -> pa.RecordBatch:
+            level, context, slices = targets[now[0] % (1 << 64)]
+            words, n = added(*map(np.concatenate, zip(*held, strict=True)))
+            row = (level, 0, squeezed(words), squeezed(n), *context, *[-1] * (3 - len(context)))
+            columns = zip(*((place, *row) for place in sorted(slices)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PART_SCHEMA.types, strict=True)], schema=PART_SCHEMA)
+
+        for batch in batches:
+            for key, part, words, n in zip(*(batch[c].to_pylist() for c in ("key", "part", "words", "counts")), strict=True):
+                if (key, part) != now and held:
+                    yield sent()
+                    held = []
+                now = key, part
+                held.append((unsqueezed(words), unsqueezed(n)))
+        if held:
+            yield sent()
 
-    counts = coded.mapInArrow(count, "c1 long, c2 long, c3 long, word long, n long").groupBy(*names, "word").agg(F.sum("n").alias("n"))
-    places = spark.createDataFrame(targets, "level int, c1 long, c2 long, c3 long, slices array<long>")
-    sent = counts.join(F.broadcast(places), names).withColumn("slice", F.explode("slices"))
-    return sent.select(F.col("slice").cast("int").alias("slice"), "level", F.lit(0).cast("long").alias("block"), F.lit(None).cast("binary").alias("symbols"), F.lit(None).cast("binary").alias("rows"), *names, "word", "n")
+    lists = coded.mapInArrow(count, "key long, part int, words binary, counts binary")
+    dealt = lists.repartition(shuffle_partitions(coded.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(send, PARTS)
+
+
+PART_SCHEMA = pa.schema([("slice", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("symbols", pa.binary()), ("rows", pa.binary()), *((c, pa.int64()) for c in ("c1", "c2", "c3"))])
 
 
 def deal_tokens(coded: DataFrame, v: Vocabulary, depth: int, hot: Hot) -> DataFrame:
     """PARTS rows of the tokens of every block and slice: context words and word as planes, rows as 2 * row + train."""
-    schema = pa.schema([("slice", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("symbols", pa.binary()), ("rows", pa.binary()), *((c, pa.int64()) for c in ("c1", "c2", "c3", "word", "n"))])
     shared = coded.sparkSession.sparkContext.broadcast((v, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,12 +469,10 @@ def deal_tokens(coded: DataFrame, v: Vocabulary, depth: int, hot: Hot) -> DataFr
             rows = []
             for part in np.split(order, cuts):
                 symbols = np.concatenate([*(b[part] for b in block.before), block.word[part]])
-                rows.append((int(where[part[0]]), -1, block.number, squeezed(symbols), squeezed(block.row[part] * 2 + block.train[part]), None, None, None, None, None))
-                if len(rows) == 64:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                rows.append((int(where[part[0]]), -1, block.number, squeezed(symbols), squeezed(block.row[part] * 2 + block.train[part]), None, None, None))
+            for at in range(0, len(rows), 64):
+                columns = zip(*rows[at : at + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PART_SCHEMA.types, strict=True)], schema=PART_SCHEMA)
 
     return coded.mapInArrow(run, PARTS)
 
@@ -387,59 +518,83 @@ def slices_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple]:
     now, held = None, []
 
     def joined() -> tuple:
-        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        columns = list(zip(*held, strict=True))
+        held.clear()
+        return tuple(np.concatenate(columns.pop(0)) for _ in range(depth + 5))
 
     for batch in batches:
-        slices, level = batch["slice"].to_numpy(), batch["level"].to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(slices) != 0) | (np.diff(np.minimum(level, 0)) != 0)) + 1).tolist(), len(slices)]
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            if x == y:
-                continue
-            if slices[x] != now:
-                if held:
-                    yield joined()
-                now, held = slices[x], []
-            part = batch.slice(x, y - x)
-            if level[x] >= 0:
-                numbers = [part[c].to_numpy() for c in ("c1", "c2", "c3")[:depth]]
-                held.append((*numbers, part["word"].to_numpy(), np.zeros(y - x, dtype=bool), level[x:y], part["n"].to_numpy(), np.zeros(y - x, dtype=np.int64)))
-                continue
-            for block, symbols, rows in zip(part["block"], part["symbols"], part["rows"], strict=True):
-                row = unsqueezed(rows.as_py())
-                numbers = unsqueezed(symbols.as_py()).reshape(depth + 1, -1)
-                size = len(row)
-                held.append((*numbers, (row & 1).astype(bool), np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int64), (row >> 1) + (block.as_py() << ROW_BITS)))
+        numbers = (batch[c].to_pylist() for c in ("slice", "level", "block", "c1", "c2", "c3"))
+        for symbols, rows, place, level, block, *context in zip(batch["symbols"], batch["rows"], *numbers, strict=True):
+            if place != now and held:
+                yield joined()
+            now = place
+            values, row = unsqueezed(symbols.as_py()), unsqueezed(rows.as_py())
+            size = len(row)
+            zeros = np.zeros(size, dtype=np.int64)
+            if level >= 0:
+                held.append((*(np.full(size, c) for c in context[:depth]), values, zeros > 0, np.full(size, level, dtype=np.int32), row, zeros))
+            else:
+                held.append((*values.reshape(depth + 1, -1), (row & 1).astype(bool), np.full(size, -1, dtype=np.int32), zeros, (row >> 1) + (block << ROW_BITS)))
     if held:
         yield joined()
 
 
 def token_gains(parts: DataFrame, v: Vocabulary, depth: int, divergence: float) -> DataFrame:
-    """uid, gain: sums of what contexts add to the root's log10 probability, several rows a document."""
+    """uid, gain: the sum of what contexts add to the root's log10 probability of a document; sums of a block's documents travel as packed lists."""
     shared = parts.sparkSession.sparkContext.broadcast(v)
+    listed = pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("gains", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids: list[np.ndarray] = []
         gains: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            uid, place = np.unique(np.concatenate(uids), return_inverse=True)
-            gain = np.bincount(place, weights=np.concatenate(gains))
-            for at in range(0, len(uid), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[at : at + 100_000]), pa.array(gain[at : at + 100_000])], names=["uid", "gain"])
+            uid, gain = summed(np.concatenate(uids), np.concatenate(gains))
+            cuts = np.flatnonzero(np.diff(uid >> ROW_BITS)) + 1
+            for rows, values in zip(np.split(uid, cuts), np.split(gain, cuts), strict=True):
+                if len(rows):
+                    columns = rows[0] >> ROW_BITS, squeezed(rows & ((1 << ROW_BITS) - 1)), values.tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, listed.types, strict=True)], schema=listed)
 
         for *before, word, train, level, n, uid in slices_of(batches, depth):
             gain = score_slice(before, word, train, level, n, shared.value, divergence)
             some = (level < 0) & (gain != 0)
-            found, place = np.unique(uid[some], return_inverse=True)
+            found, total = summed(uid[some], gain[some])
             uids.append(found)
-            gains.append(np.bincount(place, weights=gain[some], minlength=len(found)))
+            gains.append(total)
             if sum(map(len, uids)) >= SENT_SUMS:
                 yield from flush()
                 uids, gains = [], []
         if uids:
             yield from flush()
 
-    return parts.mapInArrow(run, "uid long, gain double")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            row, gain = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for at in range(0, len(row), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(row[at : at + 100_000] + (now << ROW_BITS)), pa.array(gain[at : at + 100_000])], names=["uid", "gain"])
+
+        for batch in batches:
+            for block, rows, values in zip(*(batch[c].to_pylist() for c in ("block", "rows", "gains")), strict=True):
+                if block != now and held:
+                    yield from merged()
+                    held = []
+                now = block
+                held.append((unsqueezed(rows), np.frombuffer(values)))
+        if held:
+            yield from merged()
+
+    lists = parts.mapInArrow(run, "block long, rows binary, gains binary")
+    dealt = lists.repartition(shuffle_partitions(parts.sparkSession), "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(merge, "uid long, gain double")
+
+
+def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of equal keys added up, by key."""
+    found, place = np.unique(key, return_inverse=True)
+    return found, np.bincount(place, weights=value, minlength=len(found))
 
 
 def document_sums(coded: DataFrame, v: Vocabulary) -> DataFrame:
@@ -467,11 +622,10 @@ def score_documents(docs: DataFrame, divergence: float = DIVERGENCE, depth: int
     coded, v = number_words(blocks)
     discard(blocks)
     partitions = shuffle_partitions(spark)
-    slices = max(2 * partitions, -(-v.tokens // slice_tokens))
+    slices = max(4 * partitions, -(-v.tokens // slice_tokens))
     hot, targets = hot_contexts(coded, v, depth, slices)
     parts = deal_tokens(coded, v, depth, hot).unionByName(hot_counts(coded, v, hot, targets))
     dealt = parts.repartitionById(partitions, F.col("slice") % partitions).sortWithinPartitions("slice", "level")
-    gains = token_gains(dealt, v, depth, divergence).groupBy("uid").agg(F.sum("gain").alias("gain"))
-    whole = document_sums(coded, v).join(gains, "uid", "left")
+    whole = document_sums(coded, v).join(token_gains(dealt, v, depth, divergence), "uid", "left")
     score = F.col("root") + F.coalesce("gain", F.lit(0.0))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
