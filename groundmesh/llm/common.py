@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +31,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside; the session's own setting is put back after them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet under the shared checkpoint folder and read it back: lineage ends here, and any executor can read it again."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/groundmesh/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, 2 * TEXT_ROWS):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,20 +155,18 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_evidence(docs: DataFrame, model: QualityModel, keep_text: bool) -> DataFrame:
-    """docs (without text unless kept) plus ``_evidence``, the classifier's log-odds."""
+def with_evidence(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """docs with ``_evidence``, the classifier's log-odds: of the column text, which goes, or of the field text of the column row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    kept = [i for i, c in enumerate(docs.columns) if keep_text or c != "text"]
-    names = [docs.columns[i] for i in kept]
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            odds = shared.value.log_odds(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(odds, pa.float64())], names=[*names, "_evidence"])
+            text = batch["text"] if "text" in batch.schema.names else pc.struct_field(batch["row"], "text")
+            odds = shared.value.log_odds(text.to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(odds, pa.float64())], names=[*names, "_evidence"])
 
-    schema = docs.select(*names).withColumn("_evidence", F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select(*names).withColumn("_evidence", F.lit(0.0)).schema)
 
 
 def site_sums(evidence: DataFrame, host: Column, path: Column) -> DataFrame:
@@ -219,16 +218,15 @@ def decide(evidence: DataFrame, sites: DataFrame, host: Column, path: Column, we
 def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", held_out_mod: int | None = None) -> DataFrame:
     """doc_id, host, path, doc_score, host_mean, path_mean, score, keep of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"), F.col("text").cast("string").alias("text"))
-    rows = materialize(with_evidence(docs, fit(docs, labels, held_out_mod=held_out_mod), keep_text=False), "evidence")
+    rows = materialize(with_evidence(docs, fit(docs, labels, held_out_mod=held_out_mod)), "evidence")
     sites = materialize(site_posteriors(site_sums(rows, F.col("host"), F.col("path"))), "sites")
     return decide(rows, sites, F.col("host"), F.col("path")).select("doc_id", "host", "path", "doc_score", "host_mean", "path_mean", "score", "keep")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs, all columns kept, that the classifier keeps. Texts are scanned once and written with their evidence."""
-    row = F.struct(*docs.columns).alias("row")
-    rows = docs.select(row, F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"), F.col("text").cast("string").alias("text"))
-    rows = materialize(with_evidence(rows, fit(docs, labels), keep_text=False), "evidence")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"))
+    rows = materialize(with_evidence(rows, fit(docs, labels)), "evidence")
     sites = materialize(site_posteriors(site_sums(rows, F.col("host"), F.col("path"))), "sites")
     kept = decide(rows, sites, F.col("host"), F.col("path")).where("keep")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
