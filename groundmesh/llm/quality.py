@@ -224,9 +224,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs, all columns kept, that the classifier keeps. Texts are scanned once and written with their evidence."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path"))
-    rows = materialize(with_evidence(rows, fit(docs, labels)), "evidence")
-    sites = materialize(site_posteriors(site_sums(rows, F.col("host"), F.col("path"))), "sites")
-    kept = decide(rows, sites, F.col("host"), F.col("path")).where("keep")
+    """The rows of docs, all columns kept, that the classifier keeps. Texts are scanned twice, for the sites and for the decision, and written never."""
+    model = fit(docs, labels)
+    sites_of = [F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path")]
+    evidence = with_evidence(docs.select(F.col("text").cast("string").alias("text"), *sites_of), model)
+    sites = materialize(site_posteriors(site_sums(materialize(evidence, "evidence"), F.col("host"), F.col("path"))), "sites")
+    kept = decide(with_evidence(docs.select(F.struct(*docs.columns).alias("row"), *sites_of), model), sites, F.col("host"), F.col("path")).where("keep")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
