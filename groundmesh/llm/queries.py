@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from groundmesh.llm import fingerprints, licenses, mixing, neardup, packing, quality, suffixtree, topk, toxicity, warc
+from groundmesh.llm import fingerprints, infill, licenses, mixing, neardup, packing, quality, repeats, suffixtree, topk, toxicity, warc, whitening
 from groundmesh.llm.common import read_table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -58,8 +58,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER_PATH)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_minhash_near_dedup, op4_suffix_tree_scores, op5_toxicity_segments, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op9_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_exact_top_k, op3_minhash_near_dedup, op4_suffix_tree_scores, op5_toxicity_segments, op6_order_min_hash, op7_warc_round_trip, op8_mix_sources, op9_quality_classifier, op10_best_fit_packing, op11_embedding_whitening, op12_suffix_array_dedup, op13_fill_in_middle)}
 
 
 ORACLE_SQL = {
@@ -71,6 +83,17 @@ ORACLE_SQL = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substring(h, k, 8) AS BIGINT)) AS h FROM d),
+        c AS (SELECT doc_id, t, units, h, CAST(len(units) AS BIGINT) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS low, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS high FROM u),
+        p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                     array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
     "op7_warc_round_trip": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
