@@ -44,7 +44,10 @@ DIVERGENCE = 3.0
 DISCOUNT = 0.75
 HELD_OUT = (7, 2)
 BLOCK_TOKENS = 1_000_000
-ROW_BITS = 20
+#: A document is known by its partition, its block there (10**12 tokens fill as many) and its row in the block: 63 bits together.
+TASK_BITS, PART_BITS, ROW_BITS = 23, 20, 20
+#: Slices whose counts of one word frequency are added up in one task.
+RUN_SLICES = 256
 SLICE_TOKENS = 500_000
 #: Sums per document that a task gathers before it sends them on.
 SENT_SUMS = 1_000_000
@@ -97,7 +100,9 @@ def code_texts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("tokens", pa.binary()), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << PART_BITS
+        if block >> PART_BITS + TASK_BITS:
+            raise ValueError(f"an input of more than {1 << TASK_BITS} partitions: coalesce it first")
         ids: list = []
         held: list[bool] = []
         found: list[np.ndarray] = []
@@ -219,8 +224,12 @@ def number_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
     n1, n2 = (int(words[count == k].sum()) for k in (1, 2))
     discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.05
     v = Vocabulary(first, count, int((count * words).sum()), distinct, discount)
-    earlier = F.coalesce(F.sum("n").over(W.partitionBy("c").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = of_count.select("slice", F.struct("c", earlier.alias("earlier")).alias("o")).groupBy("slice").agg(F.collect_list("o").alias("o"))  # no more than the slice has words
+    # words of a count in earlier slices: in earlier runs of slices, and earlier in the run, so that no task has all slices of a count
+    sums = lambda order, *of: F.coalesce(F.sum("n").over(W.partitionBy(*of).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    in_runs = of_count.withColumn("run", F.floor(F.col("slice") / RUN_SLICES))
+    of_run = in_runs.groupBy("c", "run").agg(F.sum("n").alias("n")).select("c", "run", sums("run", "c").alias("base"))
+    placed = in_runs.withColumn("inside", sums("slice", "c", "run")).join(of_run, ["c", "run"])
+    offsets = placed.select("slice", F.struct("c", (F.col("base") + F.col("inside")).alias("earlier")).alias("o")).groupBy("slice").agg(F.collect_list("o").alias("o"))  # no more than the slice has words
     shared = spark.sparkContext.broadcast(v)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

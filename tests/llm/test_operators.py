@@ -504,3 +504,21 @@ def test_tokens_with_a_full_cache(monkeypatch):
     whole = Tokenizer.from_file(TOKENIZER)
     for texts in (["a b c", "Été d'eau."], ["new words here", "a b"], ["", "again, new words"]):
         assert [x.tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_suffix_tree_scores_do_not_depend_on_partitions(spark):
+    """2,100 input partitions give the scores of three; counts of one frequency are added up over many runs of slices."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcde", k=3)) for _ in range(40)]
+    texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for i in range(2200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    scores = [sorted((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in suffixtree.score_documents(docs.repartition(n)).collect()) for n in (3, 2100)]
+    assert len(scores[0]) == 2200 and scores[0] == scores[1]
+
+
+def test_suffix_tree_counts_of_many_slices(spark, monkeypatch):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["a", "b", "c d e", "f g"], k=30)) + f" w{i}") for i in range(50)], "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, suffixtree.score_documents(docs).collect()))
+    monkeypatch.setattr(suffixtree, "RUN_SLICES", 2)
+    assert sorted(map(tuple, suffixtree.score_documents(docs).collect())) == want
