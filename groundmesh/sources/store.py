@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,37 +12,48 @@ from pyspark.sql import functions as F
 
 from groundmesh.functions.text import store_key
 from groundmesh.schemas import KEYS, STORE_KINDS
+from groundmesh.sources.snapshots import StoredTable, Written
 
 #: Rows of one bundle, about.
 BUNDLE_ROWS = 10_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read from there: lineage ends, and lost executors lose nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on this machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groundmesh-"))
-    return df.checkpoint()
+        folder = f"file://{tempfile.mkdtemp(prefix='groundmesh-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the checkpoint folder that nothing else takes."""
+    return f"{checkpoint_folder(spark)}/groundmesh/{tag}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the folder of spark.checkpoint.dir and read from there: lineage ends, lost executors lose nothing, columns are pruned."""
+    folder = new_folder(df.sparkSession, "step")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", reset: set[str] | None = None, keys: dict[str, str] | None = None) -> None:
-    """Every table to its own folder. ``reset``: the tables to write anew (None: all); rows of the others are put over the
-    stored ones by their key, through a checkpoint, as the folder is read and written."""
+def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", reset: set[str] | None = None, keys: dict[str, str] | None = None, batch: str | None = None) -> dict[str, Written]:
+    """Every table to its own stored table. ``reset``: the tables to write anew (None: all); rows of the others are put over the
+    stored ones by their key. A failed write leaves a table as it was; a ``batch`` that was written before changes nothing."""
+    done = {}
     for name, df in tables.items():
-        if reset is not None and name not in reset and (old := stored(df.sparkSession, f"{folder}/{name}", fmt)) is not None:
-            df = checkpointed(upsert(old, df, (keys or KEYS)[name]))
-        df.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
+        table = StoredTable(df.sparkSession, f"{folder}/{name}", (keys or KEYS)[name], fmt=fmt)
+        done[name] = table.overwrite(df, batch) if reset is None or name in reset else table.upsert(df, batch)
+    return done
 
 
-def stored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The table at path, or None if there is none."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.format(fmt).load(path) if found else None
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The stored table at path, at its newest version or the one named, or None if there is none."""
+    return StoredTable(spark, path).read(version)
 
 
 def with_store_key(df: DataFrame, kind: str) -> DataFrame:

@@ -19,10 +19,10 @@ def test_csv_sheets(spark, tmp_path):
     (tmp_path / "s.csv").write_text(',,,\n Skill\xa0,Task ,,Task\n"a  b",c,x,second\n,,,\n,d,,\n"line\nbreak",e,,\n')
     rows = read_csv_sheet(spark, str(tmp_path / "s.csv"))
     assert rows.columns == ["row_number", "Skill", "Task"]
-    assert [tuple(r) for r in rows.orderBy("row_number").collect()] == [(2, "a b", "c"), (3, "", "d"), (4, "line break", "e")]
+    assert [tuple(r) for r in rows.orderBy("row_number").collect()] == [(2, "a b", "second"), (3, "", ""), (4, "line break", "")]
     edges = workbook_relations({"Tasks": rows, "Unknown": rows}, "s.csv").orderBy("metadata.row_number").collect()
-    assert [(e.source_id, e.target_id, e.description) for e in edges] == [("a-b", "c", "a b has task c."), ("unknown", "d", "has task d."), ("line-break", "e", "line break has task e.")]
-    assert edges[0].metadata.evidence == "Skill: a b | Task: c" and len({e.relation_id for e in edges}) == 3
+    assert [(e.source_id, e.target_id, e.description) for e in edges] == [("a-b", "second", "a b has task second."), ("unknown", "unknown", "has task ."), ("line-break", "unknown", "line break has task .")]
+    assert edges[0].metadata.evidence == "Skill: a b | Task: second" and len({e.relation_id for e in edges}) == 3
     (tmp_path / "none.csv").write_text(",,\n , ,\n")
     assert read_csv_sheet(spark, str(tmp_path / "none.csv")).count() == 0
 
@@ -43,10 +43,10 @@ def test_tables_and_bundles(spark, tmp_path):
     folder = str(tmp_path / "out")
     store.write_tables({"text": rows(("a", "1"), ("b", "2")), "image": images}, folder)
     store.write_tables({"text": rows(("b", "3"), ("c", "4")), "image": images.withColumn("title", F.lit("new"))}, folder, reset={"image"})
-    assert sorted(map(tuple, spark.read.parquet(f"{folder}/text").collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
-    assert spark.read.parquet(f"{folder}/image").first().title == "new"
+    assert sorted(map(tuple, store.stored(spark, f"{folder}/text").collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
+    assert store.stored(spark, f"{folder}/image").first().title == "new"
     wanted = rows(("b", "3"), ("z", "5"))
-    assert tuple(store.insert_summary(wanted, spark.read.parquet(f"{folder}/text"), "id").first()) == (2, 1, 1)
+    assert tuple(store.insert_summary(wanted, store.stored(spark, f"{folder}/text"), "id").first()) == (2, 1, 1)
     text = spark.createDataFrame([(f"t{i}", f"T{i}", f"c{i % 3}", "f1" if i < 40 else "f2") for i in range(50)], "id string, title string, concept_id string, source_file string")
     none = spark.createDataFrame([], "image_id string, title string, concept_id string, source_file string")
     relations = spark.createDataFrame([("r", "c1", "other")], "relation_id string, source_id string, target_id string")
@@ -68,3 +68,9 @@ def test_contexts_and_model_output(spark, tmp_path):
     got = [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(parse_model_json(F.col("t"), MODEL_OUTPUT).alias("m")).collect()]
     assert [bool(m) and m.key_relations[0].relation_id for m in got] == ["r", "r", "r", False, False, False]
     assert spark.range(1).select(asset_url(F.lit("x")).alias("u")).first().u == "/images/x.svg"
+
+
+def test_bytes_that_are_no_text_are_left_out(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<p>caf\xc3\xa9 \xff\xfeb\xc3\x28ad</p>\r\nx\ry")
+    (tmp_path / "b.html").write_bytes(b"\xff")
+    assert {tuple(r) for r in read_pages(spark, str(tmp_path)).collect()} == {("a.html", "<p>café b(ad</p>\nx\ny"), ("b.html", "")}
