@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmesh.config import Config
 from groundmesh.functions.text import fingerprint, generic_penalty, item_text, query_terms, term_set, text
-
-#: Query terms (query_id, term) are broadcast up to this many rows; beyond, terms are joined by a shuffle.
-BROADCAST_TERMS = 500_000
-#: Query and item pairs that a task scores at a time.
-PAIRS = 1 << 21
-DIGITS = 9
+from groundmesh.operators.lexical_index import DIGITS, LexicalIndex, lexical_search
 
 
 def rounded(c: Column) -> Column:
@@ -44,83 +36,13 @@ def evidence_items(text_chunks: DataFrame | None, image_chunks: DataFrame | None
     return reduce(DataFrame.unionByName, parts)
 
 
-def lexical_topk(queries: DataFrame, items: DataFrame, cfg: Config) -> DataFrame:
+def lexical_topk(queries: DataFrame, items: DataFrame | LexicalIndex, cfg: Config) -> DataFrame:
     """query_id, collection, id, score, rank: best lexical candidates of every query in every collection, whole tables.
 
-    While the query terms number at most BROADCAST_TERMS, they go to every task as an index; a task keeps the best of each query
-    and collection, so ``lexical_limit`` rows of each are shuffled however many items a frequent term is in. Beyond, terms meet in a join.
+    Items that are not indexed yet are, in the checkpoint folder; see lexical_index.
     """
-    rows = queries.select("query_id", F.col("terms").alias("t"))
-    total = rows.agg(F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n")).first()["n"]
-    scored = indexed_scores(rows, items, cfg) if total <= BROADCAST_TERMS else joined_scores(rows, items, cfg)
-    best = W.partitionBy("query_id", "collection").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cfg.lexical_limit)
-
-
-def joined_scores(queries: DataFrame, items: DataFrame, cfg: Config) -> DataFrame:
-    """query_id, collection, id, score of every query and item that share a term, by a shuffled join."""
-    wanted = queries.select("query_id", F.explode("t").alias("term"))
-    marked = F.transform("item_terms", lambda t: F.struct(t.alias("term"), F.array_contains(F.col("title_terms"), t).alias("in_title")))
-    held = items.select("collection", "id", F.explode(marked).alias("t")).select("collection", "id", "t.term", "t.in_title")
-    phrases = [p for p in cfg.phrases if p.lexical]
-    sums = [F.sum(F.col("term").isin(*p.terms).cast("int")).alias(f"phrase_{i}") for i, p in enumerate(phrases)]
-    pairs = held.join(wanted, "term").groupBy("query_id", "collection", "id").agg(F.count(F.lit(1)).alias("overlap"), F.sum(F.col("in_title").cast("int")).alias("title_overlap"), *sums)
-    score = F.lit(0.45) + F.least(F.lit(0.25), 0.04 * F.col("overlap")) + F.least(F.lit(0.25), 0.08 * F.col("title_overlap"))
-    for i, p in enumerate(phrases):
-        score = score + F.when(F.col(f"phrase_{i}") == len(p.terms), p.boost).otherwise(0.0)
-    return pairs.select("query_id", "collection", "id", rounded(F.least(F.lit(0.98), score)).alias("score"))
-
-
-def indexed_scores(queries: DataFrame, items: DataFrame, cfg: Config) -> DataFrame:
-    """As joined_scores, but only the best ``lexical_limit`` of each query, collection and task."""
-    rows = queries.collect()  # at most BROADCAST_TERMS terms
-    postings: dict[str, list[int]] = {}
-    for n, r in enumerate(rows):
-        for term in r["t"] or []:
-            postings.setdefault(term, []).append(n)
-    phrases, limit, count = [p for p in cfg.phrases if p.lexical], cfg.lexical_limit, len(rows)
-    shared = queries.sparkSession.sparkContext.broadcast({t: np.array(q, dtype=np.int64) for t, q in postings.items()})
-    step = max(1, PAIRS // max(1, count))
-
-    def counts(terms: list[str], index: dict[str, np.ndarray]) -> np.ndarray:
-        found = [index[t] for t in terms if t in index]
-        return np.bincount(np.concatenate(found), minlength=count) if found else np.zeros(count, dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        least: dict[str, np.ndarray] = {}
-        for batch in batches if count else ():
-            kinds = np.array(batch["collection"].to_pylist(), dtype=object)
-            for kind in set(kinds):
-                at = np.flatnonzero(kinds == kind)
-                for x in range(0, len(at), step):
-                    part = batch.take(pa.array(at[x : x + step]))
-                    terms, titles = part["item_terms"].to_pylist(), part["title_terms"].to_pylist()
-                    overlap = np.array([counts(t, index) for t in terms])
-                    titled = np.array([counts(list(set(t) & set(i)), index) for t, i in zip(titles, terms, strict=True)])
-                    score = 0.45 + np.minimum(0.25, 0.04 * overlap) + np.minimum(0.25, 0.08 * titled)
-                    for p in phrases:
-                        both = np.array([counts([w for w in p.terms if w in set(t)], index) for t in terms])
-                        score = score + np.where(both == len(p.terms), p.boost, 0.0)
-                    score = np.where(overlap > 0, np.round(np.minimum(0.98, score), DIGITS), -1.0)
-                    row, query = np.nonzero(score >= least.get(kind, np.zeros(count)))
-                    ids = np.array(part["id"].to_pylist(), dtype=str)
-                    old = best.get(kind, (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=str)))
-                    query, value, name = (np.concatenate(c) for c in zip(old, (query, score[row, query], ids[row]), strict=True))
-                    order = np.lexsort((name, -value, query))
-                    query, value, name = query[order], value[order], name[order]
-                    place = np.arange(len(query)) - np.searchsorted(query, query)
-                    kept = place < limit
-                    best[kind] = query[kept], value[kept], name[kept]
-                    least[kind] = np.zeros(count)
-                    least[kind][query[place == limit - 1]] = value[place == limit - 1]
-        for kind, (query, value, name) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array([kind] * len(query), pa.string()), pa.array(name.tolist(), pa.string()), pa.array(value)], names=["_q", "collection", "id", "score"])
-
-    found = items.select("collection", "id", "item_terms", "title_terms").mapInArrow(run, "_q long, collection string, id string, score double")
-    names = queries.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(rows)], f"_q long, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return found.join(F.broadcast(names), "_q").select("query_id", "collection", "id", "score")
+    index = items if isinstance(items, LexicalIndex) else LexicalIndex.write(items)
+    return lexical_search(queries, index, cfg)[0]
 
 
 def merge_hits(primary: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ class Retrieval:
     trace: DataFrame
     visited: DataFrame
     dropped: DataFrame
+    read: DataFrame
     marked: DataFrame
     context: DataFrame
     relation_blocks: DataFrame
@@ -46,11 +47,12 @@ class Retrieval:
 def retrieve(queries: DataFrame, store: Store, cfg: Config) -> Retrieval:
     """Queries (query_id, query, vector) -> hits, expansion and context of every query.
 
-    The per-query tables that several later steps read (hits, seeds, expansion) are written to the checkpoint folder.
+    Items with their term sets, and the per-query tables that several later steps read (hits, seeds, expansion), are written to the
+    checkpoint folder once.
     """
     keep = checkpointed
     queries = keep(ev.with_query_terms(queries, cfg))
-    items = ev.evidence_items(store.text_chunks, store.image_chunks, cfg)
+    items = keep(ev.evidence_items(store.text_chunks, store.image_chunks, cfg))
     found = [
         vector_topk(queries, df, k, corpus_id=key).withColumn("collection", F.lit(kind))
         for kind, df, key, k in (("text", store.text_chunks, "id", 4 * cfg.text_top_k), ("image", store.image_chunks, "image_id", 4 * cfg.image_top_k))
@@ -60,16 +62,16 @@ def retrieve(queries: DataFrame, store: Store, cfg: Config) -> Retrieval:
     ranked = keep(ev.rerank_nodes(vector_topk(queries, store.concepts, max(5 * cfg.node_top_k, 20), corpus_id="concept_id"), store.concepts))
     nodes, extra = ranked.where(F.col("node_rank") <= cfg.node_top_k), ev.relation_only_seeds(ranked, cfg)
     seeds = keep(ev.seed_scores(hits, nodes, extra))
-    edges = graph.adjacency(store.relations)
+    blocks = graph.adjacency_blocks(graph.adjacency(store.relations), store.concepts, cfg)
     limits = cfg if not cfg.disable_graph else Config(**{**cfg.__dict__, "max_hops": 0})
-    expansion = {k: keep(v) for k, v in graph.expand_graph(seeds, edges, store.concepts, queries, limits, keep).items()}
+    expansion = {k: keep(v) for k, v in graph.expand_graph(seeds, blocks, queries, limits, keep).items()}
     expanded = ev.expanded_evidence(expansion["visited"], hits, items, queries, cfg)
     marked = keep(ev.mark_duplicates(hits, expanded))
     relations = graph.expanded_relations(expansion["trace"], store.relations)
     ranked_relations = relations.withColumn("relation_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("graph_relevance_score"), "seq")))
     if not cfg.debug_full_context:
         ranked_relations = ranked_relations.where(F.col("relation_rank") <= cfg.max_context_relations)
-    return Retrieval(queries, hits, nodes, extra, seeds, expansion["trace"], expansion["visited"], expansion["dropped"], marked, ev.context_items(marked, cfg), ranked_relations, graph.expanded_nodes(expansion["visited"], store.concepts))
+    return Retrieval(queries, hits, nodes, extra, seeds, expansion["trace"], expansion["visited"], expansion["dropped"], expansion["read"], marked, ev.context_items(marked, cfg), ranked_relations, graph.expanded_nodes(expansion["visited"], store.concepts))
 
 
 def diagnostics(found: Retrieval) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from groundmesh.config import Config
 from groundmesh.operators.concepts import concept_nodes
-from groundmesh.operators.graph import adjacency, expand_graph
+from groundmesh.operators.graph import adjacency, adjacency_blocks, expand_graph
 from groundmesh.operators.relations import edges_from_sheet, relation_chunks
 from groundmesh.sources.readers import read_sheet
-from groundmesh.sources.store import upsert
+from groundmesh.sources.store import checkpointed, upsert
 
 REL = "relation_id string, source_id string, target_id string, relation_type string, description string, metadata struct<source_label:string,target_label:string,evidence:string>"
 
@@ -34,12 +34,13 @@ def test_concept_nodes(spark):
     assert rows["e"].metadata.retrieval_weight == 0.35 and rows["d"].metadata.has_evidence and rows["e"].label == "E"
 
 
-def search(seeds, edges, evidence, weights, cfg):
+def search(seeds, edges, evidence, weights, cfg, terms=()):
     """Plain breadth-first search with the same rules; all scores rounded to nine digits."""
     near = {}
-    for rid, s, t, kind in edges:
-        near.setdefault(s, []).append((rid, t, "out", kind))
-        near.setdefault(t, []).append((rid, s, "in", kind))
+    for rid, s, t, kind, *said in edges:
+        overlap = len(set(terms) & set(said[0].split())) if said else 0
+        near.setdefault(s, []).append((rid, t, "out", kind, overlap))
+        near.setdefault(t, []).append((rid, s, "in", kind, overlap))
     visited, kept, trace, dropped = set(seeds), set(), [], []
     queue = deque((c, 0) for c in sorted(seeds))
     while queue and len(kept) < cfg.relation_limit:
@@ -47,8 +48,8 @@ def search(seeds, edges, evidence, weights, cfg):
         if depth >= cfg.max_hops:
             continue
         rows = []
-        for rid, n, way, kind in near.get(c, []):
-            score = (0.35 * seeds.get(c, 0.5) + 0.25 * weights.get(kind, 0.5) + (0.2 if n in evidence else 0.0)) * (1.0 if depth == 0 else 0.65)
+        for rid, n, way, kind, overlap in near.get(c, []):
+            score = (0.35 * seeds.get(c, 0.5) + 0.25 * weights.get(kind, 0.5) + (0.2 if n in evidence else 0.0) + min(0.25, 0.04 * overlap)) * (1.0 if depth == 0 else 0.65)
             rows.append((-round(score, 9), rid, way, n))
         for minus, rid, way, n in sorted(rows):
             if len(kept) >= cfg.relation_limit:
@@ -66,6 +67,47 @@ def search(seeds, edges, evidence, weights, cfg):
     return trace, visited, dropped[:20]
 
 
+def results(got):
+    traces, visits, drops = {}, {}, {}
+    for r in got["trace"].orderBy("seq").collect():
+        traces.setdefault(r.query_id, []).append((r.hop, r.concept_id, r.neighbor_id, r.direction, r.relation_id))
+    for r in got["visited"].collect():
+        visits.setdefault(r.query_id, set()).add(r.concept_id)
+    for r in got["dropped"].orderBy("drop_rank").collect():
+        drops.setdefault(r.query_id, []).append(r.relation_id)
+    return traces, visits, drops
+
+
+def test_hubs_are_read_in_part(spark):
+    """A hub of 3,000 edges, half of them without evidence behind, terms that few edges hold, and seeds around the limits."""
+    rng = random.Random(11)
+    kinds = ["depends_on", "has_pwo", "has_task", "other"]
+    words = [f"t{i}" for i in range(12)] + [f"rare{i}" for i in range(400)]
+    edges = [(f"r{i:04d}", *rng.sample(["hub", f"n{i % 900:03d}"], 2), rng.choice(kinds), " ".join(rng.choices(words, [20] * 12 + [1] * 400, k=3))) for i in range(3000)]
+    edges += [(f"s{i:03d}", f"n{i:03d}", f"m{i % 7}", rng.choice(kinds), "t1 t2") for i in range(300)]
+    names = sorted({n for _, s, t, *_ in edges for n in (s, t)})
+    evidence = set(rng.sample(names, len(names) // 2))
+    rels = spark.createDataFrame([(r, s, t, k, said, ("", "", "")) for r, s, t, k, said in edges], REL)
+    nodes = spark.createDataFrame([(n, ["t"] if n in evidence else [], []) for n in names], "concept_id string, text_chunk_ids array<string>, image_ids array<string>")
+    terms = {q: rng.sample(words, q % 9) for q in range(14)}
+    queries = {q: {"hub": [0.0, 0.1, 0.2, 0.9][q % 4], **({rng.choice(names): 0.3} if q % 3 else {})} for q in terms}
+    seeds = spark.createDataFrame([(q, n, s) for q, v in queries.items() for n, s in v.items()], "query_id long, concept_id string, seed_score double")
+    asked = spark.createDataFrame(list(terms.items()), "query_id long, terms array<string>")
+    for limit in (3, 30):
+        cfg = Config(relation_limit=limit)
+        blocks = adjacency_blocks(adjacency(rels), nodes, cfg, block_edges=40)
+        assert blocks.agg(F.max("n"), F.sum("n")).first()[:] == (40, 2 * len(edges))
+        got = expand_graph(seeds, blocks, asked, cfg, checkpointed)
+        traces, visits, drops = results(got)
+        for q, s in queries.items():
+            trace, visited, dropped = search(s, edges, evidence, cfg.relation_weights, cfg, terms[q])
+            assert (traces.get(q, []), visits[q], drops.get(q, [])) == (trace, visited, dropped), (limit, q)
+        read = {(r.query_id, r.hop): (r.scored, r.degree) for r in got["read"].where("concept_id = 'hub'").collect()}
+        assert all(degree == 3000 and scored <= degree for scored, degree in read.values())
+        plain = [read[q, 1][0] for q in terms if not terms[q]]  # no terms: what is read is what is kept, and the rest of a block
+        assert max(plain) <= 4 * limit + 20 + 80 and sum(s for s, _ in read.values()) < 0.7 * sum(d for _, d in read.values())
+
+
 def test_expansion_equals_search(spark):
     rng = random.Random(5)
     kinds = ["depends_on", "has_pwo", "has_task", "other"]
@@ -79,14 +121,8 @@ def test_expansion_equals_search(spark):
     asked = spark.createDataFrame([(q, ["zzz"]) for q in queries], "query_id long, terms array<string>")
     for hops, limit in ((2, 30), (2, 4), (1, 30)):
         cfg = Config(max_hops=hops, relation_limit=limit)
-        got = expand_graph(seeds, adjacency(rels), nodes, asked, cfg)
-        traces, visits, drops = {}, {}, {}
-        for r in got["trace"].orderBy("seq").collect():
-            traces.setdefault(r.query_id, []).append((r.hop, r.concept_id, r.neighbor_id, r.direction, r.relation_id))
-        for r in got["visited"].collect():
-            visits.setdefault(r.query_id, set()).add(r.concept_id)
-        for r in got["dropped"].orderBy("drop_rank").collect():
-            drops.setdefault(r.query_id, []).append(r.relation_id)
+        got = expand_graph(seeds, adjacency_blocks(adjacency(rels), nodes, cfg), asked, cfg)
+        traces, visits, drops = results(got)
         for q, s in queries.items():
             trace, visited, dropped = search(s, edges, evidence, cfg.relation_weights, cfg)
             assert (traces.get(q, []), visits[q], drops.get(q, [])) == (trace, visited, dropped), (hops, limit, q)

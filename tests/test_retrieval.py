@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundmesh.config import Config
-from groundmesh.operators import answers, evidence, retrieval, validation, vectors
+from groundmesh.operators import answers, evidence, lexical_index, retrieval, validation, vectors
 from groundmesh.operators.embeddings import evidence_vectors, hashing_encoder
 from groundmesh.operators.vectors import vector_topk
 
@@ -96,9 +96,8 @@ def test_top_k_paths_agree(spark, monkeypatch):
     rows = lambda df: sorted(map(tuple, df.collect()))
     shared = rows(evidence.lexical_topk(queries, items, CFG))
     assert max(r[4] for r in shared) == CFG.lexical_limit and {r[1] for r in shared} == {"text", "image"}
-    monkeypatch.setattr(evidence, "PAIRS", 20)
-    assert rows(evidence.lexical_topk(queries, items, CFG)) == shared
-    monkeypatch.setattr(evidence, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(lexical_index, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(lexical_index, "PASS_TERMS", 12)
     assert rows(evidence.lexical_topk(queries, items, CFG)) == shared
     m = rng.normal(size=(150, 6))
     corpus = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(m)], "id string, vector array<double>").repartition(4)
