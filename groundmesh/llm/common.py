@@ -52,12 +52,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        folder = path(file)
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = path(file)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,15 +96,17 @@ def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Co
     return numbered.join(offsets, by).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))
 
 
-def number_in_order(df: DataFrame, keys: list[str], cell: Column, order: list[Column], name: str) -> DataFrame:
+def number_in_order(df: DataFrame, keys: list[str], cell: Column, order: list[Column], name: str, run: Column | None = None) -> DataFrame:
     """Add ``name``: 0-based place of each row among the rows of its key, by ``cell``, then by ``order`` inside the cell.
 
     As number_within, but cells keep the order: rows are numbered inside (key, cell), and the rows of the key's earlier
-    cells are added. Neither a key nor all rows are in one task.
+    cells are added, in two steps as there. Neither a key nor all cells are in one task. Cells are numbers, or ``run`` puts neighbouring ones together.
     """
     rows = df.withColumn("_cell", cell)
-    by = [*keys, "_cell"]
+    by, runs = [*keys, "_cell"], [*keys, "_run"]
     numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
-    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    before = lambda group, order: F.coalesce(F.sum("_rows").over(W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_run", F.floor(F.col("_cell") / NUMBERING_RUN) if run is None else run)
+    of_run = cells.groupBy(*runs).agg(F.sum("_rows").alias("_rows")).withColumn("_base", before(keys, "_run")).drop("_rows")
+    offsets = cells.withColumn("_inside", before(runs, "_cell")).join(of_run, runs).select(*by, (F.col("_base") + F.col("_inside")).alias("_offset"))
     return numbered.join(offsets, by).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))

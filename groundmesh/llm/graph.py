@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize
+from groundmesh.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,9 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         pointer = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("to"))
         pointer = materialize(pointer, "pointers")
         further = pointer.select(F.col("u").alias("to"), F.col("to").alias("root"))
-        pointer = materialize(pointer.join(further, "to", "left").select("u", F.coalesce("root", "to").alias("root")), "roots")
-        nodes = materialize(nodes.join(pointer.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")), "nodes")
-        moved = left.join(pointer, "u").select(F.col("root").alias("u"), "v")
-        moved = moved.join(pointer.select(F.col("u").alias("v"), F.col("root").alias("to")), "v").where("u <> to")
-        left = materialize(moved.select(F.least("u", "to").alias("u"), F.greatest("u", "to").alias("v")).distinct(), "edges")
+        roots = materialize(pointer.join(further, "to", "left").select("u", F.coalesce("root", "to").alias("root")), "roots")
+        named = materialize(nodes.join(roots.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")), "nodes")
+        moved = left.join(roots, "u").select(F.col("root").alias("u"), "v")
+        moved = moved.join(roots.select(F.col("u").alias("v"), F.col("root").alias("to")), "v").where("u <> to")
+        shrunk = materialize(moved.select(F.least("u", "to").alias("u"), F.greatest("u", "to").alias("v")).distinct(), "edges")
+        discard(pointer, roots, nodes, left)
+        nodes, left = named, shrunk
+    discard(left)
     return nodes

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize, shuffle_partitions
+from groundmesh.llm.common import discard, materialize, shuffle_partitions
 from groundmesh.llm.graph import components
 
 WORDS = 5
@@ -160,11 +160,13 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "found"])
 
-    return materialize(named.select("doc_id", "text").mapInArrow(gather, "doc_id long, found binary"), "sets")
+    sets = materialize(named.select("doc_id", "text").mapInArrow(gather, "doc_id long, found binary"), "sets")
+    discard(ids)
+    return sets
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (u, v) whose full shingle sets reach the similarity."""
+    """Pairs (u, v) whose full shingle sets reach the similarity, written."""
     pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
     sets = full_sets(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), docs)
 
@@ -179,7 +181,9 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: tuple[int, int] = SIMI
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("found").alias("fu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("found").alias("fv")), "v")
-    return both.select("u", "v", "fu", "fv").mapInArrow(check, "u long, v long")
+    links = materialize(both.select("u", "v", "fu", "fv").mapInArrow(check, "u long, v long"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def band_keys(signatures: DataFrame, bands: range) -> DataFrame:
@@ -292,7 +296,9 @@ def across(signatures: DataFrame, nodes: DataFrame, docs: DataFrame, similarity:
 
     passed = materialize(grouped(rows, bounded, "key long, first int, second int, side boolean, doc_id long, component long"), "across")
     sets = full_sets(passed.select("doc_id").distinct(), docs)
-    return grouped(passed.join(sets, "doc_id").select(*kept, "found"), exact, "u long, v long")
+    links = materialize(grouped(passed.join(sets, "doc_id").select(*kept, "found"), exact, "u long, v long"), "links")
+    discard(passed, sets)
+    return links
 
 
 def link(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -309,21 +315,25 @@ def link(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = passed.select(F.col("u").alias("node"), F.col("v").alias("to"), "matches").union(passed.select("v", "u", "matches")).withColumn("mark", mark("to"))
     first = ends.join(ends.groupBy("node").agg(F.max("mark").alias("mark")), ["node", "mark"]).select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v"))
     tested = materialize(first.distinct(), "tested")
-    links = materialize(verify(tested, docs), "links")
+    links = verify(tested, docs)
     nodes = components(links)
+    discard(pairs, passed)
 
     # all bands, one member of each component in a bucket
     mask = F.xxhash64("key", F.lit(17))
     members = labelled(signatures, nodes).groupBy("key", "component").agg(F.min(F.col("doc_id").bitwiseXOR(mask)).alias("m")).select("key", F.col("m").bitwiseXOR(mask).alias("doc_id"))
-    fresh = materialize(stars(members, "doc_id").join(tested, ["u", "v"], "left_anti"), "candidates")
-    fresh = materialize(bayes(fresh, signatures).select("u", "v"), "passed")
-    tested = materialize(tested.union(fresh), "tested")
-    links = materialize(links.union(verify(fresh, docs)), "links")
-    nodes = components(links)
+    pairs = materialize(stars(members, "doc_id").join(tested, ["u", "v"], "left_anti"), "candidates")
+    passed = materialize(bayes(pairs, signatures).select("u", "v"), "passed")
+    more = verify(passed, docs)
+    discard(nodes, pairs, tested, passed)
+    nodes = components(links.union(more))
 
     # last, members of a bucket that were not compared with each other
-    links = materialize(links.union(across(signatures, nodes, docs)), "links")
-    return classes, components(links)
+    last = across(signatures, nodes, docs)
+    discard(nodes, signatures)
+    nodes = components(links.union(more).union(last))
+    discard(links, more, last)
+    return classes, nodes
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -337,16 +347,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of docs, all columns kept, of one document per component: that with the smallest doc_id.
 
     Rows are compared as rows, whatever their doc_id: those that repeat one go only if their texts are alike, and those
-    without one take part and stay after those with one. Rows without words all stay.
+    without one take part and stay after those with one. Rows without words all stay. ``stored``: docs is a table as read from its files, so that the
+    numbers of its rows are the same in every scan; without it docs is written first.
     """
-    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = rows if stored else materialize(rows, "rows")
     found = near_duplicates(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("at"), "component_id")
     ids = rows.select("at", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").cast("long").alias("id"), "at").alias("order"))
     decided = materialize(found.join(ids, "at"), "decided")
+    discard(found)
     first = decided.groupBy("component_id").agg(F.min("order").alias("first"))
-    gone = decided.join(first, "component_id").where("order <> first").select("at")
+    gone = materialize(decided.join(first, "component_id").where("order <> first").select("at"), "gone")
+    discard(decided)
     return rows.join(gone, "at", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -21,10 +21,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import NUMBERING_CELL_ROWS, materialize, number_in_order, number_within
+from groundmesh.llm.common import NUMBERING_CELL_ROWS, discard, materialize, number_in_order, number_within
 from groundmesh.llm.tokens import load_encoder
 
 CAPACITY = 2048
@@ -151,15 +152,16 @@ def pack_in_order(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = [c for c in pieces.columns if c not in ("_file", "_row")]
     pieces = materialize(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    rows, base = [], 0
+    rows, base = [], 0  # a row for each way of filling a sequence
     for times, chosen in minimum_bin_slack(histogram, capacity):
-        steps = [(length, many) for length, many in sorted(chosen.items(), reverse=True)]
-        rows += [(base + at, at, min(times, at + NUMBERING_CELL_ROWS), times, steps) for at in range(0, times, NUMBERING_CELL_ROWS)]
+        rows.append((base, times, [(length, many) for length, many in sorted(chosen.items(), reverse=True)]))
         base += times
-    plan = spark.createDataFrame(rows, "base long, from_ long, to_ long, times long, steps array<struct<length:long,many:long>>")
-    nth = F.explode(F.sequence("from_", F.col("to_") - 1))
-    bins = plan.repartition("base").select("base", "from_", "times", "steps", nth.alias("nth"))
-    bins = bins.select((F.col("base") + F.col("nth") - F.col("from_")).alias("bin"), ((F.col("nth") + 0.5) / F.col("times")).alias("at"), "steps")
+    plan = spark.createDataFrame(rows, "base long, times long, steps array<struct<length:long,many:long>>")
+    zero, cells = F.lit(0).cast("long"), F.lit(NUMBERING_CELL_ROWS).cast("long")
+    plan = plan.select("*", F.explode(F.sequence(zero, F.floor((F.col("times") - 1) / cells))).alias("part")).repartition("base", "part")
+    nth = F.explode(F.sequence(F.col("part") * cells, F.least((F.col("part") + 1) * cells, F.col("times")) - 1))
+    bins = plan.select("base", "times", "steps", nth.alias("nth"))
+    bins = bins.select((F.col("base") + F.col("nth")).alias("bin"), ((F.col("nth") + 0.5) / F.col("times")).alias("at"), "steps")
 
     # places of all pieces, as many as pieces, numbered inside each length
     before = F.aggregate(F.slice("steps", 1, F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x["length"] * x["many"])
@@ -172,9 +174,11 @@ def pack_in_order(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     file = F.struct(F.length("_file").alias("n"), F.col("_file").alias("name"))  # part-100000 comes after part-99999
     cell = F.struct(file.alias("file"), F.floor(F.col("_row") / NUMBERING_CELL_ROWS).alias("rows"))
     all_ = F.lit(0).alias("_all")
-    numbered = number_in_order(pieces.select("*", all_), ["_all"], cell, [F.col("_row"), F.col("piece")], "_position")
-    numbered = number_in_order(materialize(numbered, "positions"), ["length"], F.floor(F.col("_position") / NUMBERING_CELL_ROWS), [F.col("_position")], "_rank")
+    numbered = number_in_order(pieces.select("*", all_), ["_all"], cell, [F.col("_row"), F.col("piece")], "_position", F.col("_cell.file"))
+    positions = materialize(numbered, "positions")
+    numbered = number_in_order(positions, ["length"], F.floor(F.col("_position") / NUMBERING_CELL_ROWS), [F.col("_position")], "_rank")
     placed = materialize(numbered.join(places, ["length", "_rank"]), "placed")
+    discard(pieces, positions)
     mean = placed.groupBy("bin").agg((F.sum(F.col("_position") * F.col("length")) / F.sum("length")).alias("mean"))
     sequences = number_in_order(mean.select("*", all_), ["_all"], F.floor(F.col("mean") / NUMBERING_CELL_ROWS), [F.col("mean"), F.col("bin")], "sequence_id")
     return placed.join(sequences.select("bin", "sequence_id"), "bin").select(*columns, "sequence_id", "offset")
@@ -186,5 +190,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     in_order: docs must be as read from Parquet; sequences follow the order of their files and rows.
     """
     if in_order:
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"]).schema
+        except AnalysisException as e:
+            raise ValueError("in_order takes documents as read from Parquet, whose files and rows have an order") from e
         return pack_in_order(token_pieces(docs, load_encoder(tokenizer_path), capacity, end_id, True), capacity)
     return pack(token_pieces(docs, load_encoder(tokenizer_path), capacity, end_id), capacity)

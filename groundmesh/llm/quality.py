@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import materialize, small
+from groundmesh.llm.common import discard, materialize, small
 from groundmesh.llm.training import TRAIN_ROWS, labelled_sample, logistic_fit
 
 BROADCAST_SITES = 100_000
@@ -227,7 +227,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", p
     """The rows of docs, all columns kept, that the classifier keeps. Texts are scanned twice, for the sites and for the decision, and written never."""
     model = fit(docs, labels)
     sites_of = [F.col(host).cast("string").alias("host"), F.concat_ws("/", F.col(host), F.col(path)).alias("path")]
-    evidence = with_evidence(docs.select(F.col("text").cast("string").alias("text"), *sites_of), model)
-    sites = materialize(site_posteriors(site_sums(materialize(evidence, "evidence"), F.col("host"), F.col("path"))), "sites")
+    evidence = materialize(with_evidence(docs.select(F.col("text").cast("string").alias("text"), *sites_of), model), "evidence")
+    sites = materialize(site_posteriors(site_sums(evidence, F.col("host"), F.col("path"))), "sites")
+    discard(evidence)
     kept = decide(with_evidence(docs.select(F.struct(*docs.columns).alias("row"), *sites_of), model), sites, F.col("host"), F.col("path")).where("keep")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -216,8 +216,7 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, cell: int = CELL, level
         found = found.union(repeated_spans(deeper, width, cell, level + 1).select(F.col("a").alias("key"), F.col("b").alias("seg"), "lo", "hi"))
     whole = distinct.where("n > 1").select("key", "seg", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))
     spans = materialize(found.join(whole.select("key", "seg"), ["key", "seg"], "left_anti").union(whole), "found")
-    for table in (wanted, segments, often, kinds, hot):
-        discard(table)
+    discard(wanted, segments, often, kinds, hot)
     return runs.join(within(spans, spans.count(), 24), ["key", "seg"]).select("a", "b", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
 
 
