@@ -95,6 +95,7 @@ class LexicalIndex:
 
         terms = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
         rows = items.select(F.coalesce("collection", F.lit("")).alias("collection"), "id", terms("item_terms"), F.array_intersect(terms("title_terms"), terms("item_terms")).alias("title_terms")).where(F.col("id").isNotNull())
+        rows = checkpointed(rows)  # ranges are sampled first, and texts are not to be tokenised for that
         ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "collection", "id").sortWithinPartitions("collection", "id")
         folder = folder or new_folder(spark, "lexical")
         ranged.mapInArrow(run, BLOCKS).write.parquet(folder)
