@@ -55,12 +55,14 @@ IMAGES = f"""
 i AS (SELECT {stable("'page'", "CAST(page_id AS VARCHAR)")} AS image_id, 'page ' || CAST(page_id % 50 AS VARCHAR) AS title, {slug("'page ' || CAST(page_id % 50 AS VARCHAR)")} AS concept_id, 'pages' AS source_file, url AS description, CAST(page_id AS VARCHAR) AS section_id FROM pages)"""
 
 SHEET_SQL = {
-    "FG & PWO": "SELECT n_nationkey AS o, 'Functional Group (FG)' AS k1, r_name AS v1, 'Primary Work Object (PWO)' AS k2, n_name AS v2, 'Dependency Links' AS k3, r_name || ', , ' || n_name || ' base' AS v3 FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "FG & PWO": "SELECT n_nationkey AS o, 'Functional Group (FG)' AS k1, r_name AS v1, 'Primary Work Object (PWO)' AS k2, n_name AS v2, 'Dependency Links' AS k3, r_name || ', , ' || n_name || ' base' AS v3 FROM nation JOIN region ON n_regionkey = r_regionkey"
+    " UNION ALL SELECT p_partkey + 1000, 'Functional Group (FG)', p_brand, 'Primary Work Object (PWO)', p_name || '#' || p_partkey, 'Dependency Links', p_type || ', ' || p_brand || ',, size ' || p_size FROM part",
     "SWO": "SELECT s_suppkey AS o, 'PWO' AS k1, n_name AS v1, 'Secondary Work Object (SWO)' AS k2, s_name AS v2, NULL AS k3, NULL AS v3 FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "Skills": "SELECT l_suppkey * 10000000 + l_partkey AS o, 'SWO' AS k1, s_name AS v1, 'Skill' AS k2, p_name || '#' || p_partkey AS v2, NULL AS k3, NULL AS v3 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey",
     "Tasks": "SELECT o_orderkey AS o, 'Skill' AS k1, c_name AS v1, 'Task' AS k2, 'order ' || o_orderkey AS v2, NULL AS k3, NULL AS v3 FROM orders JOIN customer ON o_custkey = c_custkey",
+    "Control Point": "SELECT l_orderkey * 10 + l_linenumber AS o, 'Task' AS k1, 'order ' || l_orderkey AS v1, 'Control Point' AS k2, 'order ' || l_orderkey || ' line ' || l_linenumber AS v2, NULL AS k3, NULL AS v3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }
-RELATION_TYPES = {"FG & PWO": "has_pwo", "SWO": "has_swo", "Skills": "has_skill", "Tasks": "has_task"}
+RELATION_TYPES = {"FG & PWO": "has_pwo", "SWO": "has_swo", "Skills": "has_skill", "Tasks": "has_task", "Control Point": "has_control_point"}
 
 
 def edges(names: tuple[str, ...] = tuple(SHEET_SQL)) -> str:
@@ -250,6 +252,9 @@ ORACLE_SQL = {
         SELECT section_id, CASE WHEN length(w) <= 1000 THEN w WHEN at_ >= 700 THEN regexp_replace(substring(cut, 1, at_ + 1), '^{SPACE}|{SPACE}$', '', 'g') ELSE regexp_replace(cut, '{SPACE}$', '') || '...' END AS excerpt,
                '[' || coalesce(nullif(title, ''), 'Untitled') || ', concept: ' || concept_id || ']' AS citation FROM a""",
     "sheet_rows": f"SELECT CAST(row_number() OVER (ORDER BY o) + 1 AS INTEGER) AS row_number, {clean('v1')} AS skill, {clean('v2')} AS task FROM ({SHEET_SQL['Tasks']})",
+    "workbook_rows": """
+        SELECT s_nationkey || '-' || CAST(floor(s_suppkey / 10000) AS BIGINT) || '.xlsx' AS file, 'SWO' AS sheet, CAST(row_number() OVER (PARTITION BY s_nationkey, floor(s_suppkey / 10000) ORDER BY s_suppkey) + 1 AS INTEGER) AS row_number,
+               n_name AS pwo, s_name AS swo, s_suppkey AS suppkey, s_acctbal AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "relation_edges": f"WITH {edges()} SELECT relation_id, source_id, target_id, relation_type, description, sheet_name, CAST(row_number AS INTEGER) AS row_number, evidence FROM e",
     "control_point_edges": f"""
         WITH c AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) + 1 AS row_number, 'order ' || l_orderkey AS task, 'order ' || l_orderkey || ' line ' || l_linenumber AS point FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -282,13 +287,14 @@ ORACLE_SQL = {
         m AS (SELECT concept_id, at_, sum(x * w) / sum(w) AS x FROM p GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY concept_id)) AS norm FROM m)
         SELECT concept_id, CAST(at_ AS INTEGER) AS at, round(x / norm, 6) AS x FROM n""",
     "relation_only_node_text": f"""
-        WITH {edges(("FG & PWO", "SWO", "Tasks"))},
+        WITH {edges()},
         m AS (SELECT source_id AS concept_id, source_label AS label, 2 AS rank, relation_id, relation_type FROM e UNION ALL SELECT target_id, target_label, 3, relation_id, relation_type FROM e),
         g AS (SELECT concept_id, first(label ORDER BY rank, relation_id) AS label, list_sort(list(DISTINCT relation_type)) AS rt, list_slice(list_concat(coalesce(list_sort(list(DISTINCT relation_id) FILTER (rank = 2)), []), coalesce(list_sort(list(DISTINCT relation_id) FILTER (rank = 3)), [])), 1, 10) AS ids FROM m GROUP BY 1),
         k AS (SELECT concept_id, unnest(ids) AS relation_id, unnest(range(len(ids))) AS at_ FROM g), t AS (SELECT concept_id, string_agg(description, ' ' ORDER BY at_) AS d FROM k JOIN e USING (relation_id) GROUP BY 1)
         SELECT concept_id, coalesce(nullif(label, ''), concept_id) || ' Relation types: ' || array_to_string(rt, ', ') || ' ' || d AS text FROM g JOIN t USING (concept_id)""",
-    "vector_top_k": f"WITH {nearest('c.vec_id % 2 = 0', 20)} SELECT query_id, id, round(score, 6) AS score, rank FROM near",
-    "concept_hit_resolution": f"WITH {nearest('c.vec_id % 2 = 0', 3)} SELECT query_id, rank, id, 'label-' || label AS concept_id, label % 2 = 0 AS concept_found FROM near",
+    "vector_top_k": f"WITH {nearest('TRUE', 20)} SELECT query_id, id, round(score, 6) AS score, rank FROM near",
+    "vector_index_top_k": f"WITH {nearest('TRUE', 20)} SELECT query_id, id, round(score, 6) AS score, rank FROM near",
+    "concept_hit_resolution": f"WITH {nearest('TRUE', 3)} SELECT query_id, rank, id, 'label-' || label AS concept_id, label % 2 = 0 AS concept_found FROM near",
     "reranked_nodes": f"""
         WITH {nearest("TRUE", 25, "n")}, w AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS weight FROM near), r AS (SELECT *, round(score * weight, 9) AS rerank FROM w)
         SELECT query_id, id AS concept_id, round(score, 6) AS score, round(rerank, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, rank) AS INTEGER) AS node_rank FROM r QUALIFY node_rank <= {CFG.node_top_k}""",

@@ -11,11 +11,14 @@ from groundmesh.functions import text as t
 from groundmesh.operators import answers, elements, embeddings, evidence, graph, retrieval, sections, validation
 from groundmesh.operators.concepts import concept_nodes
 from groundmesh.operators.relations import edges_from_sheet, relation_chunks, workbook_relations
+from groundmesh.operators.vector_index import VectorIndex, vector_search
 from groundmesh.operators.vectors import vector_topk
 from groundmesh.plans import tables
 from groundmesh.plans.tables import SYNTHETIC as CFG
 from groundmesh.plans.tables import benchmark_queries, document_chunks, page_sources, star_relations, table, vector_chunks
 from groundmesh.sources import store
+from groundmesh.sources.snapshots import StoredTable
+from groundmesh.sources.workbook import parse_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,16 +108,23 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_number", F.col("Skill").alias("skill"), F.col("Task").alias("task"))
 
 
+@register
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of all suppliers, parsed: rows with their numbers and named cells."""
+    rows, cell = parse_workbooks(tables.supplier_workbooks(spark, sf_dir)), lambda n: F.try_element_at("cells", F.lit(n))
+    return rows.select("file", "sheet", "row_number", cell("PWO").alias("pwo"), cell("Secondary Work Object (SWO)").alias("swo"), cell("key").cast("long").alias("suppkey"), cell("balance").cast("double").alias("balance"))
+
+
 @register
 def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the sheets but Control Point."""
+    """Edges of the five sheets."""
     m = F.col("metadata")
     return star_relations(spark, sf_dir).select("relation_id", "source_id", "target_id", "relation_type", "description", m["sheet_name"].alias("sheet_name"), m["row_number"].alias("row_number"), m["evidence"].alias("evidence"))
 
 
 @register
 def control_point_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the Control Point sheet, as relation_edges gives those of the others."""
+    """Edges of the Control Point sheet by itself."""
     m = F.col("metadata")
     edges = workbook_relations({"Control Point": tables.control_point_sheet(spark, sf_dir)}, tables.WORKBOOK)
     return edges.select("relation_id", "source_id", "target_id", "relation_type", "description", m["sheet_name"].alias("sheet_name"), m["row_number"].alias("row_number"), m["evidence"].alias("evidence"))
@@ -176,15 +186,22 @@ def module_bundle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored, then the even ones again with new titles, by store key."""
-    docs = document_chunks(spark, sf_dir).select("id", "title", "section_id")
+    """All documents in a stored table, then the even ones again with new titles, by store key."""
+    docs = store.with_store_key(document_chunks(spark, sf_dir).select("id", "title", "section_id"), "text")
     again = docs.where(F.col("section_id").cast("long") % 2 == 0).withColumn("title", F.concat(F.lit("new "), "title"))
-    return store.upsert(store.with_store_key(docs, "text"), store.with_store_key(again, "text"), "uuid").select("uuid", "id", "title", "section_id")
+    kept = StoredTable(spark, store.new_folder(spark, "documents"), "uuid")
+    for batch, rows in (("all", docs), ("again", again), ("again", again)):  # a batch that is repeated changes nothing
+        kept.upsert(rows, batch)
+    return kept.read().select("uuid", "id", "title", "section_id")
 
 
 # ---- vectors ----
 
 
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 @register
 def concept_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept vectors from evidence, one row a component."""
@@ -196,26 +213,30 @@ def concept_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def relation_only_node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of nodes without evidence, over the sheets' edges."""
-    edges = star_relations(spark, sf_dir, ("FG & PWO", "SWO", "Tasks"))
+    edges = store.checkpointed(star_relations(spark, sf_dir))
     none = document_chunks(spark, sf_dir).limit(0)
     return embeddings.relation_only_text(concept_nodes(none, document_images(spark, sf_dir).limit(0), edges), edges)
 
 
 @register
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1, Q2: the 20 text chunks nearest to every vector whose id is divisible by 100."""
-    texts, _ = vector_chunks(spark, sf_dir)
-    queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector_topk(queries, texts, 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    """Q1, Q2: the 20 vectors nearest to every vector whose id is divisible by 100."""
+    return vector_topk(vector_queries(spark, sf_dir), tables.all_vectors(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@register
+def vector_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, Q2: the same from a stored index of cells."""
+    hits, _ = vector_search(vector_queries(spark, sf_dir), VectorIndex.write(tables.all_vectors(spark, sf_dir)), 20)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @register
 def concept_hit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: the top 3 of every query with their concept, and whether it is a node (even labels are)."""
-    texts, _ = vector_chunks(spark, sf_dir)
-    queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    vectors = tables.all_vectors(spark, sf_dir)
     nodes = table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.concat(F.lit("label-"), "label").alias("concept_id")).distinct()
-    return validation.concept_resolution(vector_topk(queries, texts, 3), texts, nodes)
+    return validation.concept_resolution(vector_topk(vector_queries(spark, sf_dir), vectors, 3), vectors, nodes)
 
 
 # ---- retrieval ----

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+from xml.sax.saxutils import escape
+from zipfile import ZIP_DEFLATED, ZipFile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from groundmesh.config import Config, Phrase
 from groundmesh.functions.text import clean_text, concept_id, infer_type, stable_id, text
@@ -44,11 +50,17 @@ def page_sources(spark: SparkSession, sf_dir: str, with_figures: bool = False) -
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Four relation sheets out of the star schema, rows numbered as in a workbook; control_point_sheet is the fifth."""
+    """The five relation sheets out of the star schema, rows numbered as in a workbook.
+
+    FG & PWO has a row a nation and a row a part, whose list of dependencies is made of its attributes.
+    """
     t = lambda name: table(spark, sf_dir, name)
     region, nation, supplier = t("region"), t("nation"), t("supplier")
     pwo = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     pwo = pwo.select(F.col("n_nationkey").alias("o"), F.col("r_name").alias("Functional Group (FG)"), F.col("n_name").alias("Primary Work Object (PWO)"), F.concat(F.col("r_name"), F.lit(", , "), F.col("n_name"), F.lit(" base")).alias("Dependency Links"))
+    made_of = F.concat(F.col("p_type"), F.lit(", "), F.col("p_brand"), F.lit(",, size "), F.col("p_size"))
+    parts = t("part").select((F.col("p_partkey") + 1000).alias("o"), F.col("p_brand").alias("Functional Group (FG)"), F.concat("p_name", F.lit("#"), F.col("p_partkey")).alias("Primary Work Object (PWO)"), made_of.alias("Dependency Links"))
+    pwo = pwo.withColumn("o", F.col("o").cast("long")).unionByName(parts)
     swo = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("o"), F.col("n_name").alias("PWO"), F.col("s_name").alias("Secondary Work Object (SWO)"))
     pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
     part = t("part").select("p_partkey", "p_name")
@@ -56,7 +68,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     skills = skills.select((F.col("l_suppkey") * 10_000_000 + F.col("l_partkey")).alias("o"), F.col("s_name").alias("SWO"), F.concat("p_name", F.lit("#"), F.col("p_partkey")).alias("Skill"))
     tasks = t("orders").join(t("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("o"), F.col("c_name").alias("Skill"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("Task"))
     raw = {"FG & PWO": pwo, "SWO": swo, "Skills": skills, "Tasks": tasks}
-    return {name: read_sheet(df, F.col("o"), ("o",)) for name, df in raw.items()}
+    return {name: read_sheet(df, F.col("o"), ("o",)) for name, df in raw.items()} | {"Control Point": control_point_sheet(spark, sf_dir)}
 
 
 def control_point_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +79,43 @@ def control_point_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sheet(rows, F.col("o"), ("o",))
 
 
-def star_relations(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("FG & PWO", "SWO", "Skills", "Tasks")) -> DataFrame:
-    made = sheets(spark, sf_dir)
-    return workbook_relations({n: made[n] for n in names}, WORKBOOK)
+def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workbook_relations(sheets(spark, sf_dir), WORKBOOK)
+
+
+#: Rows of one sheet of a derived workbook, at most.
+SHEET_ROWS = 10_000
+
+
+@F.arrow_udf(BinaryType())
+def workbook_bytes(rows: pa.Array) -> pa.Array:
+    """A workbook of one sheet for each array of (key, nation, name, balance): numbers as numbers, names as inline text."""
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    said = lambda v: f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    out = []
+    for sheet in rows.to_pylist():
+        lines = ["".join(map(said, ("PWO", "Secondary Work Object (SWO)", "key", "balance")))]
+        lines += [f"{said(r['nation'])}{said(r['name'])}<c><v>{r['key']}</v></c><c><v>{r['balance']!r}</v></c>" for r in sheet]
+        data = io.BytesIO()
+        with ZipFile(data, "w", ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="SWO" sheetId="1" r:id="a"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(f"<row>{x}</row>" for x in lines)}</sheetData></worksheet>')
+        out.append(data.getvalue())
+    return pa.array(out, pa.binary())
+
+
+def supplier_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: workbooks of the suppliers of each nation, SHEET_ROWS keys each."""
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    line = F.struct(F.col("s_suppkey").alias("key"), F.col("n_name").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    books = rows.groupBy("n_nationkey", F.floor(F.col("s_suppkey") / SHEET_ROWS).alias("part")).agg(F.sort_array(F.collect_list(line)).alias("rows"))
+    return books.select(F.concat(F.lit("suppliers/"), "n_nationkey", F.lit("-"), "part", F.lit(".xlsx")).alias("path"), workbook_bytes("rows").alias("content"))
+
+
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a chunk; the label is the concept."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("label-"), F.col("label")).alias("concept_id"), F.col("embedding").alias("vector"))
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
