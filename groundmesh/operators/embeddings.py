@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import text
+from groundmesh.sources.snapshots import StoredTable
+from groundmesh.sources.store import checkpointed
 
 PASSAGE, QUERY = "passage: ", "query: "
 TEXT_WEIGHT, IMAGE_WEIGHT = 1.0, 0.8
@@ -70,6 +72,24 @@ def embed(df: DataFrame, text_col: str, make_encoder: Callable[[], Encoder] = ha
     return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<float>")).schema)
 
 
+def embed_stored(df: DataFrame, text_col: str, vectors: StoredTable, make_encoder: Callable[[], Encoder] = hashing_encoder, prefix: str = PASSAGE, out: str = "vector") -> DataFrame:
+    """As ``embed``, with a store of vectors by content (key ``content``: SHA-256 of the prefixed text): only texts it lacks meet the encoder, each once.
+
+    The vectors that are new are put into the store. One store serves one encoder.
+    """
+    shape = "content string, vector array<float>"
+    content = F.when(F.trim(text(F.col(text_col))) != "", F.sha2(F.concat(F.lit(prefix), F.col(text_col)), 256))
+    texts = df.select(content.alias("content"), F.col(text_col).alias("text")).where("content IS NOT NULL")
+    known = vectors.read()
+    known = df.sparkSession.createDataFrame([], shape) if known is None else known
+    fresh = checkpointed(texts.join(known.select("content"), "content", "left_anti").groupBy("content").agg(F.min("text").alias("text")))
+    if fresh.take(1):
+        vectors.upsert(embed(fresh, "text", make_encoder, prefix).select("content", "vector"))
+        known = vectors.read()
+    found = known.select(F.col("content").alias("_content"), F.col("vector").alias(out))
+    return df.withColumn("_content", content).join(found, "_content", "left").drop("_content")
+
+
 def embed_queries(queries: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder) -> DataFrame:
     return embed(queries, "query", make_encoder, QUERY)
 

@@ -70,9 +70,27 @@ def test_empty_and_null_pages(spark):
 
 
 def test_stream_of_pages(spark, tmp_path):
-    from groundmesh.streaming.incremental import chunk_stream
+    """Three runs: a page comes, comes again changed with a new one, and comes late in an older version."""
+    from groundmesh.sources.snapshots import StoredTable
+    from groundmesh.streaming.incremental import chunk_stream, merge_pages, stored_chunks
 
-    spark.createDataFrame([("a.html", PAGE)], "source_file string, html string").write.parquet(str(tmp_path / "in"))
-    pages = spark.readStream.schema("source_file string, html string").parquet(str(tmp_path / "in"))
-    chunk_stream(pages, str(tmp_path / "out"), str(tmp_path / "state"), Config()).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    shape, folder = "source_file string, html string, version long", str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        pages = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        chunk_stream(pages, folder, str(tmp_path / "state"), Config()).awaitTermination(120)
+        return sorted((c.source_file, c.title, c.content) for c in stored_chunks(spark, folder).collect())
+
+    short = "<h1>Only</h1><p>one section</p>"
+    assert stored_chunks(spark, folder) is None
+    first = arrive(("a.html", PAGE, 1))
+    assert len(first) == 6 and {c[0] for c in first} == {"a.html"}
+    second = arrive(("a.html", short, 3), ("b.html", PAGE, 1), ("a.html", PAGE, 2), ("empty.html", "", 1), (None, short, 1))
+    assert [c for c in second if c[0] == "a.html"] == [("a.html", "Only", "Only one section")] and len(second) == 7
+    assert arrive(("a.html", PAGE, 2)) == second  # late
+    table = StoredTable(spark, folder)
+    versions = table.versions()
+    merge_pages(spark.createDataFrame([("z.html", PAGE, 9)], shape), table, Config(), f"{tmp_path / 'state'}#0")  # a batch that is replayed
+    assert table.versions() == versions and sorted((c.source_file, c.title, c.content) for c in stored_chunks(spark, folder).collect()) == second
+    assert {r.source_file for r in table.read().collect()} == {"a.html", "b.html", "empty.html"}

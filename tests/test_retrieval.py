@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from groundmesh.config import Config
 from groundmesh.operators import answers, evidence, lexical_index, retrieval, validation, vectors
-from groundmesh.operators.embeddings import evidence_vectors, hashing_encoder
+from groundmesh.operators.embeddings import embed, embed_queries, embed_stored, evidence_vectors, hashing_encoder
 from groundmesh.operators.vectors import vector_topk
+from groundmesh.sources.snapshots import StoredTable
 
 CFG = Config()
 
@@ -86,6 +87,39 @@ def test_concept_vectors_and_encoder(spark):
     assert np.allclose(a[0], a[1]) and np.isclose(np.linalg.norm(a[0]), 1) and not a[2].any()
 
 
+def test_only_new_texts_meet_the_encoder(spark, tmp_path):
+    table = StoredTable(spark, str(tmp_path / "vectors"), "content")
+    rows = [(1, "belt drift"), (2, "belt drift"), (3, "  "), (4, None), (5, "other text")]
+    texts = spark.createDataFrame(rows, "id long, t string")
+
+    def refusing():
+        def encode(texts):
+            raise AssertionError(f"met the encoder: {texts}")
+
+        return encode
+
+    def only(allowed):
+        def make():
+            def encode(texts):
+                assert set(texts) <= allowed and len(texts) == len(set(texts))
+                return hashing_encoder()(texts)
+
+            return encode
+
+        return make
+
+    shown = lambda df: sorted((r.id, r.vector) for r in df.collect())
+    once = shown(embed_stored(texts, "t", table, only({"passage: belt drift", "passage: other text"})))
+    assert once == shown(embed(texts, "t")) == shown(embed_stored(texts, "t", table, refusing)) and once[2][1] is None
+    for (_, vector), (_, said) in zip(once, rows, strict=True):  # by value
+        assert vector is None or np.allclose(vector, hashing_encoder()([f"passage: {said}"])[0], atol=1e-7)
+    more = texts.unionByName(spark.createDataFrame([(6, "third text")], "id long, t string"))
+    assert shown(embed_stored(more, "t", table, only({"passage: third text"}))) == shown(embed(more, "t"))
+    asked = spark.createDataFrame([(1, "belt drift"), (2, "")], "query_id long, query string")
+    found = {r.query_id: r.vector for r in embed_queries(asked).collect()}
+    assert np.allclose(found[1], hashing_encoder()(["query: belt drift"])[0], atol=1e-7) and found[2] is None
+
+
 def test_top_k_paths_agree(spark, monkeypatch):
     """Query terms and vectors beyond the broadcast limits go other ways to the same result."""
     rng = np.random.default_rng(5)
