@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import clean_text, text
+from groundmesh.sources.store import checkpointed
+
+#: Ids of one row of members, at most.
+MEMBER_ROWS = 10_000
+KINDS, NAMES = ("text", "image", "source", "target"), ("source_file", "title", "relation_type")
 
 
 def mentions(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
@@ -28,31 +33,54 @@ def mentions(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) ->
     return reduce(DataFrame.unionByName, (p.select("m.*") for p in parts)).where(text(F.col("concept_id")) != "")
 
 
-def concept_nodes(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
-    """One row per concept with sorted id arrays, label and metadata.
-
-    Names and labels are put together from one narrow grouping, id arrays from another by (concept, kind, id), which spreads the
-    mentions of a hub and drops repeated ones, and one by concept, whose arrays are the result.
-    """
+def distinct_mentions(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
+    """Mentions with those of one (concept, kind, id) in one row: what nodes and members are made of. Written, as several steps read it."""
     rows = mentions(text_chunks, images, relations)
     names = lambda c: F.array_sort(F.collect_set(F.when(text(F.col(c)) != "", F.col(c)))).alias(f"{c}s")
-    distinct = rows.groupBy("concept_id", "kind", "id").agg(F.min_by("label", "order").alias("label"), F.min("order").alias("order"), names("source_file"), names("title"), names("relation_type"))
-    ids = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))))
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    grouped = distinct.groupBy("concept_id").agg(
-        F.min_by("label", "order").alias("first_label"), ids("text").alias("text_chunk_ids"), ids("image").alias("image_ids"), ids("source").alias("source_relation_ids"),
-        ids("target").alias("target_relation_ids"), merged("source_files"), merged("titles"), merged("relation_types"),
-    ).withColumn("first_label", clean_text(F.col("first_label")))
-    evidence = (F.size("text_chunk_ids") > 0) | (F.size("image_ids") > 0)
-    return grouped.select(
+    return checkpointed(rows.groupBy("concept_id", "kind", "id").agg(F.min_by("label", "order").alias("label"), F.min("order").alias("order"), names("source_file"), names("title"), names("relation_type")))
+
+
+def concept_summaries(distinct: DataFrame) -> DataFrame:
+    """One row per concept out of ``distinct_mentions``: label, and metadata with counts, has_evidence and weight. Partial aggregates only: a hub is as small as any."""
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).cast("int").alias(kind)
+    rows = distinct.groupBy("concept_id").agg(F.min_by("label", "order").alias("first_label"), *map(count, KINDS)).withColumn("first_label", clean_text(F.col("first_label")))
+    evidence = (F.col("text") > 0) | (F.col("image") > 0)
+    return rows.select(
         "concept_id",
         F.when(F.col("first_label") == "", F.col("concept_id")).otherwise(F.col("first_label")).alias("label"),
         F.lit("concept").alias("node_type"),
-        "text_chunk_ids", "image_ids", "source_relation_ids", "target_relation_ids",
         F.struct(
-            "source_files", "titles", "relation_types",
-            F.size("text_chunk_ids").alias("text_chunk_count"), F.size("image_ids").alias("image_count"),
-            F.size("source_relation_ids").alias("source_relation_count"), F.size("target_relation_ids").alias("target_relation_count"),
+            F.col("text").alias("text_chunk_count"), F.col("image").alias("image_count"), F.col("source").alias("source_relation_count"), F.col("target").alias("target_relation_count"),
             evidence.alias("has_evidence"), F.lit("not_embedded").alias("embedding_source"), F.when(evidence, 1.0).otherwise(0.35).alias("retrieval_weight"),
         ).alias("metadata"),
     )
+
+
+def concept_members(distinct: DataFrame, rows: int = MEMBER_ROWS) -> DataFrame:
+    """concept_id, kind, part, ids (sorted): the ids that name a concept, and its source_files, titles and relation_types, at most ``rows`` in a row.
+
+    A hub has as many parts as it needs, dealt by hash; a part is half full on average, so that none is over the bound.
+    """
+    named = [distinct.select("concept_id", F.lit(c).alias("kind"), F.explode(f"{c}s").alias("id")).distinct() for c in NAMES]
+    pairs = reduce(DataFrame.unionByName, [distinct.select("concept_id", "kind", "id"), *named])
+    hubs = pairs.groupBy("concept_id", "kind").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    part = F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(2 * F.col("_n") / rows), F.lit(1))).cast("int").alias("part")
+    dealt = pairs.join(hubs, ["concept_id", "kind"], "left").select("concept_id", "kind", "id", part)
+    return dealt.groupBy("concept_id", "kind", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def concept_nodes(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row per concept with label, metadata and sorted id arrays, put together from its members: whole nodes, for readers that want arrays.
+
+    Readers that can do without take ``concept_summaries`` and ``concept_members``, in which hubs are no larger than other rows.
+    """
+    distinct = distinct_mentions(text_chunks, images, relations)
+    of = lambda kind: F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("ids"))))).alias(kind)
+    arrays = concept_members(distinct).groupBy("concept_id").agg(*map(of, (*KINDS, *NAMES)))
+    m = F.col("metadata")
+    counts = ("text_chunk_count", "image_count", "source_relation_count", "target_relation_count", "has_evidence", "embedding_source", "retrieval_weight")
+    return concept_summaries(distinct).join(arrays, "concept_id").select(
+        "concept_id", "label", "node_type",
+        F.col("text").alias("text_chunk_ids"), F.col("image").alias("image_ids"), F.col("source").alias("source_relation_ids"), F.col("target").alias("target_relation_ids"),
+        F.struct(*(F.col(c).alias(f"{c}s") for c in NAMES), *(m[c].alias(c) for c in counts)).alias("metadata"),
+    )

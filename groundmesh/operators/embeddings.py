@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import text
@@ -117,25 +118,36 @@ def evidence_vectors(text_vectors: DataFrame, image_vectors: DataFrame) -> DataF
     return means.select("concept_id", normalise(F.transform("v", lambda p: p["x"])).alias("vector"))
 
 
-def relation_only_text(concepts: DataFrame, relations: DataFrame) -> DataFrame:
-    """concept_id, text of nodes without evidence: label, relation types, and up to ten descriptions."""
+def relation_only_text(concepts: DataFrame, relations: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """concept_id, text of nodes without evidence: label, relation types, and up to ten descriptions.
+
+    members: parts of ids, where concepts are summaries without arrays; the first ten of each part are looked at.
+    """
     nodes = concepts.where(~F.col("metadata.has_evidence"))
-    ids = nodes.select("concept_id", F.posexplode(F.slice(F.concat("source_relation_ids", "target_relation_ids"), 1, 10)).alias("at", "relation_id"))
+    if members is None:
+        nodes = nodes.select("concept_id", "label", F.col("metadata.relation_types").alias("types"), F.slice(F.concat("source_relation_ids", "target_relation_ids"), 1, 10).alias("ids"))
+    else:
+        first = members.where(F.col("kind").isin("source", "target")).select("concept_id", "kind", F.explode(F.slice("ids", 1, 10)).alias("id"))
+        first = first.withColumn("_n", F.row_number().over(W.partitionBy("concept_id").orderBy("kind", "id"))).where("_n <= 10")
+        ids = first.groupBy("concept_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "id"))), lambda x: x["id"]).alias("ids"))
+        types = members.where("kind = 'relation_type'").groupBy("concept_id").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("types"))
+        nodes = nodes.select("concept_id", "label").join(ids, "concept_id", "left").join(types, "concept_id", "left")
+    ids = nodes.select("concept_id", F.posexplode("ids").alias("at", "relation_id"))
     described = ids.join(relations.select("relation_id", "description"), "relation_id").where(text(F.col("description")) != "")
     listed = described.groupBy("concept_id").agg(F.sort_array(F.collect_list(F.struct("at", "description"))).alias("d"))
-    kinds = F.array_join("metadata.relation_types", ", ")
+    kinds = F.coalesce(F.array_join("types", ", "), F.lit(""))
     parts = F.array(text(F.col("label")), F.when(kinds != "", F.concat(F.lit("Relation types: "), kinds)).otherwise(""), F.coalesce(F.array_join(F.transform("d", lambda x: x["description"]), " "), F.lit("")))
     return nodes.join(listed, "concept_id", "left").select("concept_id", F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " ")).alias("text"))
 
 
-def embed_concepts(concepts: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, relations: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder, relation_vectors: DataFrame | None = None) -> DataFrame:
+def embed_concepts(concepts: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, relations: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder, relation_vectors: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """Concepts with ``vector`` and metadata.embedding_source: from evidence, else from relations and label, else missing.
 
     relation_vectors (concept_id, vector): ready vectors of relation-only nodes, in place of encoding their texts.
     """
     from_evidence = evidence_vectors(text_vectors, image_vectors).withColumnRenamed("vector", "_evidence")
     if relation_vectors is None:
-        relation_vectors = embed(relation_only_text(concepts, relations), "text", make_encoder)
+        relation_vectors = embed(relation_only_text(concepts, relations, members), "text", make_encoder)
     from_relations = relation_vectors.select("concept_id", F.col("vector").alias("_relations"))
     joined = concepts.join(from_evidence, "concept_id", "left").join(from_relations, "concept_id", "left")
     source = F.when(F.col("_evidence").isNotNull(), "linked_text_image_vectors").when(F.col("_relations").isNotNull(), "relation_label_text").otherwise("missing")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundmesh.functions import text as t
 from groundmesh.operators import answers, elements, embeddings, evidence, graph, retrieval, sections, validation
-from groundmesh.operators.concepts import concept_nodes
+from groundmesh.operators.concepts import concept_members, concept_nodes, concept_summaries, distinct_mentions
 from groundmesh.operators.relations import edges_from_sheet, relation_chunks, workbook_relations
 from groundmesh.operators.vector_index import VectorIndex, vector_search
 from groundmesh.operators.vectors import vector_topk
@@ -163,12 +163,12 @@ def module_relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def module_concept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of each source file."""
     docs, images = document_chunks(spark, sf_dir), document_images(spark, sf_dir)
-    return store.module_concepts(docs, images, concept_nodes(docs, images, document_edges(spark, sf_dir)))
+    return store.module_concepts(docs, images, concept_summaries(distinct_mentions(docs, images, document_edges(spark, sf_dir))))
 
 
 def module_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, images, edges = document_chunks(spark, sf_dir), document_images(spark, sf_dir), document_edges(spark, sf_dir)
-    return store.module_items(docs, images, edges, concept_nodes(docs, images, edges))
+    return store.module_items(docs, images, edges, concept_summaries(distinct_mentions(docs, images, edges)))
 
 
 @register
@@ -214,8 +214,8 @@ def concept_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relation_only_node_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of nodes without evidence, over the sheets' edges."""
     edges = store.checkpointed(star_relations(spark, sf_dir))
-    none = document_chunks(spark, sf_dir).limit(0)
-    return embeddings.relation_only_text(concept_nodes(none, document_images(spark, sf_dir).limit(0), edges), edges)
+    distinct = distinct_mentions(document_chunks(spark, sf_dir).limit(0), document_images(spark, sf_dir).limit(0), edges)
+    return embeddings.relation_only_text(concept_summaries(distinct), edges, concept_members(distinct))
 
 
 @register
@@ -297,7 +297,7 @@ def evidence_store(spark: SparkSession, sf_dir: str) -> retrieval.Store:
     texts = keep(vectors(document_chunks(spark, sf_dir), F.col("section_id").cast("long")))
     images = keep(vectors(document_images(spark, sf_dir), F.col("section_id").cast("long") * 7 + 3))
     edges = keep(document_edges(spark, sf_dir))
-    nodes = keep(concept_nodes(texts, images, edges))
+    nodes = keep(concept_summaries(distinct_mentions(texts, images, edges)))
     bare = nodes.where("NOT metadata.has_evidence").select("concept_id")
     bare = vectors(bare, F.length("concept_id") * 31 + F.ascii(F.right("concept_id", F.lit(1))) * 17)
     return retrieval.Store(texts, images, keep(embeddings.embed_concepts(nodes, texts, images.withColumnRenamed("image_id", "id"), edges, relation_vectors=bare)), edges)
@@ -314,8 +314,9 @@ def encoded_store(spark: SparkSession, sf_dir: str) -> retrieval.Store:
     texts = embeddings.embed(document_chunks(spark, sf_dir), "content")
     images = embeddings.embed(document_images(spark, sf_dir), "description")
     edges = document_edges(spark, sf_dir)
-    nodes = concept_nodes(texts.drop("vector"), images.drop("vector"), edges)
-    return retrieval.Store(texts, images, embeddings.embed_concepts(nodes, texts, images.withColumnRenamed("image_id", "id"), edges), edges)
+    distinct = distinct_mentions(texts.drop("vector"), images.drop("vector"), edges)
+    nodes = embeddings.embed_concepts(concept_summaries(distinct), texts, images.withColumnRenamed("image_id", "id"), edges, members=concept_members(distinct))
+    return retrieval.Store(texts, images, nodes, edges)
 
 
 @register
@@ -411,7 +412,7 @@ def retrieval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1-V4 over documents, page diagrams, the sheets' edges and their concepts."""
     docs, images, edges = document_chunks(spark, sf_dir), document_images(spark, sf_dir), star_relations(spark, sf_dir)
-    return validation.validation_report({"text": docs, "image": images, "relation": edges, "concept": concept_nodes(docs, images, edges)})
+    return validation.validation_report({"text": docs, "image": images, "relation": edges, "concept": concept_summaries(distinct_mentions(docs, images, edges))})
 
 
 @register

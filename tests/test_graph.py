@@ -6,7 +6,8 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from groundmesh.config import Config
-from groundmesh.operators.concepts import concept_nodes
+from groundmesh.operators.concepts import concept_members, concept_nodes, concept_summaries, distinct_mentions
+from groundmesh.operators.embeddings import relation_only_text
 from groundmesh.operators.graph import adjacency, adjacency_blocks, expand_graph
 from groundmesh.operators.relations import edges_from_sheet, relation_chunks
 from groundmesh.sources.readers import read_sheet
@@ -34,6 +35,26 @@ def test_concept_nodes(spark):
     assert rows["e"].metadata.retrieval_weight == 0.35 and rows["d"].metadata.has_evidence and rows["e"].label == "E"
 
 
+def test_hub_members_come_in_bounded_parts(spark):
+    """A concept that 200,000 relations and 30,000 chunks name: no row of members is over the bound, counts are exact, nodes equal those of the parts."""
+    n = 200_000
+    number = F.col("id").cast("string")
+    texts = spark.range(30_000).select(F.concat(F.lit("t"), number).alias("id"), F.when(F.col("id") % 3 > 0, "hub").otherwise("c").alias("concept_id"), F.concat(F.lit("title "), number).alias("title"), F.concat(F.lit("f"), F.col("id") % 7).alias("source_file"))
+    images = spark.createDataFrame([("i", "d", "Image", "g")], "image_id string, concept_id string, title string, source_file string")
+    rels = spark.range(n).select(F.concat(F.lit("r"), number).alias("relation_id"), F.lit("hub").alias("source_id"), F.concat(F.lit("x"), F.col("id") % 50).alias("target_id"), F.lit("has_task").alias("relation_type"), F.lit("d").alias("description"), F.struct(F.lit("Hub").alias("source_label"), F.lit("X").alias("target_label"), F.lit("").alias("evidence")).alias("metadata"))
+    distinct = distinct_mentions(texts, images, rels)
+    members = concept_members(distinct, rows=1000)
+    assert members.agg(F.max(F.size("ids"))).first()[0] <= 1000
+    summary = {r.concept_id: r for r in concept_summaries(distinct).collect()}
+    assert summary["hub"].metadata.source_relation_count == n and summary["hub"].metadata.text_chunk_count == 20_000 and summary["x7"].metadata.target_relation_count == n // 50
+    held = {(r.concept_id, r.kind): (r.n, r.kinds) for r in members.select("concept_id", "kind", F.explode("ids").alias("id")).groupBy("concept_id", "kind").agg(F.count("id").alias("n"), F.count_distinct("id").alias("kinds")).collect()}
+    assert held["hub", "source"] == (n, n) and held["hub", "title"] == (20_000, 20_000) and held["hub", "source_file"] == (7, 7) and held["d", "image"] == (1, 1) and held["x7", "relation_type"] == (1, 1)
+    few = distinct_mentions(texts.limit(0), images, rels.where("relation_id < 'r11'"))
+    whole = concept_nodes(texts.limit(0), images, rels.where("relation_id < 'r11'"))
+    some = sorted(map(tuple, relation_only_text(whole, rels).collect()))
+    assert some == sorted(map(tuple, relation_only_text(concept_summaries(few), rels, concept_members(few, rows=40)).collect())) and len(some) == 51
+
+
 def search(seeds, edges, evidence, weights, cfg, terms=()):
     """Plain breadth-first search with the same rules; all scores rounded to nine digits."""
     near = {}

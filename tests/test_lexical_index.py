@@ -51,8 +51,7 @@ def found(hits):
     return sorted((r.query_id, r.collection, r.id, round(r.score, 9), r["rank"]) for r in hits.collect())
 
 
-@pytest.mark.parametrize("block_items", [7, 64, 4096])
-@pytest.mark.parametrize("limit", [1, 5, 2000])
+@pytest.mark.parametrize(("block_items", "limit"), [(7, 5), (64, 1), (64, 2000), (4096, 5)])
 def test_answers_are_those_of_scoring_everything(tables, block_items, limit):
     items, queries, df, asked = tables
     hits, _ = lexical_search(asked, LexicalIndex.write(df, block_items=block_items), CFG, limit)
@@ -72,9 +71,9 @@ def test_blocks_read_fall_with_k(tables):
     _, _, df, asked = tables
     index = LexicalIndex.write(df, block_items=8)
     blocks = index.blocks.count()
-    read = [lexical_search(asked, index, CFG, k)[1].count() for k in (1, 3, 10, 1000)]
+    read = [lexical_search(asked, index, CFG, k)[1].count() for k in (1, 10, 1000)]
     assert read == sorted(read) and read[0] < read[-1] / 2 and read[-1] <= blocks * 28
-    kept = lexical_search(asked, index, CFG, 3)[1].groupBy("query_id", "collection", "block").count()
+    kept = lexical_search(asked, index, CFG, 10)[1].groupBy("query_id", "collection", "block").count()
     assert kept.where(F.col("count") > 1).count() == 0  # no block is read twice for a query
 
 
