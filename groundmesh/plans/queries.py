@@ -411,7 +411,7 @@ def retrieval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def collection_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1-V4 over documents, page diagrams, the sheets' edges and their concepts."""
-    docs, images, edges = document_chunks(spark, sf_dir), document_images(spark, sf_dir), star_relations(spark, sf_dir)
+    docs, images, edges = document_chunks(spark, sf_dir), document_images(spark, sf_dir), store.checkpointed(star_relations(spark, sf_dir))  # read twice
     return validation.validation_report({"text": docs, "image": images, "relation": edges, "concept": concept_summaries(distinct_mentions(docs, images, edges))})
 
 
