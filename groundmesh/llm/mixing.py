@@ -5,10 +5,11 @@ ceil((j + 1) / w), in slots of one block each. In every slot, of the blocks rele
 goes first. The weights sum to 1, so no deadline is missed and before every slot each source is less than one block away from
 its weight, for as long as the phase lasts. When a source runs out, a new phase starts with the weights of the others.
 
-The schedule is made on the driver over blocks, not documents: blocks have ``block_docs`` documents, or more where the table
-would else have more than MAX_SLOTS blocks. So it has at most MAX_SLOTS rows and one a source whatever the
-corpus (work: slots times the log of the sources, and once the number of sources a phase). Documents are numbered in
-Spark in salted cells, so a source that holds a third of all rows is never in one task, and look up their block.
+The schedule is made on the driver over blocks of ``block_docs`` documents, whatever the size of the table: slot after slot, with one entry
+a source as its only state, and written to the shared folder in slices of SLICE_SLOTS slots. So the driver holds one slice and the
+sources (time: blocks times the log of the sources, and once the number of sources a phase). Documents are numbered in
+Spark in salted cells, so a source that holds a third of all rows is never in one task, and look up their block: the
+schedule is broadcast while it has at most BROADCAST_SLOTS rows; beyond, it is joined by source and block.
 
 Defined cases: every row is kept; null sources form one source of their own; a null or repeated doc_id is numbered
 as any row; sources without a given weight share what the given ones leave (or weigh as the smallest given); an empty
@@ -18,17 +19,20 @@ table gives an empty result; extra columns pass through, and the added names are
 from __future__ import annotations
 
 import heapq
+import uuid
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 from math import lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundmesh.llm.common import number_within, shuffle_partitions
+from groundmesh.llm.common import checkpoint_folder, number_within, shuffle_partitions
 
-MAX_SLOTS = 200_000
+SLICE_SLOTS = 500_000
 BROADCAST_SLOTS = 500_000
 BLOCK_DOCS = 16
 TEMPERATURE = 0.5
@@ -59,29 +63,54 @@ def pfair(weights: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
         slot += 1
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[int, str, int, int, int, int]]:
-    """(phase, source, block, slot, release, deadline) of every block; release and deadline count from slot 0 of all."""
+def plan(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[int, str, int, int, int, int]]:
+    """(phase, source, block, slot, release, deadline) of every block by slot; release and deadline count from slot 0 of all."""
     left, used = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
     whole = whole_weights({k: weights[k] for k in left}) if left else {}
-    slots: list[tuple[int, str, int, int, int, int]] = []
-    phase = 0
+    phase = slot = 0
     while left:
-        base, begin = len(slots), dict(used)
+        base, begin = slot, {k: used[k] for k in left}
         for k, j, release, deadline in pfair({k: whole[k] for k in left}):
-            slots.append((phase, k, begin[k] + j, len(slots), base + release, base + deadline))
+            yield phase, k, begin[k] + j, slot, base + release, base + deadline
+            slot += 1
             used[k] += 1
             if used[k] == blocks[k]:
                 del left[k]
                 break
         phase += 1
-    return slots
+
+
+def write_schedule(spark: SparkSession, counts: dict[str, int], weights: dict[str, float], block_docs: int, slice_slots: int) -> tuple[DataFrame, int]:
+    """The plan and the position of every block's first document as a table of the shared folder, and its number of rows."""
+    path = f"{checkpoint_folder(spark)}/groundmesh/schedule-{uuid.uuid4().hex}"
+    names = sorted(counts)
+    code = {k: n for n, k in enumerate(names)}
+    slots = plan({k: -(-n // block_docs) for k, n in counts.items()}, weights)
+    position = rows = 0
+    while True:
+        source, numbers = array("i"), [array("q") for _ in range(6)]
+        for phase, k, block, slot, release, deadline in islice(slots, slice_slots):
+            source.append(code[k])
+            for column, value in zip(numbers, (phase, block, slot, release, deadline, position), strict=True):
+                column.append(value)
+            position += min(block_docs, counts[k] - block * block_docs)  # a source's last block may be short
+        if rows and not source:
+            break
+        columns = [pa.array(names, pa.string()).take(pa.array(source, pa.int32())), *(pa.array(c, pa.int64()) for c in numbers)]
+        table = pa.table(columns, names=["p_source", "phase", "p_block", "slot", "release", "deadline", "p_start"])
+        slice_ = spark.createDataFrame(table).withColumn("phase", F.col("phase").cast("int"))
+        slice_.coalesce(1).write.mode("append").parquet(path)
+        rows += len(source)
+        if len(source) < slice_slots:
+            break
+    return spark.read.schema(slice_.schema).parquet(path), rows
 
 
 def tempered(counts: dict[str, int], temperature: float) -> dict[str, float]:
     return {k: float(n) ** temperature for k, n in counts.items() if n}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, temperature: float = TEMPERATURE, prefix: str = "mix_", max_slots: int = MAX_SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, temperature: float = TEMPERATURE, prefix: str = "mix_", slice_slots: int = SLICE_SLOTS) -> DataFrame:
     """Add prefix + (source, phase, block, slot, release, deadline, position) to every row; positions are gapless from 0.
 
     weights: target weight by source; where None, each source weighs its row count to the power ``temperature``.
@@ -95,23 +124,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
         others = [k for k in counts if k not in given]
         each = max((1 - sum(given.values())) / max(1, len(others)), 0) or min(given.values(), default=1.0)
         chosen = given | dict.fromkeys(others, each)
-    block_docs = max(block_docs, -(-sum(counts.values()) // max_slots))
-    slots = plan({k: -(-n // block_docs) for k, n in counts.items()}, chosen)
-    starts, position = [], 0
-    for _, k, block, *_ in slots:  # a source's last block may be short
-        starts.append(position)
-        position += min(block_docs, counts[k] - block * block_docs)
-    names = ["phase", "p_source", "p_block", "slot", "release", "deadline"]
-    kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
-    columns = list(zip(*slots, strict=True)) if slots else [()] * 6
-    table = spark.createDataFrame(pa.table([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array(starts, pa.int64())], names=[*names, "p_start"]))
+    table, slots = write_schedule(spark, counts, chosen, block_docs, slice_slots)
     table = table.select(*(F.col(c).alias(c if c.startswith("p_") else f"{prefix}{c}") for c in table.columns))
 
     key, block = f"{prefix}source", f"{prefix}block"
     rows = docs.select(F.struct(*docs.columns).alias(f"{prefix}row"), source.alias(key), F.col(id_col).alias(f"{prefix}id"))
     numbered = number_within(rows, [key], F.col(f"{prefix}id"), [F.col(f"{prefix}id")], sum(counts.values()), f"{prefix}number")
     numbered = numbered.withColumn(block, F.floor(F.col(f"{prefix}number") / block_docs).cast("long"))
-    placed = numbered.join(F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table, (F.col(key) == F.col("p_source")) & (F.col(block) == F.col("p_block")))
+    placed = numbered.join(F.broadcast(table) if slots <= BROADCAST_SLOTS else table, (F.col(key) == F.col("p_source")) & (F.col(block) == F.col("p_block")))
     placed = placed.withColumn(f"{prefix}position", F.col("p_start") + F.col(f"{prefix}number") - F.col(block) * block_docs)
     added = [f"{prefix}{c}" for c in ("source", "phase", "block", "slot", "release", "deadline", "position")]
     return placed.select(*(F.col(f"{prefix}row")[c].alias(c) for c in docs.columns), *added)

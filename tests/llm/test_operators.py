@@ -12,6 +12,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -378,7 +379,7 @@ def test_warc(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(archive)
     assert warc.read_warc_files(spark, str(tmp_path)).where("record_type = 'response'").count() > 0
     for broken in (archive[:-3], archive[8:], archive[: len(archive) // 2]):
-        with pytest.raises((ValueError, Exception)):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
             list(warc.iterate_archive(bytes(broken)))
 
 
@@ -402,7 +403,7 @@ def brute_schedule(blocks, weights):
     return order
 
 
-def test_mixing(spark, prose):
+def test_mixing(spark, prose, monkeypatch):
     docs = documents(spark, prose)
     for weights in (None, {"s0": 0.7, "s1": 1 / 3}):
         rows = mixing.mix(docs, weights, block_docs=2).collect()
@@ -416,8 +417,11 @@ def test_mixing(spark, prose):
         for r in rows:
             slot, position = place[r.mix_source, r.mix_block]
             assert r.mix_slot == slot and r.mix_position in (position, position + 1) and r.mix_release <= slot < r.mix_deadline
-    few = mixing.mix(docs, block_docs=2, max_slots=5).collect()
-    assert sorted(r.mix_position for r in few) == list(range(len(prose))) and max(r.mix_block for r in few) <= 2
+    schedule = lambda **given: {(r.mix_source, r.mix_block, r.mix_slot) for r in mixing.mix(docs, block_docs=2, **given).collect()}
+    assert schedule() == schedule(slice_slots=1) == schedule(slice_slots=5)  # slices that end with the schedule or before
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    assert sorted(r.mix_position for r in mixing.mix(docs, block_docs=2).collect()) == list(range(len(prose)))
+    monkeypatch.undo()
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mixed_documents(docs).count() == len(prose)
     assert mixing.mix(docs.limit(0)).count() == 0
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
@@ -433,6 +437,14 @@ def test_mix_stays_within_a_block_of_its_weights():
             done[k] += 1
             if slot % 97 < 3:
                 assert all(abs(done[x] * total - (slot + 1) * whole[x]) < total for x in whole)
+    blocks = {"a": 400_000, "b": 200_000, "c": 25_000}  # the blocks of 10 million documents
+    whole, done = mixing.whole_weights({"a": 0.5, "b": 0.3, "c": 0.2}), Counter()
+    for phase, k, j, slot, release, deadline in mixing.plan(blocks, {"a": 0.5, "b": 0.3, "c": 0.2}):
+        assert release <= slot < deadline and done[k] == j
+        done[k] += 1
+        if phase == 0 and slot % 97 < 3:
+            assert all(abs(done[x] * sum(whole.values()) - (slot + 1) * whole[x]) < sum(whole.values()) for x in whole)
+    assert done == blocks
     phases = mixing.plan({"a": 10, "b": 3, "c": 0}, {"a": 1.0, "b": 1.0, "c": 1.0})
     assert [(k, j) for _, k, j, *_ in phases] == brute_schedule({"a": 10, "b": 3}, {"a": 1.0, "b": 1.0})
 
