@@ -135,5 +135,32 @@ CITATIONS = {
     "cc0": "CC0 1.0",
     "all-rights-reserved": "all rights reserved",
 }
+# (label, reference, mandatory key phrases): short references that name a licence in another order or form; None: the reference itself.
+REFERENCES = [
+    ("gpl-2.0", "GNU General Public License as published by the Free Software Foundation version 2", ["gnu general public license as published by the free software foundation", "version 2"]),
+    ("gpl-3.0", "GNU General Public License as published by the Free Software Foundation version 3", ["gnu general public license as published by the free software foundation", "version 3"]),
+    ("gpl-2.0", "GNU GPL version 2", None),
+    ("gpl-3.0", "GNU GPL version 3", None),
+    ("gpl-2.0", "GPL v2", None),
+    ("gpl-3.0", "GPL v3", None),
+    ("gpl-2.0", "GPLv2", None),
+    ("gpl-3.0", "GPLv3", None),
+    ("lgpl", "LGPLv3", None),
+    ("agpl", "AGPLv3", None),
+    ("apache-2.0", "Apache License 2.0", None),
+    ("apache-2.0", "Apache 2.0 license", None),
+    ("apache-2.0", "Apache 2.0 licence", None),
+    ("apache-2.0", "Apache 2.0 licensed", None),
+    ("apache-2.0", "licensed under Apache 2.0", None),
+    ("mit-release", "MIT licensed", None),
+    ("mit-release", "MIT licence", None),
+    ("mit-release", "license MIT", None),
+    ("mit-release", "licence MIT", None),
+    ("mit-release", "licensed under MIT", None),
+    ("bsd-release", "BSD licensed", None),
+    ("bsd-2-clause", "BSD 2-Clause License", None),
+    ("bsd-3-clause", "BSD 3-Clause License", None),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0", None),
+]
 # Identifiers of the tag "SPDX-License-Identifier".
 SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib", "BSL-1.0"]

@@ -1,12 +1,13 @@
 """Licence scan by a positional rare-token index over licence texts.
 
 The templates (texts, citations and tags of ``license_texts``, or any others given) are indexed by word: word -> (template,
-place in it). Document frequencies of the template words are counted over all documents first. For each file, its licence words are
+place in it). Document frequencies of the template words are counted over all documents first: they say which words are rare, so where
+a file is looked up. What a word weighs in a template does not depend on the table: its IDF among the templates. For each file, its licence words are
 looked up from the highest IDF down; each template takes the first ANCHORS of them that it holds. A posting of a word at
 place p, met at position i of the file, puts the template's start at i - p. The postings are intersected by relative position: where at least
 half of the anchors (two at least, if it has two) agree on a start within a slack of a tenth of the template, its region is
 verified: every mandatory key phrase must stand in it word for word, and the words it shares with the template must hold at least LEAST_MASS
-of the template's IDF mass. That share is the score. Of regions that overlap by half, the one with the most mass gives its label.
+of the template's mass. That share is the score. Of regions that overlap by half, the one with the most mass gives its label.
 
 Base phrases are templates of their own: their rarest word is looked up, and every place where the phrase stands counts.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundmesh.llm.common import small
-from groundmesh.llm.license_texts import CITATIONS, SPDX, TEXTS
+from groundmesh.llm.license_texts import CITATIONS, REFERENCES, SPDX, TEXTS
 
 #: Base phrases and their labels. They count wherever their words stand consecutively.
 BASE_PHRASES = {
@@ -38,7 +39,7 @@ BASE_PHRASES = {
     "cc-by": "cc by",
     "mit": "mit license",
 }
-#: Share of a template's IDF mass that a region must hold.
+#: Share of a template's mass that a region must hold.
 LEAST_MASS = 0.5
 #: A file's rarest words that place a template.
 ANCHORS = 8
@@ -69,6 +70,7 @@ def template(label: str, text: str, keys: list[str] | None = None, base: bool =
 def templates() -> list[Template]:
     """The base phrases and the default templates."""
     own = [template(k, text, keys) for k, (text, keys) in TEXTS.items()] + [template(k, v) for k, v in CITATIONS.items()]
+    own += [template(k, text, keys) for k, text, keys in REFERENCES]
     tags = [template(f"spdx-{k.lower()}", f"SPDX-License-Identifier: {k}") for k in SPDX]
     return [template(k, v, base=True) for k, v in BASE_PHRASES.items()] + own + tags
 
@@ -96,7 +98,9 @@ class RareTokenIndex:
     def __init__(self, found: list[Template], idf: dict[bytes, float]) -> None:
         self.templates, self.idf = found, idf
         self.counts = [Counter(t.words) for t in found]
-        self.mass = [sum(idf[w] for w in t.words) for t in found]
+        holders = Counter(w for t in found for w in set(t.words))
+        self.weight = {w: math.log((len(found) + 1) / (n + 1)) + 1e-3 for w, n in holders.items()}
+        self.mass = [sum(self.weight[w] for w in t.words) for t in found]
         self.slack = [0 if t.keys == (t.words,) else max(2, len(t.words) // 10) for t in found]
         self.keys = [frozenset(w for key in t.keys for w in key) for t in found]
         self.needed = frozenset(max(t.words, key=lambda w: (idf[w], w)) if t.base else max(k, key=lambda w: (idf[w], w)) for t, k in zip(found, self.keys, strict=True))
@@ -148,7 +152,7 @@ class RareTokenIndex:
         if not all(has_phrase(part, key) for key in self.templates[n].keys):
             return None
         shared = self.counts[n] & Counter(part)
-        share = sum(self.idf[w] * m for w, m in shared.items()) / self.mass[n]
+        share = sum(self.weight[w] * m for w, m in shared.items()) / self.mass[n]
         if share < LEAST_MASS:
             return None
         inside = [i for i, w in enumerate(part, begin) if w in self.counts[n]]

@@ -44,6 +44,23 @@ def test_licence_texts_are_found_where_base_phrases_are_not(spark):
     assert few.labels == "ours"
 
 
+def test_a_licence_label_does_not_depend_on_the_other_documents(spark):
+    short = {
+        "This work is under the Creative Commons Attribution 4.0 International License.": "cc-by-4.0-text",
+        "GNU General Public License as published by the Free Software Foundation version 3": "gpl-3.0",
+        "Apache 2.0 licensed": "apache-2.0",
+        "Licence MIT": "mit-release",
+        "distributed under GPLv2": "gpl-2.0",
+    }
+    texts = list(enumerate(short))
+    others = [(100 + i, "the licence of this work is a matter of its own creative author") for i in range(200)]
+    alone = [licenses.scan_licenses(documents(spark, [t])).first() for t in texts]
+    among = sorted(licenses.scan_licenses(documents(spark, texts + others)).where("doc_id < 100").collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.labels, r.score) for r in alone] == [(r.doc_id, r.labels, r.score) for r in among]
+    for r, label in zip(among, short.values(), strict=True):
+        assert label in r.labels.split(","), r
+
+
 def all_maximal(scores):
     """Maximal scoring segments by their definition: the best segment, then the same left and right of it."""
     if not scores or max(scores) <= 0:
