@@ -28,13 +28,17 @@ KNOWN_WORDS = 300_000
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def hashing_encoder(dim: int = 64) -> Encoder:
-    """Signed feature hashing of lowered terms into ``dim`` buckets, L2-normalised."""
+def blake8(word: bytes) -> bytes:
+    return hashlib.blake2b(word, digest_size=8).digest()
+
+
+def hashing_encoder(dim: int = 64, digest: Callable[[bytes], bytes] = blake8) -> Encoder:
+    """Signed feature hashing of lowered terms into ``dim`` buckets, L2-normalised. digest: eight bytes or more of a term's UTF-8."""
     term = re.compile(r"\w+")
     known: dict[str, int] = {}  # word -> 2 * bucket + sign
 
     def code(word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        h = int.from_bytes(digest(word.encode("utf-8", "surrogatepass"))[:8], "little")
         return 2 * (h % dim) + (h >> 63)
 
     def encode(texts: list[str]) -> np.ndarray:
@@ -92,6 +96,7 @@ def embed_stored(df: DataFrame, text_col: str, vectors: StoredTable, make_encode
 
 
 def embed_queries(queries: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder) -> DataFrame:
+    """Queries with ``vector``, encoded with the prefix of queries."""
     return embed(queries, "query", make_encoder, QUERY)
 
 

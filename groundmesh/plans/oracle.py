@@ -1,7 +1,8 @@
 """DuckDB SQL for the registered queries that SQL can express, over the same tables.
 
-The tables' pages are made to one pattern (title, h1, paragraphs of one article), so SQL can take them apart; that of other markup and
-answer sizes in JSON are tested by hand-built cases.
+The tables' pages are made to one pattern (title, h1, paragraphs of one article), so SQL can take them apart; other markup is put behind
+them, or tested by hand-built cases. In ``answer_checks`` a context counts as larger than its compression by what SQL has of both: the
+blocks without their reasons, references and trace, against the compression and an upper bound of its notes. ``compression_sizes`` is exact.
 """
 
 from __future__ import annotations
@@ -208,6 +209,18 @@ b AS (SELECT q.query_id, lower(query) AS query, coalesce(t.n, 0) AS nt, coalesce
 ok AS (SELECT *, contains(titles, coalesce(string_split(query, ' ')[3], '')) AS any_of, substring(query, 1, 2) || ' ' AS begin_ FROM b),
 g AS (SELECT *, concat_ws(',', CASE WHEN NOT any_of THEN 'any_of' END, CASE WHEN contains(first_, begin_) THEN 'first_not' END, CASE WHEN ni < 3 THEN 'min_images' END, CASE WHEN nx < 10 THEN 'min_trace' END, CASE WHEN contains(titles, begin_ || begin_) THEN 'none_of' END) AS failed FROM ok)"""
 PASSED = f"nt + ni > 0 AND deepest <= {CFG.max_hops} AND nt <= {CFG.max_context_text} AND ni <= {CFG.max_context_images} AND nr <= {CFG.max_context_relations}"
+def json_size(*fields: str) -> str:
+    """Characters of a JSON object of ``name: expression`` fields."""
+    return f"length(CAST(to_json({{{', '.join(fields)}}}) AS VARCHAR))"
+
+
+REFERRED = ("'id': id", "'title': title", "'source_file': source_file", "'concept_id': concept_id")
+NOTE_SIZE = 500  # keys, brackets and notes of a compression, at most
+SIZES = f"""
+wb AS (SELECT query_id, sum({json_size(*REFERRED, "'body': body")}) AS whole, sum(CASE WHEN rank <= CASE collection WHEN 'text' THEN {CFG.compact_text} ELSE {CFG.compact_images} END THEN {json_size(*REFERRED, f"'excerpt_text': {excerpt('body')}", f"'citation': {CITED}")} + {json_size(*REFERRED)} + 2 ELSE 0 END) AS small FROM context GROUP BY 1),
+wr AS (SELECT query_id, sum(size) AS whole, sum(size + 30) FILTER (rank <= {CFG.compact_relations}) AS small FROM (SELECT query_id, rank, {json_size("'relation_id': relation_id", "'source_id': source_id", "'target_id': target_id", "'relation_type': relation_type", "'description': description", "'graph_relevance_score': edge_score")} AS size FROM relations) GROUP BY 1),
+wt AS (SELECT query_id, sum(size) AS whole FROM (SELECT query_id, {json_size("'hop': hop", "'from': concept_id", "'to': neighbor_id", "'direction': direction", "'relation_id': relation_id", "'relation_type': relation_type", "'edge_score': edge_score")} AS size FROM trace
+       UNION ALL SELECT query_id, {json_size("'collection': collection", *REFERRED, "'section_id': section_id")} FROM context) GROUP BY 1)"""
 NOTE = "This draft is based mainly on retrieved course text/image evidence; no supporting relation trace was retrieved."
 WEAK = (("nt", "No text evidence was retrieved."), ("ni", "No image or diagram description evidence was retrieved."), ("nr", "No relation trace was retrieved; answer should rely mainly on text/image evidence."))
 
@@ -313,6 +326,13 @@ ORACLE_SQL = {
         r AS (SELECT collection, count(*) AS n, count(*) FILTER (missing) AS n_missing, count(*) = count(DISTINCT key) AS unique_keys FROM k GROUP BY 1), f AS (SELECT *, unique_keys AND n_missing = 0 AS passed FROM r)
         SELECT collection, CAST(n AS BIGINT) AS n, CAST(n_missing AS BIGINT) AS n_missing, unique_keys, passed FROM f UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT), CAST(sum(n_missing) AS BIGINT), bool_and(unique_keys), bool_and(passed) FROM f""",
     "missing_fields": f"WITH {IMAGES} SELECT image_id AS key, 'description' AS missing FROM i WHERE description IS NULL OR NOT contains(description, '?')",
+    "encoded_vectors": f"""
+        WITH t AS (SELECT 'text' AS collection, CAST(doc_id AS VARCHAR) AS id, 'passage: ' || text AS whole FROM documents WHERE regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g') <> ''
+                   UNION ALL SELECT 'query', CAST(item_id AS VARCHAR), 'query: ' || text FROM benchmark WHERE regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g') <> ''),
+        w AS (SELECT collection, id, md5(unnest(regexp_extract_all(lower(whole), '[\\p{{L}}\\p{{N}}_]+'))) AS m FROM t),
+        p AS (SELECT collection, id, CAST('0x' || substring(m, 1, 2) AS INTEGER) % 64 AS at_, sum(CASE WHEN CAST('0x' || substring(m, 15, 2) AS INTEGER) >= 128 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
+        n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY collection, id)) AS norm FROM p)
+        SELECT collection, id, at_ AS at, round(CAST(CAST(x / norm AS FLOAT) AS DOUBLE), 6) AS x FROM n WHERE x <> 0""",
     "embedding_sources": f"""
         WITH {DOCS}, {IMAGES}, {DOC_EDGES}, k AS (SELECT concept_id, bool_or(filled) AS filled FROM (SELECT concept_id, trim(content) <> '' AS filled FROM d UNION ALL SELECT concept_id, TRUE FROM i UNION ALL SELECT source_id, FALSE FROM x UNION ALL SELECT target_id, FALSE FROM x) GROUP BY 1)
         SELECT CASE WHEN filled THEN 'linked_text_image_vectors' ELSE 'relation_label_text' END AS embedding_source, count(*) AS n FROM k GROUP BY 1""",
@@ -337,6 +357,15 @@ ORACLE_SQL = {
           '{{"has_text_evidence":' || (nt > 0) || ',"has_image_evidence":' || (ni > 0) || ',"has_relation_trace":' || (nr > 0) || ',"weaknesses":[' || concat_ws(',', {", ".join(f"CASE WHEN {n} = 0 THEN chr(34) || '{m}' || chr(34) END" for n, m in WEAK)}) || ']}}' AS coverage_notes FROM a""",
     "model_contexts": f"""
         WITH {ANSWERED} SELECT query_id, CASE WHEN query_id % 3 = 2 THEN 'extractive' ELSE 'model' END AS mode, CAST(nt AS INTEGER) AS texts, CAST(nr AS INTEGER) AS relations, CAST(nt + ni AS INTEGER) AS "references" FROM a""",
+    "compression_sizes": f"""
+        WITH {DOCS}, s AS (SELECT section_id, title, id, concept_id, coalesce(source_file, '') AS source_file, content FROM d),
+        z AS (SELECT section_id AS query_id, {json_size("'query_id': section_id", "'query': title", "'text_blocks': [{'id': id, 'title': title, 'concept_id': concept_id, 'source_file': source_file, 'content': content}]")} AS retrieval_size,
+              {json_size("'query': title", f"""'compact_context': {{'key_text_evidence': [{{'id': id, 'title': title, 'concept_id': concept_id, 'source_file': source_file, 'excerpt': {excerpt("content")}, 'citation': {CITED}}}], 'key_image_evidence': [], 'key_relations': [],
+              'source_references': [{{{", ".join(REFERRED)}}}], 'coverage_notes': {{'has_text_evidence': TRUE, 'has_image_evidence': FALSE, 'has_relation_trace': FALSE, 'weaknesses': ['{WEAK[1][1]}', '{WEAK[2][1]}']}}}}""")} AS compressed_size FROM s)
+        SELECT query_id, CAST(retrieval_size AS INTEGER) AS retrieval_size, CAST(compressed_size AS INTEGER) AS compressed_size, compressed_size < retrieval_size AS compressed_smaller FROM z""",
+    "answer_checks": f"""
+        WITH {ANSWERED}, {SIZES}, f AS (SELECT a.query_id, coalesce(wb.small, 0) + coalesce(wr.small, 0) + {NOTE_SIZE} < coalesce(wb.whole, 0) + coalesce(wr.whole, 0) + coalesce(wt.whole, 0) AS smaller, nt + ni AS found FROM a LEFT JOIN wb USING (query_id) LEFT JOIN wr USING (query_id) LEFT JOIN wt USING (query_id))
+        SELECT query_id, smaller AS compressed_smaller, found > 0 AS has_evidence, CAST(found AS INTEGER) AS citations, smaller AND found > 0 AS passed FROM f""",
     "retrieval_checks": f"""
         WITH {TITLES} SELECT query_id, CAST(nt AS INTEGER) AS text_blocks, CAST(ni AS INTEGER) AS image_blocks, CAST(nr AS INTEGER) AS relation_blocks, CAST(deepest AS INTEGER) AS max_seen_hop, failed = '' AS quality_ok, {PASSED} AND failed = '' AS passed, failed FROM g""",
     "page_section_tree": f"WITH {TREE} SELECT source_file, pos, level, title, section_id, parent_pos, parent_title, breadcrumb, child_titles, content FROM tree",
@@ -344,6 +373,10 @@ ORACLE_SQL = {
         WITH {TREE}, w AS (SELECT *, {clean("title || chr(10) || content")} AS whole FROM tree WHERE level = 1 AND content <> '')
         SELECT {stable("source_file", "section_id", "title", "whole")} AS id, whole AS content, title, parent_title, {slug("title")} AS concept_id, section_id, source_file, level, length(whole) AS content_length,
                CASE WHEN {contains_any("lower(title || ' ' || whole)", CFG.risk_terms)} THEN 'risk' WHEN {contains_any("lower(title || ' ' || whole)", CFG.procedure_terms)} THEN 'procedure' ELSE 'concept' END AS type FROM w""",
+    "page_markup_sections": f"""
+        WITH {PAGES}, x AS (SELECT *, CASE WHEN heading = '' THEN title ELSE heading END AS parent_title FROM pg),
+        y AS (SELECT *, 'Parts' AS part, 'part ' || page_id || ' inner ' || page_id || ' inner ' || page_id || ' page | ' || page_id || ' ; cell' AS content FROM x UNION ALL SELECT *, 'Made', 'inside ' || page_id FROM x)
+        SELECT source_file, part AS title, 'page-' || page_id || '-' || lower(part) || CASE WHEN {slug("heading", "section")} = lower(part) THEN '-2' ELSE '' END AS section_id, parent_title, content FROM y""",
     "page_image_chunks": f"""
         WITH {DIAGRAMS} SELECT image_id, {clean("'Diagram under: Map. Caption: ' || caption || '. Visible labels: ' || replace(labels, '|', '; ') || '. Context: ' || coalesce(nullif(parent_title, ''), 'root') || ' / ' || source_file || '.'")} AS description,
                'Map' AS title, 'map' AS concept_id, section_id, source_file, 'svg' AS type, caption, labels, substring({clean("raw")}, 1, 500) AS raw FROM gi""",

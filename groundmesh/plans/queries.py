@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from groundmesh.operators.vectors import vector_topk
 from groundmesh.plans import tables
 from groundmesh.plans.tables import SYNTHETIC as CFG
 from groundmesh.plans.tables import benchmark_queries, document_chunks, page_sources, star_relations, table, vector_chunks
+from groundmesh.schemas import RELATION_EVIDENCE
 from groundmesh.sources import store
 from groundmesh.sources.snapshots import StoredTable
 from groundmesh.sources.workbook import parse_workbooks
@@ -80,6 +82,13 @@ def page_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.text_chunks(tree, CFG).select("id", "content", "title", "parent_title", "concept_id", "section_id", "source_file", "type", F.col("metadata.level").alias("level"), F.col("metadata.content_length").alias("content_length"))
 
 
+@register
+def page_markup_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of nested lists, tables and template strings behind every page."""
+    tree = sections.section_tree(sections.assign_sections(elements.page_elements(tables.markup_sources(spark, sf_dir))))
+    return tree.where("level = 2").select("source_file", "title", "section_id", "parent_title", "content")
+
+
 def page_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = sections.assign_sections(elements.page_elements(page_sources(spark, sf_dir, with_figures=True)))
     return sections.visuals(assigned, sections.section_tree(assigned))
@@ -319,6 +328,20 @@ def encoded_store(spark: SparkSession, sf_dir: str) -> retrieval.Store:
     return retrieval.Store(texts, images, nodes, edges)
 
 
+def md5_encoder() -> embeddings.Encoder:
+    """The default encoder over a digest that SQL has too."""
+    return embeddings.hashing_encoder(digest=lambda word: hashlib.md5(word).digest())
+
+
+@register
+def encoded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of every document and benchmark item by value, one row a component that is not 0."""
+    texts = embeddings.embed(document_chunks(spark, sf_dir).select("section_id", "content"), "content", md5_encoder)
+    asked = embeddings.embed_queries(benchmark_queries(spark, sf_dir), md5_encoder)
+    rows = texts.select(F.lit("text").alias("collection"), F.col("section_id").alias("id"), "vector").unionByName(asked.select(F.lit("query").alias("collection"), F.col("query_id").cast("string").alias("id"), "vector"))
+    return rows.select("collection", "id", F.posexplode("vector").alias("at", "x")).where("x <> 0").withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
 @register
 def embedding_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each concept got its vector from the default encoder."""
@@ -388,6 +411,15 @@ def model_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "mode", F.size(c["key_text_evidence"]).alias("texts"), F.size(c["key_relations"]).alias("relations"), F.size(c["source_references"]).alias("references"))
 
 
+@register
+def compression_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in JSON of a context of each document alone, whole and compressed."""
+    block = F.struct("id", "title", "concept_id", t.text(F.col("source_file")).alias("source_file"), "content")
+    none = lambda shape: F.lit(None).cast(f"array<{shape}>")
+    contexts = document_chunks(spark, sf_dir).select(F.col("section_id").alias("query_id"), F.col("title").alias("query"), F.array(block).alias("text_blocks"), none("struct<id:string,title:string,concept_id:string,source_file:string,description:string>").alias("image_blocks"), none(RELATION_EVIDENCE).alias("relation_blocks"))
+    return answers.compression_ratio(contexts, answers.compact_context(contexts, CFG))
+
+
 @register
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and checks of every answer."""

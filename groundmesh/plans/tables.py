@@ -49,6 +49,15 @@ def page_sources(spark: SparkSession, sf_dir: str, with_figures: bool = False) -
     return table(spark, sf_dir, "pages").select(F.format_string("page-%d.html", "page_id").alias("source_file"), html.alias("html"))
 
 
+def markup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages followed by a section of nested lists and a table, and one out of a template string, all about the page."""
+    n = F.col("page_id").cast("string")
+    listed = F.concat(F.lit("<h2>Parts</h2><ul><li>part "), n, F.lit("<ul><li>inner <b>"), n, F.lit("</b></li></ul></li></ul>"))
+    grid = F.concat(F.lit("<table><tr><th>page</th><td>"), n, F.lit("</td></tr><tr><td><p>cell</p></td><td> </td></tr></table>"))
+    made = F.concat(F.lit("<script>x = {html:`<h2>Made</h2><p>inside "), n, F.lit("</p><button>no</button>`}</script>"))
+    return table(spark, sf_dir, "pages").select(F.format_string("page-%d.html", "page_id").alias("source_file"), F.concat(text(F.col("html")), listed, grid, made).alias("html"))
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five relation sheets out of the star schema, rows numbered as in a workbook.
 
