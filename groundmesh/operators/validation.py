@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from groundmesh.config import Config
 from groundmesh.functions.text import text
 from groundmesh.schemas import KEYS, REQUIRED
+from groundmesh.sources.store import checkpointed
 
 
 def missing_required(df: DataFrame, fields: tuple[str, ...], key: str) -> DataFrame:
@@ -19,11 +20,21 @@ def missing_required(df: DataFrame, fields: tuple[str, ...], key: str) -> DataFr
 
 
 def collection_checks(kind: str, df: DataFrame) -> DataFrame:
-    """One row: collection, n, n_missing (rows lacking a required field), unique_keys, passed. Keys are counted per key, not in one task."""
+    """One row: collection, n, n_missing (rows lacking a required field), unique_keys, passed.
+
+    Keys are counted by a hash of 64 bits, which is all that is shuffled: keys whose hashes differ differ. Only where a hash comes twice are the rows read
+    again, and the keys of such hashes counted themselves.
+    """
     key, fields = KEYS[kind], REQUIRED[kind]
     blank = reduce(lambda a, b: a | b, (text(F.col(f)) == "" for f in fields))
-    keyed = df.groupBy(F.when(text(F.col(key)) != "", F.col(key)).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(blank, 1)).alias("missing"))
-    out = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("missing"), F.lit(0)).alias("n_missing"), F.coalesce(F.max(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0)).alias("_most"))
+    code = F.when(text(F.col(key)) != "", F.xxhash64(F.col(key).cast("string")))
+    hashed = df.select(code.alias("h"), blank.alias("blank")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if("blank").alias("missing"))
+    most = lambda n, known: F.coalesce(F.max(F.when(known, n)), F.lit(0)).alias("_most")
+    out = checkpointed(hashed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("missing"), F.lit(0)).alias("n_missing"), most(F.col("n"), F.col("h").isNotNull())))
+    if out.where("_most > 1").take(1):
+        twice = checkpointed(hashed.where("h IS NOT NULL AND n > 1").select("h"))
+        keyed = df.select(code.alias("h"), F.col(key).alias("k")).join(twice, "h", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        out = out.drop("_most").crossJoin(keyed.agg(most(F.col("n"), F.lit(True))))  # a row each
     return out.select(F.lit(kind).alias("collection"), "n", "n_missing", (F.col("_most") <= 1).alias("unique_keys"), ((F.col("_most") <= 1) & (F.col("n_missing") == 0)).alias("passed"))
 
 
