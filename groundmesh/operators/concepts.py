@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import clean_text, text
@@ -77,18 +78,76 @@ def concept_members(distinct: DataFrame, rows: int = MEMBER_ROWS) -> DataFrame:
     return dealt.groupBy("concept_id", "kind", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
+def packed(c: Column) -> tuple[Column, Column]:
+    """(bytes of an id of 32 hex digits, any other id as it is): half the size for ids that are digests; ``unpacked`` puts them together."""
+    bare = F.when(F.length(c) == 32, F.unhex(c))
+    digest = F.lower(F.hex(bare)) == c
+    return F.when(digest, bare), F.when(~F.coalesce(digest, F.lit(False)), c)
+
+
+def unpacked(digest: Column, other: Column) -> Column:
+    return F.coalesce(F.lower(F.hex(digest)), other)
+
+
+def by_concept(text_chunks: DataFrame | None, images: DataFrame | None, relations: DataFrame, *more: str) -> DataFrame:
+    """Mentions, all of a concept in one partition: concept_id, rank (place in KINDS), id, label, name (a chunk's file, an edge's type) and ``more`` columns of the edges.
+
+    One shuffle of narrow rows: groupings and windows by concept that follow need no other.
+    """
+    none = [F.lit(None).cast("string").alias(c) for c in more]
+
+    def chunks(df: DataFrame, key: str, rank: int) -> DataFrame:
+        return df.select("concept_id", F.lit(rank).alias("rank"), F.col(key).alias("id"), F.col("title").alias("label"), F.col("source_file").alias("name"), *none)
+
+    end = lambda side, rank: F.struct(F.col(f"{side}_id").alias("concept_id"), F.lit(rank).alias("rank"), F.col(f"metadata.{side}_label").alias("label"))
+    ends = relations.select(F.explode(F.array(end("source", 2), end("target", 3))).alias("m"), F.col("relation_id").alias("id"), F.col("relation_type").alias("name"), *more)
+    parts = [ends.select("m.concept_id", "m.rank", "id", "m.label", "name", *more)]  # one pass over the edges
+    parts += [chunks(df, key, rank) for df, key, rank in ((text_chunks, "id", 0), (images, "image_id", 1)) if df is not None]
+    digest, other = packed(F.col("id"))
+    rows = reduce(DataFrame.unionByName, parts).where(text(F.col("concept_id")) != "")
+    dealt = rows.select("concept_id", "rank", digest.alias("_digest"), other.alias("_other"), "label", "name", *more).repartition("concept_id")
+    return dealt.select("concept_id", "rank", unpacked(F.col("_digest"), F.col("_other")).alias("id"), "label", "name", *more)
+
+
+def node_label(first: Column) -> Column:
+    """A node's label: that of its first mention, or its id where that is blank."""
+    label = clean_text(first)
+    return F.when(label == "", F.col("concept_id")).otherwise(label).alias("label")
+
+
 def concept_nodes(text_chunks: DataFrame, images: DataFrame, relations: DataFrame) -> DataFrame:
-    """One row per concept with label, metadata and sorted id arrays, put together from its members: whole nodes, for readers that want arrays.
+    """One row per concept with label, metadata and sorted id arrays: whole nodes, for readers that want arrays. Mentions are shuffled once, nothing is written.
 
     Readers that can do without take ``concept_summaries`` and ``concept_members``, in which hubs are no larger than other rows.
     """
-    distinct = distinct_mentions(text_chunks, images, relations)
-    of = lambda kind: F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("ids"))))).alias(kind)
-    arrays = concept_members(distinct).groupBy("concept_id").agg(*map(of, (*KINDS, *NAMES)))
-    m = F.col("metadata")
-    counts = ("text_chunk_count", "image_count", "source_relation_count", "target_relation_count", "has_evidence", "embedding_source", "retrieval_weight")
-    return concept_summaries(distinct).join(arrays, "concept_id").select(
-        "concept_id", "label", "node_type",
+    rows, rank = by_concept(text_chunks, images, relations), F.col("rank")
+    values = lambda what, known, name: F.array_sort(F.collect_set(F.when(known, F.col(what)))).alias(name)
+    filled = lambda c: text(F.col(c)) != ""
+    names = (values("name", filled("name") & (rank < 2), "source_files"), values("label", filled("label") & (rank < 2), "titles"), values("name", filled("name") & (rank >= 2), "relation_types"))
+    held = rows.groupBy("concept_id").agg(F.min_by("label", F.struct("rank", "id")).alias("first_label"), *(values("id", rank == n, kind) for n, kind in enumerate(KINDS)), *names)
+    evidence = (F.size("text") > 0) | (F.size("image") > 0)
+    return held.select(
+        "concept_id", node_label(F.col("first_label")), F.lit("concept").alias("node_type"),
         F.col("text").alias("text_chunk_ids"), F.col("image").alias("image_ids"), F.col("source").alias("source_relation_ids"), F.col("target").alias("target_relation_ids"),
-        F.struct(*(F.col(c).alias(f"{c}s") for c in NAMES), *(m[c].alias(c) for c in counts)).alias("metadata"),
+        F.struct(
+            "source_files", "titles", "relation_types", F.size("text").alias("text_chunk_count"), F.size("image").alias("image_count"), F.size("source").alias("source_relation_count"),
+            F.size("target").alias("target_relation_count"), evidence.alias("has_evidence"), F.lit("not_embedded").alias("embedding_source"), F.when(evidence, 1.0).otherwise(0.35).alias("retrieval_weight"),
+        ).alias("metadata"),
+    )
+
+
+def edge_nodes(relations: DataFrame, rows: int = 10) -> DataFrame:
+    """concept_id, label, types (sorted), descriptions of every concept that edges name: those of its first ``rows`` edges, by side (source first), then id; blank ones out.
+
+    Of a concept no more rows are held than that and one of each type.
+    """
+    mentions = by_concept(None, None, relations, "description").withColumn("_n", F.dense_rank().over(W.partitionBy("concept_id").orderBy("rank", "id")))
+    once = W.partitionBy("concept_id", "rank", "id").orderBy("label", "name", "description")
+    kind = W.partitionBy("concept_id", "name").orderBy("_n")
+    few = mentions.withColumn("_kind", F.row_number().over(kind)).where((F.col("_n") <= rows) | (F.col("_kind") == 1)).withColumn("_once", F.row_number().over(once))
+    told = (F.col("_n") <= rows) & (F.col("_once") == 1) & (text(F.col("description")) != "")
+    held = few.groupBy("concept_id").agg(
+        F.min_by("label", F.struct("_n", "_once")).alias("first_label"), F.array_sort(F.collect_set(F.when(text(F.col("name")) != "", F.col("name")))).alias("types"),
+        F.array_sort(F.collect_list(F.when(told, F.struct("_n", "description")))).alias("d"),
     )
+    return held.select("concept_id", node_label(F.col("first_label")), "types", F.transform("d", lambda x: x["description"]).alias("descriptions"))

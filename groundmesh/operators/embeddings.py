@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmesh.functions.text import text
+from groundmesh.operators.concepts import edge_nodes
 from groundmesh.sources.snapshots import StoredTable
 from groundmesh.sources.store import checkpointed
 
@@ -140,9 +141,19 @@ def relation_only_text(concepts: DataFrame, relations: DataFrame, members: DataF
     ids = nodes.select("concept_id", F.posexplode("ids").alias("at", "relation_id"))
     described = ids.join(relations.select("relation_id", "description"), "relation_id").where(text(F.col("description")) != "")
     listed = described.groupBy("concept_id").agg(F.sort_array(F.collect_list(F.struct("at", "description"))).alias("d"))
+    return nodes.join(listed, "concept_id", "left").select("concept_id", node_text(F.transform("d", lambda x: x["description"])))
+
+
+def node_text(descriptions: Column) -> Column:
     kinds = F.coalesce(F.array_join("types", ", "), F.lit(""))
-    parts = F.array(text(F.col("label")), F.when(kinds != "", F.concat(F.lit("Relation types: "), kinds)).otherwise(""), F.coalesce(F.array_join(F.transform("d", lambda x: x["description"]), " "), F.lit("")))
-    return nodes.join(listed, "concept_id", "left").select("concept_id", F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " ")).alias("text"))
+    parts = F.array(text(F.col("label")), F.when(kinds != "", F.concat(F.lit("Relation types: "), kinds)).otherwise(""), F.coalesce(F.array_join(descriptions, " "), F.lit("")))
+    return F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " ")).alias("text")
+
+
+def edge_node_text(relations: DataFrame, known: DataFrame) -> DataFrame:
+    """The same straight from the edges, in one shuffle of their ends: concept_id, text of the concepts that no row of ``known`` (concept_id: those with evidence) names."""
+    nodes = edge_nodes(relations).join(known.select("concept_id"), "concept_id", "left_anti")
+    return nodes.select("concept_id", node_text(F.col("descriptions")))
 
 
 def embed_concepts(concepts: DataFrame, text_vectors: DataFrame, image_vectors: DataFrame, relations: DataFrame, make_encoder: Callable[[], Encoder] = hashing_encoder, relation_vectors: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
