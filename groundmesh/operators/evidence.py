@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -108,10 +109,10 @@ def seed_scores(*hits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("query_id", "concept_id").agg(F.max("s").alias("seed_score"))
 
 
-def expanded_evidence(visited: DataFrame, seed_hits: DataFrame, items: DataFrame, queries: DataFrame, cfg: Config) -> DataFrame:
-    """All items of the visited concepts but the seed hits, scored with graph relevance 0.2 and no base score."""
+def expanded_evidence(visited: DataFrame, seed_hits: DataFrame, items: DataFrame, queries: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All items of the visited concepts but the seed hits, scored with graph relevance 0.2 and no base score. ``keep`` is applied to their ids."""
     found = visited.select("query_id", "concept_id").join(items.select("collection", "id", "concept_id"), "concept_id").select("query_id", "collection", "id")
-    fresh = found.join(seed_hits.select("query_id", "collection", "id"), ["query_id", "collection", "id"], "left_anti")
+    fresh = keep(found.join(seed_hits.select("query_id", "collection", "id"), ["query_id", "collection", "id"], "left_anti"))
     return score_evidence(fresh.withColumn("score", F.lit(None).cast("double")), items, queries, cfg, 0.2)
 
 

@@ -70,8 +70,8 @@ class LexicalIndex:
         return LexicalIndex(spark.read.schema(BLOCKS).parquet(folder))
 
     @staticmethod
-    def write(items: DataFrame, folder: str | None = None, block_items: int = BLOCK_ITEMS) -> LexicalIndex:
-        """Index items (collection, id, item_terms, title_terms). Without a folder, a new one of the checkpoint folder is taken."""
+    def write(items: DataFrame, folder: str | None = None, block_items: int = BLOCK_ITEMS, stored: bool = False) -> LexicalIndex:
+        """Index items (collection, id, item_terms, title_terms). Without a folder, a new one of the checkpoint folder is taken. ``stored``: the items are a written table."""
         if not 0 < block_items <= 1 << 16:
             raise ValueError("a block holds 1 to 65,536 items")
         spark = items.sparkSession
@@ -95,7 +95,7 @@ class LexicalIndex:
 
         terms = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
         rows = items.select(F.coalesce("collection", F.lit("")).alias("collection"), "id", terms("item_terms"), F.array_intersect(terms("title_terms"), terms("item_terms")).alias("title_terms")).where(F.col("id").isNotNull())
-        rows = checkpointed(rows)  # ranges are sampled first, and texts are not to be tokenised for that
+        rows = rows if stored else checkpointed(rows)  # ranges are sampled first, and texts are not to be tokenised for that
         ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "collection", "id").sortWithinPartitions("collection", "id")
         folder = folder or new_folder(spark, "lexical")
         ranged.mapInArrow(run, BLOCKS).write.parquet(folder)
